@@ -19,30 +19,38 @@ def _extended(value: Column) -> Column:
     return F.regexp_replace(dashed, r"^(\d{4}-\d{2}-\d{2})[^0-9](?=\d{2})", "$1T")
 
 
+def _once(value: Column, use) -> Column:
+    """Apply a function that names its argument several times, evaluating the argument once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _first_parsed(values, parse) -> Column:
+    parsed = F.transform(F.array(*values), parse)
+    return F.try_element_at(F.filter(parsed, lambda d: d.isNotNull()), F.lit(1))
+
+
 def iso_wall_clock(value: Column) -> Column:
     """ISO date or datetime with its offset dropped, not applied."""
-    iso = _extended(value)
-    local = F.when(F.length(iso) > 10, F.regexp_replace(iso, _OFFSET, "")).otherwise(iso)
-    # An hour alone is legal ISO but not a legal cast.
-    local = F.regexp_replace(local, r"(T\d{2})$", "$1:00")
-    return F.when(iso.rlike(_ISO), F.replace(local, F.lit(","), F.lit(".")).try_cast("timestamp"))
+    def read(iso):
+        local = F.when(F.length(iso) > 10, F.regexp_replace(iso, _OFFSET, "")).otherwise(iso)
+        # An hour alone is legal ISO but not a legal cast.
+        local = F.regexp_replace(local, r"(T\d{2})$", "$1:00")
+        return F.when(iso.rlike(_ISO), F.replace(local, F.lit(","), F.lit(".")).try_cast("timestamp"))
+    return _once(_extended(value), read)
 
 
 def iso_utc(value: Column) -> Column:
     """ISO date or datetime with its offset applied; without one it is taken as UTC."""
-    iso = F.regexp_replace(_extended(value), r"(T\d{2})(?=$|Z|[+-])", "$1:00")
-    iso = F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    dated = F.regexp_replace(_extended(value), r"$", "")
-    plain = F.length(dated) <= 10
-    return F.when(dated.rlike(_ISO), F.when(plain, dated).otherwise(iso).try_cast("timestamp"))
+    def read(iso):
+        full = F.regexp_replace(iso, r"(T\d{2})(?=$|Z|[+-])", "$1:00")
+        full = F.when(F.length(iso) > 10, F.regexp_replace(full, r"([+-]\d{2})(\d{2})$", "$1:$2")).otherwise(iso)
+        return F.when(iso.rlike(_ISO), full.try_cast("timestamp"))
+    return _once(_extended(value), read)
 
 
 def greenhouse_date(*values: Column, page_date: Column | None = None) -> Column:
     """First parseable of the date keys, else the date found in the page."""
-    found = [iso_wall_clock(v) for v in values]
-    if page_date is not None:
-        found.append(iso_wall_clock(page_date))
-    return F.coalesce(*found)
+    return _first_parsed(values if page_date is None else (*values, page_date), iso_wall_clock)
 
 
 def lever_date(*values: Column) -> Column:
@@ -53,18 +61,18 @@ def lever_date(*values: Column) -> Column:
     def one(v):
         millis = F.when(v.rlike(r"^-?\d+(\.\d+)?$"), v.try_cast("double"))
         return F.coalesce(F.timestamp_micros((millis * 1000).cast("long")), iso_wall_clock(v))
-    return F.coalesce(*[one(v) for v in values])
+    return _first_parsed(values, one)
 
 
 def workday_date(*values: Column) -> Column:
     """First usable key, ISO text with its offset applied, else epoch seconds or milliseconds."""
     def one(v):
-        number = F.when(strip(v).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), strip(v).try_cast("double"))
+        number = F.when(v.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), F.trim(v).try_cast("double"))
         seconds = F.when(number > 1e12, number / 1000).otherwise(number)
         # Beyond year 9999 the epoch value is not a date.
         micros = F.when(F.abs(seconds) < 253402300800, F.round(seconds * 1000000).cast("long"))
         return F.coalesce(iso_utc(v), F.timestamp_micros(micros))
-    return F.coalesce(*[one(filled(v)) for v in values])
+    return _first_parsed([filled(v) for v in values], one)
 
 
 def ashby_date(*values: Column) -> Column:

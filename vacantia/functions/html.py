@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vacantia.functions import fixed_values as V
 
@@ -93,7 +94,7 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _page_text(pages: pd.Series) -> pd.Series:
     return pages.map(lambda html: " ".join(parse(html).text().split()) if html else None)
 
