@@ -1,6 +1,6 @@
 """One registered query per operator, with the DuckDB SQL it is compared with."""
 
 from queries.base import ORACLES, QUERIES
-from queries import classifiers, scalars
+from queries import classifiers, scalars, source_queries
 
-__all__ = ["ORACLES", "QUERIES", "classifiers", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "classifiers", "scalars", "source_queries"]

@@ -59,4 +59,14 @@ SELECT page_id, concat('tok', CAST(page_id % 50 AS VARCHAR(20))) AS token, 'Acme
     "slug_page_fx": r"""
 SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'acme.co' ELSE 'beta' END AS token,
  concat(html, CASE page_id % 4 WHEN 0 THEN '<script>{"organizationSlug":"Acme-HQ","x":1}</script>' WHEN 1 THEN '<script>{"organization": {"id":1,"slug":"org-1"}}</script>' WHEN 2 THEN '<div data-organization-slug="beta"></div><div data-organization-slug="attr"></div>' ELSE '' END) AS html FROM pages""",
+    "bare_postings_fx": r"""
+SELECT seq, title, company, url, source, location, posted_at, CASE WHEN seq % 700 = 0 THEN description_snippet ELSE NULL END AS description_snippet, level FROM postings_fx""",
+    "board_page_fx": r"""
+SELECT page_id, concat('https://boards.example.com/', CASE page_id % 2 WHEN 0 THEN 'g' ELSE 'h' END, '/', CAST(page_id AS VARCHAR(20))) AS url, html FROM pages""",
+    "gh_landed_fx": r"""
+SELECT p.payload_id, concat('tok', CAST(p.company_id % 5 AS VARCHAR(20))) AS token, c.name AS company, p.body FROM gh_payload_fx p JOIN companies_fx c ON c.id = p.company_id""",
+    "landed_fx": r"""
+SELECT payload_id, CASE payload_id % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'ashby' END AS provider, concat('tok', CAST(company_id AS VARCHAR(20))) AS token, body FROM gh_payload_fx""",
+    "board_directory_fx": r"""
+SELECT ordinal, lower(ats) AS provider, company, token, CAST(NULL AS VARCHAR(20)) AS host, 'External' AS path, priority FROM directory_fx""",
 }
