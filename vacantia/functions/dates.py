@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vacantia.functions import fixed_values as V
-from vacantia.functions.exprs import as_timestamp, filled, first_filled, midnight, strip, text
+from vacantia.functions.exprs import as_timestamp, filled, first_filled, midnight, once, strip, text
 
 _ISO = (
     r"^\d{4}-\d{2}-\d{2}"
@@ -19,11 +19,6 @@ def _extended(value: Column) -> Column:
     return F.regexp_replace(dashed, r"^(\d{4}-\d{2}-\d{2})[^0-9](?=\d{2})", "$1T")
 
 
-def _once(value: Column, use) -> Column:
-    """Apply a function that names its argument several times, evaluating the argument once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _first_parsed(values, parse) -> Column:
     parsed = F.transform(F.array(*values), parse)
     return F.try_element_at(F.filter(parsed, lambda d: d.isNotNull()), F.lit(1))
@@ -36,7 +31,7 @@ def iso_wall_clock(value: Column) -> Column:
         # An hour alone is legal ISO but not a legal cast.
         local = F.regexp_replace(local, r"(T\d{2})$", "$1:00")
         return F.when(iso.rlike(_ISO), F.replace(local, F.lit(","), F.lit(".")).try_cast("timestamp"))
-    return _once(_extended(value), read)
+    return once(_extended(value), read)
 
 
 def iso_utc(value: Column) -> Column:
@@ -45,7 +40,7 @@ def iso_utc(value: Column) -> Column:
         full = F.regexp_replace(iso, r"(T\d{2})(?=$|Z|[+-])", "$1:00")
         full = F.when(F.length(iso) > 10, F.regexp_replace(full, r"([+-]\d{2})(\d{2})$", "$1:$2")).otherwise(iso)
         return F.when(iso.rlike(_ISO), full.try_cast("timestamp"))
-    return _once(_extended(value), read)
+    return once(_extended(value), read)
 
 
 def greenhouse_date(*values: Column, page_date: Column | None = None) -> Column:
@@ -118,22 +113,25 @@ def curated_date(value: Column, as_of) -> Column:
     A "Mon D" more than 30 days ahead belongs to the previous year.
     """
     now = as_timestamp(as_of)
-    raw = strip(text(value))
     iso, named = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"(?U)^(\w{3,})\s+(\d{1,2})$"
     ago, short = r"(?iU)^(\d+)\s*days?\s*ago$", r"(?iU)^(\d+)([dhw])$"
-    month, day = _month_number(F.regexp_extract(raw, named, 1)), _number(raw, named, 2)
-    this_year = _day(F.year(now), month, day)
-    dated = F.when(this_year > now + F.expr("INTERVAL 30 DAYS"), _day(F.year(now) - 1, month, day)).otherwise(this_year)
-    amount = _number(raw, short, 1)
-    unit = F.lower(F.regexp_extract(raw, short, 2))
-    return (
-        F.when(raw.rlike(iso), _day(_number(raw, iso, 1), _number(raw, iso, 2), _number(raw, iso, 3)))
-        .when(raw.rlike(named), dated)
-        .when(raw.rlike(ago), midnight(_back(now, _number(raw, ago, 1))))
-        .when(unit == "d", midnight(_back(now, amount)))
-        .when(unit == "w", midnight(_back(now, amount, 7)))
-        .when(unit == "h", midnight(now))
-    )
+
+    def read(raw):
+        month, day = _month_number(F.regexp_extract(raw, named, 1)), _number(raw, named, 2)
+        this_year = _day(F.year(now), month, day)
+        last_year = _day(F.year(now) - 1, month, day)
+        amount = _number(raw, short, 1)
+        unit = F.lower(F.regexp_extract(raw, short, 2))
+        return (
+            F.when(raw.rlike(iso), _day(_number(raw, iso, 1), _number(raw, iso, 2), _number(raw, iso, 3)))
+            .when(raw.rlike(named),
+                  F.when(this_year > now + F.expr("INTERVAL 30 DAYS"), last_year).otherwise(this_year))
+            .when(raw.rlike(ago), midnight(_back(now, _number(raw, ago, 1))))
+            .when(unit == "d", midnight(_back(now, amount)))
+            .when(unit == "w", midnight(_back(now, amount, 7)))
+            .when(unit == "h", midnight(now))
+        )
+    return once(strip(text(value)), read)
 
 
 def date_in_text(page_text: Column, as_of) -> Column:

@@ -54,6 +54,11 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[filled(c) for c in cols])
 
 
+def once(value: Column, use) -> Column:
+    """Apply a function that names its argument several times, evaluating the argument once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def midnight(c: Column) -> Column:
     return F.date_trunc("day", c)
 

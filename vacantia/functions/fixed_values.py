@@ -24,8 +24,9 @@ REGISTERED_SOURCES = ("greenhouse", "lever", "workday", "ashby", "workable")
 ENTRY_EXCLUSION_TITLE = r"\b(senior|sr\.?|staff|principal|lead|manager|director|head)\b"
 ENTRY_INCLUSION_TITLE = r"\b(intern|new\s*grad|junior|entry|associate)\b"
 PLUS_YEARS = r"\b(\d+)\s*\+\s*(?:years?|yrs?)\b"
+# The same wording with a number of at least 3.
+PLUS_3_YEARS = r"\b0*(?:[3-9]|[1-9]\d+)\s*\+\s*(?:years?|yrs?)\b"
 ENTRY_TITLE_TERMS = ("senior", "sr", "staff", "principal", "lead", "manager", "director", "head")
-ENTRY_MIN_YEARS = 3
 ENTRY_LIKE_YEARS = range(3, 16)
 
 # ---- engineering and junior tests ------------------------------------------------------

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vacantia.functions import fixed_values as V
-from vacantia.functions.exprs import BLANK, contains_any, filled, not_blank, squeeze, strip, text
+from vacantia.functions.exprs import BLANK, contains_any, filled, not_blank, once, squeeze, strip, text
 
 # RFC 3986 split: scheme, authority, path, query, fragment.
 _URL = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -70,20 +70,19 @@ def _kept_query(url: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """Drop trackers, force https; null for aggregator pages that are no posting."""
-    query = _kept_query(url)
-    scheme = F.lower(_url_part(url, 1))
-    authority = _url_part(url, 2)
-    fragment = _url_part(url, 5)
-    rebuilt = F.concat(
-        F.when(scheme == "", "").when(scheme == "http", "https:").otherwise(F.concat(scheme, F.lit(":"))),
-        F.when(authority == "", "").otherwise(F.concat(F.lit("//"), authority)),
-        _url_part(url, 3),
-        query,
-        F.when(fragment == "", "").otherwise(F.concat(F.lit("#"), fragment)),
-    )
-    section = F.regexp_extract(_url_part(url, 3), r"^/*([^/]*)", 1)
-    no_posting = (url_host(url) == V.AGGREGATOR_HOST) & ~section.isin("p", "c") & (query == "")
-    return F.when(url.isNotNull() & ~no_posting, rebuilt)
+    def rebuild(u):
+        query, scheme, authority, fragment = _kept_query(u), F.lower(_url_part(u, 1)), _url_part(u, 2), _url_part(u, 5)
+        section = F.regexp_extract(_url_part(u, 3), r"^/*([^/]*)", 1)
+        no_posting = (url_host(u) == V.AGGREGATOR_HOST) & ~section.isin("p", "c") & (query == "")
+        rebuilt = F.concat(
+            F.when(scheme == "", "").when(scheme == "http", "https:").otherwise(F.concat(scheme, F.lit(":"))),
+            F.when(authority == "", "").otherwise(F.concat(F.lit("//"), authority)),
+            _url_part(u, 3),
+            query,
+            F.when(fragment == "", "").otherwise(F.concat(F.lit("#"), fragment)),
+        )
+        return F.when(u.isNotNull() & ~no_posting, rebuilt)
+    return once(url, rebuild)
 
 
 def hashed_id(url: Column) -> Column:
@@ -105,24 +104,26 @@ def external_id(row_columns, url: Column) -> Column:
     return F.coalesce(*keys, filled(segment), whole)
 
 
+def _link_part(cell: Column, group: int, plain) -> Column:
+    """Label or address of the link labelled "apply", else of the first one; ``plain`` without links."""
+    def pick(bare):
+        pairs = F.arrays_zip(
+            F.regexp_extract_all(bare, F.lit(V.MARKDOWN_LINK), 1).alias("label"),
+            F.regexp_extract_all(bare, F.lit(V.MARKDOWN_LINK), group).alias("part"))
+        apply_first = F.filter(pairs, lambda p: F.lower(p["label"]).contains("apply"))
+        picked = F.coalesce(F.try_element_at(apply_first, F.lit(1)), F.try_element_at(pairs, F.lit(1)))
+        return F.coalesce(strip(picked["part"]), plain(bare))
+    return once(strip(text(cell)), pick)
+
+
 def link_url(cell: Column) -> Column:
     """Link of a Markdown cell: one labelled "apply", else the first, else the bare url."""
-    bare = strip(text(cell))
-    labels = F.regexp_extract_all(bare, F.lit(V.MARKDOWN_LINK), 1)
-    urls = F.regexp_extract_all(bare, F.lit(V.MARKDOWN_LINK), 2)
-    pairs = F.arrays_zip(labels.alias("label"), urls.alias("url"))
-    apply_first = F.filter(pairs, lambda p: F.lower(p["label"]).contains("apply"))
-    picked = F.coalesce(F.try_element_at(apply_first, F.lit(1)), F.try_element_at(pairs, F.lit(1)))
-    return F.coalesce(strip(picked["url"]), F.when(bare.rlike("^https?://"), bare))
+    return _link_part(cell, 2, lambda bare: F.when(bare.rlike("^https?://"), bare))
 
 
 def link_text(cell: Column) -> Column:
     """Display text belonging to ``link_url``."""
-    bare = strip(text(cell))
-    labels = F.regexp_extract_all(bare, F.lit(V.MARKDOWN_LINK), 1)
-    apply_first = F.filter(labels, lambda label: F.lower(label).contains("apply"))
-    picked = F.coalesce(F.try_element_at(apply_first, F.lit(1)), F.try_element_at(labels, F.lit(1)))
-    return F.coalesce(strip(picked), bare)
+    return _link_part(cell, 1, lambda bare: bare)
 
 
 def unlinked(cell: Column) -> Column:
