@@ -411,7 +411,7 @@ def p5(spark, sf):
 
 # ---- scan run and exports --------------------------------------------------------------
 
-PROFILE = scan.with_preset(scan.Profile(recent_days=4000, min_score=1), "apply-now")
+LANDED_PROFILE = scan.with_preset(scan.Profile(recent_days=4000, providers="all"), "apply-now")
 NO_US = scan.Profile(junior_only=True, relax=True, min_score=1)
 SCAN = f"""
 WITH t AS (SELECT seq FROM postings_fx WHERE posted_at IS NULL AND url <> '' ORDER BY seq LIMIT 120),
@@ -438,9 +438,8 @@ def p1(spark, sf):
 @query("p1_scan_landed")
 def p1_landed(spark, sf):
     """The run from landed payloads and pages, with budgets, top-ups and page dates."""
-    pages = view(spark, sf, "board_page_fx")
-    fetched = scan.fetch_all(all_landed(spark, sf), pages)
-    result = scan.scan(fetched, view(spark, sf, "directory_fx"), pages, PROFILE, "2025-09-20 00:00:00")
+    result = scan.scan_landed(all_landed(spark, sf), view(spark, sf, "directory_fx"), view(spark, sf, "board_page_fx"),
+                              LANDED_PROFILE, "2025-09-20 00:00:00")
     return result.unique.select("position", "title", "company", "url", "provider", "rank", "posted_days_ago")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from vacantia.functions import fixed_values as V
+from vacantia.functions.exprs import squeeze
 
 HIDDEN = {"script", "style", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -96,16 +97,17 @@ def parse(html: str) -> Node:
 
 @F.pandas_udf(StringType())
 def _page_text(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda html: " ".join(parse(html).text().split()) if html else None)
+    return pages.map(lambda html: parse(html).text() if html else None)
 
 
 def page_text(html: Column) -> Column:
-    """Visible text with collapsed blanks; null when there is none."""
+    """Visible text, strings joined by a space; null when there is none."""
     return F.nullif(_page_text(html), F.lit(""))
 
 
 def snippet(html: Column, max_chars: int = V.SNIPPET_CHARS) -> Column:
-    return F.substring(page_text(html), 1, max_chars)
+    """Start of the visible text with collapsed blanks."""
+    return F.substring(squeeze(page_text(html)), 1, max_chars)
 
 
 def json_nodes(document):

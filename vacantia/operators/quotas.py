@@ -8,6 +8,7 @@ from vacantia.functions.classify import is_engineering, is_remote_us
 from vacantia.functions.dates import date_in_text
 from vacantia.functions.exprs import filled, matches, not_blank, strip, text
 from vacantia.operators.filters import keeps_basic, keeps_recent
+from vacantia.session import join_few
 
 
 def _has_snippet() -> Column:
@@ -60,10 +61,12 @@ def junior_candidates(postings: DataFrame, as_of, us_remote_only: bool = False,
 
 def add_snippets(postings: DataFrame, chosen: DataFrame, page_facts: DataFrame) -> DataFrame:
     """Give the chosen rows the snippet of their landed page; the others stay as they are."""
-    found = chosen.select("seq", "url").join(page_facts.select("url", "snippet"), "url").select("seq", "snippet")
+    found = chosen.select("seq", "url").join(page_facts.select("url", "top_up_snippet"), "url").filter(
+        "top_up_snippet IS NOT NULL").select("seq", "top_up_snippet")
     return (
-        postings.join(found, "seq", "left")
-        .withColumn("description_snippet", F.coalesce("snippet", "description_snippet")).drop("snippet")
+        join_few(postings, found, "seq")
+        .withColumn("description_snippet", F.coalesce("top_up_snippet", "description_snippet"))
+        .drop("top_up_snippet")
     )
 
 
@@ -72,22 +75,20 @@ def backfill_targets(postings: DataFrame, cap: int = V.DATE_BACKFILL_CAP) -> Dat
     return postings.filter("posted_at IS NULL AND url <> ''").orderBy("seq").limit(max(cap, 0))
 
 
-def found_dates(targets: DataFrame, page_texts: DataFrame | None, as_of) -> DataFrame:
-    """(seq, source, found_at) for targets whose snippet, else landed page text, names a date."""
+def found_dates(targets: DataFrame, page_facts: DataFrame | None, as_of) -> DataFrame:
+    """(seq, source, found_at) for targets whose snippet, else landed page, names a date."""
     own = filled(strip(text(F.col("description_snippet"))))
-    if page_texts is None:
-        read = targets.withColumn("body", own)
-    else:
-        read = targets.join(page_texts.select("url", "page_text"), "url", "left").withColumn(
-            "body", F.coalesce(own, "page_text"))
-    return read.select("seq", "source", date_in_text(F.col("body"), as_of).alias("found_at")).filter(
-        "found_at IS NOT NULL")
+    date = date_in_text(own, as_of)
+    if page_facts is not None:
+        targets = targets.join(page_facts.select("url", "text_date"), "url", "left")
+        date = F.when(own.isNotNull(), date).otherwise(F.col("text_date"))
+    return targets.select("seq", "source", date.alias("found_at")).filter("found_at IS NOT NULL")
 
 
-def backfill_dates(postings: DataFrame, page_texts: DataFrame | None, as_of,
+def backfill_dates(postings: DataFrame, page_facts: DataFrame | None, as_of,
                    cap: int = V.DATE_BACKFILL_CAP) -> DataFrame:
-    found = found_dates(backfill_targets(postings, cap), page_texts, as_of).select("seq", "found_at")
+    found = found_dates(backfill_targets(postings, cap), page_facts, as_of).select("seq", "found_at")
     return (
-        postings.join(found, "seq", "left")
+        join_few(postings, found, "seq")
         .withColumn("posted_at", F.coalesce("posted_at", "found_at")).drop("found_at")
     )

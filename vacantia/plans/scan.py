@@ -13,7 +13,9 @@ from vacantia.functions.dates import naive_utc, posted_days_ago
 from vacantia.functions.exprs import filled, strip
 from vacantia.operators import filters, joins, quotas, ranking, scoring, sinks
 from vacantia.operators.upsert import Upserted, upsert
+from vacantia.session import cut_lineage
 from vacantia.sources import registry
+from vacantia.sources.directory import enabled_sources
 from vacantia.sources.snippets import read_pages
 
 
@@ -52,26 +54,27 @@ class ScanResult(NamedTuple):
     unique: DataFrame
 
 
-def fetch_all(landed: dict[str, DataFrame], pages: DataFrame | None = None,
+def fetch_all(landed: dict[str, DataFrame], page_facts: DataFrame | None = None,
               cap: int = V.SNIPPET_CAP) -> DataFrame:
     """Postings of all sources; landed holds one DataFrame per source name."""
-    facts = read_pages(pages) if pages is not None else None
-    return registry.union_sources([registry.fetch(name, rows, facts, cap) for name, rows in sorted(landed.items())])
+    return registry.union_sources(
+        [registry.fetch(name, rows, page_facts, cap) for name, rows in sorted(landed.items())])
 
 
-def enrich(postings: DataFrame, pages: DataFrame | None, profile: Profile, as_of) -> DataFrame:
-    """Junior top-up, then the quota per provider, then dates for undated rows."""
-    if pages is None:
-        return quotas.backfill_dates(postings, None, as_of, profile.backfill_cap)
-    facts = read_pages(pages)
-    juniors = quotas.junior_candidates(
-        postings, as_of, profile.us_remote_only, profile.recent_days, profile.junior_cap)
-    topped = quotas.add_snippets(postings, juniors, facts)
-    chosen = quotas.quota_candidates(
-        topped, as_of, profile.junior_only, profile.us_remote_only, profile.recent_days, cap=profile.snippet_cap)
-    filled_up = quotas.add_snippets(topped, chosen, facts)
-    return quotas.backfill_dates(
-        filled_up, facts.withColumnRenamed("snippet", "page_text"), as_of, profile.backfill_cap)
+def enrich(postings: DataFrame, page_facts: DataFrame | None, profile: Profile, as_of) -> DataFrame:
+    """Junior top-up, then the quota per provider, then dates for undated rows.
+
+    Each choice is bounded and joined back to the postings without moving them.
+    """
+    if page_facts is not None:
+        juniors = quotas.junior_candidates(
+            postings, as_of, profile.us_remote_only, profile.recent_days, profile.junior_cap)
+        postings = quotas.add_snippets(postings, juniors, page_facts)
+        chosen = quotas.quota_candidates(
+            postings, as_of, profile.junior_only, profile.us_remote_only, profile.recent_days,
+            cap=profile.snippet_cap)
+        postings = quotas.add_snippets(postings, chosen, page_facts)
+    return quotas.backfill_dates(postings, page_facts, as_of, profile.backfill_cap)
 
 
 def keep_and_score(postings: DataFrame, profile: Profile, as_of) -> DataFrame:
@@ -100,13 +103,25 @@ def export_rows(unique: DataFrame, directory: DataFrame, as_of) -> DataFrame:
     )
 
 
-def scan(postings: DataFrame, directory: DataFrame, pages: DataFrame | None, profile: Profile, as_of) -> ScanResult:
-    """A whole run over fetched postings."""
-    fetched = enrich(postings, pages, profile, as_of)
-    scored = keep_and_score(fetched, profile, as_of)
+def scan(postings: DataFrame, directory: DataFrame, page_facts: DataFrame | None, profile: Profile,
+         as_of) -> ScanResult:
+    """A whole run over fetched postings.
+
+    Postings and scored rows are read by several later steps, so both are written out once.
+    """
+    fetched = enrich(cut_lineage(postings), page_facts, profile, as_of)
+    scored = cut_lineage(keep_and_score(fetched, profile, as_of))
     return ScanResult(fetched, scored, export_rows(ranked_unique(scored), directory, as_of))
 
 
+def scan_landed(landed: dict[str, DataFrame], directory: DataFrame, pages: DataFrame, profile: Profile,
+                as_of) -> ScanResult:
+    """A run from landed payloads and pages; pages are parsed once."""
+    facts = cut_lineage(read_pages(pages, as_of))
+    chosen = {name: rows for name, rows in landed.items() if name in enabled_sources(profile.providers)}
+    return scan(fetch_all(chosen, facts, profile.snippet_cap), directory, facts, profile, as_of)
+
+
 def to_upsert_records(exported: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
     """(records, refused rows): saved rows get their id, remote flag, level and matched skills."""
     good, bad = filters.split_saveable(exported)

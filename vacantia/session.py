@@ -1,8 +1,13 @@
 """Session settings shared by every job."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# At most this many rows of a few kilobytes are broadcast by ``join_few``.
+BROADCAST_ROWS = 10000
 
 # Runtime settings every plan relies on: naive timestamps mean UTC, and AQE splits skewed
 # join partitions and coalesces small ones.
@@ -41,10 +46,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df):
-    """Materialise a DataFrame that several branches read, in the shared folder."""
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a DataFrame that several branches read to the shared folder, and read it back.
+
+    The Parquet copy outlives lost executors, and each branch reads only its columns.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    folder = f"{shared_folder(spark)}/vacantia-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def join_few(big: DataFrame, few: DataFrame, key: str, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a side that is expected to be small.
+
+    The side is written out and counted; it is broadcast up to ``most`` rows, and joined by
+    shuffle beyond that.
+    """
+    few = cut_lineage(few)
+    return big.join(F.broadcast(few) if few.count() <= most else few, key, how)

@@ -12,6 +12,7 @@ from vacantia.functions import fixed_values as V
 from vacantia.functions.exprs import as_timestamp, filled, midnight, strip
 from vacantia.functions.html import parse
 from vacantia.schemas import LIST_ROW
+from vacantia.session import cut_lineage
 
 HTML_TABLE, MARKDOWN_TABLE, BULLET = 0, 1, 2
 _GRID = "source_idx long, table_idx int, row_idx int, header array<string>, cells array<string>"
@@ -212,8 +213,11 @@ def first_per_url(rows: DataFrame, key: str = "row_url") -> DataFrame:
 
 
 def gated_rows(lists: DataFrame, only_remote: bool = True, us_only: bool = True) -> DataFrame:
-    """All gated rows; bullets count only for lists whose tables gave none."""
-    tables = gated(html_rows(lists).unionByName(markdown_rows(lists)), only_remote, us_only)
+    """All gated rows; bullets count only for lists whose tables gave none.
+
+    Table rows are written out once, as the gate for bullets reads them again.
+    """
+    tables = cut_lineage(gated(html_rows(lists).unionByName(markdown_rows(lists)), only_remote, us_only))
     bare = lists.join(tables.select("source_idx").distinct(), "source_idx", "left_anti")
     return tables.unionByName(gated(bullet_rows(bare), only_remote, us_only))
 

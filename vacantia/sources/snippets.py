@@ -4,16 +4,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions import fixed_values as V
-from vacantia.functions.dates import page_posting_date
+from vacantia.functions.dates import date_in_text, page_posting_date
+from vacantia.functions.exprs import squeeze
 from vacantia.functions.html import page_text
 
 
-def read_pages(pages: DataFrame, max_chars: int = V.SNIPPET_CHARS) -> DataFrame:
-    """Landed pages (url, html) reduced to snippet and linked-data date before any shuffle."""
+def read_pages(pages: DataFrame, as_of=None, max_chars: int = V.SNIPPET_CHARS) -> DataFrame:
+    """Landed pages (url, html) reduced to what postings need, before any shuffle.
+
+    snippet: start of the text with collapsed blanks; top_up_snippet: the same as is;
+    page_date: date text of its linked data; text_date: date its whole text names.
+    """
+    text = F.col("text")
+    never = F.lit(None).cast("timestamp")
     return (
-        pages.withColumn("page_date", page_posting_date(F.col("html")))
-        .select("url", F.substring(page_text(F.col("html")), 1, max_chars).alias("snippet"), "page_date")
-        .filter("url <> ''")
+        pages.filter("url <> ''")
+        .withColumn("text", page_text(F.col("html")))
+        .select("url", F.substring(squeeze(text), 1, max_chars).alias("snippet"),
+                F.substring(text, 1, max_chars).alias("top_up_snippet"),
+                page_posting_date(F.col("html")).alias("page_date"),
+                (never if as_of is None else date_in_text(text, as_of)).alias("text_date"))
     )
 
 
