@@ -72,11 +72,13 @@ def resolve(batch: DataFrame, jobs: DataFrame) -> DataFrame:
         F.min_by(F.when(can_start, F.col("legacy_external_id")),
                  F.when(can_start, F.col("seq"))).alias("legacy"),
     ).join(held, KEY, "left")
+    # Ids are a narrow copy of the batch that the claims below read several times.
+    keys = cut_lineage(keys)
 
     stored = jobs.select(F.col("id").alias("stored_id"), F.col("provider").alias("stored_provider"),
                          F.col("external_id").alias("legacy"))
     same_provider = F.col("stored_provider") == F.col("provider")
-    claims = (
+    claims = cut_lineage(
         keys.filter("exact_id IS NULL AND legacy IS NOT NULL").select(*KEY, "first_seq", "legacy")
         .join(stored, "legacy")
         .groupBy(*KEY, "first_seq")
@@ -145,13 +147,13 @@ def resolve_companies(refs: DataFrame, companies: DataFrame) -> tuple[DataFrame,
     seen = refs.groupBy("slug", "company").agg(F.min("seq").alias("seq"))
     by_slug = companies.select("slug", F.col("id").alias("slug_id"))
     by_name = companies.groupBy(F.col("name").alias("company")).agg(F.min("id").alias("name_id"))
-    matched = seen.join(by_slug, "slug", "left").join(by_name, "company", "left").withColumn(
-        "company_id", F.coalesce("slug_id", "name_id")).drop("slug_id", "name_id")
+    matched = cut_lineage(seen.join(by_slug, "slug", "left").join(by_name, "company", "left").withColumn(
+        "company_id", F.coalesce("slug_id", "name_id")).drop("slug_id", "name_id"))
     missing = matched.filter("company_id IS NULL").groupBy("slug").agg(
         F.min_by("company", "seq").alias("name"), F.min("seq").alias("seq"))
     # One creator per name; other new slugs that came with the same name point to it.
     creators = missing.groupBy("name").agg(F.min_by("slug", "seq").alias("creator"), F.min("seq").alias("seq"))
-    created = next_ids(creators, companies, "seq").select("id", "name", F.col("creator").alias("slug"))
+    created = cut_lineage(next_ids(creators, companies, "seq").select("id", "name", F.col("creator").alias("slug")))
     new_ids = missing.select("slug", "name").join(created.select("name", F.col("id").alias("new_id")), "name").select(
         "slug", "new_id")
     mapping = matched.join(new_ids, "slug", "left").select(
@@ -184,25 +186,22 @@ def replace_skills(job_skills: DataFrame, touched: DataFrame) -> DataFrame:
     return kept.unionByName(added)
 
 
-def upsert(jobs: DataFrame, companies: DataFrame, job_skills: DataFrame, incoming: DataFrame, as_of,
-           materialize: bool = False) -> Upserted:
+def upsert(jobs: DataFrame, companies: DataFrame, job_skills: DataFrame, incoming: DataFrame, as_of) -> Upserted:
     """New versions of the three tables, and the refused rows (seq, provider, external_id, reason).
 
-    ``materialize`` writes the folded batch to the shared folder, for callers that write all
-    three tables from it.
+    The resolved and the folded batch are written out once, as every result is made from them;
+    the stored tables are read by the joins alone.
     """
     now = as_timestamp(as_of)
     jobs, companies = conform(jobs, JOBS), conform(companies, COMPANIES)
     job_skills = conform(job_skills, JOB_SKILLS)
-    rows = resolve(_prepared(incoming), jobs)
+    rows = cut_lineage(resolve(_prepared(incoming), jobs))
     accepted = rows.filter("reason IS NULL")
     mapping, created = resolve_companies(
         accepted.filter("slug IS NOT NULL").select("slug", "company", "seq"), companies)
     folded = fold(accepted).withColumn("slug", F.col("company_ref.slug")).withColumn(
         "company", F.col("company_ref.company")).drop("company_ref")
-    folded = folded.join(mapping, ["slug", "company"], "left")
-    if materialize:
-        folded, created = cut_lineage(folded), cut_lineage(created)
+    folded = cut_lineage(folded.join(mapping, ["slug", "company"], "left"))
 
     updated = _updated(jobs, folded.filter("state_id IS NOT NULL"), now)
     fresh = next_ids(folded.filter("state_id IS NULL"), jobs, "first_seq")
@@ -231,6 +230,7 @@ def insert_only(jobs: DataFrame, companies: DataFrame, incoming: DataFrame, as_o
     marked = batch.join(first, KEY, "left").join(stored, KEY, "left").withColumn(
         "reason", F.when(~F.col("complete") | F.coalesce(F.col("provider") == "", F.lit(True)), "incomplete")
         .when(F.col("stored") | (F.col("seq") > F.col("first_seq")), "duplicate-key"))
+    marked = cut_lineage(marked)
     accepted = marked.filter("reason IS NULL")
     mapping, _ = resolve_companies(accepted.select("slug", "company", "seq"), conform(companies, COMPANIES))
     fresh = next_ids(accepted.join(mapping, ["slug", "company"]), jobs, "seq")

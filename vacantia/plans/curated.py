@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from vacantia.functions import text
 from vacantia.operators.ranking import number_rows
 from vacantia.operators.upsert import Upserted, upsert
+from vacantia.session import cut_lineage
 from vacantia.sources.board_pages import first_landed
 from vacantia.sources.curated import curated_postings
 
@@ -28,7 +29,7 @@ def curated_batch(lists: DataFrame, as_of, **options) -> DataFrame:
     records = curated_postings(lists, as_of, **options)
     arrival = F.shiftleft(F.col("source_idx"), _ROW_BITS + 2) + F.shiftleft(
         F.col("parser_idx").cast("long"), _ROW_BITS) + F.col("row_idx")
-    return number_rows(records.withColumn("_arrival", arrival), "seq", seq="_arrival").drop("_arrival")
+    return number_rows(cut_lineage(records.withColumn("_arrival", arrival)), "seq", seq="_arrival").drop("_arrival")
 
 
 def ingest(lists: DataFrame, jobs: DataFrame, companies: DataFrame, job_skills: DataFrame, as_of,

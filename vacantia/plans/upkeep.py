@@ -10,8 +10,7 @@ def upsert_batch(store: TableStore, incoming, as_of, batch_id: int | None = None
     """Upsert a batch once; a batch id that is already published is left alone."""
     if batch_id is not None and store.has_batch(batch_id):
         return store.version()
-    result = upsert(store.read("jobs"), store.read("companies"), store.read("job_skills"), incoming, as_of,
-                    materialize=True)
+    result = upsert(store.read("jobs"), store.read("companies"), store.read("job_skills"), incoming, as_of)
     return store.write(
         {"jobs": result.jobs, "companies": result.companies, "job_skills": result.job_skills}, as_of, batch_id)
 
