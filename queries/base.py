@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from queries.extra_views import EXTRA_VIEWS
 from queries.views import VIEWS
 from vacantia.operators.ranking import number_rows
-from vacantia.session import configure
+from vacantia.session import configure, spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -49,8 +49,22 @@ def with_views(sql):
     return "WITH " + ",\n".join(views) + "\n" + body
 
 
+_FRAMES = {}
+
+
+def _remembered(read):
+    """Keep the plan of a table or view per application; the data is not kept."""
+    def get(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, read.__name__, sf_dir, name)
+        if key not in _FRAMES:
+            _FRAMES[key] = read(spark, sf_dir, name)
+        return _FRAMES[key]
+    return get
+
+
+@_remembered
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _utc(configure(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
+    return _utc(spread(configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")))
 
 
 def _utc(df: DataFrame) -> DataFrame:
@@ -59,6 +73,7 @@ def _utc(df: DataFrame) -> DataFrame:
                        for c, t in df.dtypes])
 
 
+@_remembered
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "incoming_fx":
         return incoming(spark, sf_dir)

@@ -77,7 +77,7 @@ def u1_rejects(spark, sf):
 WITH {BATCH} SELECT claimed_id AS state_id, provider, external_id FROM w WHERE place = 1""")
 def j9(spark, sf):
     jobs = upsert.conform(view(spark, sf, "jobs_fx"), upsert.JOBS)
-    rows = upsert.resolve(upsert._prepared(incoming(spark, sf)), jobs).filter("state_id IS NOT NULL")
+    rows = upsert.resolve(upsert.prepared(incoming(spark, sf)), jobs).filter("state_id IS NOT NULL")
     held = jobs.select(F.col("id").alias("state_id"), F.col("external_id").alias("held"))
     return rows.join(held, "state_id").filter("held <> external_id").select(
         "state_id", "provider", "external_id").distinct()
@@ -86,7 +86,7 @@ def j9(spark, sf):
 @query("j10_company_resolution", f"WITH {BATCH} SELECT slug, company, company_id FROM m")
 def j10(spark, sf):
     jobs = upsert.conform(view(spark, sf, "jobs_fx"), upsert.JOBS)
-    accepted = upsert.resolve(upsert._prepared(incoming(spark, sf)), jobs).filter("reason IS NULL")
+    accepted = upsert.resolve(upsert.prepared(incoming(spark, sf)), jobs).filter("reason IS NULL")
     companies = upsert.conform(view(spark, sf, "companies_fx"), upsert.COMPANIES)
     mapping, _ = upsert.resolve_companies(accepted.select("slug", "company", "seq"), companies)
     return mapping

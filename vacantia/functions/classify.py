@@ -30,21 +30,27 @@ def is_engineering(title: Column) -> Column:
         matches(title, V.GENERIC_ENGINEER) & ~matches(title, V.NON_SWE_ENGINEER))
 
 
+def _names_years(value: Column, pattern: str) -> Column:
+    """Search for a number of years, only in texts that name years at all."""
+    low = F.lower(text(value))
+    return (low.contains("year") | low.contains("yr")) & matches(value, pattern)
+
+
 def is_junior(title: Column, description: Column, relaxed: bool = False) -> Column:
     """Junior by title, or with ``relaxed`` by what the description says."""
     blocked = matches(title, V.SENIOR_BLOCK)
-    by_title = matches(title, V.JUNIOR_TITLE) | matches(title, V.YEARS_0_TO_3)
+    by_title = matches(title, V.JUNIOR_TITLE) | _names_years(title, V.YEARS_0_TO_3)
     if not relaxed:
         return ~blocked & ~matches(title, V.ENGINEER_L2) & ~matches(title, V.LEVEL_THREE) & by_title
     body = F.lower(text(description))
-    few_years = matches(body, V.YEARS_0_TO_3)
+    few_years = _names_years(body, V.YEARS_0_TO_3)
     phrase = contains_any(body, V.JUNIOR_DESC_POSITIVES)
     return (
         F.when(blocked, False)
         .when(matches(title, V.ENGINEER_L2) & ~(few_years | phrase), False)
         .when(matches(title, V.LEVEL_THREE) & ~few_years, False)
         .when(by_title, True)
-        .when(matches(body, V.DESC_4PLUS_YEARS), False)
+        .when(_names_years(body, V.DESC_4PLUS_YEARS), False)
         .when(matches(body, V.DESC_SENIOR_WORDS) & ~phrase, False)
         .otherwise(phrase | few_years)
     )
@@ -74,8 +80,9 @@ def is_curated_us(location: Column) -> Column:
 def entry_decision(title: Column, description: Column, snippet: Column | None = None) -> Column:
     """Struct (decision, reason); the snippet is read where the description is empty."""
     body = text(description) if snippet is None else F.coalesce(filled(description), text(snippet))
-    # A plain search stays inside generated code, where extracting and casting the numbers would not.
-    many_years = matches(body, V.PLUS_3_YEARS)
+    # A plain search stays inside generated code, where extracting and casting the numbers would not;
+    # texts without a plus sign skip it.
+    many_years = body.contains("+") & matches(body, V.PLUS_3_YEARS)
 
     def outcome(decision, reason):
         return F.struct(F.lit(decision).alias("decision"), F.lit(reason).alias("reason"))

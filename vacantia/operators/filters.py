@@ -76,7 +76,8 @@ def passes_entry_terms() -> Column:
     """
     title, body = F.lower(F.col("title")), F.lower(text(F.col("description")))
     numbers = "|".join(str(n) for n in V.ENTRY_LIKE_YEARS)
-    return ~contains_any(title, V.ENTRY_TITLE_TERMS) & ~body.rlike(rf"(?s)(?:{numbers}) ?\+.*(?:year|yrs)")
+    years = body.contains("+") & body.rlike(rf"(?s)(?:{numbers}) ?\+.*(?:year|yrs)")
+    return ~contains_any(title, V.ENTRY_TITLE_TERMS) & ~years
 
 
 def keeps_entry_level() -> Column:

@@ -41,8 +41,11 @@ def conform(df: DataFrame, schema) -> DataFrame:
         for f in schema.fields])
 
 
-def _prepared(incoming: DataFrame) -> DataFrame:
-    """Batch rows with the company reference and whether they could stand as a new job."""
+def prepared(incoming: DataFrame) -> DataFrame:
+    """Batch rows with the company reference and whether they could stand as a new job.
+
+    Written out once: whatever made the batch, a parser for instance, runs a single time.
+    """
     batch = conform(incoming, INCOMING)
     if "company_token" in incoming.columns:
         batch = conform(incoming.withColumn(
@@ -54,7 +57,7 @@ def _prepared(incoming: DataFrame) -> DataFrame:
             "description", F.coalesce("description", "_html")).drop("_html")
     slug = F.coalesce(filled(strip(F.col("company_slug"))), filled(slugify(F.col("company"))))
     name = F.coalesce(filled(F.col("company")), slug)
-    return (
+    return cut_lineage(
         batch.withColumn("slug", slug).withColumn("company", name)
         .withColumn("legacy_external_id", filled(F.col("legacy_external_id")))
         .withColumn("complete", F.col("title").isNotNull() & F.col("url").isNotNull() & F.col("slug").isNotNull())
@@ -189,13 +192,13 @@ def replace_skills(job_skills: DataFrame, touched: DataFrame) -> DataFrame:
 def upsert(jobs: DataFrame, companies: DataFrame, job_skills: DataFrame, incoming: DataFrame, as_of) -> Upserted:
     """New versions of the three tables, and the refused rows (seq, provider, external_id, reason).
 
-    The resolved and the folded batch are written out once, as every result is made from them;
-    the stored tables are read by the joins alone.
+    The batch, its resolved and its folded form are written out once, as every result is made
+    from them; the stored tables are read by the joins alone.
     """
     now = as_timestamp(as_of)
     jobs, companies = conform(jobs, JOBS), conform(companies, COMPANIES)
     job_skills = conform(job_skills, JOB_SKILLS)
-    rows = cut_lineage(resolve(_prepared(incoming), jobs))
+    rows = cut_lineage(resolve(prepared(incoming), jobs))
     accepted = rows.filter("reason IS NULL")
     mapping, created = resolve_companies(
         accepted.filter("slug IS NOT NULL").select("slug", "company", "seq"), companies)
@@ -222,7 +225,7 @@ def upsert(jobs: DataFrame, companies: DataFrame, job_skills: DataFrame, incomin
 def insert_only(jobs: DataFrame, companies: DataFrame, incoming: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """(jobs to add, refused rows): the first complete row of each key that is not stored yet."""
     now = as_timestamp(as_of)
-    batch = _prepared(incoming)
+    batch = prepared(incoming)
     stored = jobs.select(*KEY, F.lit(True).alias("stored"))
     # Rows without an external id are no duplicates of each other.
     keyed = batch.filter("complete AND provider <> ''")

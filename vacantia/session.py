@@ -26,7 +26,8 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def build_session(app: str = "vacantia", master: str | None = None, **conf: str) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    # Call sites of column operations are costly to record for large expressions.
+    builder = SparkSession.builder.appName(app).config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -46,6 +47,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for an input that comes in fewer pieces, such as one small file.
+
+    Inputs with enough partitions, as any large table has, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a DataFrame that several branches read to the shared folder, and read it back.
 
