@@ -86,6 +86,14 @@ def s5(spark, sf):
     return board_pages.ashby_answers(view(spark, sf, "ashby_answer_fx")).select(*LINK_SHAPE)
 
 
+@query("s5_ashby_answer_postings", f"""
+SELECT page_id * 1048576 AS seq, 'Engineer I' AS title, {BOARD} || '/1/' AS url, 'Remote (US)' AS location, TIMESTAMP '2025-09-15 00:00:00' AS posted_at FROM ashby_answer_fx
+UNION ALL SELECT page_id * 1048576 + 1, 'Deep Role', 'https://jobs.ashbyhq.com/tok/tok' || (page_id % 50) || '/3', NULL, TIMESTAMP '2025-09-16 00:00:00' FROM ashby_answer_fx""")
+def s5_postings(spark, sf):
+    return board_pages.ashby_from_answers(view(spark, sf, "ashby_answer_fx")).select(
+        "seq", "title", "url", "location", "posted_at")
+
+
 @query("s6_ashby_links", f"""
 SELECT page_id, 'New Grad Engineer' AS title, {BOARD} || '/job/a' || page_id || '?x=1' AS url, 'a' || page_id AS slug FROM ashby_page_fx
 UNION ALL SELECT page_id, 'Data Engineer', {BOARD} || '/job/n1', 'n1' FROM ashby_page_fx

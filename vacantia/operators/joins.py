@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions.exprs import strip, text
+from vacantia.session import cut_lineage, join_few
 
 
 def jobs_with_companies(jobs: DataFrame, companies: DataFrame) -> DataFrame:
@@ -17,6 +18,14 @@ def jobs_with_companies(jobs: DataFrame, companies: DataFrame) -> DataFrame:
     return jobs.join(named, "company_id")
 
 
+def with_company_name(few: DataFrame, companies: DataFrame) -> DataFrame:
+    """Add the company name to a limited sample; only the sample's companies are looked at twice."""
+    few = cut_lineage(few)
+    wanted = few.select("company_id").distinct()
+    names = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"))
+    return join_few(few, join_few(names, wanted, "company_id", "left_semi"), "company_id")
+
+
 def having_any_skill(jobs: DataFrame, job_skills: DataFrame, skills: str | list) -> DataFrame:
     """Jobs with at least one of the skills, ignoring case; a blank list is no filter."""
     names = skills.split(",") if isinstance(skills, str) else skills
@@ -104,9 +113,8 @@ def backfill_summary(jobs: DataFrame, scraped: DataFrame, provider: str = "githu
 def backfill_sample(jobs: DataFrame, scraped: DataFrame, companies: DataFrame, n: int = 10,
                     provider: str = "github") -> DataFrame:
     """The first ``n`` updated jobs by id."""
-    names = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"))
     updated = backfilled(jobs, scraped, provider).filter("scraped_at IS NOT NULL").orderBy("id").limit(n)
-    return updated.join(names, "company_id", "left").select(
+    return with_company_name(updated, companies).select(
         "id", "company", "title", "url", F.col("scraped_at").alias("assigned_posted_at"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import fixed_values as V
 from vacantia.functions.exprs import as_timestamp
+from vacantia.operators.joins import with_company_name
 
 
 def is_stale(days: int, as_of, provider: str | None = None) -> Column:
@@ -36,8 +37,7 @@ def prune_sample(jobs: DataFrame, companies: DataFrame, days: int = V.RETENTION_
                  provider: str | None = None, n: int = V.SAMPLE_SIZE) -> DataFrame:
     """The ``n`` oldest stale jobs, undated ones first, with their company."""
     oldest = jobs.filter(is_stale(days, as_of, provider)).orderBy(F.asc_nulls_first("posted_at"), "id").limit(n)
-    names = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"))
-    return oldest.join(names, "company_id", "left").select(
+    return with_company_name(oldest, companies).select(
         "id", "provider", "company", "title", "posted_at", "updated_at", "url")
 
 

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 # At most this many rows of a few kilobytes are broadcast by ``join_few``.
 BROADCAST_ROWS = 10000
 
-# Runtime settings every plan relies on: naive timestamps mean UTC, and AQE splits skewed
-# join partitions and coalesces small ones.
+# Runtime settings every plan relies on: naive timestamps mean UTC, AQE splits skewed join
+# partitions and coalesces small ones, and a page far down a sorted result is sorted on the
+# executors and not gathered on the driver.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }
 
 

@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from vacantia.functions import fixed_values as V
+from vacantia.session import cut_lineage
 from vacantia.sources import board_pages, boards
 from vacantia.sources.greenhouse_budget import attach_budgeted
 from vacantia.sources.snippets import attach_snippets
@@ -38,10 +39,14 @@ for _name, _parser in {
 
 def fetch(name: str, landed: DataFrame, page_facts: DataFrame | None = None,
           cap: int = V.SNIPPET_CAP) -> DataFrame:
-    """Postings of one source, with snippets where landed page facts are given."""
+    """Postings of one source, with snippets where landed page facts are given.
+
+    Snippets read the postings several times, so the payloads are parsed once for them.
+    """
     postings = get(name)(landed)
     if page_facts is None:
         return postings
+    postings = cut_lineage(postings)
     attach = attach_budgeted if name == "greenhouse" else attach_snippets
     return attach(postings, page_facts, cap)
 

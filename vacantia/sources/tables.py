@@ -19,7 +19,9 @@ LAYOUTS = {
     "job_skills": schemas.JOB_SKILLS,
     "crawl_runs": schemas.CRAWL_RUNS,
 }
-_LOG = "version long, batch_id long, committed_at timestamp"
+# Each log row names the version of every table; an unchanged table keeps its older one.
+_LOG = ("version long, batch_id long, committed_at timestamp, "
+        + ", ".join(f"{name} long" for name in LAYOUTS))
 
 
 class TableStore:
@@ -32,39 +34,41 @@ class TableStore:
         except AnalysisException:
             return self.spark.createDataFrame([], _LOG)
 
+    def current(self) -> dict:
+        """The newest log row; empty for an empty store.  One row reaches the driver."""
+        newest = self.log().orderBy(F.desc("version")).first()
+        return newest.asDict() if newest else {}
+
     def version(self) -> int:
-        """The published version; 0 for an empty store.  One row reaches the driver."""
-        return self.log().agg(F.max("version")).first()[0] or 0
+        return self.current().get("version", 0)
 
     def has_batch(self, batch_id: int) -> bool:
         return not self.log().filter(F.col("batch_id") == batch_id).isEmpty()
 
     def read(self, table: str) -> DataFrame:
         layout: StructType = LAYOUTS[table]
-        version = self.version()
-        if version:
-            try:
-                return self.spark.read.schema(layout).parquet(f"{self.root}/{table}/v{version}")
-            except AnalysisException:
-                pass
-        return self.spark.createDataFrame([], layout)
+        version = self.current().get(table)
+        if version is None:
+            return self.spark.createDataFrame([], layout)
+        return self.spark.read.schema(layout).parquet(f"{self.root}/{table}/v{version}")
 
     def write(self, tables: dict[str, DataFrame], as_of, batch_id: int | None = None) -> int:
-        """Write a new version of all tables and publish it; tables not given are carried over.
+        """Write new versions of the given tables and publish them together.
 
         Jobs are laid out by provider and, within files, by date, so provider and recency
         filters skip partitions and row groups.
         """
-        version = self.version() + 1
-        for name in LAYOUTS:
-            df = tables.get(name)
-            if df is None:
-                df = self.read(name)
-            writer = df.sortWithinPartitions("provider", "posted_at").write if name == "jobs" else df.write
+        current = self.current()
+        version = current.get("version", 0) + 1
+        for name, df in tables.items():
+            writer = df.select(*LAYOUTS[name].fieldNames()).write
             if name == "jobs":
-                writer = writer.partitionBy("provider")
+                writer = df.sortWithinPartitions("provider", "posted_at").write.partitionBy("provider")
             writer.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
+        versions = {name: version if name in tables else current.get(name) for name in LAYOUTS}
         self.spark.range(1).select(
             F.lit(version).cast("long").alias("version"), F.lit(batch_id).cast("long").alias("batch_id"),
-            as_timestamp(as_of).alias("committed_at")).coalesce(1).write.mode("append").parquet(f"{self.root}/_log")
+            as_timestamp(as_of).alias("committed_at"),
+            *[F.lit(v).cast("long").alias(name) for name, v in versions.items()],
+        ).coalesce(1).write.mode("append").parquet(f"{self.root}/_log")
         return version
