@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions.exprs import text
+from vacantia.session import cut_lineage
 
 # Rows that share the high bits of the arrival order are numbered in one task: at most 2^20
 # of them per leading value, whatever the size of the table.
@@ -16,11 +17,12 @@ def number_rows(df: DataFrame, name: str, seq: str = "seq", leading: Column | No
 
     ``seq`` is unique, or made unique by ``tie_break`` with few rows per value.  ``leading`` takes
     few values, a score for instance.  Rows are counted per bucket of seq, the small table of
-    counts gives each bucket its offset, and rows are numbered within their bucket.
+    counts (written out, as it is read twice) gives each bucket its offset, and rows are numbered
+    within their bucket.
     """
     lead = F.lit(0) if leading is None else leading
     keyed = df.withColumn("_lead", lead).withColumn("_bucket", F.shiftright(F.col(seq).cast("long"), bits))
-    counts = keyed.groupBy("_lead", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(keyed.groupBy("_lead", "_bucket").agg(F.count(F.lit(1)).alias("_n")))
     leads = counts.groupBy("_lead").agg(F.sum("_n").alias("_n"))
     earlier = (Window.unboundedPreceding, -1)
     over_leads = Window.partitionBy(F.lit(0)).orderBy(F.desc("_lead")).rowsBetween(*earlier)
