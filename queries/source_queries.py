@@ -104,6 +104,23 @@ def s6(spark, sf):
     return board_pages.ashby_links(view(spark, sf, "ashby_page_fx")).select("page_id", "title", "url", "slug")
 
 
+@query("s6_ashby_fallback", """
+WITH t AS (SELECT DISTINCT page_id % 50 AS n FROM pages)
+SELECT 'tok' || n AS token, CASE WHEN n < 10 THEN 'json' WHEN n < 25 THEN 'answer' ELSE 'page' END AS kind,
+ (SELECT count(*) FROM pages WHERE page_id % 50 = n) * CASE WHEN n < 10 THEN 1 WHEN n < 25 THEN 2 ELSE 3 END AS n_postings FROM t""")
+def s6_fallback(spark, sf):
+    number = F.col("page_id") % 50
+    pages = view(spark, sf, "ashby_page_fx")
+    answers = view(spark, sf, "ashby_answer_fx").withColumn("body", F.when(number < 25, F.col("body")).otherwise("{}"))
+    listing = F.when(number < 10, '[{"title":"Listed","url":"https://x.example.com/json/1"}]').otherwise("[]")
+    payloads = pages.select(F.col("page_id").alias("payload_id"), "token", F.lit("Acme").alias("company"),
+                            listing.alias("body"))
+    kind = (F.when(F.col("url").contains("/json/"), "json").when(F.col("title").isin("Engineer I", "Deep Role"), "answer")
+            .otherwise("page"))
+    return board_pages.ashby_with_fallback(payloads, answers, pages).groupBy(
+        "token", kind.alias("kind")).agg(F.count("seq").alias("n_postings"))
+
+
 @query("s7_slug_candidates", """
 SELECT page_id, concat(CASE page_id % 3 WHEN 0 THEN 'acme.co|acme-co|acmeco|acme' ELSE 'beta' END,
  CASE page_id % 4 WHEN 0 THEN '|Acme-HQ' WHEN 1 THEN '|org-1' WHEN 2 THEN CASE page_id % 3 WHEN 0 THEN '|beta|attr' ELSE '|attr' END ELSE '' END) AS slugs FROM slug_page_fx""")

@@ -11,7 +11,7 @@ from vacantia.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[4]", spark__ui__enabled="false", spark__sql__shuffle__partitions="4",
+        "tests", "local[8]", spark__ui__enabled="false", spark__sql__shuffle__partitions="2",
         spark__ui__showConsoleProgress="false", spark__driver__memory="4g")
     session.sparkContext.setLogLevel("OFF")
     return session

@@ -91,7 +91,7 @@ def workday(landed: DataFrame) -> DataFrame:
     )
 
 
-def _ashby_items(body: Column) -> Column:
+def ashby_items(body: Column) -> Column:
     """The posting list, bare or under one of two keys; an empty first key gives way to the second."""
     wrapped = F.from_json(body, f"jobPostings {_ASHBY}, jobs {_ASHBY}")
     return F.when(F.ltrim(body).startswith("["), F.from_json(body, _ASHBY)).otherwise(
@@ -103,7 +103,7 @@ def ashby(landed: DataFrame) -> DataFrame:
     board = F.concat(F.lit("https://jobs.ashbyhq.com/"), F.col("token"), F.lit("/job/"), filled(item["slug"]))
     posting = item["posting"]
     return _postings(
-        _with_token(landed), _ashby_items(F.col("body")), "ashby",
+        _with_token(landed), ashby_items(F.col("body")), "ashby",
         url=F.coalesce(
             first_filled(item["jobPostingUrl"], item["jobPostUrl"], item["url"], item["jobUrl"]), board, F.lit("")),
         title=first_filled(item["title"], item["jobTitle"]),
