@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from queries.base import AS_OF, any_contains, found, literal, query, view
+from queries.scalars import PAGE_TEXT
 from vacantia.functions import classify, dates
 from vacantia.functions import fixed_values as V
 from vacantia.functions.html import page_text
@@ -162,9 +163,11 @@ def c12(spark, sf):
     return jobs(spark, sf).select("id", classify.suggests_junior(F.col("description")).alias("suggests"))
 
 
-@query("c12_suggests_junior_page")
+@query("c12_suggests_junior_page", f"""
+SELECT page_id, {found('body', V.RELAX_PHRASES)} OR {any_contains("lower(coalesce(body, ''))", V.RELAX_YEAR_HINTS)} AS suggests
+FROM (SELECT page_id, {PAGE_TEXT.format('html')} AS body FROM junior_page_fx)""")
 def c12_page(spark, sf):
-    pages = view(spark, sf, "ats_page_fx").select("page_id", page_text(F.col("html")).alias("body"))
+    pages = view(spark, sf, "junior_page_fx").select("page_id", page_text(F.col("html")).alias("body"))
     return pages.select("page_id", classify.suggests_junior(F.col("body")).alias("suggests"))
 
 

@@ -69,4 +69,6 @@ SELECT p.payload_id, concat('tok', CAST(p.company_id % 5 AS VARCHAR(20))) AS tok
 SELECT payload_id, CASE payload_id % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'ashby' END AS provider, concat('tok', CAST(company_id AS VARCHAR(20))) AS token, body FROM gh_payload_fx""",
     "board_directory_fx": r"""
 SELECT ordinal, lower(ats) AS provider, company, token, CAST(NULL AS VARCHAR(20)) AS host, 'External' AS path, priority FROM directory_fx""",
+    "junior_page_fx": r"""
+SELECT page_id, concat('<p>', CASE page_id % 4 WHEN 0 THEN 'for a <b>recent</b> grad' WHEN 1 THEN '1 to 3 years<!-- junior -->' WHEN 2 THEN '<script>junior</script>' ELSE '' END, '</p>', html) AS html FROM pages""",
 }

@@ -67,16 +67,16 @@ def prepared(incoming: DataFrame) -> DataFrame:
 def resolve(batch: DataFrame, jobs: DataFrame) -> DataFrame:
     """Batch rows with state_id (the job they update, or null) and reason (why they are refused)."""
     keyed = batch.filter("external_id <> '' AND provider <> ''")
-    held = jobs.select("provider", "external_id", F.col("id").alias("exact_id"))
     can_start = F.expr("complete OR legacy_external_id IS NOT NULL")
-    keys = keyed.groupBy(*KEY).agg(
+    ids = cut_lineage(keyed.groupBy(*KEY).agg(
         F.min(F.when(can_start, F.col("seq"))).alias("first_seq"),
         F.min(F.when(F.col("complete"), F.col("seq"))).alias("first_complete"),
         F.min_by(F.when(can_start, F.col("legacy_external_id")),
-                 F.when(can_start, F.col("seq"))).alias("legacy"),
-    ).join(held, KEY, "left")
-    # Ids are a narrow copy of the batch that the claims below read several times.
-    keys = cut_lineage(keys)
+                 F.when(can_start, F.col("seq"))).alias("legacy")))
+    # The semi-join meets the stored keys first: with a small batch they are filtered in place
+    # and never shuffled.
+    held = jobs.select(*KEY, F.col("id").alias("exact_id")).join(ids.select(*KEY), KEY, "left_semi")
+    keys = cut_lineage(ids.join(held, KEY, "left"))
 
     stored = jobs.select(F.col("id").alias("stored_id"), F.col("provider").alias("stored_provider"),
                          F.col("external_id").alias("legacy"))
