@@ -188,6 +188,17 @@ def c14(spark, sf):
         classify.company_from_title(F.col("html")).alias("company")).select("page_id", "b.*", "company")
 
 
+@query("c14_directory_stub", r"""
+SELECT page_id, '{"company":"' || CASE WHEN page_id % 2 = 0 THEN 'Acme' ELSE '<NAME>' END || CASE page_id % 7 WHEN 0 THEN '","ats":"greenhouse","token":"acme"' WHEN 1 THEN '","ats":"lever","token":"beta"'
+ WHEN 2 THEN '","ats":"workday","host":"gamma.wd1.myworkdayjobs.com","path":"External"' WHEN 3 THEN '","ats":"ashby","token":"delta"' WHEN 4 THEN '","ats":"workable","token":"eps"' END || ',"priority":"High"}' AS stub FROM ats_page_fx""")
+def c14_stub(spark, sf):
+    pages = view(spark, sf, "ats_page_fx")
+    board = classify.detect_board(F.col("html"), F.col("url"))
+    company = F.when(F.col("page_id") % 2 == 0, "Acme")
+    return pages.select("page_id", board.alias("b"), company.alias("c")).select(
+        "page_id", classify.directory_stub(F.col("b"), F.col("c")).alias("stub"))
+
+
 @query("c14_detect_board_headers", r"""
 SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'workday' WHEN 3 THEN 'ashby' WHEN 4 THEN 'workable' WHEN 5 THEN 'workable' ELSE 'unknown' END AS provider,
  CASE page_id % 7 WHEN 0 THEN 'acme' WHEN 1 THEN 'beta' WHEN 3 THEN 'delta' WHEN 4 THEN 'eps' WHEN 5 THEN 'eps' END AS token,

@@ -182,6 +182,12 @@ def a4_providers(spark, sf):
     return report.select(F.explode("by_provider").alias("provider", "n")).select("provider", "n.*")
 
 
+@query("a4_provider_counts", """
+SELECT provider, count(*) AS total, count(*) FILTER (WHERE posted_at IS NULL) AS undated FROM jobs_fx GROUP BY provider""")
+def a4_counts(spark, sf):
+    return aggregates.provider_counts(jobs(spark, sf))
+
+
 @query("a5_entry_filter_counts", f"""
 SELECT source, count(*) FILTER (WHERE reason NOT IN ('title-senior-term', 'description-3plus-years')) AS kept,
  count(*) FILTER (WHERE reason IN ('title-senior-term', 'description-3plus-years')) AS excluded

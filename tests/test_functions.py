@@ -170,6 +170,19 @@ def test_visible_providers():
     assert "ashby" in classify.visible_providers(True) and "workable" not in classify.visible_providers(True)
 
 
+def test_provider_choices():
+    assert classify.provider_choices() == ["all", "greenhouse", "github"]
+    assert classify.provider_choices(True) == ["all", "greenhouse", "github", "ashby", "workday", "lever"]
+
+
+def test_directory_stub_placeholders(spark):
+    pages = ["see myworkdayjobs.com at x.myworkdayjobs.com", "jobs.ashbyhq.com", "boards.greenhouse.io", "nothing"]
+    board = classify.detect_board(F.col("c0"), F.lit(None))
+    assert apply(spark, pages, classify.directory_stub(board, F.lit(None).cast("string"))) == [
+        '{"company":"<NAME>","ats":"workday","host":"<HOST>.myworkdayjobs.com","path":"<PATH>","priority":"High"}',
+        '{"company":"<NAME>","ats":"ashby","token":"<TOKEN>","priority":"High"}', None, None]
+
+
 def test_page_text(spark):
     page = ("<html><head><title>T &amp; x</title><style>p{}</style></head><body><p>a < b</p><!-- no -->"
             "<script>var t='</p>';</script><ul><li>one<li>two</ul>caf&eacute;<br>end</body>")

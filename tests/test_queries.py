@@ -154,6 +154,26 @@ def test_scan_run(rows, tmp_path, spark):
         ("1", "unknown", ("python",)), ("3", "unknown", ("python", "sql"))} and bad.count() == 0
 
 
+def test_scan_from_landed_payloads_and_pages(rows):
+    body = ('[{"hostedUrl":"https://l/1","text":"Junior Developer","categories":{"location":"US-Remote"}},'
+            '{"hostedUrl":"https://l/2","text":"Web Developer","categories":{"location":"Remote, Canada"}},'
+            '{"hostedUrl":"https://l/3","text":"Data Engineer","categories":{"location":"Remote (US)"},"createdAt":1}]')
+    landed = {"lever": rows("payload_id long, token string, company string, host string, path string, body string",
+                            (1, "l", "Acme", None, None, body)), "ashby": None}
+    page = "<p>python, remote usa</p>" + "<p>filler</p>" * 300 + "<p>{}</p>"
+    pages = rows("url string, html string", ("https://l/1", page.format("Posted 5 days ago")), ("https://l/2", page.format("Posted 3 days ago")))
+    directory = rows("ordinal long, company string, token string, priority string", (0, "Acme", "l", "High"))
+    profile = scan.with_preset(scan.Profile(providers="lever", snippet_cap=1, junior_cap=0), "apply-now")
+    result = scan.scan_landed(landed, directory, pages, profile, NOW)
+    fetched = {r.title: (len(r.description_snippet or ""), r.posted_at) for r in result.fetched.collect()}
+    # A snippet stands for its page, even where the date comes later in the page; without one the whole page is read.
+    assert fetched == {"Junior Developer": (1200, None), "Web Developer": (0, datetime(2025, 9, 15, 15, 30)),
+                       "Data Engineer": (0, datetime(1970, 1, 1, 0, 0, 0, 1000))}
+    # The Canadian location blocks the second; the third is too old.
+    assert [(r.title, r.skill_score, r.posted_days_ago, r.company_token) for r in result.unique.collect()] == [
+        ("Junior Developer", 1, None, "l")]
+
+
 def test_presets():
     assert scan.with_preset(scan.Profile(), "apply-now").recent_days == 14
     assert scan.with_preset(scan.Profile(recent_days=3, min_score=2), "apply-now").min_score == 2

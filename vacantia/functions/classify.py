@@ -101,6 +101,13 @@ def visible_providers(experimental: bool = False) -> list:
     return sorted(name for name, status in V.PROVIDER_STATUS.items() if status in shown)
 
 
+def provider_choices(experimental: bool = False) -> list:
+    """Values of a provider filter: ``all``, the supported ones, then the experimental ones if asked for."""
+    def named(wanted):
+        return [name for name, status in V.PROVIDER_STATUS.items() if status == wanted]
+    return ["all", *named("supported"), *(named("experimental") if experimental else [])]
+
+
 def is_provider_visible(provider: Column, experimental: bool = False) -> Column:
     return F.coalesce(provider.isin(*visible_providers(experimental)), F.lit(False))
 
@@ -186,3 +193,20 @@ def company_from_title(page: Column) -> Column:
     """Company name guessed from the page title."""
     title = F.regexp_extract(text(page), r"<title>([^<\r\n]*)", 1)
     return filled(F.regexp_replace(title, r"( Careers| - Careers| – Careers| \| Careers).*| +$", ""))
+
+
+def directory_stub(board: Column, company: Column) -> Column:
+    """Directory entry (JSON) for a detected board; null where the board lacks what identifies it.
+
+    Ashby and workday entries carry placeholders for what the page did not tell.
+    """
+    provider, token = board["provider"], board["token"]
+    workday = provider == "workday"
+    entry = F.to_json(F.struct(
+        F.coalesce(filled(company), F.lit("<NAME>")).alias("company"),
+        provider.alias("ats"),
+        F.when(provider == "ashby", F.coalesce(token, F.lit("<TOKEN>"))).when(~workday, token).alias("token"),
+        F.when(workday, F.coalesce(board["host"], F.lit("<HOST>.myworkdayjobs.com"))).alias("host"),
+        F.when(workday, F.coalesce(board["path"], F.lit("<PATH>"))).alias("path"),
+        F.lit("High").alias("priority")))
+    return F.when(provider.isin("ashby", "workday") | ((provider != "unknown") & token.isNotNull()), entry)

@@ -6,11 +6,6 @@ from pyspark.sql import functions as F
 from vacantia.functions import fixed_values as V
 
 
-def json_lines(df: DataFrame) -> DataFrame:
-    """Rows as JSON texts, nulls written out."""
-    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
-
-
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
