@@ -152,14 +152,21 @@ def test_stream_equals_one_shot(spark, rows, tmp_path):
     landed = rows(ingest.LANDED, *[(n, "t", "Acme", None, None, body % (n % 7)) for n in range(12)])
     landed.repartition(3).write.parquet(str(tmp_path / "landed"))
     store = TableStore(spark, str(tmp_path / "store"))
-    for _ in range(2):
+
+    def ingest_all(checkpoint):
         stream = ingest.landed_stream(spark, str(tmp_path / "landed"), files_per_batch=1)
-        ingest.ingest_stream(stream, boards.greenhouse, ingest.board_records, store, str(tmp_path / "cp"), NOW).awaitTermination()
+        ingest.ingest_stream(stream, boards.greenhouse, ingest.board_records, store, str(tmp_path / checkpoint), NOW).awaitTermination()
+    ingest_all("cp")
+    ingest_all("cp")
     result = upsert.upsert(*empty(spark), ingest.board_records(boards.greenhouse(landed)), NOW)
     columns = ["provider", "external_id", "url", "title"]
     assert sorted(map(tuple, store.read("jobs").select(columns).collect())) == sorted(
         map(tuple, result.jobs.select(columns).collect()))
     assert store.version() == 3
+    # A stream that starts over is applied again, and changes nothing.
+    before = sorted(map(str, store.read("jobs").collect()))
+    ingest_all("cp2")
+    assert store.version() == 6 and sorted(map(str, store.read("jobs").collect())) == before
 
 
 def test_stream_dedupe(spark, rows, tmp_path):

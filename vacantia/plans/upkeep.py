@@ -6,13 +6,14 @@ from vacantia.operators.upsert import upsert
 from vacantia.sources.tables import TableStore
 
 
-def upsert_batch(store: TableStore, incoming, as_of, batch_id: int | None = None) -> int:
-    """Upsert a batch once; a batch id that is already published is left alone."""
-    if batch_id is not None and store.has_batch(batch_id):
+def upsert_batch(store: TableStore, incoming, as_of, batch_id: int | None = None, stream: str = "") -> int:
+    """Upsert a batch once; a batch of the stream that is already published is left alone."""
+    if batch_id is not None and store.has_batch(batch_id, stream):
         return store.version()
     result = upsert(store.read("jobs"), store.read("companies"), store.read("job_skills"), incoming, as_of)
     return store.write(
-        {"jobs": result.jobs, "companies": result.companies, "job_skills": result.job_skills}, as_of, batch_id)
+        {"jobs": result.jobs, "companies": result.companies, "job_skills": result.job_skills}, as_of, batch_id,
+        stream)
 
 
 def prune(store: TableStore, as_of, days: int = V.RETENTION_DAYS, provider: str | None = None) -> int:

@@ -20,7 +20,7 @@ LAYOUTS = {
     "crawl_runs": schemas.CRAWL_RUNS,
 }
 # Each log row names the version of every table; an unchanged table keeps its older one.
-_LOG = ("version long, batch_id long, committed_at timestamp, "
+_LOG = ("version long, stream string, batch_id long, committed_at timestamp, "
         + ", ".join(f"{name} long" for name in LAYOUTS))
 
 
@@ -42,8 +42,9 @@ class TableStore:
     def version(self) -> int:
         return self.current().get("version", 0)
 
-    def has_batch(self, batch_id: int) -> bool:
-        return not self.log().filter(F.col("batch_id") == batch_id).isEmpty()
+    def has_batch(self, batch_id: int, stream: str = "") -> bool:
+        """Whether a batch of a stream is published; batch numbers count per stream."""
+        return not self.log().filter((F.col("stream") == stream) & (F.col("batch_id") == batch_id)).isEmpty()
 
     def read(self, table: str) -> DataFrame:
         layout: StructType = LAYOUTS[table]
@@ -52,7 +53,8 @@ class TableStore:
             return self.spark.createDataFrame([], layout)
         return self.spark.read.schema(layout).parquet(f"{self.root}/{table}/v{version}")
 
-    def write(self, tables: dict[str, DataFrame], as_of, batch_id: int | None = None) -> int:
+    def write(self, tables: dict[str, DataFrame], as_of, batch_id: int | None = None,
+              stream: str = "") -> int:
         """Write new versions of the given tables and publish them together.
 
         Jobs are laid out by provider and, within files, by date, so provider and recency
@@ -67,7 +69,7 @@ class TableStore:
             writer.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
         versions = {name: version if name in tables else current.get(name) for name in LAYOUTS}
         self.spark.range(1).select(
-            F.lit(version).cast("long").alias("version"), F.lit(batch_id).cast("long").alias("batch_id"),
+            F.lit(version).cast("long").alias("version"), F.lit(stream).alias("stream"), F.lit(batch_id).cast("long").alias("batch_id"),
             as_timestamp(as_of).alias("committed_at"),
             *[F.lit(v).cast("long").alias(name) for name, v in versions.items()],
         ).coalesce(1).write.mode("append").parquet(f"{self.root}/_log")

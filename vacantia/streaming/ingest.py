@@ -22,11 +22,15 @@ def ingest_stream(payloads: DataFrame, parser: Callable[[DataFrame], DataFrame],
                   as_of) -> StreamingQuery:
     """Parse and upsert every micro-batch; a replayed batch changes nothing.
 
-    The batch id is published with the version, so a batch that was written before a failure
-    is recognised and skipped.
+    Batch number and stream id are published with the version, so a batch that was written
+    before a failure is recognised and skipped.  The id lies in the checkpoint: a stream that
+    starts over with a new one numbers its batches anew and is not mistaken for the old one.
     """
+    def stream_id(spark: SparkSession) -> str:
+        return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        upsert_batch(store, to_records(parser(batch)), as_of, batch_id)
+        upsert_batch(store, to_records(parser(batch)), as_of, batch_id, stream_id(batch.sparkSession))
 
     return (
         payloads.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
