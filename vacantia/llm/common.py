@@ -13,7 +13,7 @@ from vacantia.session import cut_lineage
 # A bitmap that the driver gathers and sends to the tasks has this many bits (1 MB), whatever the input's size.
 BITMAP_BITS = 1 << 23
 # Rows of text are handed to Python code in pieces of about this many bytes.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

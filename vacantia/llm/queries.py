@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vacantia.llm import secrets, sharding, token_counts
+from vacantia.llm import jaccard, secrets, sharding, token_counts
 from vacantia.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -34,3 +34,8 @@ def op5(spark, sf_dir):
 @query("op6_token_counts")
 def op6(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op7_ngram_jaccard")
+def op7(spark, sf_dir):
+    return jaccard.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
