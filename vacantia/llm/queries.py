@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vacantia.llm import jaccard, secrets, sharding, token_counts
+from vacantia.llm import decontaminate, jaccard, secrets, sharding, token_counts
 from vacantia.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -39,3 +39,8 @@ def op6(spark, sf_dir):
 @query("op7_ngram_jaccard")
 def op7(spark, sf_dir):
     return jaccard.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op10_benchmark_leaks")
+def op10(spark, sf_dir):
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
