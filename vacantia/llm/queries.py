@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontaminate, jaccard, secrets, sharding, token_counts
+from vacantia.llm import decontaminate, jaccard, packing, secrets, sharding, token_counts
 from vacantia.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -44,3 +44,8 @@ def op7(spark, sf_dir):
 @query("op10_benchmark_leaks")
 def op10(spark, sf_dir):
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_retrieval_packing")
+def op1(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
