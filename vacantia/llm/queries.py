@@ -1,10 +1,13 @@
 """Registered queries of the corpus operators."""
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontaminate, jaccard, packing, secrets, sharding, token_counts
+from vacantia.llm import decontaminate, jaccard, packing, secrets, sharding, token_counts, warc
 from vacantia.llm.common import table
+from vacantia.session import shared_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -49,3 +52,17 @@ def op10(spark, sf_dir):
 @query("op1_retrieval_packing")
 def op1(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op2_warc_archive", """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+    f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN first <> page_id THEN first END AS refers_to
+    FROM f""")
+def op2(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).drop("url", "payload")
