@@ -116,3 +116,11 @@ def test_shingles_of_a_slice_do_not_depend_on_neighbours():
     each = [next(shingle_sets(pa.array([t], pa.string()))) for t in texts]
     for got_set, want in zip(shingle_sets(column.slice(1)), each[1:]):
         assert np.array_equal(got_set, want)
+
+
+def test_parity_bound_never_cuts_a_link():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        common = rng.integers(0, 1 << 63, rng.integers(0, 60), dtype=np.uint64)
+        x, y = (np.unique(np.r_[common, rng.integers(0, 1 << 63, rng.integers(1, 90), dtype=np.uint64)]) for _ in range(2))
+        assert jaccard.shared_at_most(jaccard.parity(x), len(x), jaccard.parity(y), len(y)) >= len(np.intersect1d(x, y))

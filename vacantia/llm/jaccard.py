@@ -13,7 +13,9 @@ prefixes are put last in the global order by a bitmap of fixed size, so that com
 Any fixed order is exact, so the bitmap's false hits cost nothing but order. Lists that are long all the same belong to
 families of near copies: their entries first learn their component, and only pairs across components are formed.
 
-All candidate pairs are verified on whole sets. Names of shingles and of sets are 64-bit hashes.
+Candidate pairs first meet a bound from parity bitmaps, a few bytes for each of a set's shingles at most: every odd bit of
+two bitmaps' difference is a shingle that only one of the sets has. Pairs that pass are verified on whole sets. Names of
+shingles and of sets are 64-bit hashes.
 """
 
 import numpy as np
@@ -25,18 +27,23 @@ from vacantia.llm.common import bitmap, components, maybe, pieces
 from vacantia.llm.shingles import fingerprint, shingle_sets
 from vacantia.session import cut_lineage
 
+# Bytes of text that are hashed at once.
+PIECE = 1 << 19
 # Similarity in percent of the union.
 PERCENT = 75
 # Smallest shingles by which a node meets its leaders.
-LEADERS = 8
+LEADERS = 4
 # A shingle in more prefixes than this is ordered last.
 COMMON = 32
 # Index lists up to this length are paired inside their bucket; longer ones learn components first.
 SHORT_LIST = 64
-# Prefix entries of an index bucket, on average (24 MB).
-BUCKET = 1 << 20
+# Prefix entries of an index bucket, on average (10 MB).
+BUCKET = 1 << 19
 
-_POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+# Columns of a posting. A bucket fixes the upper bits of a shingle's hash; its lower half tells shingles apart in there,
+# where a rare clash only adds a candidate.
+_TOKENS = (("token", "<u4"),)
+_POSTINGS = (("token", "<u4"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4"))
 
 
 def _least(n, percent):
@@ -44,30 +51,48 @@ def _least(n, percent):
     return -(-percent * n // 100)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bitmap of twice as many bits as shingles, rounded up to a power of two: which places an odd number falls on."""
+    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount(s & np.uint64(size - 1), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def shared_at_most(x: bytes, nx: int, y: bytes, ny: int) -> int:
+    """A bound on the shingles two sets share, from their parity bitmaps."""
+    x, y = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return (nx + ny - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
 def profile(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per document: key, hash of the text, size of its set, node (null for an empty set) and smallest shingles."""
+    """Per document: key, hash of the text, size of its set, node (null for an empty set), smallest shingles, bitmap."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, text):
-                n, node, mins = [], [], []
+            for piece in pieces(batch, text, PIECE):
+                n, node, mins, bits = [], [], [], []
                 for s in shingle_sets(piece.column(1)):
                     n.append(len(s))
                     node.append(fingerprint(s) if len(s) else None)
                     mins.append(s[:LEADERS].view(np.int64))
+                    bits.append(parity(s) if len(s) else b"")
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
-                     pa.array(mins, pa.list_(pa.int64()))], names=[key, "th", "n", "node", "mins"])
+                     pa.array(mins, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                    names=[key, "th", "n", "node", "mins", "bits"])
     return docs.select(key, text, F.xxhash64(text).alias("th")).mapInArrow(
-        run, f"`{key}` {kind}, th long, n long, node long, mins array<long>")
+        run, f"`{key}` {kind}, th long, n long, node long, mins array<long>, bits binary")
 
 
 def _new_sets(batches, text, wanted=None):
     """(node, set) of the rows of a task, each text and set once per task; ``wanted`` is a bitmap of text hashes."""
     texts, nodes = set(), set()
     for batch in batches:
-        for piece in pieces(batch, text):
+        for piece in pieces(batch, text, PIECE):
             hashes = piece.column(1).to_numpy()
             new = np.zeros(len(hashes), dtype=bool)
             hit = maybe(wanted, hashes) if wanted is not None else np.ones(len(hashes), dtype=bool)
@@ -88,6 +113,18 @@ def _new_sets(batches, text, wanted=None):
 
 def _verified(docs: DataFrame, text: str, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes whose whole sets are similar; sets are read again only for the texts concerned."""
+    def hopeful(batches):
+        for batch in batches:
+            na, nb = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            keep = [(100 + percent) * shared_at_most(x.as_buffer(), m, y.as_buffer(), n) >= percent * (m + n)
+                    for x, m, y, n in zip(batch.column(3), na, batch.column(5), nb)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
+                pa.array(keep, pa.bool_()))
+
+    pairs = cut_lineage(
+        pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a")
+        .join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
+        .select("a", "b", "na", "xa", "nb", "xb").mapInArrow(hopeful, "a long, b long"))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = bitmap(ends.join(nodes, "node"), "th")
 
@@ -115,8 +152,9 @@ def _verified(docs: DataFrame, text: str, nodes: DataFrame, pairs: DataFrame, pe
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = cut_lineage(docs.select(text, F.xxhash64(text).alias("th")).mapInArrow(sets, "node long, s binary")
-                        .join(ends, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")))
+    # one exchange of the sets serves the copies of a set, and both joins
+    found = (docs.select(text, F.xxhash64(text).alias("th")).mapInArrow(sets, "node long, s binary")
+             .groupBy("node").agg(F.first("s").alias("s")))
     left = found.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     right = found.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
@@ -126,43 +164,61 @@ def _prefix(n, percent):
     return n - _least(n, percent) + 1
 
 
-def _packed(arrays, buckets):
-    """Rows (bucket, bytes) of arrays of tokens or postings, cut by the token's hash range."""
-    flat = np.concatenate(arrays)
-    token = flat["token"] if flat.dtype.names else flat
-    to = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+def _packed(columns, held, hashes, buckets):
+    """Rows (bucket, bytes): entries cut by the range of their shingle's hash, each bucket's columns one after the other."""
+    flat = [np.concatenate([h[k] for h in held]) for k in range(len(columns))]
+    to = ((np.concatenate(hashes) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     order = np.argsort(to, kind="stable")
-    flat, to = flat[order], to[order]
+    flat, to = [f[order] for f in flat], to[order]
     starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
     ends = np.r_[starts[1:], len(to)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(to[starts].astype(np.int64)), pa.array([flat[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())],
+        [pa.array(to[starts].astype(np.int64)),
+         pa.array([b"".join(f[s:e].tobytes() for f in flat) for s, e in zip(starts, ends)], pa.binary())],
         names=["bucket", "entries"])
 
 
-def _posted(docs, text, buckets, entries):
-    """Send the entries of each set of a task to their buckets, packed."""
+def _unpacked(columns, group: pa.Table) -> list[np.ndarray]:
+    """The columns of all entries of a bucket."""
+    width = sum(np.dtype(kind).itemsize for _, kind in columns)
+    parts = [[] for _ in columns]
+    for value in group.column("entries"):
+        data = value.as_buffer()
+        count, at = len(data) // width, 0
+        for part, (_, kind) in zip(parts, columns):
+            part.append(np.frombuffer(data, dtype=kind, count=count, offset=at))
+            at += count * np.dtype(kind).itemsize
+    return [np.concatenate(p) for p in parts]
+
+
+def _posted(docs, text, buckets, columns, entries):
+    """Send the entries of each set of a task to their buckets; ``entries`` gives their hashes and their columns."""
     def run(batches):
-        held, size = [], 0
+        held, hashes, size = [], [], 0
         for node, s in _new_sets(batches, text):
-            held.append(entries(node, s))
-            size += len(held[-1])
-            if size >= BUCKET // 2:
-                yield _packed(held, buckets)
-                held, size = [], 0
+            token, row = entries(node, s)
+            held.append(row)
+            hashes.append(token)
+            size += len(token)
+            if size >= BUCKET:
+                yield _packed(columns, held, hashes, buckets)
+                held, hashes, size = [], [], 0
         if held:
-            yield _packed(held, buckets)
+            yield _packed(columns, held, hashes, buckets)
     return docs.select(text, F.xxhash64(text).alias("th")).mapInArrow(run, "bucket long, entries binary")
 
 
 def _common(docs: DataFrame, text: str, buckets: int, percent: int) -> np.ndarray:
     """Bitmap of the shingles that many prefixes hold, each prefix being the smallest hashes of its set."""
+    def first(node, s):
+        token = s[:_prefix(len(s), percent)]
+        return token, (token.astype("<u4"),)
+
     def count(group: pa.Table) -> pa.Table:
-        tokens = np.concatenate([np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in group.column("entries")])
-        token, times = np.unique(tokens, return_counts=True)
-        return pa.table({"token": token[times > COMMON].view(np.int64)})
+        token, times = np.unique(_unpacked(_TOKENS, group)[0], return_counts=True)
+        return pa.table({"token": token[times > COMMON].astype(np.int64)})
 
-    posted = _posted(docs, text, buckets, lambda node, s: s[:_prefix(len(s), percent)])
+    posted = _posted(docs, text, buckets, _TOKENS, first)
     return bitmap(posted.groupBy("bucket").applyInArrow(count, "token long"), "token")
 
 
@@ -170,23 +226,24 @@ def _candidates(docs: DataFrame, text: str, buckets: int, percent: int, common:
     """Rows (a, b) of candidate pairs from short lists, and rows (a, token, n, pos) of long ones, with null b."""
     def entries(node, s):
         n, late = len(s), maybe(common, s.view(np.int64))
-        s = np.concatenate([s[~late], s[late]])[:_prefix(n, percent)]
-        out = np.empty(len(s), dtype=_POSTING)
-        out["token"], out["node"], out["n"], out["pos"] = s, node, n, np.arange(len(s))
-        return out
+        token = np.concatenate([s[~late], s[late]])[:_prefix(n, percent)]
+        return token, (token.astype("<u4"), np.full(len(token), node, dtype="<i8"), np.full(len(token), n, dtype="<u4"),
+                       np.arange(len(token), dtype="<u4"))
 
     def pair(group: pa.Table) -> pa.Table:
-        flat = np.concatenate([np.frombuffer(v.as_buffer(), dtype=_POSTING) for v in group.column("entries")])
-        flat = flat[np.lexsort((flat["node"], flat["n"], flat["token"]))]
+        token, node, n, pos = _unpacked(_POSTINGS, group)
+        order = np.lexsort((node, n, token))
+        token, node = token[order].astype(np.int64), node[order]
+        n, pos = n[order].astype(np.int64), pos[order].astype(np.int64)
         # the same set may come from several tasks
-        flat = flat[np.r_[True, (flat["token"][1:] != flat["token"][:-1]) | (flat["node"][1:] != flat["node"][:-1])]]
-        starts = np.flatnonzero(np.r_[True, flat["token"][1:] != flat["token"][:-1]])
-        length = np.diff(np.r_[starts, len(flat)])
+        new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
+        token, node, n, pos = token[new], node[new], n[new], pos[new]
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        length = np.diff(np.r_[starts, len(token)])
         lists = np.repeat(np.arange(len(starts)), length)
         short = (length > 1) & (length <= SHORT_LIST)
         last = np.repeat(starts + length, length)
         at = np.flatnonzero(short[lists])
-        n, pos, node = flat["n"].astype(np.int64), flat["pos"].astype(np.int64), flat["node"]
         a, b = [], []
         for step in range(1, SHORT_LIST):
             # the rest of a list is skipped where it ends or its sets are too large
@@ -201,16 +258,17 @@ def _candidates(docs: DataFrame, text: str, buckets: int, percent: int, common:
             b.append(node[other[fits]])
         a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        rest = flat[(length > SHORT_LIST)[lists]]
-        none = len(pairs)
+        rest, none = np.flatnonzero((length > SHORT_LIST)[lists]), len(pairs)
+        # tokens of different buckets must not meet
+        name = token[rest] + (np.int64(group.column("bucket")[0].as_py()) << 32)
         return pa.table({
-            "a": np.r_[pairs[:, 0], rest["node"]],
+            "a": np.r_[pairs[:, 0], node[rest]],
             "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(rest), pa.int64())]),
-            "token": pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(rest["token"].view(np.int64))]),
-            "n": np.r_[np.zeros(none, dtype=np.int64), rest["n"].astype(np.int64)],
-            "pos": np.r_[np.zeros(none, dtype=np.int64), rest["pos"].astype(np.int64)]})
+            "token": pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(name)]),
+            "n": np.r_[np.zeros(none, dtype=np.int64), n[rest]],
+            "pos": np.r_[np.zeros(none, dtype=np.int64), pos[rest]]})
 
-    return _posted(docs, text, buckets, entries).groupBy("bucket").applyInArrow(
+    return _posted(docs, text, buckets, _POSTINGS, entries).groupBy("bucket").applyInArrow(
         pair, "a long, b long, token long, n long, pos long")
 
 
@@ -226,7 +284,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     """
     docs = docs.select(key, text)
     rows = cut_lineage(profile(docs, key, text))
-    nodes = cut_lineage(rows.where("n > 0").dropDuplicates(["node"]).select("node", "n", "th", "mins"))
+    nodes = cut_lineage(rows.where("n > 0").dropDuplicates(["node"]).select("node", "n", "th", "mins", "bits"))
     total = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * (100 - percent) / 100 / BUCKET) + 1)
 
