@@ -5,7 +5,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontaminate, jaccard, packing, secrets, sharding, token_counts, warc
+from vacantia.llm import (decontaminate, jaccard, language, packing, secrets, sentences, sharding, token_counts, vectors,
+                          warc)
 from vacantia.llm.common import table
 from vacantia.session import shared_folder
 
@@ -66,3 +67,19 @@ def op2(spark, sf_dir):
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), folder)
     return warc.read(spark, folder).drop("url", "payload")
+
+
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.learn(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@query("op8_embedding_near_duplicates")
+def op8(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_sentence_spans")
+def op9(spark, sf_dir):
+    return sentences.repeated_spans(table(spark, sf_dir, "documents"))

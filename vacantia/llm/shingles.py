@@ -26,7 +26,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _STEP = mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least ``size`` of each."""
     if not _POWERS or len(_POWERS[0][0]) < size:
         size = max(size, 1 << 20)
@@ -62,7 +62,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before = np.r_[False, inside[:-1]] & ~border[:-1]
     after = np.r_[inside[1:], False] & ~border[1:]
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    power, inverse = _powers(len(data))
+    power, inverse = powers(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[_LOWER[data]] * power[:len(data)], out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * inverse[starts]
