@@ -86,6 +86,8 @@ def test_index_alone_finds_every_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SHORT_LIST", 3)
     monkeypatch.setattr(jaccard, "COMMON", 4)
     monkeypatch.setattr(jaccard, "BUCKET", 2000)
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "UNIT_BUCKET", 50)
     rows = corpus(7, 200)
     assert got(spark, rows) == brute(rows)
 

@@ -11,7 +11,8 @@ one) to an inverted index in hash-range buckets. Lists are ordered by set size a
 where sizes grow too far and skips entries whose position leaves too few shingles to share. Shingles found in many
 prefixes are put last in the global order by a bitmap of fixed size, so that common passages stay out of most prefixes.
 Any fixed order is exact, so the bitmap's false hits cost nothing but order. Lists that are long all the same belong to
-families of near copies: their entries first learn their component, and only pairs across components are formed.
+families of near copies: their entries first learn their component, and blocks of them are compared in memory by bitmaps,
+so that only pairs across components that may be similar leave a block.
 
 Candidate pairs first meet a bound from parity bitmaps, a few bytes for each of a set's shingles at most: every odd bit of
 two bitmaps' difference is a shingle that only one of the sets has. Pairs that pass are verified on whole sets. Names of
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import bitmap, components, maybe, pieces
+from vacantia.llm.common import bitmap, components, maybe, maybe_rows, pieces
 from vacantia.llm.shingles import fingerprint, shingle_sets
 from vacantia.session import cut_lineage
 
@@ -37,6 +38,9 @@ LEADERS = 4
 COMMON = 32
 # Index lists up to this length are paired inside their bucket; longer ones learn components first.
 SHORT_LIST = 64
+# Entries of a long list that are compared in one place, and entries of a bucket of such blocks.
+BLOCK = 1024
+UNIT_BUCKET = 20_000
 # Prefix entries of an index bucket, on average (10 MB).
 BUCKET = 1 << 19
 
@@ -272,12 +276,74 @@ def _candidates(docs: DataFrame, text: str, buckets: int, percent: int, common:
         pair, "a long, b long, token long, n long, pos long")
 
 
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    while bits.shape[1] > size:
+        bits = bits[:, :bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2:]
+    return bits
+
+
+def _unlike_roots(part: dict[str, np.ndarray], bits: list[bytes], split: bool, percent: int):
+    """Pairs of a list's entries, or across its two blocks, of different components that every bound lets pass."""
+    words = np.array([len(b) // 8 for b in bits])
+    for size in np.unique(words):
+        exact, larger = np.flatnonzero(words == size), np.flatnonzero(words >= size)
+        table = np.concatenate([_folded(np.frombuffer(b"".join(bits[i] for i in larger[words[larger] == w]), dtype="<u8")
+                                        .reshape(-1, w), size) for w in np.unique(words[larger])])
+        larger = np.concatenate([larger[words[larger] == w] for w in np.unique(words[larger])])
+        n, room, root = part["n"][larger], part["n"][larger] - part["pos"][larger], part["root"][larger]
+        for k, i in enumerate(exact):
+            size_i, room_i = part["n"][i], part["n"][i] - part["pos"][i]
+            # each pair once: entries of one bitmap size in order, and all of larger bitmaps
+            fits = (np.arange(len(larger)) > k) & (root != part["root"][i])
+            fits &= (100 * np.minimum(n, size_i) >= percent * np.maximum(n, size_i))
+            fits &= (100 + percent) * np.minimum(room, room_i) >= percent * (n + size_i)
+            if split:
+                fits &= part["block"][larger] != part["block"][i]
+            at = np.flatnonzero(fits)
+            if len(at):
+                odd = np.bitwise_count(table[at] ^ table[k]).sum(axis=1, dtype=np.int64)
+                at = at[(100 + percent) * ((n[at] + size_i - odd) // 2) >= percent * (n[at] + size_i)]
+                yield np.full(len(at), part["a"][i]), part["a"][larger[at]]
+
+
+def _across(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components in long lists.
+
+    A list is cut into blocks of about BLOCK entries, and each pair of blocks is compared in one place by bitmaps, so no
+    list meets in one task and only pairs that pass leave it.
+    """
+    cut = entries.groupBy("token").count().select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    units = cut_lineage(
+        entries.join(cut, "token").withColumn("block", F.pmod(F.xxhash64("a", F.lit(5)), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("a", "token", "n", "pos", F.col("ra").alias("root"), "block", F.least("block", "other").alias("u"),
+                F.greatest("block", "other").alias("v")))
+    buckets = max(1, units.count() // UNIT_BUCKET)
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("token", "ascending"), ("u", "ascending"), ("v", "ascending"), ("n", "ascending")])
+        columns = {c: group.column(c).to_numpy() for c in ("a", "token", "n", "pos", "root", "block", "u", "v")}
+        bits = group.column("bits").to_pylist()
+        edge = np.flatnonzero(np.r_[True, np.any([columns[c][1:] != columns[c][:-1] for c in ("token", "u", "v")], axis=0)])
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for start, end in zip(edge, np.r_[edge[1:], len(bits)]):
+            part = {c: v[start:end] for c, v in columns.items()}
+            for x, y in _unlike_roots(part, bits[start:end], part["u"][0] != part["v"][0], percent):
+                a.append(x)
+                b.append(y)
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return (units.join(nodes.select(F.col("node").alias("a"), "bits"), "a")
+            .withColumn("bucket", F.pmod(F.xxhash64("token", "u", "v"), F.lit(buckets)))
+            .groupBy("bucket").applyInArrow(compare, "a long, b long"))
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """Per document: key, ``th`` (hash of its text), ``n_shingles`` and ``component_id``.
+    """Per document: key, ``th`` (hash of its text), ``n_shingles``, ``root`` and ``component_id``.
 
     Words are runs of characters other than ASCII white space, with A-Z in lower case; the set holds the distinct runs of
     five words, or the whole sequence if it is shorter. Two documents link when 100 * intersection >= percent * union.
-    ``component_id`` is the smallest key reachable by links. A document without words (null, empty or white text) has 0
+    ``component_id`` is the smallest key reachable by links, and ``root`` names the component whatever its keys are. A document without words (null, empty or white text) has 0
     shingles, links with nothing and is its own component. Repeated rows and keys each keep a row; a null key counts in
     a component but never names one, and a component of null keys only has a null id. Other columns are not read.
     An empty table gives no rows.
@@ -310,12 +376,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     entries = rooted(found.where("b IS NULL").select("a", "token", "n", "pos"), "a", "ra")
     mixed = entries.groupBy("token").agg(F.min("ra").alias("low"), F.max("ra").alias("high")).where("low <> high")
     entries = cut_lineage(entries.join(mixed.select("token"), "token", "left_semi"))
-    other = entries.select("token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"),
-                           F.col("ra").alias("rb"))
-    across = entries.join(other, "token").where(
-        f"ra < rb AND 100 * least(n, m) >= {percent} * greatest(n, m)"
-        f" AND {100 + percent} * least(n - pos, m - q) >= {percent} * (n + m)")
-    left = cut_lineage(pairs.union(across.select("a", "b"))
+    across = _across(entries, nodes, percent)
+    left = cut_lineage(pairs.union(across)
                        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     more = cut_lineage(_verified(docs, text, nodes, left, percent))
     if not more.isEmpty():
@@ -325,5 +387,27 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
         key, "th", "n", F.coalesce("root", "node").alias("root"))
     lowest = known.where("root IS NOT NULL").groupBy("root").agg(F.min(key).alias("low"))
     return known.join(lowest, "root", "left").select(
-        key, "th", F.col("n").alias("n_shingles"),
-        F.when(F.col("root").isNull(), F.col(key)).otherwise(F.col("low")).alias("component_id"))
+        key, "th", F.col("n").alias("n_shingles"), "root", F.when(F.col("root").isNull(), F.col(key)).otherwise(F.col("low")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One document of each component, all columns kept: the one with the smallest (key, text hash), null keys last.
+
+    Of rows that repeat that key and text one stays. Documents without words all stay. Texts whose hash is surely not
+    concerned pass by a bitmap; only the others are joined.
+    """
+    rows = cut_lineage(link(docs, key, text, percent).where("root IS NOT NULL").select(F.col(key).alias("k"), "th", "root"))
+    order = F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), F.col("th").alias("th"))
+    first = (rows.groupBy("root").agg(F.min(order).alias("f"), F.count("*").alias("c")).where("c > 1")
+             .select("root", F.col("f.k").alias("fk"), F.col("f.th").alias("fth")))
+    # every key and text of a component with more than one row: one of them stays, once
+    concerned = cut_lineage(rows.join(first, "root").groupBy("k", "th").agg(
+        F.max((F.col("k").eqNullSafe(F.col("fk")) & (F.col("th") == F.col("fth"))).cast("int")).alias("stays")))
+    marks = bitmap(concerned, "th")
+    hashed = docs.withColumn("_th", F.xxhash64(text))
+    known = concerned.select(F.col("k").alias("_k"), F.col("th").alias("_h"), F.col("stays").alias("_stays"))
+    touched = maybe_rows(hashed, "_th", marks).join(
+        known, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_h")), "left").where("coalesce(_stays, 1) = 1")
+    staying = touched.where("_stays = 1").dropDuplicates([key, "_th"])
+    return (maybe_rows(hashed, "_th", marks, wanted=False).select(*docs.columns)
+            .union(touched.where("_stays IS NULL").select(*docs.columns)).union(staying.select(*docs.columns)))
