@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from queries.extra_views import EXTRA_VIEWS
 from queries.views import VIEWS
 from vacantia.operators.ranking import number_rows
-from vacantia.session import configure, spread
+from vacantia.session import configure
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -64,7 +64,7 @@ def _remembered(read):
 
 @_remembered
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _utc(spread(configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")))
+    return _utc(configure(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _utc(df: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The upsert batch; its arrival order comes from bucketed numbering, not from one global window."""
+    """The upsert batch; its arrival order comes from a range-partitioned sort, not from one global window."""
     head, tail = VIEWS["incoming_fx"].split(" AS seq,")
     order = re.search(r"ORDER BY ([^)]*)\)", head).group(1).split(", ")
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")

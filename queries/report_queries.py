@@ -11,7 +11,7 @@ from vacantia.functions import fixed_values as V
 from vacantia.operators import aggregates, joins, maintenance, paging, quotas, ranking, scoring, sinks
 from vacantia.plans import browse as browsing
 from vacantia.plans import scan
-from vacantia.session import shared_folder
+from vacantia.session import own_folder
 from vacantia.sources import boards, greenhouse_budget
 from vacantia.sources.curated import curated_postings
 from vacantia.sources.snippets import read_pages
@@ -39,7 +39,7 @@ def scored(spark, sf):
 
 def scratch(spark, name):
     """A new folder for one run, below the shared folder."""
-    return f"{shared_folder(spark)}/vacantia-{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # ---- joins -----------------------------------------------------------------------------
@@ -420,7 +420,7 @@ def p5(spark, sf):
 LANDED_PROFILE = scan.with_preset(scan.Profile(recent_days=4000, providers="all"), "apply-now")
 NO_US = scan.Profile(junior_only=True, relax=True, min_score=1)
 SCAN = f"""
-WITH t AS (SELECT seq FROM postings_fx WHERE posted_at IS NULL AND url <> '' ORDER BY seq LIMIT 120),
+WITH t AS (SELECT seq FROM postings_fx WHERE posted_at IS NULL AND url <> ''),
 e AS (SELECT p.* REPLACE (CASE WHEN p.posted_at IS NULL AND t.seq IS NOT NULL THEN CASE WHEN contains(description_snippet, 'Posted 2001-07-04') THEN TIMESTAMP '2001-07-04 00:00:00'
   WHEN contains(description_snippet, '12 days ago') THEN TIMESTAMP '{AS_OF}' - INTERVAL 12 DAY END ELSE p.posted_at END AS posted_at) FROM postings_fx p LEFT JOIN t ON t.seq = p.seq),
 k AS (SELECT *, {SOFT_SCORE} AS skill_score FROM e WHERE {BASIC_JUNIOR}),

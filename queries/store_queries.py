@@ -89,7 +89,7 @@ def j10(spark, sf):
     accepted = upsert.resolve(upsert.prepared(incoming(spark, sf)), jobs).filter("reason IS NULL")
     companies = upsert.conform(view(spark, sf, "companies_fx"), upsert.COMPANIES)
     mapping, _ = upsert.resolve_companies(accepted.select("slug", "company", "seq"), companies)
-    return mapping
+    return mapping.select("slug", "company", upsert.company_id(F.col("seq")).alias("company_id"))
 
 
 @query("u2_created_companies", f"""
@@ -147,8 +147,8 @@ p AS (SELECT * EXCLUDE (place) FROM n WHERE place = 1 AND NOT EXISTS (SELECT 1 F
  UNION ALL SELECT * FROM b WHERE external_id IS NULL)
 SELECT (SELECT max(id) FROM jobs_fx) + row_number() OVER (ORDER BY seq) AS id, provider, external_id, title, url, posted_at FROM p""")
 def u6(spark, sf):
-    added, _ = upsert.insert_only(view(spark, sf, "jobs_fx"), view(spark, sf, "companies_fx"), incoming(spark, sf), AS_OF)
-    return added.select("id", "provider", "external_id", "title", "url", "posted_at")
+    result = upsert.insert_only(view(spark, sf, "jobs_fx"), view(spark, sf, "companies_fx"), incoming(spark, sf), AS_OF)
+    return result.jobs.select("id", "provider", "external_id", "title", "url", "posted_at")
 
 
 @query("u7_integrity", """

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -11,7 +12,7 @@ from vacantia.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[8]", spark__ui__enabled="false", spark__sql__shuffle__partitions="2",
+        "tests", "local[8]", spark__ui__enabled="false", spark__checkpoint__dir=tempfile.mkdtemp(prefix="vacantia-"), spark__sql__shuffle__partitions="2",
         spark__ui__showConsoleProgress="false", spark__driver__memory="4g")
     session.sparkContext.setLogLevel("OFF")
     return session

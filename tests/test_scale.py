@@ -6,7 +6,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from vacantia.operators import aggregates, maintenance, quotas, ranking, scoring, upsert
+from vacantia.operators import aggregates, joins, maintenance, quotas, ranking, scoring, upsert
 from vacantia.plans.browse import Search, browse
 from vacantia.sources import curated, snippets
 from vacantia.sources.tables import TableStore
@@ -35,8 +35,9 @@ def skewed(spark):
 
 
 def test_skewed_ranks_and_duplicates(skewed):
-    ranked = ranking.number_rows(scoring.score(skewed, ["junior"]), "rank", leading=F.col("skill_score"), bits=8)
+    ranked = ranking.number_rows(scoring.score(skewed, ["junior"]), "rank", leading=F.col("skill_score"))
     assert ranked.select(F.count_distinct("rank"), F.min("rank"), F.max("rank")).first()[:] == (6000, 1, 6000)
+    assert "Window" not in plan_of(ranked) and "SortAggregate" not in plan_of(ranking.deduplicate(skewed))
     unique = ranking.deduplicate(skewed)
     assert unique.count() == 2001
     hot = unique.filter("title = 'Junior Developer'").first()
@@ -86,3 +87,9 @@ def test_filters_reach_the_stored_files(spark, tmp_path):
     scan = next(part for part in plan.split("\n\n") if "provider" in part and "PushedFilters" in part)
     assert "PartitionFilters" in scan and "EqualTo(level,mid)" in scan and "GreaterThanOrEqual(posted_at" in scan
     assert "description" not in scan.split("ReadSchema")[1]
+
+
+def test_backfill_moves_only_rows_it_may_change(rows):
+    jobs = rows("id long, provider string, external_id string, posted_at timestamp, description string")
+    plan = plan_of(joins.apply_backfill(jobs, rows("external_id string, posted_at timestamp, seq long")))
+    assert "Union" in plan and plan.count("provider#") > 0

@@ -218,8 +218,49 @@ def test_delete_and_integrity(spark, rows):
 
 def test_insert_only(spark):
     stored, _ = run(spark, empty(spark), batch(spark, {"external_id": "1"}))
-    added, refused = upsert.insert_only(stored[0], stored[1], batch(
+    result = upsert.insert_only(stored[0], stored[1], batch(
         spark, {"external_id": "1"}, {"external_id": "2"}, {"external_id": "2"}, {"external_id": None}, {"external_id": "3", "title": None}), NOW)
+    added = result.jobs
     assert sorted((r.id, r.external_id) for r in added.collect()) == [(2, "2"), (3, None)]
-    assert {r.seq: r.reason for r in refused.collect()} == {0: "duplicate-key", 2: "duplicate-key", 4: "incomplete"}
+    assert {r.seq: r.reason for r in result.rejects.collect()} == {0: "duplicate-key", 2: "duplicate-key", 4: "incomplete"}
     assert added.select(F.count_distinct("company_id")).first()[0] == 1
+
+
+def test_insert_only_returns_companies_skills_and_rows_without_seq(spark):
+    jobs, companies, _ = empty(spark)
+    rows = [(1, "github", "a", "u", "T", "Acme", ["go", "sql"]), (None, "github", "b", "u", "T", "Acme", None), (2, "github", "c", "u", "T", "Beta", None)]
+    frame = spark.createDataFrame(rows, "seq long, provider string, external_id string, url string, title string, company string, skills array<string>")
+    result = upsert.insert_only(jobs, companies, frame, NOW)
+    names = {r.id: r.name for r in result.companies.collect()}
+    assert {(r.external_id, names[r.company_id]) for r in result.jobs.collect()} == {("a", "Acme"), ("c", "Beta")}
+    assert sorted((r.job_id, r.skill) for r in result.job_skills.collect()) == [(1, "go"), (1, "sql")]
+    assert [(r.seq, r.reason) for r in result.rejects.collect()] == [(None, "missing-seq")]
+
+
+def one_by_one(stored, refs):
+    """Companies found by references that come one after the other."""
+    held, found = list(stored), []
+    for slug, name in refs:
+        hit = next((c for c in held if c[1] == slug), None) or next((c for c in held if c[2] == name), None)
+        if hit is None:
+            hit = (max([c[0] for c in held], default=0) + 1, slug, name)
+            held.append(hit)
+        found.append(hit[0])
+    return found, held
+
+
+@pytest.mark.parametrize("stored, refs", [
+    ([], [("a", "X"), ("b", "X"), ("b", "Y")]),
+    ([(7, "x", "X")], [("b", "Y"), ("b", "X")]),
+    ([(7, "x", "X")], [("b", "X"), ("b", "Y"), ("b", "X"), ("c", "Y"), ("c", "Z"), ("c", "Y")]),
+    *[([(1, "s0", "n9"), (2, "s1", "n1")], [(f"s{rng.randrange(8)}", f"n{rng.randrange(8)}") for _ in range(40)])
+      for rng in map(random.Random, range(3))],
+])
+def test_companies_are_found_as_if_one_by_one(spark, stored, refs):
+    companies = spark.createDataFrame([(i, n, s) for i, s, n in stored], "id long, name string, slug string")
+    frame = spark.createDataFrame([(k, s, n) for k, (s, n) in enumerate(refs)], "seq long, slug string, company string")
+    mapping, created = upsert.resolve_companies(frame, companies)
+    found = upsert._with_company(frame, mapping, "seq")
+    want, held = one_by_one(stored, refs)
+    assert [r.company_id for r in found.orderBy("seq").collect()] == want
+    assert sorted((r.id, r.slug, r.name) for r in created.collect()) == held[len(stored):]

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions.exprs import strip, text
-from vacantia.session import cut_lineage, join_few
 
 
 def jobs_with_companies(jobs: DataFrame, companies: DataFrame) -> DataFrame:
@@ -19,11 +18,9 @@ def jobs_with_companies(jobs: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def with_company_name(few: DataFrame, companies: DataFrame) -> DataFrame:
-    """Add the company name to a limited sample; only the sample's companies are looked at twice."""
-    few = cut_lineage(few)
-    wanted = few.select("company_id").distinct()
+    """Add the company name, or null, to a limited sample."""
     names = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"))
-    return join_few(few, join_few(names, wanted, "company_id", "left_semi"), "company_id")
+    return few.join(names, "company_id", "left")
 
 
 def having_any_skill(jobs: DataFrame, job_skills: DataFrame, skills: str | list) -> DataFrame:
@@ -119,11 +116,8 @@ def backfill_sample(jobs: DataFrame, scraped: DataFrame, companies: DataFrame, n
 
 
 def apply_backfill(jobs: DataFrame, scraped: DataFrame, provider: str = "github") -> DataFrame:
-    """The jobs table with undated rows of the provider dated where possible."""
-    mine = (F.col("provider") == provider) & F.col("posted_at").isNull()
-    return (
-        jobs.join(last_dated(scraped), "external_id", "left")
-        .withColumn("posted_at", F.when(mine, F.col("scraped_at")).otherwise(F.col("posted_at")))
-        .drop("scraped_at").select(*jobs.columns)
-    )
+    """The jobs table with undated rows of the provider dated where possible; only those rows are joined."""
+    mine = F.coalesce((F.col("provider") == provider) & F.col("posted_at").isNull(), F.lit(False))
+    dated = backfilled(jobs, scraped, provider).withColumn("posted_at", F.col("scraped_at")).select(*jobs.columns)
+    return jobs.filter(~mine).unionByName(dated)
 

@@ -1,44 +1,35 @@
 """Global positions, ranks and duplicate removal without a single-task window."""
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions.exprs import text
 from vacantia.session import cut_lineage
 
-# Rows that share the high bits of the arrival order are numbered in one task: at most 2^20
-# of them per leading value, whatever the size of the table.
-BUCKET_BITS = 20
-
 
 def number_rows(df: DataFrame, name: str, seq: str = "seq", leading: Column | None = None,
-                tie_break: list[Column] | None = None, bits: int = BUCKET_BITS) -> DataFrame:
-    """Number all rows 1..n by (leading descending, seq ascending).
+                tie_break: list[Column] | None = None) -> DataFrame:
+    """Number all rows 1..n by (leading descending, seq ascending), nulls last.
 
-    ``seq`` is unique, or made unique by ``tie_break`` with few rows per value.  ``leading`` takes
-    few values, a score for instance.  Rows are counted per bucket of seq, the small table of
-    counts (written out, as it is read twice) gives each bucket its offset, and rows are numbered
-    within their bucket.
+    Rows are range-partitioned and sorted, and written out with their place; a running row id ends the order, so rows of
+    one value split too. A number is the place inside the partition and one offset for each partition, of which the driver
+    sees as many as there are partitions.
     """
     lead = F.lit(0) if leading is None else leading
-    keyed = df.withColumn("_lead", lead).withColumn("_bucket", F.shiftright(F.col(seq).cast("long"), bits))
-    counts = cut_lineage(keyed.groupBy("_lead", "_bucket").agg(F.count(F.lit(1)).alias("_n")))
-    leads = counts.groupBy("_lead").agg(F.sum("_n").alias("_n"))
-    earlier = (Window.unboundedPreceding, -1)
-    over_leads = Window.partitionBy(F.lit(0)).orderBy(F.desc("_lead")).rowsBetween(*earlier)
-    over_buckets = Window.partitionBy("_lead").orderBy("_bucket").rowsBetween(*earlier)
-    above = leads.select("_lead", F.coalesce(F.sum("_n").over(over_leads), F.lit(0)).alias("_above"))
-    offsets = (
-        counts.withColumn("_before", F.coalesce(F.sum("_n").over(over_buckets), F.lit(0)))
-        .join(above, "_lead")
-        .select("_lead", "_bucket", (F.col("_above") + F.col("_before")).alias("_offset"))
-    )
-    local = Window.partitionBy("_lead", "_bucket").orderBy(F.col(seq), *(tie_break or []))
+    order = [F.col("_lead").desc_nulls_last(), F.col(seq).asc_nulls_last(), *(tie_break or []), F.col("_row").asc()]
+    placed = cut_lineage(
+        df.withColumn("_lead", lead).withColumn("_row", F.monotonically_increasing_id())
+        .repartitionByRange(*order).sortWithinPartitions(*order).drop("_lead", "_row")
+        .withColumn("_part", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id()))
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("first")).orderBy("_part").collect()
+    before = [0, *accumulate(r.n for r in parts)]
+    offsets = df.sparkSession.createDataFrame(
+        [(r._part, start - r.first + 1) for r, start in zip(parts, before)], "_part int, _offset long")
     return (
-        keyed.withColumn("_local", F.row_number().over(local))
-        .join(offsets, ["_lead", "_bucket"])
-        .withColumn(name, F.col("_offset") + F.col("_local"))
-        .drop("_lead", "_bucket", "_local", "_offset")
+        placed.join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_offset") + F.col("_pos")).drop("_part", "_pos", "_offset")
     )
 
 
@@ -56,16 +47,13 @@ def best_per_url(ranked: DataFrame) -> DataFrame:
 def deduplicate(postings: DataFrame, order: str = "seq") -> DataFrame:
     """One row per title, company and url, compared in lower case.
 
-    The group keeps its first position and its last row.  Both are aggregates with partial
-    results, so a heavily copied posting costs one row per map task.
+    The group keeps its first position and its last row. Both are numbers that are aggregated by hash with partial results,
+    so a heavily copied posting costs one small row per map task; the kept rows are then found by ``order``, which is unique.
     """
     fingerprint = F.lower(F.concat_ws("|", text(F.col("title")), text(F.col("company")), text(F.col("url"))))
-    last = F.struct(*postings.columns)
-    return (
-        postings.groupBy(fingerprint.alias("fingerprint"))
-        .agg(F.min(order).alias("position"), F.max_by(last, order).alias("kept"))
-        .select("position", "kept.*")
-    )
+    groups = postings.groupBy(fingerprint.alias("fingerprint")).agg(
+        F.min(order).alias("position"), F.max(order).alias(order)).drop("fingerprint")
+    return groups.join(postings, order).select("position", *postings.columns)
 
 
 def deduplicate_first(postings: DataFrame, order: str = "seq") -> DataFrame:

@@ -46,15 +46,14 @@ def prepared(incoming: DataFrame) -> DataFrame:
 
     Written out once: whatever made the batch, a parser for instance, runs a single time.
     """
-    batch = conform(incoming, INCOMING)
+    if "description_html" in incoming.columns:
+        given = [c for c in ("description", "description_html") if c in incoming.columns]
+        incoming = incoming.withColumn("description", F.coalesce(*given))
     if "company_token" in incoming.columns:
-        batch = conform(incoming.withColumn(
+        incoming = incoming.withColumn(
             "company_slug", F.coalesce(*[filled(strip(F.col(c))) for c in ("company_slug", "company_token")
-                                         if c in incoming.columns])), INCOMING)
-    if "description_html" in incoming.columns:
-        html = incoming.select("seq", F.col("description_html").alias("_html"))
-        batch = batch.join(html, "seq", "left").withColumn(
-            "description", F.coalesce("description", "_html")).drop("_html")
+                                         if c in incoming.columns]))
+    batch = conform(incoming, INCOMING)
     slug = F.coalesce(filled(strip(F.col("company_slug"))), filled(slugify(F.col("company"))))
     name = F.coalesce(filled(F.col("company")), slug)
     return cut_lineage(
@@ -106,7 +105,8 @@ def resolve(batch: DataFrame, jobs: DataFrame) -> DataFrame:
         batch.join(resolved, KEY, "left")
         .withColumn("state_id", F.when(~moved, F.col("exact_id")))
         .withColumn("state_id", F.coalesce("state_id", F.when(F.col("seq") >= F.col("first_seq"), F.col("claimed_id"))))
-        .withColumn("reason", F.when(F.coalesce(F.col("external_id"), F.lit("")) == "", "missing-external-id")
+        .withColumn("reason", F.when(F.col("seq").isNull(), "missing-seq")
+                    .when(F.coalesce(F.col("external_id"), F.lit("")) == "", "missing-external-id")
                     .when(F.coalesce(F.col("provider"), F.lit("")) == "", "missing-provider")
                     .when(F.col("state_id").isNotNull(), None)
                     .when(F.col("ambiguous") & F.col("legacy_external_id").isNotNull(), "ambiguous-legacy-id")
@@ -126,7 +126,8 @@ def fold(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("new_provider", F.when(is_new, F.col("provider")))
         .withColumn("new_external_id", F.when(is_new, F.col("external_id")))
-        .withColumn("company_ref", F.when(F.col("slug").isNotNull(), F.struct("slug", "company")))
+        .withColumn("company_ref", F.when(
+            F.col("slug").isNotNull(), F.struct("slug", "company", F.col("seq").alias("at"))))
         .groupBy("state_id", "new_provider", "new_external_id")
         .agg(F.min("seq").alias("first_seq"), *[_last(c) for c in KEY], *[_last(c) for c in LAST_WINS],
              F.expr("min_by(posted_at, seq) FILTER (WHERE posted_at IS NOT NULL)").alias("posted_at"),
@@ -141,29 +142,57 @@ def next_ids(df: DataFrame, table: DataFrame, seq: str) -> DataFrame:
     return number_rows(df, "_n", seq=seq).withColumn("id", F.col("_n") + largest).drop("_n")
 
 
+def _first_claims(pairs: DataFrame) -> DataFrame:
+    """Of (slug, company, seq) those that create a company: in order, each slug and each name at most once.
+
+    A pair that comes first for both its slug and its name is certain; it settles all other pairs with either. Rounds go
+    on over what is left, which is nothing after the first where slug and name belong together.
+    """
+    chosen = pairs.limit(0)
+    while not pairs.isEmpty():
+        slugs = pairs.groupBy("slug").agg(F.min("seq").alias("slug_seq"))
+        names = pairs.groupBy("company").agg(F.min("seq").alias("name_seq"))
+        first = cut_lineage(pairs.join(slugs, "slug").join(names, "company")
+                            .filter("seq = slug_seq AND seq = name_seq").select("slug", "company", "seq"))
+        chosen = chosen.union(first)
+        pairs = cut_lineage(pairs.join(first.select("slug"), "slug", "left_anti")
+                            .join(first.select("company"), "company", "left_anti").select("slug", "company", "seq"))
+    return chosen
+
+
 def resolve_companies(refs: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(slug, company) references with their company id, and the companies to create.
+    """What each (slug, company) reference finds, and the companies to create.
 
-    A reference matches by slug, else by name; what is left is created once per slug, and a
-    name that was just created is used again.
+    As if references came one by one in ``seq`` order: each matches by slug, else by name, among the stored companies and
+    those created so far, else it creates one. So a slug that is created later takes over from a match by name: the mapping
+    has ``slug_id``, ``slug_from`` (the first seq that finds it; null if stored) and ``name_id``; see ``company_id``.
+    ``seq`` is the pair's first reference.
     """
     seen = refs.groupBy("slug", "company").agg(F.min("seq").alias("seq"))
-    by_slug = companies.select("slug", F.col("id").alias("slug_id"))
-    by_name = companies.groupBy(F.col("name").alias("company")).agg(F.min("id").alias("name_id"))
-    matched = cut_lineage(seen.join(by_slug, "slug", "left").join(by_name, "company", "left").withColumn(
-        "company_id", F.coalesce("slug_id", "name_id")).drop("slug_id", "name_id"))
-    missing = matched.filter("company_id IS NULL").groupBy("slug").agg(
-        F.min_by("company", "seq").alias("name"), F.min("seq").alias("seq"))
-    # One creator per name; other new slugs that came with the same name point to it.
-    creators = missing.groupBy("name").agg(F.min_by("slug", "seq").alias("creator"), F.min("seq").alias("seq"))
-    created = next_ids(creators, companies, "seq").select("id", "name", F.col("creator").alias("slug"))
-    new_ids = missing.select("slug", "name").join(created.select("name", F.col("id").alias("new_id")), "name").select(
-        "slug", "new_id")
-    mapping = matched.join(new_ids, "slug", "left").select(
-        "slug", "company", F.coalesce("company_id", "new_id").alias("company_id"))
+    by_slug = companies.select("slug", F.col("id").alias("stored_slug"))
+    by_name = companies.groupBy(F.col("name").alias("company")).agg(F.min("id").alias("stored_name"))
+    matched = cut_lineage(seen.join(by_slug, "slug", "left").join(by_name, "company", "left"))
+    makers = _first_claims(matched.filter("stored_slug IS NULL AND stored_name IS NULL").select("slug", "company", "seq"))
+    created = next_ids(makers, companies, "seq").select("id", F.col("company").alias("name"), "slug", "seq")
+    new_slugs = created.select("slug", F.col("id").alias("new_slug"), F.col("seq").alias("slug_from"))
+    new_names = created.select(F.col("name").alias("company"), F.col("id").alias("new_name"))
+    mapping = matched.join(new_slugs, "slug", "left").join(new_names, "company", "left").select(
+        "slug", "company", "seq", F.coalesce("stored_slug", "new_slug").alias("slug_id"), "slug_from",
+        F.coalesce("stored_name", "new_name").alias("name_id"))
     return mapping, conform(created, COMPANIES)
 
 
+def company_id(seq: Column) -> Column:
+    """The company that a reference made at ``seq`` finds, from the columns of the mapping."""
+    by_slug = F.col("slug_id").isNotNull() & F.coalesce(F.col("slug_from") <= seq, F.lit(True))
+    return F.when(by_slug, F.col("slug_id")).otherwise(F.col("name_id"))
+
+
+def _with_company(rows: DataFrame, mapping: DataFrame, seq: str) -> DataFrame:
+    found = rows.join(mapping.drop("seq"), ["slug", "company"], "left")
+    return found.withColumn("company_id", company_id(F.col(seq))).drop("slug_id", "slug_from", "name_id")
+
+
 def _updated(jobs: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
     """Stored jobs with their changes; updated_at moves only where a value differs."""
     columns = [*KEY, "company_id", *LAST_WINS]
@@ -179,14 +208,16 @@ def _updated(jobs: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
     return joined.select(*[values.get(c, F.col(c)).alias(c) for c in jobs.columns])
 
 
+def _skill_rows(given: DataFrame) -> DataFrame:
+    labels = F.array_distinct(F.transform("skills", skill_label))
+    return given.select("job_id", F.explode(F.filter(labels, lambda s: s.isNotNull())).alias("skill"), F.lit(1).alias("score"))
+
+
 def replace_skills(job_skills: DataFrame, touched: DataFrame) -> DataFrame:
     """Replace the skills of touched jobs (job_id, skills); null keeps them, an empty list clears them."""
     given = touched.filter("skills IS NOT NULL")
     kept = job_skills.join(given.select("job_id"), "job_id", "left_anti").select("job_id", "skill", "score")
-    labels = F.array_distinct(F.transform("skills", skill_label))
-    added = given.select("job_id", F.explode(F.filter(labels, lambda s: s.isNotNull())).alias("skill"),
-                         F.lit(1).alias("score"))
-    return kept.unionByName(added)
+    return kept.unionByName(_skill_rows(given))
 
 
 def upsert(jobs: DataFrame, companies: DataFrame, job_skills: DataFrame, incoming: DataFrame, as_of) -> Upserted:
@@ -203,8 +234,8 @@ def upsert(jobs: DataFrame, companies: DataFrame, job_skills: DataFrame, incomin
     mapping, created = resolve_companies(
         accepted.filter("slug IS NOT NULL").select("slug", "company", "seq"), companies)
     folded = fold(accepted).withColumn("slug", F.col("company_ref.slug")).withColumn(
-        "company", F.col("company_ref.company")).drop("company_ref")
-    folded = cut_lineage(folded.join(mapping, ["slug", "company"], "left"))
+        "company", F.col("company_ref.company")).withColumn("at", F.col("company_ref.at")).drop("company_ref")
+    folded = cut_lineage(_with_company(folded, mapping, "at").drop("at"))
 
     updated = _updated(jobs, folded.filter("state_id IS NOT NULL"), now)
     fresh = next_ids(folded.filter("state_id IS NULL"), jobs, "first_seq")
@@ -222,23 +253,27 @@ def upsert(jobs: DataFrame, companies: DataFrame, job_skills: DataFrame, incomin
     )
 
 
-def insert_only(jobs: DataFrame, companies: DataFrame, incoming: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """(jobs to add, refused rows): the first complete row of each key that is not stored yet."""
+def insert_only(jobs: DataFrame, companies: DataFrame, incoming: DataFrame, as_of) -> Upserted:
+    """What to add to the three tables (the first complete row of each key not stored yet), and the refused rows."""
     now = as_timestamp(as_of)
     batch = prepared(incoming)
     stored = jobs.select(*KEY, F.lit(True).alias("stored"))
     # Rows without an external id are no duplicates of each other.
-    keyed = batch.filter("complete AND provider <> ''")
+    keyed = batch.filter("complete AND provider <> '' AND seq IS NOT NULL")
     first = keyed.filter("external_id IS NOT NULL").groupBy(*KEY).agg(F.min("seq").alias("first_seq"))
     marked = batch.join(first, KEY, "left").join(stored, KEY, "left").withColumn(
-        "reason", F.when(~F.col("complete") | F.coalesce(F.col("provider") == "", F.lit(True)), "incomplete")
+        "reason", F.when(F.col("seq").isNull(), "missing-seq")
+        .when(~F.col("complete") | F.coalesce(F.col("provider") == "", F.lit(True)), "incomplete")
         .when(F.col("stored") | (F.col("seq") > F.col("first_seq")), "duplicate-key"))
     marked = cut_lineage(marked)
     accepted = marked.filter("reason IS NULL")
-    mapping, _ = resolve_companies(accepted.select("slug", "company", "seq"), conform(companies, COMPANIES))
-    fresh = next_ids(accepted.join(mapping, ["slug", "company"]), jobs, "seq")
+    mapping, created = resolve_companies(accepted.select("slug", "company", "seq"), conform(companies, COMPANIES))
+    fresh = next_ids(_with_company(accepted, mapping, "seq"), jobs, "seq")
     added = conform(
         fresh.withColumn("is_remote", F.coalesce("is_remote", F.lit(False)))
         .withColumn("level", F.coalesce("level", F.lit("unknown")))
         .withColumn("active", F.lit(True)).withColumn("created_at", now).withColumn("updated_at", now), JOBS)
-    return added, marked.filter("reason IS NOT NULL").select("seq", *KEY, "reason")
+    given = fresh.select(F.col("id").alias("job_id"), "skills")
+    return Upserted(
+        jobs=added, companies=created, job_skills=_skill_rows(given.filter("skills IS NOT NULL")),
+        rejects=marked.filter("reason IS NOT NULL").select("seq", *KEY, "reason"))

@@ -21,7 +21,7 @@ from vacantia.sources.snippets import read_pages
 
 @dataclass(frozen=True)
 class Profile:
-    """Arguments of a run."""
+    """Arguments of a run. Caps bound how many rows are enriched; None, the default, uses every landed page."""
 
     relax: bool = False
     junior_only: bool = False
@@ -32,9 +32,9 @@ class Profile:
     skills_any: tuple = V.DEFAULT_SKILLS
     skills_all: tuple = ()
     skills_hard: bool = False
-    snippet_cap: int = V.SNIPPET_CAP
-    junior_cap: int = V.JUNIOR_TOP_UP_CAP
-    backfill_cap: int = V.DATE_BACKFILL_CAP
+    snippet_cap: int | None = None
+    junior_cap: int | None = None
+    backfill_cap: int | None = None
     providers: str = "greenhouse"
 
 
@@ -55,7 +55,7 @@ class ScanResult(NamedTuple):
 
 
 def fetch_all(landed: dict[str, DataFrame], page_facts: DataFrame | None = None,
-              cap: int = V.SNIPPET_CAP) -> DataFrame:
+              cap: int | None = None) -> DataFrame:
     """Postings of all sources; landed holds one DataFrame per source name."""
     return registry.union_sources(
         [registry.fetch(name, rows, page_facts, cap) for name, rows in sorted(landed.items())])
@@ -64,7 +64,7 @@ def fetch_all(landed: dict[str, DataFrame], page_facts: DataFrame | None = None,
 def enrich(postings: DataFrame, page_facts: DataFrame | None, profile: Profile, as_of) -> DataFrame:
     """Junior top-up, then the quota per provider, then dates for undated rows.
 
-    Each choice is bounded and joined back to the postings without moving them.
+    Each choice is joined back to the postings by their arrival number.
     """
     if page_facts is not None:
         juniors = quotas.junior_candidates(
@@ -116,8 +116,8 @@ def scan(postings: DataFrame, directory: DataFrame, page_facts: DataFrame | None
 
 def scan_landed(landed: dict[str, DataFrame], directory: DataFrame, pages: DataFrame, profile: Profile,
                 as_of) -> ScanResult:
-    """A run from landed payloads and pages; pages are parsed once."""
-    facts = cut_lineage(read_pages(pages, as_of))
+    """A run from landed payloads and pages; pages are parsed once, and postings see their whole text."""
+    facts = cut_lineage(read_pages(pages, as_of, max_chars=None))
     chosen = {name: rows for name, rows in landed.items() if name in enabled_sources(profile.providers)}
     return scan(fetch_all(chosen, facts, profile.snippet_cap), directory, facts, profile, as_of)
 

@@ -1,13 +1,8 @@
 """Session settings shared by every job."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# At most this many rows of a few kilobytes are broadcast by ``join_few``.
-BROADCAST_ROWS = 10000
 
 # Runtime settings every plan relies on: naive timestamps mean UTC, AQE splits skewed join
 # partitions and coalesces small ones, and a page far down a sorted result is sorted on the
@@ -40,22 +35,27 @@ def build_session(app: str = "vacantia", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is missing (tests on one machine) a temporary folder is used.
+    Where that is not set, it is a folder below the warehouse, which executors share as well. A cluster whose warehouse is
+    a local folder has no such place, and the job is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="vacantia-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_shared"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for an input that comes in fewer pieces, such as one small file.
+def own_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_folder(spark)}/vacantia-{spark.sparkContext.applicationId}"
 
-    Inputs with enough partitions, as any large table has, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def drop_copies(spark: SparkSession) -> None:
+    """Remove the intermediate copies of this application; results that still read them must have been stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -64,16 +64,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The Parquet copy outlives lost executors, and each branch reads only its columns.
     """
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/vacantia-{uuid.uuid4().hex}"
+    folder = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
-
-
-def join_few(big: DataFrame, few: DataFrame, key: str, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a side that is expected to be small.
-
-    The side is written out and counted; it is broadcast up to ``most`` rows, and joined by
-    shuffle beyond that.
-    """
-    few = cut_lineage(few)
-    return big.join(F.broadcast(few) if few.count() <= most else few, key, how)

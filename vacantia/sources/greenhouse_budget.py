@@ -33,20 +33,21 @@ def is_junior_engineering(title: Column) -> Column:
     return matches(title, V.JUNIOR_POSITIVE) & is_engineering(title) & ~matches(title, V.SENIOR_BLOCK)
 
 
-def budgeted_snippets(postings: DataFrame, page_facts: DataFrame, cap: int = V.SNIPPET_CAP) -> DataFrame:
+def budgeted_snippets(postings: DataFrame, page_facts: DataFrame, cap: int | None = V.SNIPPET_CAP) -> DataFrame:
     """Chosen rows per board with their snippet and place in the budget."""
     ordered = postings.withColumn("priority", budget_order(F.col("title"), F.col("seq")))
     return choose_snippets(ordered, page_facts, [F.col("priority")], cap)
 
 
-def attach_budgeted(postings: DataFrame, page_facts: DataFrame, cap: int = V.SNIPPET_CAP) -> DataFrame:
+def attach_budgeted(postings: DataFrame, page_facts: DataFrame, cap: int | None = V.SNIPPET_CAP) -> DataFrame:
     """Snippets by budget, and page dates for undated rows whose page was read.
 
-    Pages are read until a board's budget is spent: up to the row that takes the last slot.
+    Pages are read until a board's budget is spent: up to the row that takes the last slot. Without a cap all are read.
     """
     chosen = budgeted_snippets(postings, page_facts, cap)
     snippets = chosen.select("seq", F.col("snippet").alias("description_snippet"))
-    spent = chosen.filter(F.col("budget_rank") == cap).select("token", F.col("priority").alias("last_priority"))
+    used_up = F.lit(False) if cap is None else F.col("budget_rank") == cap
+    spent = chosen.filter(used_up).select("token", F.col("priority").alias("last_priority"))
     undated = postings.filter("posted_at IS NULL AND url <> ''").select("seq", "token", "title", "url")
     page_dates = (
         undated.join(page_facts.select("url", "page_date").filter("page_date IS NOT NULL"), "url")

@@ -38,7 +38,7 @@ for _name, _parser in {
 
 
 def fetch(name: str, landed: DataFrame, page_facts: DataFrame | None = None,
-          cap: int = V.SNIPPET_CAP) -> DataFrame:
+          cap: int | None = None) -> DataFrame:
     """Postings of one source, with snippets where landed page facts are given.
 
     Snippets read the postings several times, so the payloads are parsed once for them.
