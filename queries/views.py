@@ -48,7 +48,7 @@ SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppke
  CASE WHEN l_partkey % 3 = 0 THEN concat('NewCo ', CAST(l_suppkey AS VARCHAR(20))) ELSE concat('Customer#', lpad(CAST(l_suppkey AS VARCHAR(20)), 9, '0')) END AS company,
  CASE WHEN l_linenumber IN (1, 4) THEN NULL ELSE l_shipdate END AS posted_at,
  concat('https://boards.example.com/u/', CAST(l_orderkey AS VARCHAR(20))) AS url
-FROM lineitem WHERE l_orderkey % 5 = 0
+FROM lineitem
 """,
     "gh_payload_fx": r"""
 SELECT o_orderkey AS payload_id, o_custkey AS company_id,
@@ -114,7 +114,7 @@ FROM orders
     "scraped_dates_fx": r"""
 SELECT o_orderkey AS seq, concat('x', CAST(o_orderkey - o_orderkey % 3 AS VARCHAR(20))) AS external_id,
  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate + INTERVAL 2 DAY END AS posted_at
-FROM orders WHERE o_orderkey % 5 <> 0
+FROM orders
 """,
     "history_fx": r"""
 SELECT concat('x', CAST(o_orderkey AS VARCHAR(20))) AS external_id,
