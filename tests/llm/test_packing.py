@@ -83,3 +83,25 @@ def test_windows_fill_with_neighbours():
     topics = [u % 2 for u, *_ in rows]
     assert sum(a != b for a, b in zip(topics, topics[1:])) == 1
     assert sum(r[2] for r in rows) == 40 * 300
+
+
+def test_words_encode_as_the_library_does():
+    library = Tokenizer.from_file(PATH)
+    words = packing._Words(PATH)
+    rng = random.Random(8)
+    parts = ["the", "Thnt", "é", "É", "İ", "ß", "ñ", "42", "½", "'s", "don't", "'LL", ".", ",", "!!", "°", "<|endoftext|>", "<|x", "Σ", "e\u0301",
+             "漢", "_", "ª", "\u00ad", "-", "x\u0345", "ing", "tion", "ǅ"]
+    texts = [rng.choice(["", " ", "\n"]).join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(4000)]
+    for text, code in zip(texts, words.encode(texts)):
+        assert np.frombuffer(code, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_merging_agrees_with_the_library_on_the_table():
+    import pyarrow.parquet as pq
+
+    library = Tokenizer.from_file(PATH)
+    words = packing._Words(PATH)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    every = sorted({w for t in texts if t for w in t.split()} | {n.removesuffix(packing.END) for n in library.get_vocab()})
+    for word, code, want in zip(every, words.encode(every), library.encode_batch(every, add_special_tokens=False)):
+        assert code == np.array(want.ids, dtype="<u4").tobytes() or word.split() != [word], repr(word)

@@ -7,10 +7,13 @@ last of them is cut where the window is full: its rest is the next seed. So only
 """
 
 import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,35 +29,84 @@ TERMS = 16
 K1, B = 1.2, 0.75
 
 # Remembered words per Python worker; then the memory is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
+# Fixed names of the tokenizer file: how a vocabulary entry marks the end of a pre-token, and what pre-tokens are.
+END = "</w>"
+_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PLAIN = re.compile("[\x21-\x7e\xa1-\u024f]+")
+_SEPARATOR = re.compile("[\x1c-\x1f]")
 
-class _Words(dict):
-    """Token ids of words, as little-endian 32-bit numbers."""
+
+def byte_names() -> dict[int, str]:
+    """The visible character that stands for each byte: itself if it is one, else the next free one from U+0100 on."""
+    shown = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Words:
+    """Token ids of texts by their words, each word's ids being kept as little-endian 32-bit numbers.
+
+    The tokenizer drops white space and joins nothing across it. Plain words (ASCII and Latin letters, the usual marks) are
+    cut into pre-tokens here and merged by ``tiktoken`` with the tokenizer's own vocabulary and ranks, a space standing for
+    the end of a pre-token; other words go to the tokenizer.
+    """
 
     def __init__(self, path):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word):
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def encode(self, text):
-        """Ids of a text. The tokenizer drops white space and joins nothing across it, so words are encoded one by one.
-
-        The separators U+001C to U+001F are white space to Python only; texts with them are encoded whole.
-        """
-        if not text:
-            return b""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+        byte = {c: b for b, c in byte_names().items()}
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {}
+        for name, rank in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            if name not in special:
+                ends = name.endswith(END)
+                ranks[bytes(byte[c] for c in name.removesuffix(END)) + b" " * ends] = rank
+        self.merges = tiktoken.Encoding("words", pat_str=r"\S+ ", mergeable_ranks=ranks, special_tokens={})
+        self.ends = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.ends[[rank for name, rank in ranks.items() if name.endswith(b" ")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _whole(self, text):
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, new):
+        plain, cut, counts = [], [], []
+        for word in new:
+            if not _PLAIN.fullmatch(word) or "<|" in word:
+                self.known[word] = self._whole(word)
+                continue
+            low = word.lower()
+            if low.isalpha():
+                parts = [low]
+            elif low[:-1].isalpha() and low[-1] in ".,":
+                parts = [low[:-1], low[-1]]
+            else:
+                parts = _PRETOKEN.findall(low)
+            plain.append(word)
+            cut += parts
+            counts.append(len(parts))
+        if not plain:
+            return
+        ids = np.array(self.merges.encode_ordinary(" ".join(cut) + " "), dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1  # one for each pre-token
+        ends = 4 * np.r_[0, ends[np.cumsum(counts) - 1]]
+        code = ids.tobytes()
+        self.known.update(zip(plain, map(code.__getitem__, map(slice, ends[:-1].tolist(), ends[1:].tolist()))))
+
+    def encode(self, texts):
+        """Ids of each text. The separators U+001C to U+001F are white space to Python only; texts with them go whole."""
+        lists = [t.split() if t and not _SEPARATOR.search(t) else [] for t in texts]
+        needed = set().union(*lists)
+        new = needed.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {}, needed
+        self._learn(new)
+        known = self.known.__getitem__
+        return [self._whole(t) if t and not words else b"".join(map(known, words)) for t, words in zip(texts, lists)]
 
 
 _OPEN: dict[str, _Words] = {}
@@ -75,8 +127,8 @@ def _cut(docs: DataFrame, path: str, key: str, text: str, end: int) -> DataFrame
         for batch in batches:
             for piece in pieces(batch, text):
                 at, start, length, crc, total, sequence, ids, rare = ([] for _ in range(8))
-                for row, value in enumerate(piece.column(1).to_pylist()):
-                    code = words.encode(value) + last
+                for row, code in enumerate(words.encode(piece.column(1).to_pylist())):
+                    code += last
                     n = len(code) // 4
                     for s in range(0, n, WINDOW):
                         part = code[4 * s:4 * (s + WINDOW)]
