@@ -30,7 +30,7 @@ _CHUNK = 1 << 16
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", folder))
 
 
 def _record_id(*parts) -> bytes:
@@ -125,12 +125,16 @@ _MANIFEST = "shard long, number long, temporary string, name string, records lon
 def _written(rows: DataFrame, folder: str, roll: int, date: str) -> DataFrame:
     """Write the sorted rows of each task and return the manifest rows of its files."""
     def run(batches):
-        writer, last, serial = _Writer(folder, roll, date), None, 0
+        writer, last, other, serial = _Writer(folder, roll, date), None, None, 0
         for batch in batches:
-            for shard, key, url, html, digest, size, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, key, url, html, digest, size, refers_to, page in zip(*(c.to_pylist() for c in batch.columns)):
                 serial = serial + 1 if last == (key, digest) else 0
-                last = (key, digest)
-                writer.add(shard, record(key, url, html, digest, size, refers_to, serial, date))
+                if last != (key, digest):
+                    last, other = (key, digest), None
+                if not page:
+                    other, serial = refers_to, -1
+                    continue
+                writer.add(shard, record(key, url, html if other is None else None, digest, size, other, serial, date))
         writer.close()
         if writer.done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*writer.done)],
@@ -196,15 +200,17 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
         sample = sorted((tuple(r) for r in narrow.where(F.pmod(F.xxhash64("key", "digest"), F.lit(apart)) == 0)
                          .select("key", "digest").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         bounds = list(dict.fromkeys(sample[len(sample) * i // shards] for i in range(1, shards))) if sample else []
-    place = F.struct(F.col("key"), F.col("digest"))
-    rows = (base.join(first, "digest", "left")
-            .withColumn("refers_to", F.when(F.col("first").eqNullSafe(F.col("key")), None).otherwise(F.col("first")))
-            .select(_shard(place, bounds).cast("long").alias("shard"), "key", "url",
-                    F.when(F.col("refers_to").isNull(), F.col("html").cast("binary")).alias("html"),
-                    "digest", "size", "refers_to"))
+    shard = _shard(F.struct(F.col("key"), F.col("digest")), bounds).cast("int").alias("shard")
+    # what a revisit refers to is a row of its own just before the pages it holds for, so that pages move only once
+    facts = narrow.join(first, "digest").where(~F.col("key").eqNullSafe(F.col("first"))).where("first IS NOT NULL").select(
+        shard, "key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", "size",
+        F.col("first").alias("refers_to"), F.lit(0).alias("page")).distinct()
+    rows = base.select(shard, "key", "url", F.col("html").cast("binary").alias("html"), "digest", "size",
+                       F.lit(None).cast(narrow.schema["key"].dataType).alias("refers_to"), F.lit(1).alias("page"))
     system, root = _open(folder)
     system.create_dir(f"{root}/_temporary", recursive=True)
-    sorted_rows = rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "key", "digest", "url")
+    sorted_rows = (rows.union(facts).repartitionById(shards, F.col("shard"))
+                   .sortWithinPartitions("shard", "key", "digest", "page", "url"))
     manifest = cut_lineage(_written(sorted_rows, folder, roll_bytes, date))
     _moved(manifest, folder).drop("temporary").write.parquet(f"{folder}/manifest")
     system.delete_dir(f"{root}/_temporary")
