@@ -2,13 +2,15 @@
 
 import contextlib
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from vacantia.operators import aggregates, joins, maintenance, quotas, ranking, scoring, upsert
 from vacantia.plans.browse import Search, browse
-from vacantia.sources import curated, snippets
+from vacantia.sources import board_pages, curated, snippets
+from vacantia.session import cut_lineage
 from vacantia.sources.tables import TableStore
 
 NOW = "2025-09-18 15:30:00"
@@ -93,3 +95,17 @@ def test_backfill_moves_only_rows_it_may_change(rows):
     jobs = rows("id long, provider string, external_id string, posted_at timestamp, description string")
     plan = plan_of(joins.apply_backfill(jobs, rows("external_id string, posted_at timestamp, seq long")))
     assert "Union" in plan and plan.count("provider#") > 0
+
+
+def test_documents_and_bodies_stay_out_of_shuffles(spark, rows):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lists = cut_lineage(rows("source_idx long, md string", (0, "- [Acme - Engineer](https://a.example.com/1)")))
+        landed = "payload_id long, page_id long, token string, company string, html string, path string, body string"
+        plans = [plan_of(curated.gated_rows(lists, only_remote=False, us_only=False)),
+                 plan_of(board_pages.ashby_with_fallback(*[cut_lineage(rows(landed, (n, n, "t", "Acme", None, None, "{}"))) for n in range(3)]))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for plan in plans:
+        moved = re.findall(r"\) Exchange[^\n]*\nInput[^\n]*", plan)
+        assert moved and not any(re.search("(md|body|html)#", part) for part in moved), plan

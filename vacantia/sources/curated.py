@@ -215,11 +215,13 @@ def first_per_url(rows: DataFrame, key: str = "row_url") -> DataFrame:
 def gated_rows(lists: DataFrame, only_remote: bool = True, us_only: bool = True) -> DataFrame:
     """All gated rows; bullets count only for lists whose tables gave none.
 
-    Table rows are written out once, as the gate for bullets reads them again.
+    Table rows are written out once, as the gate for bullets reads them again. Bullets are parsed before the gate, so that
+    only their rows are joined and no document.
     """
     tables = cut_lineage(gated(html_rows(lists).unionByName(markdown_rows(lists)), only_remote, us_only))
-    bare = lists.join(tables.select("source_idx").distinct(), "source_idx", "left_anti")
-    return tables.unionByName(gated(bullet_rows(bare), only_remote, us_only))
+    bullets = gated(bullet_rows(lists), only_remote, us_only)
+    return tables.unionByName(bullets.join(tables.select("source_idx").distinct(), "source_idx", "left_anti")
+                              .select(*bullets.columns))
 
 
 def scraped_date(date, age, as_of):
