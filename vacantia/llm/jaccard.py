@@ -41,6 +41,8 @@ SHORT_LIST = 64
 # Entries of a long list that are compared in one place, and entries of a bucket of such blocks.
 BLOCK = 1024
 UNIT_BUCKET = 20_000
+# Partners of each node in a block that are tried before all others.
+NEAREST = 2
 # Prefix entries of an index bucket, on average (10 MB).
 BUCKET = 1 << 19
 
@@ -302,12 +304,23 @@ def _unlike_roots(part: dict[str, np.ndarray], bits: list[bytes], split: bool, p
             at = np.flatnonzero(fits)
             if len(at):
                 odd = np.bitwise_count(table[at] ^ table[k]).sum(axis=1, dtype=np.int64)
-                at = at[(100 + percent) * ((n[at] + size_i - odd) // 2) >= percent * (n[at] + size_i)]
-                yield np.full(len(at), part["a"][i]), part["a"][larger[at]]
+                passed = (100 + percent) * ((n[at] + size_i - odd) // 2) >= percent * (n[at] + size_i)
+                at, odd = at[passed], odd[passed]
+                yield np.full(len(at), part["a"][i]), part["a"][larger[at]], odd / (n[at] + size_i)
 
 
-def _across(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components in long lists.
+def _nearest_of(node: np.ndarray, unlike: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the ``most`` nearest of their node."""
+    order = np.lexsort((unlike, node))
+    start = np.flatnonzero(np.r_[len(node) > 0, node[order][1:] != node[order][:-1]])
+    rank = np.arange(len(node)) - np.repeat(start, np.diff(np.r_[start, len(node)]))
+    keep = np.zeros(len(node), dtype=bool)
+    keep[order[rank < most]] = True
+    return keep
+
+
+def _across(entries: DataFrame, nodes: DataFrame, percent: int, nearest: int | None = None) -> DataFrame:
+    """Candidate pairs (a, b) of different components in long lists, or only the ``nearest`` of each node in a block.
 
     A list is cut into blocks of about BLOCK entries, and each pair of blocks is compared in one place by bitmaps, so no
     list meets in one task and only pairs that pass leave it.
@@ -325,13 +338,19 @@ def _across(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         columns = {c: group.column(c).to_numpy() for c in ("a", "token", "n", "pos", "root", "block", "u", "v")}
         bits = group.column("bits").to_pylist()
         edge = np.flatnonzero(np.r_[True, np.any([columns[c][1:] != columns[c][:-1] for c in ("token", "u", "v")], axis=0)])
-        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        pairs = [np.zeros((0, 2), dtype=np.int64)]
         for start, end in zip(edge, np.r_[edge[1:], len(bits)]):
             part = {c: v[start:end] for c, v in columns.items()}
-            for x, y in _unlike_roots(part, bits[start:end], part["u"][0] != part["v"][0], percent):
-                a.append(x)
-                b.append(y)
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            found = list(_unlike_roots(part, bits[start:end], part["u"][0] != part["v"][0], percent))
+            if not found:
+                continue
+            x, y, unlike = (np.concatenate(c) for c in zip(*found))
+            if nearest:
+                keep = _nearest_of(x, unlike, nearest) | _nearest_of(y, unlike, nearest)
+                x, y = x[keep], y[keep]
+            pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return (units.join(nodes.select(F.col("node").alias("a"), "bits"), "a")
             .withColumn("bucket", F.pmod(F.xxhash64("token", "u", "v"), F.lit(buckets)))
@@ -371,17 +390,22 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     def rooted(df, end, root):
         named = near.select(F.col("node").alias(end), F.col("root").alias("_r"))
         return df.join(named, end, "left").withColumn(root, F.coalesce("_r", end)).drop("_r")
+
+    def linked(pairs):
+        more = cut_lineage(_verified(docs, text, nodes, pairs, percent))
+        if more.isEmpty():
+            return near
+        return cut_lineage(components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
+
+    def mixed(entries):
+        several = entries.groupBy("token").agg(F.min("ra").alias("low"), F.max("ra").alias("high")).where("low <> high")
+        return cut_lineage(entries.join(several.select("token"), "token", "left_semi"))
+    long_lists = found.where("b IS NULL").select("a", "token", "n", "pos")
+    # families first: what the nearest of each node link makes most other pairs of a family needless
+    near = linked(cut_lineage(_across(mixed(rooted(long_lists, "a", "ra")), nodes, percent, NEAREST).distinct()))
+    across = _across(mixed(rooted(long_lists, "a", "ra")), nodes, percent)
     pairs = rooted(rooted(found.where("b IS NOT NULL").select("a", "b").distinct(), "a", "ra"), "b", "rb")
-    pairs = pairs.where("ra <> rb").select("a", "b")
-    entries = rooted(found.where("b IS NULL").select("a", "token", "n", "pos"), "a", "ra")
-    mixed = entries.groupBy("token").agg(F.min("ra").alias("low"), F.max("ra").alias("high")).where("low <> high")
-    entries = cut_lineage(entries.join(mixed.select("token"), "token", "left_semi"))
-    across = _across(entries, nodes, percent)
-    left = cut_lineage(pairs.union(across)
-                       .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = cut_lineage(_verified(docs, text, nodes, left, percent))
-    if not more.isEmpty():
-        near = cut_lineage(components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
+    near = linked(cut_lineage(pairs.where("ra <> rb").select("a", "b").union(across).distinct()))
 
     known = rows.join(near, "node", "left").select(
         key, "th", "n", F.coalesce("root", "node").alias("root"))
