@@ -39,7 +39,7 @@ COMMON = 32
 # Index lists up to this length are paired inside their bucket; longer ones learn components first.
 SHORT_LIST = 64
 # Entries of a long list that are compared in one place, and entries of a bucket of such blocks.
-BLOCK = 1024
+BLOCK = 4096
 UNIT_BUCKET = 20_000
 # Partners of each node in a block that are tried before all others.
 NEAREST = 2
