@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vacantia import schemas
 from vacantia.operators import maintenance, upsert
 from vacantia.plans import upkeep
-from vacantia.sources import boards
+from vacantia.sources import boards, tables
 from vacantia.sources.tables import TableStore
 from vacantia.streaming import dedupe, ingest
 
@@ -264,3 +264,26 @@ def test_companies_are_found_as_if_one_by_one(spark, stored, refs):
     want, held = one_by_one(stored, refs)
     assert [r.company_id for r in found.orderBy("seq").collect()] == want
     assert sorted((r.id, r.slug, r.name) for r in created.collect()) == held[len(stored):]
+
+
+def test_overlapping_writers_and_broken_logs(spark, tmp_path):
+    company = [spark.createDataFrame([(k, f"n{k}", f"s{k}")], "id long, name string, slug string") for k in range(3)]
+    company = [upsert.conform(c, schemas.COMPANIES) for c in company]
+    store, other = TableStore(spark, str(tmp_path / "s")), TableStore(spark, str(tmp_path / "s"))
+    assert store.version() == 0 and store.read("companies").count() == 0
+    store.write({"companies": company[0]}, NOW)
+    # the other writer takes the number it saw before this one published
+    other._next_version = lambda: 2
+    store.write({"companies": company[1]}, NOW)
+    with pytest.raises(tables.ConcurrentWrite):
+        other.write({"companies": company[2]}, NOW)
+    assert [r.id for r in store.read("companies").collect()] == [1] and store.version() == 2
+    # a writer that died before it filled its log file leaves no version, and its number is not used again
+    (tmp_path / "s" / "_log" / "000000000003.json").touch()
+    assert store.version() == 2 and store.write({"companies": company[2]}, NOW) == 4
+    assert [r.id for r in store.read("companies").collect()] == [2]
+    for path in (tmp_path / "s" / "_log").iterdir():
+        path.unlink()
+    (tmp_path / "s" / "_log").rmdir()
+    with pytest.raises(ValueError):
+        store.read("companies")

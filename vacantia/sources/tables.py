@@ -1,11 +1,14 @@
-"""Stored tables as Parquet versions with a commit log.
+"""Stored tables as Parquet folders with a commit log.
 
-Every write makes a new version folder; a row appended to the log publishes it.  Readers take
-the newest logged version, so a plan never overwrites files it reads, and a lost job leaves at
-most an unpublished folder behind.
+Every write makes folders of its own, which no other write uses, and publishes them by one log file. The file's name is the
+version, and it is created only if it does not exist: of two writers that began from one version, the second fails and
+changes nothing. Readers take the newest log row, so a plan never overwrites files it reads, and a lost job leaves at most
+unpublished folders and an empty log file behind, which count for nothing.
 """
 
-from pyspark.errors import AnalysisException
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,20 +22,41 @@ LAYOUTS = {
     "job_skills": schemas.JOB_SKILLS,
     "crawl_runs": schemas.CRAWL_RUNS,
 }
-# Each log row names the version of every table; an unchanged table keeps its older one.
+# Each log row names the folder of every table; an unchanged table keeps its older one.
 _LOG = ("version long, stream string, batch_id long, committed_at timestamp, "
-        + ", ".join(f"{name} long" for name in LAYOUTS))
+        + ", ".join(f"{name} string" for name in LAYOUTS))
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another writer published the version this one was to become; read again and repeat."""
 
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _at(self, name: str):
+        """The Hadoop file system of the store, and a path below its root."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(_LOG).parquet(f"{self.root}/_log")
-        except AnalysisException:
-            return self.spark.createDataFrame([], _LOG)
+        """Published versions; none for a store that does not exist. Tables without a log are an error, not an empty store."""
+        system, path = self._at("_log")
+        if system.exists(path):
+            return self.spark.read.schema(_LOG).option("mode", "DROPMALFORMED").json(f"{self.root}/_log").filter(
+                "version IS NOT NULL")
+        for name in LAYOUTS:
+            if system.exists(self._at(name)[1]):
+                raise ValueError(f"{self.root} has tables but no log")
+        return self.spark.createDataFrame([], _LOG)
+
+    def _next_version(self) -> int:
+        """One more than the newest log file, whether or not its writer got to fill it."""
+        system, path = self._at("_log")
+        if not system.exists(path):
+            return 1
+        return 1 + max([int(f.getPath().getName().split(".")[0]) for f in system.listStatus(path)], default=0)
 
     def current(self) -> dict:
         """The newest log row; empty for an empty store.  One row reaches the driver."""
@@ -48,10 +72,10 @@ class TableStore:
 
     def read(self, table: str) -> DataFrame:
         layout: StructType = LAYOUTS[table]
-        version = self.current().get(table)
-        if version is None:
+        folder = self.current().get(table)
+        if folder is None:
             return self.spark.createDataFrame([], layout)
-        return self.spark.read.schema(layout).parquet(f"{self.root}/{table}/v{version}")
+        return self.spark.read.schema(layout).parquet(f"{self.root}/{table}/{folder}")
 
     def write(self, tables: dict[str, DataFrame], as_of, batch_id: int | None = None,
               stream: str = "") -> int:
@@ -60,17 +84,26 @@ class TableStore:
         Jobs are laid out by provider and, within files, by date, so provider and recency
         filters skip partitions and row groups.
         """
-        current = self.current()
-        version = current.get("version", 0) + 1
+        version, current = self._next_version(), self.current()
+        own = f"v{version}-{uuid.uuid4().hex[:12]}"
         for name, df in tables.items():
             writer = df.select(*LAYOUTS[name].fieldNames()).write
             if name == "jobs":
                 writer = df.sortWithinPartitions("provider", "posted_at").write.partitionBy("provider")
-            writer.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
-        versions = {name: version if name in tables else current.get(name) for name in LAYOUTS}
-        self.spark.range(1).select(
-            F.lit(version).cast("long").alias("version"), F.lit(stream).alias("stream"), F.lit(batch_id).cast("long").alias("batch_id"),
-            as_timestamp(as_of).alias("committed_at"),
-            *[F.lit(v).cast("long").alias(name) for name, v in versions.items()],
-        ).coalesce(1).write.mode("append").parquet(f"{self.root}/_log")
+            writer.mode("errorifexists").parquet(f"{self.root}/{name}/{own}")
+        folders = {name: own if name in tables else current.get(name) for name in LAYOUTS}
+        row = self.spark.range(1).select(
+            F.lit(version).cast("long").alias("version"), F.lit(stream).alias("stream"),
+            F.lit(batch_id).cast("long").alias("batch_id"), as_timestamp(as_of).alias("committed_at"),
+            *[F.lit(folder).cast("string").alias(name) for name, folder in folders.items()]).toJSON().first()
+        self._publish(version, row)
         return version
+
+    def _publish(self, version: int, row: str) -> None:
+        system, path = self._at(f"_log/{version:012d}.json")
+        try:
+            out = system.create(path, False)
+        except Py4JJavaError as error:
+            raise ConcurrentWrite(f"version {version} of {self.root} was published by another writer") from error
+        out.write(bytearray((row + "\n").encode()))
+        out.close()
