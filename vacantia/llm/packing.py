@@ -29,7 +29,7 @@ TERMS = 16
 K1, B = 1.2, 0.75
 
 # Remembered words per Python worker; then the memory is emptied.
-REMEMBERED = 800_000
+REMEMBERED = 1_500_000
 
 # Fixed names of the tokenizer file: how a vocabulary entry marks the end of a pre-token, and what pre-tokens are.
 END = "</w>"
@@ -112,8 +112,8 @@ class _Words:
 _OPEN: dict[str, _Words] = {}
 
 
-def _cut(docs: DataFrame, path: str, key: str, text: str, end: int) -> DataFrame:
-    """Full windows (with their sequence) and the rest of each document (with its ids, 16 bits each where they fit).
+def _cut(docs: DataFrame, path: str, key: str, text: str, end: int, kept: str) -> DataFrame:
+    """Full windows (with their sequence) and the rest of each document (with its ids as numbers of the type ``kept``).
 
     Ids of full windows: odd sequence numbers, from the task and the place in it; the rows are written out before use.
     """
@@ -144,8 +144,9 @@ def _cut(docs: DataFrame, path: str, key: str, text: str, end: int) -> DataFrame
                             rare.append(None)
                         else:
                             sequence.append(None)
-                            ids.append(part)
-                            rare.append(int(np.frombuffer(part, dtype="<u4").max()))
+                            numbers = np.frombuffer(part, dtype="<u4")
+                            ids.append(numbers.astype(kept).tobytes())
+                            rare.append(int(numbers.max()))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0).take(pa.array(at, pa.int64())),
                      *(pa.array(v, pa.int64()) for v in (start, length, crc, total, sequence, rare)),
@@ -156,13 +157,13 @@ def _cut(docs: DataFrame, path: str, key: str, text: str, end: int) -> DataFrame
              " ids binary")
 
 
-def _frequencies(units: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, float]:
+def _frequencies(units: DataFrame, vocabulary: int, kept: str) -> tuple[np.ndarray, int, float]:
     """Units that hold each token, their number and mean length; as many numbers as the vocabulary has, whatever the input."""
     def run(batches):
         held = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
             for value in batch.column(0):
-                held[np.unique(np.frombuffer(value.as_buffer(), dtype="<u4"))] += 1
+                held[np.unique(np.frombuffer(value.as_buffer(), dtype=kept))] += 1
         token = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(held[token])], names=["token", "n"])
     rows = units.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
@@ -249,9 +250,10 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", en
     from tokenizers import Tokenizer
 
     vocabulary = max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end + 1)
-    cut = cut_lineage(_cut(docs, path, key, text, end))
+    kept = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    cut = cut_lineage(_cut(docs, path, key, text, end, kept))
     units = cut.where("sequence_id IS NULL").select(key, "start", "length", "doc_tokens", "rare", "ids")
-    held, count, mean = _frequencies(units, vocabulary)
+    held, count, mean = _frequencies(units, vocabulary, kept)
     idf = np.log1p((count - held + 0.5) / (held + 0.5))
     tokens = units.agg(F.sum("length")).first()[0] or 0
     shards = max(1, round(tokens / SHARD))
@@ -260,11 +262,11 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", en
         table = pa.Table.from_batches(batches)
         if not table.num_rows:
             return
-        ids = [np.frombuffer(v.as_buffer(), dtype="<u4") for v in table.column("ids")]
+        ids = [np.frombuffer(v.as_buffer(), dtype=kept) for v in table.column("ids")]
         lengths = np.array([len(i) for i in ids], dtype=np.int64)
         rows = fill(lengths, Shard(ids, idf, mean))
         unit, start, length, number, offset = (np.array(c, dtype=np.int64) for c in zip(*rows))
-        crc = [zlib.crc32(ids[u][s:s + n]) for u, s, n, _, _ in rows]
+        crc = [zlib.crc32(ids[u][s:s + n].astype("<u4")) for u, s, n, _, _ in rows]
         base = TaskContext.get().partitionId() << 33
         yield pa.RecordBatch.from_arrays(
             [table.column(key).combine_chunks().take(pa.array(unit)),
