@@ -4,7 +4,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from vacantia.functions import fixed_values as V
 from vacantia.session import cut_lineage
 from vacantia.sources import board_pages, boards
 from vacantia.sources.greenhouse_budget import attach_budgeted
