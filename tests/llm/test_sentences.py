@@ -74,6 +74,44 @@ def test_passages_of_over_fifty_words_are_found_in_other_documents():
         assert hashes[0] & hashes[1], cuts
 
 
+def shared(a, b):
+    found = sn.runs([a, b])
+    return set(found["hash"][found["row"] == 0]) & set(found["hash"][found["row"] == 1])
+
+
+def test_passages_of_over_fifty_words_in_many_short_lines_are_found():
+    rng = random.Random(6)
+    for lines in range(12, 52):
+        passage = [f"p{rng.randrange(999)}" for _ in range(51)]
+        text = "\n".join(" ".join(passage[51 * i // lines:51 * (i + 1) // lines]) for i in range(lines))
+        assert shared("Before it.\n" + text + "\nAfter it.", "Other start\n" + text + "\nother end"), lines
+
+
+@pytest.mark.parametrize("whole", [(13, 9), (10,), (4, 6), (1, 2, 3, 4), (12, 12), (39,)])
+def test_passages_that_start_and_end_inside_a_sentence_are_found(whole):
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"p{rng.randrange(999)}" for _ in range(n))
+    rest = 51 - sum(whole)
+    text = " ".join([words(rest // 2) + ".", *(words(n) + "." for n in whole), words(rest - rest // 2)])
+    assert shared("Here begins " + text + " and goes on.", "Elsewhere is " + text + " but not so.")
+
+
+def test_scripts_without_spaces():
+    same = "这是第一个重复的句子。这是第二个重复的句子！「还有一个。」"
+    assert [s[2] for s in sn.sentences(same)] == ["这是第一个重复的句子。", "这是第二个重复的句子！", "「还有一个。」"]
+    assert shared("开头不同，" + same + "结尾", "另外一段，" + same + "别的话")
+    assert sn.n_words("สวัสดี hello") == 7 and sn.n_words("it's été") == 2
+    assert [s[2] for s in sn.sentences("यह एक है। वह दो है।")] == ["यह एक है।", "वह दो है।"]
+
+
+def test_spans_of_short_lines_are_removed(spark):
+    lines = "\n".join(f"row{i} cell{i}" for i in range(26))
+    docs = spark.createDataFrame([(1, "First here.\n" + lines), (2, "Second there.\n" + lines + "\nlast")], "doc_id long, text string")
+    (span,) = sn.repeated_spans(docs).collect()
+    assert (span.doc_id, span.n_sentences, span.first_key) == (2, 26, 1)
+    assert {r.doc_id: r.text.split() for r in sn.remove_repeats(docs).collect()}[2] == ["Second", "there.", "last"]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sn.repeated_spans(docs).count() == 0 and sn.remove_repeats(docs).count() == 0

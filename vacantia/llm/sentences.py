@@ -12,16 +12,23 @@ from vacantia.llm.common import bitmap, maybe, maybe_rows, pieces
 from vacantia.llm.shingles import mix
 from vacantia.session import cut_lineage
 
-# Words a run must have, by its number of consecutive sentences. Three sentences are the usual run; two or one count where
-# they are long, so that a passage of more than 50 words in few sentences is found as well.
-RUNS = {3: 12, 2: 25, 1: 40}
-
-_END = re.compile(r"[.!?]+(?=\s)|\n")
+# A run of consecutive sentences counts from this many words on, however many sentences that takes. A sentence has a word at
+# least, so no run that is as short as it can be has more sentences than this.
+LEAST = 10
+# Words a run must have, by its number of sentences.
+RUNS = {n: LEAST for n in range(1, LEAST + 1)}
+
+# Stops of scripts without spaces need no white space after them.
+_END = re.compile(r"[.!?؟۔।॥։።]+(?=\s)|\n|[。！？｡︒]+[」』”’）】》]*")
+# In scripts without spaces (Thai to Tibetan, Burmese, Khmer, Kana, Han) every character counts as a word.
+_BARE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_UNIT = re.compile(f"[{_BARE}]|[^ {_BARE}]+")
 _ODD = mix(np.arange(1, 1 + max(RUNS), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, words in lower case) of the sentences of a text: they end after . ! ? before white space, and at lines."""
+    """(start, end, words in lower case) of the sentences of a text: they end after . ! ? before white space, at lines, and
+    after the stops of other scripts."""
     found, start = [], 0
     for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
         part = text[start:end]
@@ -34,8 +41,17 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def n_words(plain: str) -> int:
+    """Words of a sentence with single spaces; a character counts as one where the script has no spaces."""
+    return plain.count(" ") + 1 if plain.isascii() else len(_UNIT.findall(plain))
+
+
 def runs(texts: list[str | None], sizes: dict[int, int] = RUNS) -> dict[str, np.ndarray]:
-    """All runs of the texts as columns: row, first sentence, sentences, start, end, hash, length."""
+    """Runs of the texts as columns: row, first sentence, sentences, start, end, hash, length.
+
+    From and up to every sentence, the shortest run with enough words. Longer runs are unions of these, and where a longer
+    one repeats, these repeat in it.
+    """
     row, start, end, code, words, length = [], [], [], [], [], []
     for number, text in enumerate(texts):
         for s, e, plain in sentences(text or ""):
@@ -43,7 +59,7 @@ def runs(texts: list[str | None], sizes: dict[int, int] = RUNS) -> dict[str, np.
             start.append(s)
             end.append(e)
             code.append(xxhash.xxh64_intdigest(plain))
-            words.append(plain.count(" ") + 1)
+            words.append(n_words(plain))
             length.append(len(plain) + 1)
     row, start, end, words, length = (np.array(x, dtype=np.int64) for x in (row, start, end, words, length))
     code = np.array(code, dtype=np.uint64)
@@ -54,7 +70,8 @@ def runs(texts: list[str | None], sizes: dict[int, int] = RUNS) -> dict[str, np.
         if whole <= 0:
             continue
         total = sum(words[k:whole + k] for k in range(size))
-        at = np.flatnonzero((row[:whole] == row[size - 1:]) & (total >= least))
+        spare = total - np.maximum(words[:whole], words[size - 1:])  # without its first sentence, or its last
+        at = np.flatnonzero((row[:whole] == row[size - 1:]) & (total >= least) & (spare < least))
         mixed = mix(sum(mix(code[at + k]) * _ODD[k] for k in range(size)) + np.uint64(size))
         parts.append((row[at], at - first[at], np.full(len(at), size), start[at], end[at + size - 1], mixed.view(np.int64),
                       sum(length[at + k] for k in range(size))))
@@ -84,8 +101,9 @@ def _runs(docs: DataFrame, key: str, text: str, wanted: np.ndarray | None = None
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, th, start, end, n_sentences, first_key): sentences that a non-first repeated run covers.
 
-    Every run of three consecutive sentences with 12 words or more, and longer runs of two or one, is hashed; texts compare
-    in lower case with single spaces. The first occurrence of a run is the one with the smallest (key, text hash, place),
+    Runs of consecutive sentences with ``LEAST`` words or more are compared, from one sentence to as many as it takes, in
+    lower case with single spaces. A passage that repeats is found where it holds whole sentences of so many words; one
+    inside a long sentence, or with fewer whole words between two cut sentences, is not. The first occurrence of a run is the one with the smallest (key, text hash, place),
     null keys last; every sentence under any other occurrence is covered, and touching runs make one span. ``start`` and
     ``end`` are code points, ``th`` the hash of the text, ``first_key`` a document that keeps the span's text (for spans of
     several runs, the smallest). Rows that repeat key and text are one document with one result. Null, empty and white
