@@ -101,6 +101,22 @@ def test_context_values_and_redaction(spark):
     assert rows[2] == (None, None) and rows[3] == ("clean", 5)
 
 
+@pytest.mark.parametrize("text, spans, left", [
+    ("password: Tr0ub4dor&3xyz! end", "assign:0:19,guess:10:25", "[secret] end"),
+    ("dbPassword=x#9Kq!vT2p", "guess:11:21", "dbPassword=[secret]"),
+    ("DBPwd=x#9Kq!vT2p", "guess:6:16", "DBPwd=[secret]"),
+    ("dbpassword=     Tr0ub4dor&3xyz!", "assign:2:25,guess:16:31", "db[secret]"),
+    ("pwd: AKIAABCDEFGH1234#x9", "access:5:21,guess:5:24", "pwd: [secret]"),
+    ("pwd=password=Xk9aaVQ2mZ7p", "assign:4:25", "pwd=[secret]"),
+    ("pwd=a&" + "0123456789abcdef" * 2 + "&secret=Xk9aaVQ2mZ7p", None, "pwd=[secret]"),
+    ("compass=x#9Kq!vT2p", "", "compass=x#9Kq!vT2p")])
+def test_values_beyond_fixed_shapes_and_camel_case_names(spark, text, spans, left):
+    found = secrets.scan(text)
+    assert spans is None or secrets.joined(found) == spans
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.redact(docs).first().text == left
+
+
 def test_shards(spark):
     rows = [(i if i % 3 else None, "t" * (i % 7) if i % 5 else None, i) for i in range(700)] + [(1, "x", 9)] * 50
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")

@@ -18,10 +18,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _ASSIGN_VALUE, _ACCESS_LENGTH = 8, 16
 
-# Words that open a credential context, beyond those of the assignment shape, and what may be a value there.
+# Words that open a credential context, and what may be a value there. Those of the assignment shape may follow anything, as
+# there; others start after any character but a letter, or as a part of a camel-case name.
 _CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?"""
-    r"""|bearer|access[_-]?key|client[_-]?secret|private[_-]?key|session[_-]?key)["']?\x20{0,3}(?:=>|:=|[:=])\x20{0,3}"""
+    r"""(?:(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"""
+    r"""(?:pass(?:phrase|code)?|pwd|auth(?:orization)?|credentials?|bearer|access[_-]?key|private[_-]?key|session[_-]?key)"""
+    r"""|password|passwd|secret|token|api[_-]?key)["']?\x20*(?:=>|:=|[:=])\x20*"""
     r"""(?:bearer\x20|basic\x20)?["']?([^\s"'<>,;]{6,})""", re.A | re.I)
 _HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer")
 
@@ -123,8 +125,8 @@ def guess_cost(value: str) -> float:
 def scan(text: str | None, guesses: float = GUESSES) -> list[tuple[int, int, int]]:
     """All spans (start, kind number, end) of a text in code points, by start and then kind.
 
-    The three fixed shapes always stay. A ``guess`` span is a value in credential context, not inside a fixed one, that
-    costs 10^guesses or more. Null and empty texts have none.
+    The three fixed shapes always stay. A ``guess`` span is a value in credential context that costs 10^guesses or more and
+    that fixed ones do not cover whole. Null and empty texts have none.
     """
     if not text:
         return []
@@ -144,8 +146,11 @@ def scan(text: str | None, guesses: float = GUESSES) -> list[tuple[int, int, int
             while at < len(fixed) and fixed[at][0] <= m.start(1):
                 reach = max(reach, fixed[at][1])
                 at += 1
-            touched = reach > m.start(1) or at < len(fixed) and fixed[at][0] < m.end(1)
-            if not touched and guess_cost(m.group(1)) >= guesses:
+            end, after = max(reach, m.start(1)), at
+            while after < len(fixed) and fixed[after][0] <= end < m.end(1):
+                end = max(end, fixed[after][1])
+                after += 1
+            if end < m.end(1) and guess_cost(m.group(1)) >= guesses:
                 found.append((m.start(1), 3, m.end(1)))
     return sorted(found)
 
