@@ -82,6 +82,18 @@ def test_awkward_rows(spark):
     assert {r.lang_pred for r in lang.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_repeated_texts_are_learned_once(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(lang, "fit", lambda texts, vocabulary: seen.update(texts))
+    distinct = [f"text number {i}" for i in range(9)]
+    rows = [(None, t, name) for t in distinct for name in ("a", "b")] + [(None, t, "a") for t in distinct * 40]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    lang.learn(docs, PATH, sample=6)
+    assert seen["a"] == seen["b"] and len(set(seen["a"])) == len(seen["a"]) == 6
+    lang.learn(docs, PATH)
+    assert seen == {"a": distinct, "b": distinct}
+
+
 def test_memory_that_overflows_changes_nothing(monkeypatch):
     model = lang.fit({"a": ["one two three"], "b": ["eins zwei drei"]}, lang.Vocabulary(lang.vocabulary(PATH)))
     texts = ["one eins two", "zwei drei " * 5, "three", "uno dos tres", None, "quatre cinq"]

@@ -256,15 +256,19 @@ def learn(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", l
           sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled texts per language that are not held out, those with the smallest text hashes.
 
-    The number of languages is taken to be small; null texts and labels are not learned from.
+    Texts that repeat under a label count once. The number of languages is taken to be small; null texts and labels are not
+    learned from.
     """
     rows = (docs.where(~held_out(F.col(key)) & F.col(label).isNotNull() & F.col(text).isNotNull())
-            .select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-            .withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h")))
-            .where(F.col("rank") <= sample).select("label", "text"))
+            .select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(text).alias("h")))
+    chosen = {(r.label, r.h) for r in rows.select("label", "h").distinct()
+              .withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h")))
+              .where(F.col("rank") <= sample).collect()}
+    found = rows.where(F.col("h").isin(sorted({h for _, h in chosen}))).groupBy("label", "h").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = {}
-    for r in rows.collect():
-        texts.setdefault(r.label, []).append(r.text)
+    for r in found.collect():
+        if (r.label, r.h) in chosen:
+            texts.setdefault(r.label, []).append(r.text)
     return fit({name: sorted(t) for name, t in texts.items()}, Vocabulary(vocabulary(path)))
 
 
