@@ -72,6 +72,27 @@ def test_strays_are_not_read_and_moves_repeat(spark, pages, tmp_path):
     assert warc._moved(again, folder).count() == manifest.count()
 
 
+def test_files_that_differ_from_the_manifest_fail(spark, pages, tmp_path):
+    for name in ("f", "g", "h", "i"):
+        manifest = warc.write(pages.limit(5), f"file://{tmp_path}/{name}")
+    (file,) = [r.name for r in manifest.collect()]
+    data = Path(tmp_path, "f", file).read_bytes()
+    Path(tmp_path, "f", file).write_bytes(data + b"x")
+    with pytest.raises(ValueError, match="bytes for"):
+        warc.read(spark, f"file://{tmp_path}/f")
+    Path(tmp_path, "g", file).unlink()
+    with pytest.raises(ValueError, match="missing"):
+        warc.read(spark, f"file://{tmp_path}/g")
+    # the modification time of a gzip header is in no checksum of its own
+    Path(tmp_path, "h", file).write_bytes(data[:4] + bytes([data[4] ^ 1]) + data[5:])
+    with pytest.raises(Exception, match="digest in the manifest"):
+        warc.read(spark, f"file://{tmp_path}/h").collect()
+    rows = manifest.withColumn("records", manifest.records + 1).collect()
+    spark.createDataFrame(rows, manifest.schema).write.mode("overwrite").parquet(f"file://{tmp_path}/i/manifest")
+    with pytest.raises(Exception, match="records and not"):
+        warc.read(spark, f"file://{tmp_path}/i").collect()
+
+
 def test_empty_table_and_damage(spark, pages, tmp_path):
     warc.write(pages.limit(0), f"file://{tmp_path}/e")
     assert warc.read(spark, f"file://{tmp_path}/e").count() == 0

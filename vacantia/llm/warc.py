@@ -251,13 +251,18 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 def read(spark: SparkSession, folder: str, key_type: str = "long") -> DataFrame:
     """The records of an archive: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload.
 
-    Only files that the manifest names are read. Lengths and digests are checked; a mismatch fails the job. Revisits have
-    a null payload and the size and digest of the payload they stand for.
+    Only files that the manifest names are read. A file that is missing or has another length is refused at once; lengths,
+    digests and numbers of records are checked as files are read, and a mismatch fails the job. Revisits have a null
+    payload and the size and digest of the payload they stand for.
     """
-    manifest = spark.read.parquet(f"{folder}/manifest").select("name", F.col("bytes").alias("_bytes"))
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-             .select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
-             .join(manifest, "name").where("length = _bytes").select("content"))
+    manifest = spark.read.parquet(f"{folder}/manifest").select("name", "records", "bytes", "sha256")
+    found = (spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+             .withColumn("name", F.element_at(F.split("path", "/"), -1)))
+    wrong = manifest.join(found.select("name", "length"), "name", "left").where("NOT length <=> bytes").limit(5).collect()
+    if wrong:
+        raise ValueError("not the files of the manifest: " + ", ".join(
+            f"{r.name} (missing)" if r.length is None else f"{r.name} ({r.length} bytes for {r.bytes})" for r in wrong))
+    files = found.select("name", "content").join(manifest, "name").select("name", "records", "sha256", "content")
     kind = to_arrow_type(spark.createDataFrame([], f"k {key_type}").schema["k"].dataType)
 
     def cast(value):
@@ -265,12 +270,15 @@ def read(spark: SparkSession, folder: str, key_type: str = "long") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for content in batch.column(0):
-                rows, held = [], 0
+            for name, records, sha256, content in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
+                rows, held, count = [], 0, 0
+                if hashlib.sha256(content.as_buffer()).hexdigest() != sha256:
+                    raise ValueError(f"{name} does not match its digest in the manifest")
                 for member in members(content.as_buffer()):
                     headers, block = parse(member)
                     if headers["WARC-Type"] == "warcinfo":
                         continue
+                    count += 1
                     http, _, payload = block.partition(b"\r\n\r\n")
                     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
                     digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
@@ -283,6 +291,8 @@ def read(spark: SparkSession, folder: str, key_type: str = "long") -> DataFrame:
                     if held > 4 << 20:
                         yield table(rows)
                         rows, held = [], 0
+                if count != records:
+                    raise ValueError(f"{name} has {count} records and not {records} as in the manifest")
                 if rows:
                     yield table(rows)
 
