@@ -5,8 +5,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vacantia.llm import (decontaminate, jaccard, language, packing, secrets, sentences, sharding, token_counts, vectors,
-                          warc)
+from vacantia.llm import (decontaminate, jaccard, language, packing, ranked, secrets, sentences, sharding, token_counts,
+                          vectors, warc)
 from vacantia.llm.common import table
 from vacantia.session import shared_folder
 
@@ -83,3 +83,34 @@ def op8(spark, sf_dir):
 @query("op9_sentence_spans")
 def op9(spark, sf_dir):
     return sentences.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op11_ranked_search", r"""
+    WITH words AS (
+      SELECT regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms, doc_id
+      FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+    docs AS (SELECT row_number() OVER () AS doc, doc_id, terms, len(terms) AS n FROM words WHERE len(terms) > 0),
+    totals AS (SELECT count(*) AS documents, sum(n)::BIGINT AS length FROM docs),
+    postings AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM docs) GROUP BY doc, term),
+    weights AS (
+      SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM postings, totals GROUP BY term, documents),
+    items AS (
+      SELECT row_number() OVER () AS item, item_id, regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+      FROM benchmark WHERE text IS NOT NULL),
+    asked AS (SELECT item, term, count(*) AS times FROM (SELECT item, unnest(terms) AS term FROM items) GROUP BY item, term),
+    scored AS (
+      SELECT item, doc, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * documents) // length))))::BIGINT
+               AS score
+      FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN docs USING (doc), totals GROUP BY item, doc),
+    ranked AS (
+      SELECT item, doc_id, score,
+             row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+      FROM scored JOIN docs USING (doc) WHERE score > 0)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked JOIN items USING (item) WHERE rank <= 20""")
+def op11(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return ranked.search(ranked.build_index(docs, queries=items), items)
