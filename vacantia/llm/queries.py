@@ -5,8 +5,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vacantia.llm import (decontaminate, jaccard, language, packing, ranked, secrets, sentences, sharding, token_counts,
-                          vectors, warc)
+from vacantia.llm import (decontaminate, jaccard, language, packing, personal, ranked, resampling, secrets, sentences,
+                          sharding, token_counts, vectors, warc)
 from vacantia.llm.common import table
 from vacantia.session import shared_folder
 
@@ -114,3 +114,48 @@ def op9(spark, sf_dir):
 def op11(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return ranked.search(ranked.build_index(docs, queries=items), items)
+
+
+@query("op13_target_resampling", r"""
+    WITH table_of AS (
+      SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+               lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+    words AS (
+      SELECT row, unnest(terms) AS word FROM (
+        SELECT row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS terms
+        FROM (SELECT row_number() OVER () AS row, text FROM documents
+              UNION ALL SELECT -1, text FROM benchmark))),
+    buckets AS (
+      SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(length(code) // 2),
+                 lambda i: ('0x' || substr(code, 2 * i + 1, 2))::BIGINT)),
+               lambda c, b: xor(crc[xor(c, b) % 256 + 1], c >> 8)), 4294967295) % 10000 AS bucket
+      FROM (SELECT DISTINCT word, hex(encode(word)) AS code FROM words), table_of),
+    counts AS (
+      SELECT b, count(bucket) FILTER (row >= 0) AS s, count(bucket) FILTER (row < 0) AS t
+      FROM range(10000) AS r(b) LEFT JOIN (SELECT row, bucket FROM words JOIN buckets USING (word)) ON bucket = b GROUP BY b),
+    gains AS (
+      SELECT b AS bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+                                          / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+    means AS (
+      SELECT row, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+      FROM words JOIN buckets USING (word) JOIN gains USING (bucket) WHERE row >= 0 GROUP BY row),
+    scored AS (
+      SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT
+               + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM (SELECT row_number() OVER () AS row, doc_id FROM documents) LEFT JOIN means USING (row)),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id ASC NULLS LAST) AS place,
+             count(*) FILTER (n_features >= 20) OVER () AS able
+      FROM scored)
+    SELECT doc_id, n_features, weight, score,
+           CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM placed""")
+def op13(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_personal_data")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return personal.find_personal(docs, personal.learn(docs))
