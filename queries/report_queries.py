@@ -222,12 +222,6 @@ def a6_curated(spark, sf):
         curated_postings(lists(spark, sf), "2025-09-18 15:30:00", scrape=True))
 
 
-@query("a6_last_ingest", "SELECT max(ts) AS last_ingest_at FROM events")
-def a6_last(spark, sf):
-    runs = table(spark, sf, "events").select(F.col("ts").alias("finished_at"))
-    return aggregates.last_ingest(runs)
-
-
 @query("a6_crawl_run", f"""
 SELECT p.source AS provider, count(DISTINCT company) AS pages_fetched, count(*) AS jobs_discovered,
  count(*) FILTER (WHERE trim(title) = '') AS errors, TIMESTAMP '{AS_OF}' AS started_at FROM postings_fx p GROUP BY p.source""")
@@ -403,12 +397,6 @@ def p2_filters(spark, sf):
     return browsing.matching_jobs(jobs(spark, sf), companies(spark, sf), skills(spark, sf), search, AS_OF).select("id")
 
 
-@query("p4_metrics_report", f"SELECT m.*, (SELECT max(ts) FROM events) AS last_ingest_at FROM ({METRICS}) m")
-def p4(spark, sf):
-    last = aggregates.last_ingest(table(spark, sf, "events").select(F.col("ts").alias("finished_at")))
-    return a4(spark, sf).withColumn("last_ingest_at", last.scalar())
-
-
 @query("p5_company_listing", """
 SELECT c.name AS company, c.slug, count(j.id) AS jobs FROM companies_fx c JOIN jobs_fx j ON j.company_id = c.id GROUP BY c.id, c.name, c.slug""")
 def p5(spark, sf):

@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from queries.base import AS_OF, CURATED_AS_OF, incoming, query, table, view
-from queries.report_queries import scratch
+from queries.report_queries import METRICS, scratch
 from queries.scalars import SLUG
 from queries.source_queries import lists
-from vacantia.operators import maintenance, upsert
+from vacantia.operators import aggregates, maintenance, upsert
 from vacantia.plans import curated as curated_plan
 from vacantia.plans import upkeep
 from vacantia.sources import boards
@@ -66,6 +66,41 @@ def w4(spark, sf):
     return store.read("jobs").select(*JOB_COLUMNS)
 
 
+def ingested(spark, sf):
+    """A store that took the whole batch after the stored jobs."""
+    store = TableStore(spark, scratch(spark, "ingested"))
+    store.write({"jobs": upsert.conform(view(spark, sf, "jobs_fx"), upsert.JOBS),
+                 "companies": upsert.conform(view(spark, sf, "companies_fx"), upsert.COMPANIES)}, AS_OF)
+    upkeep.upsert_batch(store, incoming(spark, sf), AS_OF, batch_id=1)
+    return store
+
+
+@query("a6_last_ingest", f"SELECT TIMESTAMP '{AS_OF}' AS last_ingest_at")
+def a6_last(spark, sf):
+    return aggregates.last_ingest(ingested(spark, sf).read("crawl_runs"))
+
+
+@query("a6_run_log", f"""
+WITH {BATCH}, t AS (SELECT provider, count(*) FILTER (WHERE external_id IS NULL) AS lost FROM incoming_fx GROUP BY provider),
+v AS (SELECT provider, count(*) FILTER (WHERE state_id IS NOT NULL OR seq >= first_complete) AS found,
+ count(*) FILTER (WHERE state_id IS NULL AND NOT coalesce(seq >= first_complete, false)) AS bad FROM r GROUP BY provider)
+SELECT t.provider, CAST(v.found AS INTEGER) AS jobs_discovered, CAST(v.bad + t.lost AS INTEGER) AS errors, TIMESTAMP '{AS_OF}' AS finished_at
+FROM t JOIN v ON v.provider = t.provider""")
+def a6_run_log(spark, sf):
+    return ingested(spark, sf).read("crawl_runs").select("provider", "jobs_discovered", "errors", "finished_at")
+
+
+@query("p4_metrics_report", f"""
+WITH {BATCH}, z AS (SELECT coalesce(f.title, j.title) AS title, j.description, coalesce(j.posted_at, f.posted_at) AS posted_at
+ FROM jobs_fx j LEFT JOIN f ON f.state_id = j.id UNION ALL SELECT title, NULL, posted_at FROM f WHERE state_id IS NULL),
+q AS ({METRICS.replace("jobs_fx", "z")}) SELECT q.*, TIMESTAMP '{AS_OF}' AS last_ingest_at FROM q""")
+def p4(spark, sf):
+    """The report of the stored counts and the run log; no job is read."""
+    store = ingested(spark, sf)
+    return aggregates.maintained_metrics(store.read("metrics")).drop("by_provider").withColumn(
+        "percent_undated", F.round("percent_undated", 6)).withColumn("last_ingest_at", aggregates.last_ingest(store.read("crawl_runs")).scalar())
+
+
 @query("u1_rejects", f"""
 WITH {BATCH} SELECT seq, 'missing-external-id' AS reason FROM incoming_fx WHERE external_id IS NULL
 UNION ALL SELECT seq, 'incomplete' FROM r WHERE state_id IS NULL AND NOT coalesce(seq >= first_complete, false)""")
@@ -194,18 +229,28 @@ def p3_ingest(spark, sf):
     return result.jobs.join(slugs, "company_id").select("external_id", "title", "url", "level", "posted_at", "slug")
 
 
+# A third of the jobs link to the aggregator, some of them beside a direct twin.
+LISTED_URL = "CASE WHEN id % 3 = 0 THEN concat('https://simplify.jobs/p/', CAST(id AS VARCHAR(20))) ELSE url END"
+
+
 @query("p6_upkeep", f"""
-SELECT j.id, CASE WHEN j.provider = 'github' AND j.posted_at IS NULL THEN l.scraped_at ELSE j.posted_at END AS posted_at FROM jobs_fx j
-LEFT JOIN (SELECT external_id, arg_max(posted_at, seq) AS scraped_at FROM scraped_dates_fx WHERE posted_at IS NOT NULL GROUP BY external_id) l ON l.external_id = j.external_id
-WHERE NOT (j.active AND coalesce(CASE WHEN j.provider = 'github' AND j.posted_at IS NULL THEN l.scraped_at ELSE j.posted_at END, j.updated_at) < TIMESTAMP '{AS_OF}' - INTERVAL 900 DAY)""")
+WITH l AS (SELECT * REPLACE ({LISTED_URL} AS url) FROM jobs_fx),
+d AS (SELECT external_id, arg_max(posted_at, seq) AS scraped_at FROM scraped_dates_fx WHERE posted_at IS NOT NULL GROUP BY external_id),
+f AS (SELECT l.* REPLACE (CASE WHEN l.provider = 'github' AND l.posted_at IS NULL THEN d.scraped_at ELSE l.posted_at END AS posted_at)
+ FROM l LEFT JOIN d ON d.external_id = l.external_id),
+c AS (SELECT * FROM f WHERE NOT (provider = 'github' AND url LIKE 'https://simplify.jobs/%' AND EXISTS (SELECT 1 FROM f t
+ WHERE t.provider = 'github' AND t.url NOT LIKE 'https://simplify.jobs/%' AND t.company_id = f.company_id AND t.title = f.title)))
+SELECT id, posted_at FROM c WHERE NOT (active AND coalesce(posted_at, updated_at) < TIMESTAMP '{AS_OF}' - INTERVAL 900 DAY)""")
 def p6(spark, sf):
-    """Backfill, duplicate cleanup and pruning, each a version of the store."""
+    """Backfill, duplicate cleanup, pruning and compaction, each a version of the store."""
     store = TableStore(spark, scratch(spark, "p6"))
-    store.write({"jobs": upsert.conform(view(spark, sf, "jobs_fx"), upsert.JOBS),
+    jobs = view(spark, sf, "jobs_fx").withColumn("url", F.expr(LISTED_URL))
+    store.write({"jobs": upsert.conform(jobs, upsert.JOBS),
                  "job_skills": upsert.conform(skills(spark, sf), upsert.JOB_SKILLS)}, AS_OF)
     upkeep.backfill(store, view(spark, sf, "scraped_dates_fx"), AS_OF)
     upkeep.cleanup(store, AS_OF)
     upkeep.prune(store, AS_OF, days=900)
+    store.compact(AS_OF)
     return store.read("jobs").select("id", "posted_at")
 
 

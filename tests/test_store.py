@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantia import schemas
-from vacantia.operators import maintenance, upsert
+from vacantia.operators import aggregates, joins, maintenance, upsert
 from vacantia.plans import upkeep
 from vacantia.sources import boards, tables
 from vacantia.sources.tables import TableStore
@@ -272,11 +272,11 @@ def test_overlapping_writers_and_broken_logs(spark, tmp_path):
     store, other = TableStore(spark, str(tmp_path / "s")), TableStore(spark, str(tmp_path / "s"))
     assert store.version() == 0 and store.read("companies").count() == 0
     store.write({"companies": company[0]}, NOW)
-    # the other writer takes the number it saw before this one published
-    other._next_version = lambda: 2
+    # the other writer made its tables from the version before this one's
+    seen = other.snapshot()
     store.write({"companies": company[1]}, NOW)
     with pytest.raises(tables.ConcurrentWrite):
-        other.write({"companies": company[2]}, NOW)
+        other.write({"companies": company[2]}, NOW, base=seen)
     assert [r.id for r in store.read("companies").collect()] == [1] and store.version() == 2
     # a writer that died before it filled its log file leaves no version, and its number is not used again
     (tmp_path / "s" / "_log" / "000000000003.json").touch()
@@ -287,3 +287,176 @@ def test_overlapping_writers_and_broken_logs(spark, tmp_path):
     (tmp_path / "s" / "_log").rmdir()
     with pytest.raises(ValueError):
         store.read("companies")
+
+
+def rows_of(store, *columns, table="jobs"):
+    return sorted(map(tuple, store.read(table).select(*columns).collect()), key=repr)
+
+
+def folders(tmp_path, table="jobs"):
+    return {str(p.relative_to(tmp_path)) for p in (tmp_path / "s" / table).rglob("*.parquet")}
+
+
+def ids_in(buckets, bucket, n, spark):
+    """External ids whose bucket is the given one."""
+    found = spark.range(4000).select(F.concat(F.lit("e"), "id").alias("e")).filter(tables.key_bucket(F.col("e"), buckets) == bucket)
+    return [r.e for r in found.limit(n).collect()]
+
+
+def test_a_batch_rewrites_its_buckets_only(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "s"), buckets=4)
+    own = {b: ids_in(4, b, 3, spark) for b in range(4)}
+    upkeep.upsert_batch(store, batch(spark, *[{"external_id": e, "skills": ["go"]} for b in own for e in own[b]]), NOW)
+    before = folders(tmp_path), folders(tmp_path, "job_skills")
+    upkeep.upsert_batch(store, batch(spark, {"external_id": own[2][0], "title": "Changed", "legacy_external_id": "not stored"}), NOW)
+    for table, old in zip(("jobs", "job_skills"), before):
+        named = {f"s/{table}/write={w}/bucket={b}" for b, writes in store.snapshot().held(table).items() for w in writes}
+        kept = {f for f in old if any(f.startswith(n) for n in named)}
+        assert {f for f in old if "bucket=2" not in f} == kept and not any("bucket=2" in f for f in kept)
+    assert store.read("jobs").count() == 12 and store.read("jobs").filter("title = 'Changed'").count() == 1
+    assert rows_of(store, "job_id", "skill", table="job_skills") == [(i, "go") for i in sorted(range(1, 13), key=lambda i: repr((i, "go")))]
+
+
+def test_rekeyed_jobs_move_to_their_bucket_with_their_skills(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "s"), buckets=8)
+    old, new = ids_in(8, 1, 1, spark)[0], ids_in(8, 5, 1, spark)[0]
+    upkeep.upsert_batch(store, batch(spark, {"external_id": old, "skills": ["go", "sql"]}), NOW)
+    upkeep.upsert_batch(store, batch(spark, {"external_id": new, "legacy_external_id": old}), NOW)
+    assert rows_of(store, "id", "external_id") == [(1, new)]
+    assert set(store.snapshot().held("jobs")) == {5} == set(store.snapshot().held("job_skills"))
+    assert rows_of(store, "job_id", "skill", table="job_skills") == [(1, "go"), (1, "sql")]
+
+
+def beaten(store, monkeypatch, faster):
+    """Another writer commits after the first upsert has read the store."""
+    real, calls = upkeep.upsert, []
+
+    def late(*args, **kw):
+        result = real(*args, **kw)
+        if not calls:
+            calls.append(1)
+            faster()
+        return result
+    monkeypatch.setattr(upkeep, "upsert", late)
+    return calls
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_no_row_is_lost_when_writers_overlap(spark, tmp_path, monkeypatch, same):
+    store, other = (TableStore(spark, str(tmp_path / "s"), buckets=4) for _ in range(2))
+    a, b = ids_in(4, 1, 2, spark)
+    c = ids_in(4, 3, 1, spark)[0]
+    upkeep.upsert_batch(store, batch(spark, {"external_id": "one"}), NOW)
+    theirs = b if same else c
+    beaten(store, monkeypatch, lambda: upkeep.upsert_batch(other, batch(spark, {"external_id": theirs}), NOW))
+    upkeep.upsert_batch(store, batch(spark, {"external_id": a}), NOW)
+    assert sorted(r.external_id for r in store.read("jobs").collect()) == sorted(["one", theirs, a])
+    assert store.read("jobs").select(F.count_distinct("id")).first()[0] == 3
+    assert store.version() == 3 and store.vacuum() == 0
+
+
+def test_prune_beside_an_upsert_of_the_same_bucket(spark, tmp_path, monkeypatch):
+    store, other = (TableStore(spark, str(tmp_path / "s"), buckets=1) for _ in range(2))
+    upkeep.upsert_batch(store, batch(spark, {"external_id": "old", "posted_at": datetime(2024, 1, 1)}, {"external_id": "new"}), NOW)
+    beaten(store, monkeypatch, lambda: upkeep.prune(other, NOW, days=30))
+    upkeep.upsert_batch(store, batch(spark, {"external_id": "new", "title": "T"}), NOW)
+    assert rows_of(store, "external_id", "title") == [("new", "T")]
+
+
+def test_a_replayed_batch_that_another_writer_published_is_left_alone(spark, tmp_path, monkeypatch):
+    store, other = (TableStore(spark, str(tmp_path / "s")) for _ in range(2))
+    rows = batch(spark, {"external_id": "a"})
+    beaten(store, monkeypatch, lambda: upkeep.upsert_batch(other, rows, NOW, batch_id=7))
+    upkeep.upsert_batch(store, rows, NOW, batch_id=7)
+    assert store.version() == 1 and store.read("crawl_runs").count() == 1
+
+
+def filled(spark, tmp_path, **options):
+    store = TableStore(spark, str(tmp_path / "s"), **options)
+    days = [None if n % 9 == 0 else datetime(2025, 1 + n % 9, 1 + n % 27) for n in range(90)]
+    upkeep.upsert_batch(store, batch(spark, *[
+        {"external_id": f"e{n}", "posted_at": day, "skills": ["go"], "provider": ["github", "lever"][n % 2],
+         "title": ["Senior Engineer", "Engineer I"][n % 2], "description": ["5+ years", None][n % 2]} for n, day in enumerate(days)]), NOW)
+    return store
+
+
+def test_deletions_write_no_data_file_until_compaction(spark, tmp_path):
+    store = filled(spark, tmp_path, buckets=4)
+    data = [folders(tmp_path), folders(tmp_path, "job_skills")]
+    want = [r.id for r in maintenance.prune(store.read("jobs"), 60, NOW).orderBy("id").collect()]
+    upkeep.prune(store, NOW, days=60)
+    assert [r.id for r in store.read("jobs").orderBy("id").collect()] == want and 0 < len(want) < 90
+    assert [r.job_id for r in store.read("job_skills").orderBy("job_id").collect()] == want
+    upkeep.delete_jobs(store, store.read("jobs").limit(1), NOW)
+    assert store.read("jobs").count() == store.read("job_skills").count() == len(want) - 1
+    assert [folders(tmp_path), folders(tmp_path, "job_skills")] == data
+    left = rows_of(store, "id", "external_id", "posted_at")
+    version = store.compact(NOW)
+    assert version == store.version() and rows_of(store, "id", "external_id", "posted_at") == left
+    assert not any(store.snapshot().deletes["jobs"].values()) and store.compact(NOW) == version
+    assert store.vacuum(keep=1) > 0 and rows_of(store, "id", "external_id", "posted_at") == left
+
+
+def same_metrics(store):
+    got = aggregates.maintained_metrics(store.read("metrics")).first().asDict(recursive=True)
+    want = aggregates.ingestion_metrics(store.read("jobs")).first().asDict(recursive=True)
+    assert got == want
+    return got
+
+
+def test_maintained_metrics_equal_a_recount(spark, tmp_path, rows):
+    store = filled(spark, tmp_path, buckets=4)
+    first = same_metrics(store)
+    assert first["total"] == 90 and first["excluded_by_title"] == 45
+    upkeep.upsert_batch(store, batch(spark, {"external_id": "e1", "title": "Staff Engineer"}, {"external_id": "x"}), NOW)
+    same_metrics(store)
+    upkeep.prune(store, NOW, days=100)
+    same_metrics(store)
+    upkeep.backfill(store, rows("seq long, external_id string, posted_at timestamp", (1, "e18", datetime(2025, 10, 1)), (2, "e0", None)), NOW)
+    same_metrics(store)
+    upkeep.insert_batch(store, batch(spark, {"external_id": "e1"}, {"external_id": "y"}, {"external_id": None}), NOW)
+    last = same_metrics(store)
+    store.compact(NOW, share=0.0)
+    assert same_metrics(store) == last != first
+    upkeep.delete_jobs(store, store.read("jobs"), NOW)
+    assert same_metrics(store)["total"] == 0
+
+
+def test_backfill_through_the_store_equals_the_operator(spark, tmp_path, rows):
+    store = filled(spark, tmp_path, buckets=4)
+    scraped = rows("seq long, external_id string, posted_at timestamp", (1, "e0", datetime(2025, 9, 1)), (2, "e18", datetime(2025, 9, 2)),
+                   (3, "e9", datetime(2025, 9, 3)), (4, "e1", datetime(2025, 9, 4)))
+    want = sorted((r.id, r.posted_at) for r in joins.apply_backfill(store.read("jobs"), scraped).filter("posted_at IS NOT NULL").collect())
+    upkeep.backfill(store, scraped, NOW)
+    assert sorted((r.id, r.posted_at) for r in store.read("jobs").filter("posted_at IS NOT NULL").collect()) == want
+    assert store.read("jobs").count() == 90
+
+
+def test_lookups_and_recent_pages_read_fewer_files(spark, tmp_path):
+    store = filled(spark, tmp_path, buckets=4, rows_per_file=5)
+    snapshot = store.snapshot()
+    whole = len(snapshot.read("jobs").inputFiles())
+    assert whole > 16
+    recent = snapshot.posted_since("2025-09-01 00:00:00", undated=False)
+    assert 0 < len(recent.inputFiles()) <= whole // 2
+    late = "posted_at >= '2025-09-01'"
+    assert recent.filter(late).count() == store.read("jobs").filter(late).count() > 0
+    ids = spark.createDataFrame([("e7",), ("e40",), ("none",), (None,)], "external_id string")
+    found = snapshot.holding(ids)
+    assert len(found.inputFiles()) <= 4 and sorted(r.external_id for r in found.collect()) == ["e40", "e7"]
+    assert snapshot.buckets_holding(spark.createDataFrame([("none",)], "external_id string")) <= {0, 1, 2, 3}
+    every = spark.range(90).select(F.concat(F.lit("e"), "id").alias("external_id"))
+    assert snapshot.holding(every).count() == 90
+    upkeep.prune(store, NOW, days=60)
+    assert store.snapshot().holding(every).count() == store.read("jobs").count() < 90
+
+
+def test_runs_are_logged_in_the_batch_s_version(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "s"))
+    upkeep.upsert_batch(store, batch(spark, {"external_id": "1"}, {"external_id": "2", "provider": "lever"}, {"external_id": ""},
+                                     {"external_id": "3", "provider": "elsewhere"}), "2025-10-01 00:00:00")
+    upkeep.upsert_batch(store, batch(spark, {"external_id": "4"}), NOW, pages=lambda: 5, notes="again")
+    upkeep.upsert_batch(store, batch(spark).limit(0), "2026-01-01 00:00:00")
+    assert rows_of(store, "id", "provider", "jobs_discovered", "errors", "pages_fetched", "notes", table="crawl_runs") == [
+        (1, "github", 1, 1, None, None), (2, "lever", 1, 0, None, None), (3, "other", 1, 0, None, None), (4, "github", 1, 0, 5, "again")]
+    assert aggregates.last_ingest(store.read("crawl_runs")).first()[0] == datetime(2025, 10, 5)

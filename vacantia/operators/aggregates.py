@@ -42,18 +42,46 @@ def ingestion_metrics(jobs: DataFrame) -> DataFrame:
     """The full metrics record, in one pass: per provider, then over the few providers."""
     per_provider = jobs.groupBy("provider").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("posted_at").isNull()).alias("undated"),
-        _excluded("title-senior-term").alias("by_title"), _excluded("description-3plus-years").alias("by_yoe"))
+        _excluded("title-senior-term").alias("excluded_by_title"),
+        _excluded("description-3plus-years").alias("excluded_by_yoe"))
+    return _metrics_record(per_provider)
+
+
+def _metrics_record(per_provider: DataFrame) -> DataFrame:
     total = F.coalesce(F.sum("total"), F.lit(0))
     return per_provider.agg(
         total.alias("total"),
         total.alias("kept"),
-        F.coalesce(F.sum("by_title"), F.lit(0)).alias("excluded_by_title"),
-        F.coalesce(F.sum("by_yoe"), F.lit(0)).alias("excluded_by_yoe"),
+        F.coalesce(F.sum("excluded_by_title"), F.lit(0)).alias("excluded_by_title"),
+        F.coalesce(F.sum("excluded_by_yoe"), F.lit(0)).alias("excluded_by_yoe"),
         F.when(total > 0, F.sum("undated") / total * 100).otherwise(0.0).alias("percent_undated"),
         F.map_from_entries(F.array_sort(F.collect_list(
             F.struct("provider", F.struct("total", "undated"))))).alias("by_provider"))
 
 
+def metric_flags(jobs: DataFrame) -> DataFrame:
+    """What the metrics count of each stored job, with its place."""
+    reason = entry_decision(F.col("title"), F.col("description"))["reason"]
+    return jobs.select(
+        "bucket", "file", "pos", "provider", F.col("posted_at").isNull().alias("undated"),
+        F.coalesce(reason == "title-senior-term", F.lit(False)).alias("by_title"),
+        F.coalesce(reason == "description-3plus-years", F.lit(False)).alias("by_yoe"))
+
+
+def metric_rows(flags: DataFrame, sign: int = 1) -> DataFrame:
+    """Metrics per bucket and provider, or what they lose (sign -1)."""
+    return flags.groupBy("bucket", "provider").agg(*[(sign * value).cast("long").alias(name) for name, value in (
+        ("total", F.count(F.lit(1))), ("undated", F.count_if("undated")), ("excluded_by_title", F.count_if("by_title")),
+        ("excluded_by_yoe", F.count_if("by_yoe")))])
+
+
+def maintained_metrics(metrics: DataFrame) -> DataFrame:
+    """The metrics record from the stored counts alone; equal to a recount of the jobs."""
+    counts = ("total", "undated", "excluded_by_title", "excluded_by_yoe")
+    per_provider = metrics.groupBy("provider").agg(*[F.sum(c).alias(c) for c in counts]).filter("total <> 0")
+    return _metrics_record(per_provider)
+
+
 def last_ingest(crawl_runs: DataFrame) -> DataFrame:
     return crawl_runs.agg(F.max("finished_at").alias("last_ingest_at"))
 

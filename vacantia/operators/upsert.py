@@ -12,26 +12,34 @@ Legacy ids are looked up in the stored table.  Groups are folded by aggregates w
 results, so an id that holds much of the batch costs one row per map task.
 """
 
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vacantia.functions.exprs import as_timestamp, filled, strip
 from vacantia.functions.text import skill_label, slugify
+from vacantia.operators import runs
 from vacantia.operators.ranking import number_rows
 from vacantia.schemas import COMPANIES, INCOMING, JOB_SKILLS, JOBS
 from vacantia.session import cut_lineage
 
+# Takes as many ids of a table as there are rows; returns the one before the first.
+Ids = Callable[[str, DataFrame], int]
 LAST_WINS = ("url", "title", "location", "is_remote", "level", "description", "function", "seniority_score")
 KEY = ["provider", "external_id"]
+PREPARED = {"slug", "complete", "legacy_external_id"}
 
 
 class Upserted(NamedTuple):
+    """The three tables, the refused rows, and the companies among them that are new."""
+
     jobs: DataFrame
     companies: DataFrame
     job_skills: DataFrame
     rejects: DataFrame
+    created: DataFrame
 
 
 def conform(df: DataFrame, schema) -> DataFrame:
@@ -136,9 +144,9 @@ def fold(rows: DataFrame) -> DataFrame:
     )
 
 
-def next_ids(df: DataFrame, table: DataFrame, seq: str) -> DataFrame:
-    """Give rows ids above the largest stored one, in ``seq`` order."""
-    largest = F.coalesce(table.select(F.max("id")).scalar(), F.lit(0).cast("long"))
+def next_ids(df: DataFrame, table: DataFrame, seq: str, taken: int | None = None) -> DataFrame:
+    """Give rows ids in ``seq`` order, above the largest stored one or above those taken."""
+    largest = F.coalesce(table.select(F.max("id")).scalar(), F.lit(0).cast("long")) if taken is None else F.lit(taken)
     return number_rows(df, "_n", seq=seq).withColumn("id", F.col("_n") + largest).drop("_n")
 
 
@@ -160,7 +168,7 @@ def _first_claims(pairs: DataFrame) -> DataFrame:
     return chosen
 
 
-def resolve_companies(refs: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve_companies(refs: DataFrame, companies: DataFrame, ids: Ids | None = None) -> tuple[DataFrame, DataFrame]:
     """What each (slug, company) reference finds, and the companies to create.
 
     As if references came one by one in ``seq`` order: each matches by slug, else by name, among the stored companies and
@@ -173,7 +181,7 @@ def resolve_companies(refs: DataFrame, companies: DataFrame) -> tuple[DataFrame,
     by_name = companies.groupBy(F.col("name").alias("company")).agg(F.min("id").alias("stored_name"))
     matched = cut_lineage(seen.join(by_slug, "slug", "left").join(by_name, "company", "left"))
     makers = _first_claims(matched.filter("stored_slug IS NULL AND stored_name IS NULL").select("slug", "company", "seq"))
-    created = next_ids(makers, companies, "seq").select("id", F.col("company").alias("name"), "slug", "seq")
+    created = next_ids(makers, companies, "seq", ids and ids("companies", makers)).select("id", F.col("company").alias("name"), "slug", "seq")
     new_slugs = created.select("slug", F.col("id").alias("new_slug"), F.col("seq").alias("slug_from"))
     new_names = created.select(F.col("name").alias("company"), F.col("id").alias("new_name"))
     mapping = matched.join(new_slugs, "slug", "left").join(new_names, "company", "left").select(
@@ -220,25 +228,30 @@ def replace_skills(job_skills: DataFrame, touched: DataFrame) -> DataFrame:
     return kept.unionByName(_skill_rows(given))
 
 
-def upsert(jobs: DataFrame, companies: DataFrame, job_skills: DataFrame, incoming: DataFrame, as_of) -> Upserted:
+def upsert(jobs: DataFrame, companies: DataFrame, job_skills: DataFrame, incoming: DataFrame, as_of,
+           ids: Ids | None = None, seen: Observation | None = None) -> Upserted:
     """New versions of the three tables, and the refused rows (seq, provider, external_id, reason).
 
     The batch, its resolved and its folded form are written out once, as every result is made
-    from them; the stored tables are read by the joins alone.
+    from them; the stored tables are read by the joins alone. ``ids`` hands out ids where others write too, and ``seen``
+    observes how many rows each provider has and how many are refused.
     """
     now = as_timestamp(as_of)
     jobs, companies = conform(jobs, JOBS), conform(companies, COMPANIES)
     job_skills = conform(job_skills, JOB_SKILLS)
-    rows = cut_lineage(resolve(prepared(incoming), jobs))
+    batch = incoming if PREPARED <= set(incoming.columns) else prepared(incoming)
+    resolved = resolve(batch, jobs)
+    rows = cut_lineage(resolved.observe(seen, *runs.counts()) if seen else resolved)
     accepted = rows.filter("reason IS NULL")
     mapping, created = resolve_companies(
-        accepted.filter("slug IS NOT NULL").select("slug", "company", "seq"), companies)
+        accepted.filter("slug IS NOT NULL").select("slug", "company", "seq"), companies, ids)
     folded = fold(accepted).withColumn("slug", F.col("company_ref.slug")).withColumn(
         "company", F.col("company_ref.company")).withColumn("at", F.col("company_ref.at")).drop("company_ref")
     folded = cut_lineage(_with_company(folded, mapping, "at").drop("at"))
 
     updated = _updated(jobs, folded.filter("state_id IS NOT NULL"), now)
-    fresh = next_ids(folded.filter("state_id IS NULL"), jobs, "first_seq")
+    opened = folded.filter("state_id IS NULL")
+    fresh = next_ids(opened, jobs, "first_seq", ids and ids("jobs", opened))
     inserted = conform(
         fresh.withColumn("is_remote", F.coalesce("is_remote", F.lit(False)))
         .withColumn("level", F.coalesce("level", F.lit("unknown")))
@@ -250,10 +263,11 @@ def upsert(jobs: DataFrame, companies: DataFrame, job_skills: DataFrame, incomin
         companies=companies.unionByName(created),
         job_skills=replace_skills(job_skills, touched),
         rejects=rows.filter("reason IS NOT NULL").select("seq", *KEY, "reason"),
+        created=created,
     )
 
 
-def insert_only(jobs: DataFrame, companies: DataFrame, incoming: DataFrame, as_of) -> Upserted:
+def insert_only(jobs: DataFrame, companies: DataFrame, incoming: DataFrame, as_of, ids: Ids | None = None) -> Upserted:
     """What to add to the three tables (the first complete row of each key not stored yet), and the refused rows."""
     now = as_timestamp(as_of)
     batch = prepared(incoming)
@@ -267,8 +281,8 @@ def insert_only(jobs: DataFrame, companies: DataFrame, incoming: DataFrame, as_o
         .when(F.col("stored") | (F.col("seq") > F.col("first_seq")), "duplicate-key"))
     marked = cut_lineage(marked)
     accepted = marked.filter("reason IS NULL")
-    mapping, created = resolve_companies(accepted.select("slug", "company", "seq"), conform(companies, COMPANIES))
-    fresh = next_ids(_with_company(accepted, mapping, "seq"), jobs, "seq")
+    mapping, created = resolve_companies(accepted.select("slug", "company", "seq"), conform(companies, COMPANIES), ids)
+    fresh = next_ids(_with_company(accepted, mapping, "seq"), jobs, "seq", ids and ids("jobs", accepted))
     added = conform(
         fresh.withColumn("is_remote", F.coalesce("is_remote", F.lit(False)))
         .withColumn("level", F.coalesce("level", F.lit("unknown")))
@@ -276,4 +290,4 @@ def insert_only(jobs: DataFrame, companies: DataFrame, incoming: DataFrame, as_o
     given = fresh.select(F.col("id").alias("job_id"), "skills")
     return Upserted(
         jobs=added, companies=created, job_skills=_skill_rows(given.filter("skills IS NOT NULL")),
-        rejects=marked.filter("reason IS NOT NULL").select("seq", *KEY, "reason"))
+        rejects=marked.filter("reason IS NOT NULL").select("seq", *KEY, "reason"), created=created)

@@ -67,6 +67,15 @@ CRAWL_RUNS = _struct(
     ("notes", T.StringType()),
 )
 
+# Counts that add up over buckets and over changes; rows that went away count negative.
+METRICS = _struct(
+    ("provider", T.StringType()),
+    ("total", T.LongType()),
+    ("undated", T.LongType()),
+    ("excluded_by_title", T.LongType()),
+    ("excluded_by_yoe", T.LongType()),
+)
+
 # One row per record handed to the upsert.
 INCOMING = _struct(
     ("seq", T.LongType()),

@@ -2,10 +2,11 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vacantia.operators.runs import observed
 from vacantia.plans.upkeep import upsert_batch
 from vacantia.sources.tables import TableStore
 
@@ -30,7 +31,9 @@ def ingest_stream(payloads: DataFrame, parser: Callable[[DataFrame], DataFrame],
         return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        upsert_batch(store, to_records(parser(batch)), as_of, batch_id, stream_id(batch.sparkSession))
+        seen = Observation()
+        records = to_records(parser(batch.observe(seen, F.count(F.lit(1)).alias("pages"))))
+        upsert_batch(store, records, as_of, batch_id, stream_id(batch.sparkSession), lambda: observed(seen).get("pages"))
 
     return (
         payloads.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
