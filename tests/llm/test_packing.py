@@ -105,3 +105,21 @@ def test_merging_agrees_with_the_library_on_the_table():
     every = sorted({w for t in texts if t for w in t.split()} | {n.removesuffix(packing.END) for n in library.get_vocab()})
     for word, code, want in zip(every, words.encode(every), library.encode_batch(every, add_special_tokens=False)):
         assert code == np.array(want.ids, dtype="<u4").tobytes() or word.split() != [word], repr(word)
+
+
+def test_simple_texts_are_encoded_as_the_library_does():
+    rng = random.Random(9)
+    parts = ["the", "'s", "'re", "'", " ", "  ", "\n", "\"'s", "'sam", "9", "42", "é", "É", "ñ", ".", "...", "x_y", "don't", "'LL", "ss'd",
+             "\t", "'t'", "7's", "Ā", "漢", "“", "<|", "İ", "½"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)] + [None, "", " "]
+    library, words = Tokenizer.from_file(PATH), packing._Words(PATH)
+    for text, code in zip(texts, words.encode(texts)):
+        assert np.frombuffer(code, dtype="<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_a_worker_keeps_one_operators_memory():
+    from vacantia.llm import common
+    first = common.remembered("a", lambda: [1])
+    assert common.remembered("a", lambda: [2]) is first
+    common.remembered("b", lambda: [3])
+    assert list(common._REMEMBERED) == ["b"]

@@ -1,6 +1,6 @@
 """Pieces that several corpus operators share."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_REMEMBERED: dict = {}
+
+
+def remembered(name: Hashable, make: Callable[[], object]):
+    """What a Python worker keeps between tasks: one object, so that a new operator's takes the last one's place.
+
+    Objects bound their own memory. Workers are reused by all jobs of a session, whichever operator they belong to.
+    """
+    if name not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[name] = make()
+    return _REMEMBERED[name]
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``most`` bytes of text each; a longer text is a run of its own."""
     if not batch.num_rows:

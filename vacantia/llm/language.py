@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import pieces as text_pieces
+from vacantia.llm.common import pieces as text_pieces, remembered
 from vacantia.llm.shingles import powers, mix
 
 # Labelled texts that are learned from, per language.
@@ -30,8 +30,8 @@ UNDECIDED = "und"
 
 # Words whose lattices are built at once.
 BATCH = 20_000
-# Remembered words per Python worker; then the memory is emptied.
-REMEMBERED = 300_000
+# Remembered words per Python worker, some 40 MB; then the memory is emptied.
+REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -241,15 +241,9 @@ class _Memory:
         return out
 
 
-_MEMORY: dict[int, _Memory] = {}
-
-
 def _memory(model: Model, name: int) -> _Memory:
     """One memory per Python worker, for the model last used."""
-    if name not in _MEMORY:
-        _MEMORY.clear()
-        _MEMORY[name] = _Memory(model)
-    return _MEMORY[name]
+    return remembered(("language", name), lambda: _Memory(model))
 
 
 def learn(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", label: str = "lang",

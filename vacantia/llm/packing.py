@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import pieces
+from vacantia.llm.common import pieces, remembered
 from vacantia.session import cut_lineage
 
 WINDOW = 2048
@@ -28,14 +28,23 @@ SHARD = 1 << 19
 TERMS = 16
 K1, B = 1.2, 0.75
 
-# Remembered words per Python worker; then the memory is emptied.
-REMEMBERED = 1_500_000
+# Remembered words of the texts that are encoded word by word, some 20 MB; then the memory is emptied.
+REMEMBERED = 100_000
 
 # Fixed names of the tokenizer file: how a vocabulary entry marks the end of a pre-token, and what pre-tokens are.
 END = "</w>"
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = re.compile("[\x21-\x7e\xa1-\u024f]+")
 _SEPARATOR = re.compile("[\x1c-\x1f]")
+# Texts of these characters only are cut into pre-tokens by the class of their bytes, many texts at once.
+_SIMPLE = re.compile("[\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]*")
+_SPACE, _LETTER, _DIGIT, _MARK = range(4)
+_CLASS = np.full(256, _MARK, dtype=np.uint8)
+_CLASS[[9, 10, 13, 32]] = _SPACE
+_CLASS[[b for b in range(256) if b >= 128 or chr(b).isalpha()]] = _LETTER
+_CLASS[list(b"0123456789")] = _DIGIT
+# What follows an apostrophe that begins a pre-token of its own.
+_CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
 
 def byte_names() -> dict[int, str]:
@@ -46,11 +55,12 @@ def byte_names() -> dict[int, str]:
 
 
 class _Words:
-    """Token ids of texts by their words, each word's ids being kept as little-endian 32-bit numbers.
+    """Token ids of texts, as little-endian 32-bit numbers.
 
-    The tokenizer drops white space and joins nothing across it. Plain words (ASCII and Latin letters, the usual marks) are
-    cut into pre-tokens here and merged by ``tiktoken`` with the tokenizer's own vocabulary and ranks, a space standing for
-    the end of a pre-token; other words go to the tokenizer.
+    The tokenizer drops white space and joins nothing across it. Simple texts (ASCII and Latin letters, the usual marks) are
+    cut into pre-tokens here, all texts of a piece at once, and merged by ``tiktoken`` with the tokenizer's own vocabulary
+    and ranks, a space standing for the end of a pre-token. Of other texts, plain words are merged in the same way and the
+    rest go to the tokenizer; each word's ids are remembered.
     """
 
     def __init__(self, path):
@@ -99,17 +109,57 @@ class _Words:
 
     def encode(self, texts):
         """Ids of each text. The separators U+001C to U+001F are white space to Python only; texts with them go whole."""
-        lists = [t.split() if t and not _SEPARATOR.search(t) else [] for t in texts]
+        simple = [not t or (_SIMPLE.fullmatch(t) is not None and "<|" not in t) for t in texts]
+        many = iter(self._simple([t or "" for t, s in zip(texts, simple) if s]))
+        one = iter(self._by_words([t for t, s in zip(texts, simple) if not s]))
+        return [next(many if s else one) for s in simple]
+
+    def _by_words(self, texts):
+        lists = [t.split() if not _SEPARATOR.search(t) else [] for t in texts]
         needed = set().union(*lists)
         new = needed.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, needed
         self._learn(new)
         known = self.known.__getitem__
-        return [self._whole(t) if t and not words else b"".join(map(known, words)) for t, words in zip(texts, lists)]
+        return [self._whole(t) if not words else b"".join(map(known, words)) for t, words in zip(texts, lists)]
+
+    def _simple(self, texts):
+        data = [t.lower().encode() for t in texts]
+        last = np.cumsum([len(d) + 1 for d in data])
+        line = np.frombuffer(b"\n".join([*data, b""]), dtype=np.uint8)
+        starts = pretoken_starts(line)
+        if not len(starts):
+            return [b""] * len(texts)
+        # every pre-token gets one space behind it, and white space goes
+        inside = _CLASS[line] != _SPACE
+        kept = line[inside]
+        at = (np.cumsum(inside) - 1)[starts]
+        spaced = np.insert(kept, at[1:], 32).tobytes().decode() + " "
+        ids = self.merges.encode_to_numpy(spaced)
+        ends = np.flatnonzero(self.ends[ids]) + 1  # one for each pre-token
+        upto = 4 * np.r_[0, ends][np.r_[0, np.searchsorted(starts, last)]]
+        code = ids.astype("<u4", copy=False).tobytes()
+        return [code[lo:hi] for lo, hi in zip(upto[:-1].tolist(), upto[1:].tolist())]
 
 
-_OPEN: dict[str, _Words] = {}
+def pretoken_starts(line: np.ndarray) -> np.ndarray:
+    """Where pre-tokens begin in the bytes of simple texts in lower case.
+
+    A pre-token is a run of letters, one digit, or a run of marks; a contraction is one where its apostrophe does not
+    follow another mark.
+    """
+    kind = _CLASS[line]
+    before = np.r_[np.uint8(_SPACE), kind[:-1]]
+    begins = (kind != _SPACE) & ((kind != before) | (kind == _DIGIT))
+    for at in np.flatnonzero((line == ord("'")) & (before != _MARK)).tolist():
+        rest = line[at + 1:at + 3].tobytes()
+        size = next((len(c) for c in _CONTRACTIONS if rest.startswith(c)), 0)
+        if size:
+            begins[at + 1] = False
+            if at + 1 + size < len(line):
+                begins[at + 1 + size] = kind[at + 1 + size] != _SPACE
+    return np.flatnonzero(begins)
 
 
 def _cut(docs: DataFrame, path: str, key: str, text: str, end: int, kept: str) -> DataFrame:
@@ -121,9 +171,7 @@ def _cut(docs: DataFrame, path: str, key: str, text: str, end: int, kept: str) -
     last = np.array([end], dtype="<u4").tobytes()
 
     def run(batches):
-        if path not in _OPEN:
-            _OPEN[path] = _Words(path)
-        words, serial = _OPEN[path], TaskContext.get().partitionId() << 33
+        words, serial = remembered(("packing", path), lambda: _Words(path)), TaskContext.get().partitionId() << 33
         for batch in batches:
             for piece in pieces(batch, text):
                 at, start, length, crc, total, sequence, ids, rare = ([] for _ in range(8))

@@ -8,7 +8,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import map_pieces
+from vacantia.llm.common import map_pieces, remembered
 
 # Fixed pattern of the byte-level pre-tokenizer.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -74,9 +74,6 @@ class _Counter(dict):
         return self[first] + sum(map(self.__getitem__, [" " + r for r in rest]))
 
 
-_OPEN: dict[str, _Counter] = {}
-
-
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
     """Per document: UTF-8 bytes, tokens as the tokenizer file gives them, and whether they exceed ``limit``.
 
@@ -87,9 +84,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     whole = whole_tokens(path)
 
     def work(batch):
-        if path not in _OPEN:
-            _OPEN[path] = _Counter(path, whole)
-        counter = _OPEN[path]
+        counter = remembered(("token counts", path), lambda: _Counter(path, whole))
         tokens = [counter.count(t) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(tokens, pa.int64()), batch.column(2)], names=[key, "n_tokens", "n_bytes"])
