@@ -273,7 +273,7 @@ def gh_postings(spark, sf):
     return boards.greenhouse(view(spark, sf, "gh_landed_fx"))
 
 
-BUDGET = f"""WITH p AS (SELECT payload_id * 1048576 + pos AS seq, token, CASE pos WHEN 0 THEN 'https://boards.example.com/g/' ELSE 'https://boards.example.com/h/' END || payload_id AS url,
+BUDGET = f"""WITH p AS (SELECT payload_id * 2147483648 + pos AS seq, token, CASE pos WHEN 0 THEN 'https://boards.example.com/g/' ELSE 'https://boards.example.com/h/' END || payload_id AS url,
  CASE pos WHEN 0 THEN 'Software Engineer I' ELSE 'Staff Engineer' END AS title, pos FROM (SELECT *, unnest(range(0, 2)) AS pos FROM gh_landed_fx)),
 b AS (SELECT p.*, row_number() OVER (PARTITION BY token ORDER BY pos, seq) AS budget_rank FROM p JOIN board_page_fx w ON w.url = p.url)"""
 
@@ -281,7 +281,7 @@ b AS (SELECT p.*, row_number() OVER (PARTITION BY token ORDER BY pos, seq) AS bu
 @query("wn3_snippet_budget", f"{BUDGET} SELECT seq, token, budget_rank FROM b WHERE budget_rank <= 30")
 def wn3(spark, sf):
     chosen = greenhouse_budget.budgeted_snippets(gh_postings(spark, sf), read_pages(view(spark, sf, "board_page_fx")))
-    return chosen.select("seq", "token", F.col("budget_rank").cast("long").alias("budget_rank"))
+    return chosen.select(F.col("seq").cast("long").alias("seq"), "token", F.col("budget_rank").cast("long").alias("budget_rank"))
 
 
 @query("a11_junior_snippets", f"{BUDGET} SELECT count(*) AS n FROM b WHERE budget_rank <= 30 AND pos = 0")

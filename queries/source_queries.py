@@ -32,10 +32,15 @@ WITH d AS (SELECT payload_id, company_id, unnest(range(0, {count})) AS pos, body
 i AS (SELECT d.*, c.name AS company, json_extract(body, {path}) AS item FROM d JOIN companies_fx c ON c.id = d.company_id),
 v AS (SELECT payload_id, company_id, pos, company, {url} AS url,
  {SQUEEZE.format(f"coalesce({js(*title)}, '')")} AS title, {js(*location)} AS place, {posted} AS posted_at FROM i WHERE item IS NOT NULL)
-SELECT payload_id * 1048576 + pos AS seq, concat('tok', CAST(company_id AS VARCHAR)) AS token, title, company, url, '{source}' AS source,
+SELECT payload_id * 2147483648 + pos AS seq, concat('tok', CAST(company_id AS VARCHAR)) AS token, title, company, url, '{source}' AS source,
  {PLACE.format('place')} AS location, posted_at, {LEVEL.format('title')} AS level FROM v"""
 
 
+def numbered(postings, *columns):
+    """The arrival number as a long, which it fits here."""
+    return postings.withColumn("seq", F.col("seq").cast("long")).select(*(columns or SHAPE))
+
+
 def js(*keys):
     return "coalesce(" + ", ".join(f"nullif(json_extract_string(item, '$.{k}'), '')" for k in keys) + ")"
 
@@ -44,7 +49,7 @@ def js(*keys):
     "gh_payload_fx", "greenhouse", "'$.jobs[' || pos || ']'", 2, js("absolute_url"), ["title"], ["location.name"],
     WALL.format(js("updated_at", "created_at"))))
 def s1(spark, sf):
-    return registry.fetch("greenhouse", landed(spark, sf, "gh_payload_fx")).select(*SHAPE)
+    return numbered(registry.fetch("greenhouse", landed(spark, sf, "gh_payload_fx")))
 
 
 @query("s2_lever", board_sql(
@@ -53,7 +58,7 @@ def s1(spark, sf):
     f"CASE WHEN {js('createdAt')} IS NOT NULL THEN make_timestamp(CAST({js('createdAt')} AS BIGINT) * 1000) "
     f"ELSE {WALL.format(js('updatedAt'))} END"))
 def s2(spark, sf):
-    return registry.fetch("lever", landed(spark, sf, "lever_payload_fx")).select(*SHAPE)
+    return numbered(registry.fetch("lever", landed(spark, sf, "lever_payload_fx")))
 
 
 @query("s3_workday", board_sql(
@@ -63,7 +68,7 @@ def s2(spark, sf):
     f"CASE WHEN {js('startDate')} IS NOT NULL THEN make_timestamp(CAST({js('startDate')} AS BIGINT) * 1000000) "
     f"ELSE {UTC.format(js('meta.postedDate'))} END"))
 def s3(spark, sf):
-    return registry.fetch("workday", landed(spark, sf, "workday_payload_fx")).select(*SHAPE)
+    return numbered(registry.fetch("workday", landed(spark, sf, "workday_payload_fx")))
 
 
 @query("s4_ashby", board_sql(
@@ -72,7 +77,7 @@ def s3(spark, sf):
     f"coalesce({js('jobPostingUrl', 'jobUrl')}, 'https://jobs.ashbyhq.com/tok' || company_id || '/job/' || {js('slug')})",
     ["title", "jobTitle"], ["locationText"], WALL.format(js("publishedAt", "posting.updatedAt"))) + " WHERE title <> ''")
 def s4(spark, sf):
-    return registry.fetch("ashby", landed(spark, sf, "ashby_payload_fx")).select(*SHAPE)
+    return numbered(registry.fetch("ashby", landed(spark, sf, "ashby_payload_fx")))
 
 
 LINK_SHAPE = ["page_id", "title", "url", "location", "posted_text", "slug"]
@@ -87,11 +92,11 @@ def s5(spark, sf):
 
 
 @query("s5_ashby_answer_postings", f"""
-SELECT page_id * 1048576 AS seq, 'Engineer I' AS title, {BOARD} || '/1/' AS url, 'Remote (US)' AS location, TIMESTAMP '2025-09-15 00:00:00' AS posted_at FROM ashby_answer_fx
-UNION ALL SELECT page_id * 1048576 + 1, 'Deep Role', 'https://jobs.ashbyhq.com/tok/tok' || (page_id % 50) || '/3', NULL, TIMESTAMP '2025-09-16 00:00:00' FROM ashby_answer_fx""")
+SELECT page_id * 2147483648 AS seq, 'Engineer I' AS title, {BOARD} || '/1/' AS url, 'Remote (US)' AS location, TIMESTAMP '2025-09-15 00:00:00' AS posted_at FROM ashby_answer_fx
+UNION ALL SELECT page_id * 2147483648 + 1, 'Deep Role', 'https://jobs.ashbyhq.com/tok/tok' || (page_id % 50) || '/3', NULL, TIMESTAMP '2025-09-16 00:00:00' FROM ashby_answer_fx""")
 def s5_postings(spark, sf):
-    return board_pages.ashby_from_answers(view(spark, sf, "ashby_answer_fx")).select(
-        "seq", "title", "url", "location", "posted_at")
+    return numbered(board_pages.ashby_from_answers(view(spark, sf, "ashby_answer_fx")),
+                    "seq", "title", "url", "location", "posted_at")
 
 
 @query("s6_ashby_links", f"""
@@ -130,12 +135,12 @@ def s7(spark, sf):
 
 
 @query("s8_workable", """
-SELECT page_id * 1048576 AS seq, 'tok' || (page_id % 50) AS token, 'Junior Developer' AS title, 'Acme' AS company,
+SELECT page_id * 2147483648 AS seq, 'tok' || (page_id % 50) AS token, 'Junior Developer' AS title, 'Acme' AS company,
  'https://apply.workable.com/tok' || (page_id % 50) || '/tok' || (page_id % 50) || '/j/A1/' AS url, 'workable' AS source, 'Remote - US' AS location,
  CAST(NULL AS TIMESTAMP) AS posted_at, 'junior' AS level FROM workable_page_fx
-UNION ALL SELECT page_id * 1048576 + 1, 'tok' || (page_id % 50), 'Data Engineer', 'Acme', 'https://h.example.com/jobs/' || page_id, 'workable', 'Remote OK', NULL, NULL FROM workable_page_fx""")
+UNION ALL SELECT page_id * 2147483648 + 1, 'tok' || (page_id % 50), 'Data Engineer', 'Acme', 'https://h.example.com/jobs/' || page_id, 'workable', 'Remote OK', NULL, NULL FROM workable_page_fx""")
 def s8(spark, sf):
-    return registry.fetch("workable", view(spark, sf, "workable_page_fx")).select(*SHAPE)
+    return numbered(registry.fetch("workable", view(spark, sf, "workable_page_fx")))
 
 
 def lists(spark, sf):

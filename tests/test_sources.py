@@ -149,3 +149,41 @@ def test_enabled_sources():
     assert directory.enabled_sources("ALL") == directory.enabled_sources("*") == list(
         ("greenhouse", "lever", "workday", "ashby", "workable"))
     assert directory.enabled_sources(" Lever, ashby ") == ["lever", "ashby"]
+
+
+def test_arrival_numbers_hold_any_payload_id_and_position(rows):
+    ids = [-2 ** 63, -1, 0, 2 ** 43, 2 ** 43 + 1, 2 ** 63 - 1]
+    body = json.dumps([{"title": f"Engineer {n}", "url": f"https://a/{n}"} for n in range(3)])
+    df = boards.ashby(rows(LANDED, *[(i, "t", "A", "h", "p", body) for i in ids]))
+    got = [(r.title, r.seq) for r in df.orderBy("seq").collect()]
+    assert [t for t, _ in got] == [f"Engineer {n}" for _ in ids for n in range(3)]
+    assert [s for _, s in got] == [i * 2 ** 31 + n for i in ids for n in range(3)]
+
+
+def test_list_rows_are_numbered_whatever_their_source(rows):
+    row = "| ExampleCo | New Grad SWE | Remote - US | | [Apply](https://example.com/{}) |\n"
+    docs = rows("source_idx long, md string", *[(i, TABLE + row.format(f"{i}a") + row.format(f"{i}b")) for i in (2 ** 62, 3)])
+    got = curated_batch(docs, "2025-09-30 10:00:00").orderBy("seq").collect()
+    assert [(r.seq, r.url[-2:]) for r in got] == [(1, "3a"), (2, "3b"), (3, "4a"), (4, "4b")]
+
+
+def test_board_links_of_odd_tokens_and_pages(rows):
+    token = r"a.b+\E"
+    pages = [(1, token, f'x "{token}/job/7" <!-- <script>{{"jobUrl":"/{token}/job/8"}}</script> --> <a href=" /{token}/job/9?x#y ">N <i>ine</i></a>'),
+             (2, token, None), (3, token, ""), (4, "", '"/job/1"'), (5, "azb", '"a.b/job/7"')]
+    got = board_pages.ashby_links(rows("page_id long, token string, html string", *pages)).collect()
+    assert [(r.slug, r.title, r.url[-4:]) for r in sorted(got, key=lambda r: r.pos)] == [
+        ("9", "N ine", "?x#y"), ("7", "", "ob/7"), ("8", "", "ob/8"), ("9", "", "ob/9")]
+    assert {r.page_id for r in got} == {1}
+
+
+def test_text_reader_equals_the_tree():
+    import random
+
+    from vacantia.functions.html import parse, visible_text
+    rng = random.Random(3)
+    parts = ["<p>", "</p>", "<br>", "<br/>", "<div class='a'>", "</div>", "<script>", "</script>", "<style>", "</style>", "<template>",
+             "</template>", " text ", "a&amp;b", "&lt;", "<!-- c -->", "</span>", "<b>", "</b>", "\n", "<img src=x>", "<!doctype html>", "&#x41"]
+    for _ in range(3000):
+        page = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert visible_text(page) == parse(page).text(), page

@@ -68,3 +68,8 @@ def as_timestamp(value) -> Column:
     if isinstance(value, Column):
         return value.cast("timestamp")
     return F.lit(value).cast("timestamp")
+
+
+def arrival(owner: Column, pos: Column) -> Column:
+    """One number that orders rows by (owner, pos), for any long and any int; wide enough that none collide."""
+    return (owner.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + pos.cast("decimal(10,0)")).cast("decimal(38,0)")

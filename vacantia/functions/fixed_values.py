@@ -218,3 +218,9 @@ PAGE_LIMIT = 25
 PAGE_LIMIT_MAX = 100
 ORDERS = ("id_desc", "id_asc", "posted_at_desc", "posted_at_asc")
 DEFAULT_ORDER = "posted_at_desc"
+
+# ---- objects that point to a posting ---------------------------------------------------
+# Keys under which they name its address, title and date; the first that is filled counts.
+POSTING_LINK_KEYS = ("jobPostingUrl", "jobPostUrl", "url", "jobUrl")
+POSTING_TITLE_KEYS = ("title", "jobTitle")
+POSTING_DATE_KEYS = ("publishedAt", "updatedAt")

@@ -95,9 +95,59 @@ def parse(html: str) -> Node:
     return builder.root
 
 
+class _TextReader(HTMLParser):
+    """Visible strings of a page, collected while it is parsed; only the names of open elements are kept."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.strings, self.run, self.open, self.hidden = [], [], [], 0
+
+    def end_run(self):
+        if self.run:
+            text = "".join(self.run).strip()
+            if text:
+                self.strings.append(text)
+            self.run.clear()
+
+    def handle_starttag(self, tag, attrs):
+        self.end_run()
+        if tag not in VOID:
+            self.open.append(tag)
+            self.hidden += tag in HIDDEN
+
+    def handle_startendtag(self, tag, attrs):
+        self.end_run()
+
+    def handle_endtag(self, tag):
+        self.end_run()
+        if tag in self.open:
+            while True:
+                last = self.open.pop()
+                self.hidden -= last in HIDDEN
+                if last == tag:
+                    return
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.run.append(data)
+
+    def _skip(self, _):
+        self.end_run()
+
+    handle_comment = handle_decl = handle_pi = unknown_decl = _skip
+
+
+def visible_text(html: str) -> str:
+    reader = _TextReader()
+    reader.feed(html)
+    reader.close()
+    reader.end_run()
+    return " ".join(reader.strings)
+
+
 @F.pandas_udf(StringType())
 def _page_text(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda html: parse(html).text() if html else None)
+    return pages.map(lambda html: visible_text(html) if html else None)
 
 
 def page_text(html: Column) -> Column:

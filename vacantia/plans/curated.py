@@ -10,9 +10,6 @@ from vacantia.session import cut_lineage
 from vacantia.sources.board_pages import first_landed
 from vacantia.sources.curated import curated_postings
 
-# A list's rows are numbered below this bound.
-_ROW_BITS = 24
-
 
 def landed_lists(sources: DataFrame, pages: DataFrame) -> DataFrame:
     """(source_idx, md) of each list address, from the first candidate address that has landed.
@@ -27,8 +24,7 @@ def landed_lists(sources: DataFrame, pages: DataFrame) -> DataFrame:
 def curated_batch(lists: DataFrame, as_of, **options) -> DataFrame:
     """Upsert records in list order, numbered."""
     records = curated_postings(lists, as_of, **options)
-    arrival = F.shiftleft(F.col("source_idx"), _ROW_BITS + 2) + F.shiftleft(
-        F.col("parser_idx").cast("long"), _ROW_BITS) + F.col("row_idx")
+    arrival = F.struct("source_idx", "parser_idx", "row_idx")
     return number_rows(cut_lineage(records.withColumn("_arrival", arrival)), "seq", seq="_arrival").drop("_arrival")
 
 

@@ -10,7 +10,7 @@ def _struct(*fields) -> T.StructType:
 
 
 POSTINGS = _struct(
-    ("seq", T.LongType()),
+    ("seq", T.DecimalType(38, 0)),
     ("title", T.StringType()),
     ("company", T.StringType()),
     ("url", T.StringType()),

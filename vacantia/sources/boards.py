@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import dates, text
 from vacantia.functions.classify import infer_level
-from vacantia.functions.exprs import filled, first_filled
-
-POSITION_BITS = 20
+from vacantia.functions.exprs import arrival, filled, first_filled
 
 _GREENHOUSE = (
     "jobs array<struct<absolute_url:string,title:string,location:struct<name:string>,updated_at:string,"
@@ -36,7 +34,7 @@ def _postings(landed: DataFrame, items: Column, source: str, url: Column, title:
               posted_at: Column) -> DataFrame:
     exploded = landed.select("*", F.posexplode(items).alias("pos", "item"))
     return exploded.select(
-        (F.shiftleft("payload_id", POSITION_BITS) + F.col("pos")).alias("seq"),
+        arrival(F.col("payload_id"), F.col("pos")).alias("seq"),
         "token",
         text.normalize_title(F.coalesce(title, F.lit(""))).alias("title"),
         text.normalize_company(F.coalesce("company", "token")).alias("company"),

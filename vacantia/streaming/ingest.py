@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vacantia.functions.text import external_id
+from vacantia.operators.ranking import number_rows
 from vacantia.operators.runs import observed
 from vacantia.plans.upkeep import upsert_batch
 from vacantia.sources.tables import TableStore
@@ -42,8 +44,8 @@ def ingest_stream(payloads: DataFrame, parser: Callable[[DataFrame], DataFrame],
 
 
 def board_records(postings: DataFrame) -> DataFrame:
-    """Parsed postings as upsert records."""
-    from vacantia.functions.text import external_id
-    return postings.filter("url <> '' AND title <> ''").select(
+    """Parsed postings as upsert records, numbered in order of arrival."""
+    found = number_rows(postings.filter("url <> '' AND title <> ''").withColumnRenamed("seq", "arrival"), "seq", seq="arrival")
+    return found.select(
         "seq", F.col("source").alias("provider"), external_id([], F.col("url")).alias("external_id"), "url",
         "company", "title", "location", F.coalesce("level", F.lit("unknown")).alias("level"), "posted_at")
