@@ -1,5 +1,6 @@
 """Pieces that several corpus operators share."""
 
+import ctypes
 from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
@@ -24,16 +25,35 @@ _REMEMBERED: dict = {}
 
 
 def remembered(name: Hashable, make: Callable[[], object]):
-    """What a Python worker keeps between tasks: one object, so that a new operator's takes the last one's place.
-
-    Objects bound their own memory. Workers are reused by all jobs of a session, whichever operator they belong to.
-    """
+    """What a task keeps from one batch to the next, such as an open tokenizer; objects bound their own memory."""
     if name not in _REMEMBERED:
         _REMEMBERED.clear()
         _REMEMBERED[name] = make()
     return _REMEMBERED[name]
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function, after which the Python worker gives its memory back.
+
+    Workers outlive their tasks, and more of them wait than run at a time: what each kept would add up over the stages.
+    """
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _REMEMBERED.clear()
+            give_back()
+    return tidied
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``most`` bytes of text each; a longer text is a run of its own."""
     if not batch.num_rows:
@@ -51,7 +71,7 @@ def map_pieces(df: DataFrame, column: str, schema: str, work: Callable[[pa.Recor
         for batch in batches:
             for piece in pieces(batch, column):
                 yield work(piece)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def bitmap(df: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
@@ -82,7 +102,7 @@ def maybe_rows(df: DataFrame, key: str, words: np.ndarray, wanted: bool = True)
             hit = maybe(words, pc.fill_null(keys, 0).to_numpy(zero_copy_only=False))
             hit &= pc.is_valid(keys).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(hit if wanted else ~hit))
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vacantia.llm.common import pieces
+from vacantia.llm.common import pieces, tidy
 from vacantia.session import cut_lineage
 
 # Characters of a q-gram.
@@ -231,7 +231,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                         [keys, pa.array([r[1] for r in rows], item_type),
                          *(pa.array([r[k] for r in rows], pa.int64()) for k in range(2, 5))],
                         names=[key, item, "start", "end", "edits"])
-        found = docs.select(key, text).mapInArrow(run, schema)
+        found = docs.select(key, text).mapInArrow(tidy(run), schema)
         parts.append(cut_lineage(found) if parts else found)
     out = parts[0]
     for part in parts[1:]:
@@ -251,5 +251,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                     at = piece.schema.get_field_index(text)
                     held = {r[0] for r in index.matches(piece.column(at).to_pylist())}
                     yield piece.filter(pc.invert(pa.array([i in held for i in range(piece.num_rows)], pa.bool_())))
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import bitmap, components, maybe, maybe_rows, pieces
+from vacantia.llm.common import bitmap, components, maybe, maybe_rows, pieces, tidy
 from vacantia.llm.shingles import fingerprint, shingle_sets
 from vacantia.session import cut_lineage
 
@@ -91,7 +91,7 @@ def profile(docs: DataFrame, key: str, text: str) -> DataFrame:
                      pa.array(mins, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
                     names=[key, "th", "n", "node", "mins", "bits"])
     return docs.select(key, text, F.xxhash64(text).alias("th")).mapInArrow(
-        run, f"`{key}` {kind}, th long, n long, node long, mins array<long>, bits binary")
+        tidy(run), f"`{key}` {kind}, th long, n long, node long, mins array<long>, bits binary")
 
 
 def _new_sets(batches, text, wanted=None):
@@ -130,7 +130,7 @@ def _verified(docs: DataFrame, text: str, nodes: DataFrame, pairs: DataFrame, pe
     pairs = cut_lineage(
         pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a")
         .join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
-        .select("a", "b", "na", "xa", "nb", "xb").mapInArrow(hopeful, "a long, b long"))
+        .select("a", "b", "na", "xa", "nb", "xb").mapInArrow(tidy(hopeful), "a long, b long"))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = bitmap(ends.join(nodes, "node"), "th")
 
@@ -159,11 +159,11 @@ def _verified(docs: DataFrame, text: str, nodes: DataFrame, pairs: DataFrame, pe
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # one exchange of the sets serves the copies of a set, and both joins
-    found = (docs.select(text, F.xxhash64(text).alias("th")).mapInArrow(sets, "node long, s binary")
+    found = (docs.select(text, F.xxhash64(text).alias("th")).mapInArrow(tidy(sets), "node long, s binary")
              .groupBy("node").agg(F.first("s").alias("s")))
     left = found.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     right = found.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(similar), "a long, b long")
 
 
 def _prefix(n, percent):
@@ -211,7 +211,7 @@ def _posted(docs, text, buckets, columns, entries):
                 held, hashes, size = [], [], 0
         if held:
             yield _packed(columns, held, hashes, buckets)
-    return docs.select(text, F.xxhash64(text).alias("th")).mapInArrow(run, "bucket long, entries binary")
+    return docs.select(text, F.xxhash64(text).alias("th")).mapInArrow(tidy(run), "bucket long, entries binary")
 
 
 def _common(docs: DataFrame, text: str, buckets: int, percent: int) -> np.ndarray:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import pieces as text_pieces, remembered
+from vacantia.llm.common import pieces as text_pieces, remembered, tidy
 from vacantia.llm.shingles import powers, mix
 
 # Labelled texts that are learned from, per language.
@@ -29,9 +29,9 @@ PLAIN = 40
 UNDECIDED = "und"
 
 # Words whose lattices are built at once.
-BATCH = 20_000
-# Remembered words per Python worker, some 40 MB; then the memory is emptied.
-REMEMBERED = 200_000
+BATCH = 5_000
+# Remembered words per Python worker, some 20 MB; then the memory is emptied.
+REMEMBERED = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -290,7 +290,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                     [piece.column(0), piece.column(1), pa.array([f[0] for f in found], pa.string()),
                      pa.array([f[1] for f in found], pa.float64())], names=[key, "held_out", "lang_pred", "score"])
     return docs.select(F.col(key), held_out(F.col(key)).alias("held_out"), F.col(text)).mapInArrow(
-        work, f"`{key}` {kind}, held_out boolean, lang_pred string, score double")
+        tidy(work), f"`{key}` {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -303,4 +303,4 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: fl
             for piece in text_pieces(batch, text):
                 found = memory.scores(piece.column(piece.schema.get_field_index(text)).to_pylist())
                 yield piece.filter(pa.array([f[0] != UNDECIDED and f[1] >= least for f in found], pa.bool_()))
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)

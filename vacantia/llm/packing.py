@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import pieces, remembered
+from vacantia.llm.common import pieces, remembered, tidy
 from vacantia.session import cut_lineage
 
 WINDOW = 2048
@@ -201,7 +201,7 @@ def _cut(docs: DataFrame, path: str, key: str, text: str, end: int, kept: str) -
                      pa.array(ids, pa.binary())],
                     names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "rare", "ids"])
     return docs.select(key, text).mapInArrow(
-        run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, rare long,"
+        tidy(run), f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, rare long,"
              " ids binary")
 
 
@@ -214,7 +214,7 @@ def _frequencies(units: DataFrame, vocabulary: int, kept: str) -> tuple[np.ndarr
                 held[np.unique(np.frombuffer(value.as_buffer(), dtype=kept))] += 1
         token = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(held[token])], names=["token", "n"])
-    rows = units.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    rows = units.select("ids").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     held = np.zeros(vocabulary, dtype=np.int64)
     held[rows.column("token").to_numpy()] = rows.column("n").to_numpy()
     count, mean = units.agg(F.count("*"), F.avg("length")).first()
@@ -325,7 +325,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", en
     order = ["rare", key, "start"]
     packed = (units.withColumn("_row", F.monotonically_increasing_id())
               .repartitionByRange(shards, *order, "_row").sortWithinPartitions(*order, "_row").drop("_row")
-              .mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long,"
+              .mapInArrow(tidy(run), f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long,"
                                " sequence_id long, offset long"))
     whole = cut.where("sequence_id IS NOT NULL").select(
         key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))

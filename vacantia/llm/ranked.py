@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vacantia.llm.common import bitmap, maybe, pieces
+from vacantia.llm.common import bitmap, maybe, pieces, tidy
 from vacantia.session import cut_lineage
 
 # A block of the index holds at most so many documents, postings and bytes of text, but one document at least.
@@ -134,7 +134,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", querie
     """
     words = None
     if queries is not None:
-        asked = queries.select(F.col(query_text).alias("text")).mapInArrow(_query_terms, "crc long")
+        asked = queries.select(F.col(query_text).alias("text")).mapInArrow(tidy(_query_terms), "crc long")
         words = bitmap(asked.distinct(), "crc")
     kind = docs.schema[key].dataType.simpleString()
     schema = (f"keys array<{kind}>, lengths binary, total long, terms array<binary>, dfs array<int>, docs binary, "
@@ -152,7 +152,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", querie
                     yield pa.RecordBatch.from_pylist([block], schema=types)
         if builder.keys:
             yield pa.RecordBatch.from_pylist([builder.block()], schema=types)
-    blocks = cut_lineage(rows.mapInArrow(run, schema))
+    blocks = cut_lineage(rows.mapInArrow(tidy(run), schema))
     total = blocks.agg(F.sum(F.size("keys")).alias("n"), F.sum("total").alias("l")).first()
     return Index(blocks, int(total.n or 0), int(total.l or 0))
 
@@ -320,4 +320,4 @@ def _candidates(index: Index, weighted: list[tuple[int, list[tuple[bytes, int]]]
         if rows:
             yield pa.RecordBatch.from_pydict(dict(zip(("query", "key", "score"), zip(*rows))), schema=pa.schema(
                 [("query", pa.int64()), ("key", key_type), ("score", pa.int64())]))
-    return index.blocks.mapInArrow(run, f"query long, key {kind}, score long")
+    return index.blocks.mapInArrow(tidy(run), f"query long, key {kind}, score long")

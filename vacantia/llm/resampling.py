@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vacantia.llm.common import pieces
+from vacantia.llm.common import pieces, tidy
 from vacantia.operators.ranking import number_rows
 from vacantia.session import cut_lineage
 
@@ -158,7 +158,7 @@ def bucket_counts(docs: DataFrame, text: str = "text", longest: int = 1, buckets
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], names=["bucket", "n"])
     out = np.zeros(buckets, dtype=np.int64)
-    for r in docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(F.col(text).alias("text")).mapInArrow(tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r.bucket] = r.n
     return out
 
@@ -197,7 +197,7 @@ def weigh(docs: DataFrame, gain: np.ndarray, seed: int, key: str = "doc_id", tex
                     [piece.column(0).cast(schema.field(0).type), *(pa.array(x, pa.int64()) for x in (words, n, weight, weight + np.array(extra, dtype=np.int64)))],
                     schema=schema)
     rows = docs.select(F.col(key).alias("key"), F.col(key).cast("string").alias("name"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, n_words long, n_features long, weight long, score long")
+    return rows.mapInArrow(tidy(run), f"key {kind}, n_words long, n_features long, weight long, score long")
 
 
 def resample(docs: DataFrame, target: DataFrame, share: int = 10, seed: int = 2024, least: int = 20, key: str = "doc_id",

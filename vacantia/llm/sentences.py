@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import bitmap, maybe, maybe_rows, pieces
+from vacantia.llm.common import bitmap, maybe, maybe_rows, pieces, tidy
 from vacantia.llm.shingles import mix
 from vacantia.session import cut_lineage
 
@@ -95,7 +95,7 @@ def _runs(docs: DataFrame, key: str, text: str, wanted: np.ndarray | None = None
                     [piece.column(0).take(at), piece.column(2).take(at), *map(pa.array, found.values())],
                     names=["k", "th", *found])
     return docs.select(key, text, F.xxhash64(text).alias("th")).mapInArrow(
-        work, f"k {kind}, th long, first long, n long, start long, end long, hash long, size long")
+        tidy(work), f"k {kind}, th long, first long, n long, start long, end long, hash long, size long")
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import components
+from vacantia.llm.common import components, tidy
 from vacantia.session import cut_lineage
 
 COSINE = 0.98
@@ -123,7 +123,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                                              names=["node", "label", "code"])
 
     kind = classes.schema["label"].dataType.simpleString()
-    posted = cut_lineage(classes.select("node", "label", "v").mapInArrow(post, f"node long, label {kind}, code long"))
+    posted = cut_lineage(classes.select("node", "label", "v").mapInArrow(tidy(post), f"node long, label {kind}, code long"))
     lists = posted.groupBy("label", "code").count().where("count > 1").select(
         "label", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     # entry of block b goes to all pairs (b, other); a list of one block is the pair (0, 0)

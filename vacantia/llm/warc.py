@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from vacantia.llm.common import tidy
 from vacantia.session import cut_lineage
 
 # Payload bytes of a shard on average: what one task writes.
@@ -139,7 +140,7 @@ def _written(rows: DataFrame, folder: str, roll: int, date: str) -> DataFrame:
         if writer.done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*writer.done)],
                                              names=[f.split()[0] for f in _MANIFEST.split(", ")])
-    return rows.mapInArrow(run, _MANIFEST)
+    return rows.mapInArrow(tidy(run), _MANIFEST)
 
 
 def _moved(manifest: DataFrame, folder: str) -> DataFrame:
@@ -155,7 +156,7 @@ def _moved(manifest: DataFrame, folder: str) -> DataFrame:
                 if system.get_file_info(f"{root}/{name}").size != size:
                     raise OSError(f"{name} is not the file of its manifest row")
             yield batch
-    return manifest.mapInArrow(run, manifest.schema)
+    return manifest.mapInArrow(tidy(run), manifest.schema)
 
 
 def _shard(place: Column, bounds: list) -> Column:
@@ -300,5 +301,5 @@ def read(spark: SparkSession, folder: str, key_type: str = "long") -> DataFrame:
         types = [kind, pa.int64(), pa.string(), pa.string(), kind, pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[
             "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
-    return files.mapInArrow(run, f"page_id {key_type}, payload_bytes long, payload_digest string, record_type string,"
+    return files.mapInArrow(tidy(run), f"page_id {key_type}, payload_bytes long, payload_digest string, record_type string,"
                                  f" refers_to {key_type}, url string, payload binary")
