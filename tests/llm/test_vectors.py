@@ -9,10 +9,10 @@ from vacantia.llm import vectors
 
 
 def brute(rows):
-    ok = [v is not None and label is not None and len(v) == 16 and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    ok = [v is not None and label is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
           for _, v, label in rows]
     unit = [np.array(v, dtype=float) / np.linalg.norm(v) if o else None for (_, v, _), o in zip(rows, ok)]
-    links = [[j for j in range(len(rows)) if i != j and ok[i] and ok[j] and rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= 0.98]
+    links = [[j for j in range(len(rows)) if i != j and ok[i] and ok[j] and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.98]
              for i in range(len(rows))]
     out = []
     for i, (key, _, _) in enumerate(rows):
@@ -48,6 +48,8 @@ def test_links_and_components(spark, monkeypatch, block):
     rows += [(900, rows[0][1], None), (901, None, 1), (902, [0.0] * 16, 1), (903, [float("nan")] + [1.0] * 15, 1), (904, [None] + [1.0] * 15, 1),
              (905, [float("inf")] + [1.0] * 15, 1), (906, [1.0, 2.0], 1), (907, [], 1), (None, rows[3][1], rows[3][2]), (3, rows[3][1], rows[3][2])]
     rows += [(1000 + i, rows[5][1], rows[5][2]) for i in range(40)]
+    # other lengths, among them one component and more than most
+    rows += [(1100 + i, v, 1) for i, v in enumerate([[1.0, 2.0], [2.0, 4.0], [2.0, 1.0], [3.0], [-3.0], [5.0], [1.0, 2.0, 0.0], [1.0] * 40, [2.0] * 40])]
     frame = spark.createDataFrame(rows, SCHEMA)
     got = [tuple(r) for r in vectors.near_duplicates(frame).collect()]
     want = brute(rows)
@@ -58,7 +60,10 @@ def test_links_and_components(spark, monkeypatch, block):
         assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-def test_recall_on_the_table(spark):
+@pytest.mark.parametrize("pivots, block", [(128, 2048), (128, 50), (512, 2048)])
+def test_recall_on_the_table(spark, monkeypatch, pivots, block):
+    monkeypatch.setattr(vectors, "PIVOTS", pivots)
+    monkeypatch.setattr(vectors, "BLOCK", block)
     frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding, r.label) for r in frame.collect()]
     unit = np.array([r[1] for r in rows])
@@ -74,3 +79,9 @@ def test_empty_and_tiny(spark):
     rows = [(2, [1.0, 0.0], 1), (1, [1.0, 0.1], 1), (3, [0.0, 1.0], 1)]
     got = sorted(tuple(r) for r in vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_pivots_grow_with_the_table():
+    counts = [vectors.pivots_for(n) for n in (0, 10 ** 5, 10 ** 7, 10 ** 8, 10 ** 12)]
+    assert counts[0] == counts[1] == vectors.PIVOTS and counts == sorted(counts) and counts[-1] == vectors.MOST_PIVOTS
+    assert counts[2] > vectors.PIVOTS and all(c % 64 == 0 for c in counts)
