@@ -126,3 +126,11 @@ def test_parity_bound_never_cuts_a_link():
         common = rng.integers(0, 1 << 63, rng.integers(0, 60), dtype=np.uint64)
         x, y = (np.unique(np.r_[common, rng.integers(0, 1 << 63, rng.integers(1, 90), dtype=np.uint64)]) for _ in range(2))
         assert jaccard.shared_at_most(jaccard.parity(x), len(x), jaccard.parity(y), len(y)) >= len(np.intersect1d(x, y))
+
+
+def test_columns_of_any_name_come_back(spark):
+    names = ["_th", "_k", "_h", "_stays", "__th", "__k", "__stays", "___th"]
+    same = "one two three four five six seven"
+    rows = [(1, same, *range(8)), (2, same, *range(10, 18)), (3, "other words that nothing else has at all", *range(20, 28))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    assert sorted(tuple(r) for r in jaccard.keep_one(docs).collect()) == [rows[0], rows[2]]

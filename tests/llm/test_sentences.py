@@ -87,7 +87,7 @@ def test_passages_of_over_fifty_words_in_many_short_lines_are_found():
         assert shared("Before it.\n" + text + "\nAfter it.", "Other start\n" + text + "\nother end"), lines
 
 
-@pytest.mark.parametrize("whole", [(13, 9), (10,), (4, 6), (1, 2, 3, 4), (12, 12), (39,)])
+@pytest.mark.parametrize("whole", [(13, 9), (30,), (8, 8), (1, 2, 3, 4, 6), (12, 12), (39,)])
 def test_passages_that_start_and_end_inside_a_sentence_are_found(whole):
     rng = random.Random(7)
     words = lambda n: " ".join(f"p{rng.randrange(999)}" for _ in range(n))
@@ -115,3 +115,25 @@ def test_spans_of_short_lines_are_removed(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sn.repeated_spans(docs).count() == 0 and sn.remove_repeats(docs).count() == 0
+
+
+@pytest.mark.parametrize("line", ["Terms of use apply to all content of this site and of its many parts today.", "Two words."])
+def test_one_shared_sentence_of_boilerplate_is_no_run(line):
+    assert not shared(f"Here is one text. {line} It ends here.", f"Another begins. {line} Other end.")
+
+
+def test_columns_of_any_name_come_back(spark):
+    names = ["_th", "_k", "_h", "_stays", "_spans", "__th", "__k", "__spans", "___th"]
+    lines = "\n".join(f"row{i} cell{i}" for i in range(26))
+    rows = [(1, "First here.\n" + lines, *range(9)), (2, "Second there.\n" + lines, *range(10, 19)), (3, "clean", *range(20, 29))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    got = sorted(tuple(r) for r in sn.remove_repeats(docs).collect())
+    assert [(r[0], *r[2:]) for r in got] == [(r[0], *r[2:]) for r in rows] and got[1][1].strip() == "Second there."
+
+
+def test_hot_runs_stay_where_they_lie(spark):
+    same = "One sentence of this passage comes first here. " + "And then another one follows with many more words in it."
+    rows = [(i, f"Text {i} begins. {same} Its end {i}.") for i in range(3000)] + [(9000 + i, f"only {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sn.repeated_spans(docs).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1, 3000)) and {r.first_key for r in got} == {0}

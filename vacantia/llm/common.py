@@ -74,6 +74,31 @@ def map_pieces(df: DataFrame, column: str, schema: str, work: Callable[[pa.Recor
     return df.mapInArrow(tidy(run), schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of the DataFrame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+# A key with more than one in this many rows is a hot one: there are fewer of them than this.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Equi-join with a table that has one row per key and says how many rows have it.
+
+    Rows of hot keys never meet in one task: those keys, fewer than HOT, are broadcast to where the rows are. All other keys
+    are joined by shuffle, as one holds a thousandth of the rows at most. Keys are not null.
+    """
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) > total // HOT
+    hot = F.broadcast(counted.where(is_hot))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(counted.where(~is_hot), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def bitmap(df: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
     """A bitmap of the hash values in a long column, by their lowest bits; nulls set none.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import bitmap, components, maybe, maybe_rows, pieces, tidy
+from vacantia.llm.common import bitmap, components, free_name, maybe, maybe_rows, pieces, tidy
 from vacantia.llm.shingles import fingerprint, shingle_sets
 from vacantia.session import cut_lineage
 
@@ -428,10 +428,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     concerned = cut_lineage(rows.join(first, "root").groupBy("k", "th").agg(
         F.max((F.col("k").eqNullSafe(F.col("fk")) & (F.col("th") == F.col("fth"))).cast("int")).alias("stays")))
     marks = bitmap(concerned, "th")
-    hashed = docs.withColumn("_th", F.xxhash64(text))
-    known = concerned.select(F.col("k").alias("_k"), F.col("th").alias("_h"), F.col("stays").alias("_stays"))
-    touched = maybe_rows(hashed, "_th", marks).join(
-        known, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_h")), "left").where("coalesce(_stays, 1) = 1")
-    staying = touched.where("_stays = 1").dropDuplicates([key, "_th"])
-    return (maybe_rows(hashed, "_th", marks, wanted=False).select(*docs.columns)
-            .union(touched.where("_stays IS NULL").select(*docs.columns)).union(staying.select(*docs.columns)))
+    own, other, stays, same = (free_name(docs, n) for n in ("__th", "__k", "__stays", "__h"))
+    hashed = docs.withColumn(own, F.xxhash64(text))
+    known = concerned.select(F.col("k").alias(other), F.col("th").alias(same), F.col("stays").alias(stays))
+    touched = maybe_rows(hashed, own, marks).join(
+        known, F.col(key).eqNullSafe(F.col(other)) & (F.col(own) == F.col(same)), "left").where(f"coalesce({stays}, 1) = 1")
+    staying = touched.where(f"{stays} = 1").dropDuplicates([key, own])
+    return (maybe_rows(hashed, own, marks, wanted=False).select(*docs.columns)
+            .union(touched.where(f"{stays} IS NULL").select(*docs.columns)).union(staying.select(*docs.columns)))

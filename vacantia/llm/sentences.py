@@ -8,15 +8,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import bitmap, maybe, maybe_rows, pieces, tidy
+from vacantia.llm.common import bitmap, free_name, join_counted, maybe, maybe_rows, pieces, tidy
 from vacantia.llm.shingles import mix
 from vacantia.session import cut_lineage
 
-# A run of consecutive sentences counts from this many words on, however many sentences that takes. A sentence has a word at
-# least, so no run that is as short as it can be has more sentences than this.
-LEAST = 10
-# Words a run must have, by its number of sentences.
-RUNS = {n: LEAST for n in range(1, LEAST + 1)}
+# Words that a run of consecutive sentences must have: a single sentence, which may be boilerplate, needs more than a run of
+# several. A sentence has a word at least, so no run that is as short as it can be has more sentences than this.
+SINGLE, SEVERAL = 30, 16
+RUNS = {1: SINGLE} | {n: SEVERAL for n in range(2, SEVERAL + 1)}
 
 # Stops of scripts without spaces need no white space after them.
 _END = re.compile(r"[.!?؟۔।॥։።]+(?=\s)|\n|[。！？｡︒]+[」』”’）】》]*")
@@ -71,7 +70,7 @@ def runs(texts: list[str | None], sizes: dict[int, int] = RUNS) -> dict[str, np.
             continue
         total = sum(words[k:whole + k] for k in range(size))
         spare = total - np.maximum(words[:whole], words[size - 1:])  # without its first sentence, or its last
-        at = np.flatnonzero((row[:whole] == row[size - 1:]) & (total >= least) & (spare < least))
+        at = np.flatnonzero((row[:whole] == row[size - 1:]) & (total >= least) & (spare < sizes.get(size - 1, 1)))
         mixed = mix(sum(mix(code[at + k]) * _ODD[k] for k in range(size)) + np.uint64(size))
         parts.append((row[at], at - first[at], np.full(len(at), size), start[at], end[at + size - 1], mixed.view(np.int64),
                       sum(length[at + k] for k in range(size))))
@@ -101,7 +100,7 @@ def _runs(docs: DataFrame, key: str, text: str, wanted: np.ndarray | None = None
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, th, start, end, n_sentences, first_key): sentences that a non-first repeated run covers.
 
-    Runs of consecutive sentences with ``LEAST`` words or more are compared, from one sentence to as many as it takes, in
+    Runs of two or more consecutive sentences with ``SEVERAL`` words, and single sentences with ``SINGLE``, are compared in
     lower case with single spaces. A passage that repeats is found where it holds whole sentences of so many words; one
     inside a long sentence, or with fewer whole words between two cut sentences, is not. The first occurrence of a run is the one with the smallest (key, text hash, place),
     null keys last; every sentence under any other occurrence is covered, and touching runs make one span. ``start`` and
@@ -110,16 +109,16 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     texts have no runs. Other columns are not read.
 
     Runs are compared by counts and minima per hash, which are combined before the shuffle; the runs that repeat are then
-    read again behind a bitmap, so only they are joined.
+    read again behind a bitmap, so only they are joined, and those of the most common runs where they lie.
     """
     docs = docs.select(key, text)
     name = ["hash", "size"]
     repeated = cut_lineage(
-        _runs(docs, key, text).groupBy(*name).agg(F.count("*").alias("c"), F.min("k").alias("low")).where("c > 1").drop("c"))
-    found = cut_lineage(_runs(docs, key, text, bitmap(repeated, "hash")).distinct().join(repeated, name))
-    first = (found.where("k <=> low").groupBy(*name).agg(F.min(F.struct("th", "start")).alias("f"))
-             .select(*name, F.col("f.th").alias("first_th"), F.col("f.start").alias("first_start")))
-    covered = found.join(first, name).where("NOT (k <=> low AND th = first_th AND start = first_start)")
+        _runs(docs, key, text).groupBy(*name).agg(F.count("*").alias("c"), F.min("k").alias("low")).where("c > 1"))
+    found = cut_lineage(join_counted(_runs(docs, key, text, bitmap(repeated, "hash")).distinct(), repeated, name, "c"))
+    first = cut_lineage(found.where("k <=> low").groupBy(*name).agg(F.min(F.struct("th", "start")).alias("f"), F.first("c").alias("c"))
+                        .select(*name, F.col("f.th").alias("first_th"), F.col("f.start").alias("first_start"), "c"))
+    covered = join_counted(found.drop("c"), first, name, "c").where("NOT (k <=> low AND th = first_th AND start = first_start)")
     # touching runs of a document become one span
     doc = Window.partitionBy("k", "th").orderBy("first", "n")
     reach = F.max(F.col("first") + F.col("n")).over(doc.rowsBetween(Window.unboundedPreceding, -1))
@@ -140,15 +139,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     spans = cut_lineage(repeated_spans(docs, key, text))
     marks = bitmap(spans, "th")
-    hashed = docs.withColumn("_th", F.xxhash64(text))
-    lists = spans.groupBy(F.col(key).alias("_k"), F.col("th").alias("_h")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    touched = maybe_rows(hashed, "_th", marks)
+    own, held, other, same = (free_name(docs, n) for n in ("__th", "__spans", "__k", "__h"))
+    hashed = docs.withColumn(own, F.xxhash64(text))
+    lists = spans.groupBy(F.col(key).alias(other), F.col("th").alias(same)).agg(
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias(held))
+    touched = maybe_rows(hashed, own, marks)
     kept = F.aggregate(
-        "_spans", F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("done")),
+        held, F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("done")),
         lambda a, s: F.struct(F.concat(a["text"], F.substring(F.col(text), (a["done"] + 1).cast("int"), (s["start"] - a["done"]).cast("int"))).alias("text"),
                               s["end"].alias("done")),
         lambda a: F.trim(F.concat(a["text"], F.substring(F.col(text), (a["done"] + 1).cast("int"), F.lit(2 ** 31 - 1)))))
-    joined = touched.join(lists, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_h")), "left")
-    changed = joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
-    return maybe_rows(hashed, "_th", marks, wanted=False).select(*docs.columns).union(changed)
+    joined = touched.join(lists, F.col(key).eqNullSafe(F.col(other)) & (F.col(own) == F.col(same)), "left")
+    changed = joined.withColumn(text, F.when(F.col(held).isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    return maybe_rows(hashed, own, marks, wanted=False).select(*docs.columns).union(changed)
