@@ -91,3 +91,63 @@ def test_banded_distance(most):
         want = distance(pattern, text)
         got = d.banded_distance(code(pattern), code(text), most, -len(pattern), len(text))
         assert (got[0] if got else None) == (want if want <= most else None)
+
+
+@pytest.mark.parametrize("most", [0, 2, 5])
+def test_scan_distance(most):
+    rng = random.Random(most)
+    for _ in range(300):
+        pattern = "".join(rng.choices("ab", k=rng.randint(1, 12)))
+        text = "".join(rng.choices("ab", k=rng.randint(0, 20)))
+        want, got = distance(pattern, text), d.scan_distance(pattern, text, most)
+        assert (got[0] if got else None) == (want if want <= most else None)
+        if got:
+            assert distance(pattern, text[:got[1]]) == want
+
+
+def chinese(rng, n):
+    return "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n))
+
+
+def test_any_script_against_edit_distance():
+    rng = random.Random(3)
+    items = [(i, chinese(rng, 60)) for i in range(3)] + [(3, "при" + sentence(rng, 12) + " привет мир и все остальные")]
+    texts = [chinese(rng, 80) + edited(rng, items[i % 4][1], n) + chinese(rng, 30) for i in range(8) for n in (0, 2, 5, 9)] + [chinese(rng, 300)]
+    index = d.Index(items)
+    want = {(row, item) for row, t in enumerate(texts) for item, part, edits, _ in index.patterns if distance(part, d.normal(t)) <= edits}
+    assert {(r[0], r[1]) for r in index.matches(texts)} == want and len(want) >= 16
+
+
+def test_memory_and_time_stay_bounded_for_any_text():
+    import time
+    import tracemalloc
+    rng = random.Random(4)
+    index = d.Index([(i, chinese(rng, 100)) for i in range(1000)])
+    text = chinese(rng, 100_000)
+    tracemalloc.start()
+    assert index.matches([text]) == []
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    start = time.perf_counter()
+    repetitive = d.Index([(i, "a " * rng.randint(20, 50) + f"b{i} " + "a " * 20) for i in range(40)])
+    found = repetitive.matches(["a " * 100_000, "b a " * 3000])
+    assert {r[1] for r in found if r[0] == 0} == set(range(40)) and time.perf_counter() - start < 30
+
+
+def test_repetitive_texts_against_edit_distance():
+    rng = random.Random(6)
+    items = [(i, "".join(rng.choices(["a ", "ab ", "ba "], weights=[8, 1, 1], k=30))) for i in range(12)]
+    texts = ["".join(rng.choices(["a ", "ab ", "ba ", "c "], weights=[8, 1, 1, 1], k=rng.randint(0, 120))) for _ in range(40)]
+    index = d.Index(items)
+    want = {(row, item) for row, t in enumerate(texts) for item, part, edits, _ in index.patterns if distance(part, d.normal(t)) <= edits}
+    assert {(r[0], r[1]) for r in index.matches(texts)} == want and 20 < len(want) < 480
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "The answer."), (2, "forty-two"), (3, "no"), (3, "The  ANSWER"), (None, "clean text"), (4, " .")],
+                                  "item_id int, text string")
+    docs = spark.createDataFrame([(1, "so the\nanswer is"), (2, "breathe answers"), (3, "No, forty two"), (4, "clean text"), (5, None), (6, "")],
+                                 "doc_id long, text string")
+    rows = sorted((r.doc_id, r.item_id, r.start, r.end, r.edits) for r in d.find(docs, bench).collect())
+    assert rows == [(1, 1, 3, 13, 0), (1, 3, 3, 13, 0), (3, 2, 4, 13, 0), (3, 3, 0, 2, 0)]
+    assert sorted(r.doc_id for r in d.drop_contaminated(docs, bench).collect()) == [2, 4, 5, 6]

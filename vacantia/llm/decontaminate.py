@@ -3,6 +3,7 @@
 import re
 from collections.abc import Iterable, Sequence
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from vacantia.llm.common import pieces, tidy
+from vacantia.llm.shingles import mix
 from vacantia.session import cut_lineage
 
 # Characters of a q-gram.
@@ -19,8 +21,8 @@ Q = 8
 EDITS = 0.1
 # An item up to this length is one pattern; a longer one is cut into windows of this length, each half over the last.
 WINDOW = 128
-# Items shorter than this are no evidence.
-LEAST = 24
+# Shorter items are looked for as whole words without edits; documents are dropped for those of so many characters or more.
+LEAST, SHORT = 24, 8
 # Items that one pass over the documents looks for.
 BLOCK = 4096
 
@@ -49,12 +51,29 @@ def _places(text: str, start: int, end: int) -> tuple[int, int]:
     return place(start), place(end - 1) + 1
 
 
+_ODD = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) | 1 for k in range(1, Q + 1)], dtype=np.uint64)
+
+
 def _grams(text: str) -> np.ndarray:
-    """The q-grams of a text as 64-bit numbers; characters beyond Latin-1 all count as one, which can only add hits."""
-    data = text.encode("latin-1", "replace")
-    if len(data) < Q:
+    """The q-grams of a text as 64-bit numbers: their bytes if all characters are of Latin-1, else a hash of them."""
+    try:
+        data = text.encode("latin-1")
+        wide = None
+    except UnicodeEncodeError:
+        wide = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        data = np.where(wide < 256, wide, 0).astype(np.uint8).tobytes()
+    whole = len(data) - Q + 1
+    if whole <= 0:
         return np.zeros(0, dtype="<u8")
-    return np.ndarray((len(data) - Q + 1,), dtype="<u8", buffer=data, strides=(1,))
+    grams = np.ndarray((whole,), dtype="<u8", buffer=data, strides=(1,))
+    if wide is None:
+        return grams
+    beyond = np.cumsum(np.r_[0, wide >= 256])
+    at = np.flatnonzero(beyond[Q:] > beyond[:-Q])
+    grams = grams.copy()
+    spread = mix(wide.astype(np.uint64))
+    grams[at] = mix(sum(spread[at + k] * _ODD[k] for k in range(Q)))
+    return grams
 
 
 def _slot(grams: np.ndarray) -> np.ndarray:
@@ -92,109 +111,208 @@ def banded_distance(pattern: np.ndarray, region: np.ndarray, most: int, low: int
     return (int(row[at]), at + low + len(pattern)) if row[at] <= most else None
 
 
+def scan_distance(pattern: str, region: str, most: int) -> tuple[int, int] | None:
+    """The same as ``banded_distance`` over all diagonals, for regions in which bands would repeat the work.
+
+    A column of the edit matrix is kept as bits of where it rises and falls, so a character costs a few operations.
+    """
+    size = len(pattern)
+    held: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        held[c] = held.get(c, 0) | 1 << i
+    whole, top = (1 << size) - 1, 1 << (size - 1)
+    up, down, cost, best, at = whole, 0, size, size, 0
+    for place, c in enumerate(region, 1):
+        equal = held.get(c, 0)
+        zero = (((equal & up) + up) ^ up) | equal | down
+        rise, fall = down | ~(zero | up) & whole, up & zero
+        if rise & top:
+            cost += 1
+        elif fall & top:
+            cost -= 1
+            if cost < best:
+                best, at = cost, place
+        rise, fall = rise << 1 & whole, fall << 1 & whole
+        up, down = fall | ~(zero | rise) & whole, rise & zero
+        if not best:
+            break
+    return (best, at) if best <= most else None
+
+
+# Hits that are counted at a time, and bands of one pattern and text beyond which the text is scanned once instead.
+CHUNK, BANDS = 1 << 21, 12
+# A pattern that has one q-gram at more places than this is repetitive: its bands would hold little but repeats.
+REPEATS = 4
+
+
 class Index:
     """Patterns of benchmark items and their q-grams."""
 
     def __init__(self, items: Iterable[tuple[int, str | None]]):
         self.patterns: list[tuple[int, str, int, int]] = []  # item, text, edits, shared q-grams needed
+        short: dict[str, list] = {}
         for item, text in items:
             whole = normal(text or "")
             if len(whole) < LEAST:
+                if whole:
+                    short.setdefault(whole, []).append(item)
                 continue
             starts = [0] if len(whole) <= WINDOW else [*range(0, len(whole) - WINDOW, WINDOW // 2), len(whole) - WINDOW]
             for start in starts:
                 part = whole[start:start + WINDOW]
                 edits = min(int(len(part) * EDITS), len(part) // Q - 1)
                 self.patterns.append((item, part, edits, len(part) + 1 - Q * (edits + 1)))
+        self.short = None
+        if short:
+            self.short = ahocorasick.Automaton()
+            for whole, named in short.items():
+                self.short.add_word(f" {whole} ", (whole, named))
+            self.short.make_automaton()
         grams = [_grams(p[1]) for p in self.patterns]
         flat = np.concatenate([np.zeros(0, dtype=np.uint64), *grams])
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.zeros(0, dtype=np.int64), *(np.arange(len(g)) for g in grams)])
-        order = np.argsort(flat, kind="stable")
-        self.owner, self.place = owner[order].astype(np.int64), place[order].astype(np.int64)
-        self.keys, self.first = np.unique(flat[order], return_index=True)
+        order = np.lexsort((owner, flat))
+        flat, self.owner, self.place = flat[order], owner[order].astype(np.int64), place[order].astype(np.int64)
+        self.keys, self.first = np.unique(flat, return_index=True)
         self.first = np.r_[self.first, len(flat)]
+        # a pattern's places of one q-gram stand side by side: where they begin, and how many they are
+        edge = np.flatnonzero(np.r_[len(flat) > 0, (flat[1:] != flat[:-1]) | (self.owner[1:] != self.owner[:-1])])
+        self.times, self.times_owner = np.diff(np.r_[edge, len(flat)]), self.owner[edge]
+        self.times_first = np.r_[np.searchsorted(edge, self.first[:-1]), len(edge)]
+        most = np.zeros(len(self.patterns), dtype=np.int64)
+        np.maximum.at(most, self.times_owner, self.times)
+        self.repetitive = most > REPEATS
         self.known = np.zeros(1 << _HASH_BITS, dtype=bool)
         self.known[_slot(self.keys)] = True
         self.need = np.array([p[3] for p in self.patterns], dtype=np.int64)
         self.band = np.array([p[2] + 1 for p in self.patterns], dtype=np.int64)
 
-    def _regions(self, texts: Sequence[str]) -> set[tuple[int, int, int]]:
-        """(row, pattern, band) with enough shared q-grams; band b covers 2 (edits + 1) diagonals from b (edits + 1)."""
+    def _hits(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the texts have q-grams of the patterns: row, place in the text, number of the q-gram."""
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
         grams = _grams("\0".join(texts) + "\0")
         if not len(grams) or not len(self.keys):
-            return set()
+            return (np.zeros(0, dtype=np.int64),) * 3
         at = np.flatnonzero(self.known[_slot(grams)])
         key = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
         same = self.keys[key] == grams[at]
         at, key = at[same], key[same]
-        times = self.first[key + 1] - self.first[key]
-        entry = np.repeat(self.first[key] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        owner, at = self.owner[entry], np.repeat(at, times)
         row = np.searchsorted(starts, at, side="right") - 1
-        pair, place = row * len(self.patterns) + owner, self.place[entry]
-        # a pattern needs so many of its q-grams in the whole text, each counting once, and then in one band
-        enough = self._enough(pair, place)
-        pair, place, row, at = pair[enough], place[enough], row[enough], at[enough]
-        band = (at - starts[row] - place) // self.band[pair % len(self.patterns)]
-        least = band.min(initial=0)
-        span = int(band.max(initial=0) - least) + 3
-        # each diagonal lies in two bands
-        pair, place, band = np.r_[pair, pair], np.r_[place, place], np.r_[band, band - 1] - least + 1
-        enough = self._enough(pair * span + band, place, span)
-        found = np.unique(pair[enough] * span + band[enough])
-        pair, band = np.divmod(found, span)
-        row, pattern = np.divmod(pair, len(self.patterns))
-        return set(zip(row.tolist(), pattern.tolist(), (band + least - 1).tolist()))
-
-    def _enough(self, group: np.ndarray, place: np.ndarray, span: int = 1) -> np.ndarray:
-        """Which hits are in a group (pair times span) with enough different places of the pattern."""
-        places = np.unique(group * WINDOW + place) // WINDOW
-        edge = np.flatnonzero(np.r_[len(places) > 0, places[1:] != places[:-1]])
-        need = self.need[places[edge] // span % len(self.patterns)]
-        good = places[edge][np.diff(np.r_[edge, len(places)]) >= need]
-        slot = np.minimum(np.searchsorted(good, group), max(len(good) - 1, 0))
-        return good[slot] == group if len(good) else np.zeros(len(group), dtype=bool)
+        return row, at - starts[row], key
+
+    def _pairs(self, row: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Pairs (row times patterns plus pattern) that share enough q-grams anywhere, each place of the pattern counting once."""
+        found = np.unique(row * len(self.keys) + key)
+        row, key = np.divmod(found, len(self.keys))
+        pairs, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for part, entry in self._expanded(self.times_first, key):
+            new = row[part] * len(self.patterns) + self.times_owner[entry]
+            both, back = np.unique(np.r_[pairs, new], return_inverse=True)
+            counts = np.bincount(back, weights=np.r_[counts, self.times[entry]], minlength=len(both)).astype(np.int64)
+            pairs = both
+        return pairs[counts >= self.need[pairs % len(self.patterns)]] if len(pairs) else pairs
+
+    def _expanded(self, first: np.ndarray, key: np.ndarray):
+        """Each q-gram's entries, some CHUNK at a time: (index of the q-gram, entry)."""
+        sizes = first[key + 1] - first[key]
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < len(key):
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK, side="right")))
+            n = sizes[start:end]
+            entry = np.repeat(first[key[start:end]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield np.repeat(np.arange(start, end), n), entry
+            start = end
+
+    def _regions(self, texts: Sequence[str]) -> list[tuple[int, int, list[int] | None]]:
+        """(row, pattern, bands) of pairs with enough shared q-grams; None for bands if the whole text is to be scanned.
+
+        Band b covers 2 (edits + 1) diagonals from b (edits + 1); each diagonal lies in two bands.
+        """
+        row, place, key = self._hits(texts)
+        pairs = self._pairs(row, key)
+        if not len(pairs):
+            return []
+        loose = self.repetitive[pairs % len(self.patterns)]
+        out = [(*divmod(p, len(self.patterns)), None) for p in pairs[loose].tolist()]
+        pairs = pairs[~loose]
+        groups: dict[int, set[int]] = {}
+        held = np.zeros(0, dtype=np.int64)  # (pair, band, place of the pattern) met so far
+        rows = np.unique(pairs // max(len(self.patterns), 1)) if len(pairs) else pairs
+        near = np.flatnonzero(np.isin(row, rows))
+        row, place, key = row[near], place[near], key[near]
+        span = 2 * int(max(map(len, texts))) + 4 * WINDOW
+        parts = []
+        for part, entry in self._expanded(self.first, key):
+            pair = row[part] * len(self.patterns) + self.owner[entry]
+            slot = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
+            keep = pairs[slot] == pair if len(pairs) else np.zeros(len(pair), dtype=bool)
+            slot, part, entry = slot[keep], part[keep], entry[keep]
+            spot = self.place[entry]
+            band = (place[part] - spot) // self.band[self.owner[entry]] + WINDOW
+            both = np.r_[slot * span + band, slot * span + band - 1]
+            parts.append(np.unique(both * WINDOW + np.r_[spot, spot]))
+            if sum(map(len, parts)) > 2 * CHUNK:
+                parts = [np.unique(np.concatenate(parts))]
+        held = np.unique(np.concatenate(parts)) // WINDOW if parts else held
+        edge = np.flatnonzero(np.r_[len(held) > 0, held[1:] != held[:-1]])
+        slot, band = np.divmod(held[edge], span)
+        counts = np.diff(np.r_[edge, len(held)])
+        enough = counts >= self.need[pairs[slot] % len(self.patterns)] if len(pairs) else counts > 0
+        for s, b in zip(slot[enough].tolist(), (band[enough] - WINDOW).tolist()):
+            groups.setdefault(s, set()).add(b)
+        for s, bands in groups.items():
+            out.append((*divmod(int(pairs[s]), len(self.patterns)), sorted(bands) if len(bands) <= BANDS else None))
+        return sorted(out, key=lambda r: r[:2])
+
+    def _found(self, plain: str, part: str, edits: int, bands: list[int] | None) -> tuple[int, int] | None:
+        """Edits of a pattern in a text and where it ends there: without edits, else the first band that holds it."""
+        at = plain.find(part)
+        if at >= 0:
+            return 0, at + len(part)
+        if bands is None:
+            return scan_distance(part, plain, edits)
+        code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        for band in bands:
+            low, high = band * (edits + 1) - edits, (band + 2) * (edits + 1) + edits
+            start = max(0, low)
+            region = plain[start:max(0, high) + len(part)]
+            found = banded_distance(code, np.frombuffer(region.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64),
+                                    edits, low - start, high - start)
+            if found:
+                return found[0], start + found[1]
+        return None
 
     def matches(self, texts: Sequence[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(row, item, start, end, edits) of the items found in each text, places in code points of the text.
 
-        A match reaches from the first to the last window found; edits are those of its worst window.
+        A match reaches from the first to the last window found, each where it is found first; edits are those of its worst
+        window.
         """
         plain = [normal(t) if t else "" for t in texts]
         best: dict[tuple[int, int], list[int]] = {}
-        exact: set[tuple[int, int]] = set()
-        for row, pattern, band in sorted(self._regions(plain)):
-            if (row, pattern) in exact:
-                continue
+        for row, pattern, bands in self._regions(plain):
             item, part, edits, _ = self.patterns[pattern]
-            step = edits + 1
-            low, high = band * step - edits, (band + 2) * step + edits
-            start = 0
-            at = plain[row].find(part)
-            if at >= 0:
-                exact.add((row, pattern))
-                found = (0, at + len(part))
-            else:
-                start = max(0, low)
-                region = plain[row][start:max(0, high) + len(part)]
-                found = banded_distance(np.frombuffer(part.encode("utf-32-le"), dtype="<u4").astype(np.int64),
-                                        np.frombuffer(region.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64),
-                                        edits, low - start, high - start)
+            found = self._found(plain[row], part, edits, bands)
             if found:
-                end = start + found[1]
+                cost, end = found
                 span = best.setdefault((row, item), [end, end, 0])
                 span[0], span[1] = min(span[0], max(0, end - len(part))), max(span[1], end)
-                span[2] = max(span[2], found[0])
+                span[2] = max(span[2], cost)
+        if self.short is not None:
+            for row, text in enumerate(plain):
+                for end, (whole, named) in self.short.iter(f" {text} "):
+                    for item in named:
+                        best.setdefault((row, item), [end - len(whole) - 1, end - 1, 0])
         return [(row, item, *_places(texts[row], start, end), worst)
-                for (row, item), (start, end, worst) in sorted(best.items())]
+                for (row, item), (start, end, worst) in sorted(best.items(), key=lambda b: b[0])]
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterable[list[tuple[int, str]]]:
     """The benchmark in blocks of at most about BLOCK items; only one block is on the driver at a time."""
     items = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where(
-        f"item IS NOT NULL AND length(text) >= {LEAST}")
+        "item IS NOT NULL AND text <> ''")
     total = items.count()
     blocks = -(-total // BLOCK)
     if blocks <= 1:
@@ -212,8 +330,8 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     Texts are compared as lower-case words with single spaces. An item is held if one of its windows of up to 128
     characters occurs with edits on at most a tenth of them. By the q-gram lemma such a region shares at least
     m + 1 - q (e + 1) q-grams with the window on diagonals at most e apart, so bands with fewer are skipped without loss.
-    Null and empty texts hold nothing and items without an id or with fewer than 24 characters are not looked for;
-    repeated rows and null keys are reported like others, and other columns are not read.
+    Items with fewer than 24 characters are found where all their words stand, without edits. Null and empty texts hold
+    nothing and items without an id or a word are not looked for; of a repeated item every row is one; repeated rows and null keys are reported like others, and other columns are not read.
     """
     kind, number = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType
     schema = f"`{key}` {kind}, `{item}` {number.simpleString()}, start long, end long, edits long"
@@ -241,9 +359,13 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
                       item_text: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item, all columns kept; see ``find``."""
+    """The documents that hold no benchmark item, all columns kept; see ``find``.
+
+    Items of fewer than SHORT characters in words, such as a bare "yes", are no evidence and drop nothing. Null and empty
+    texts stay, and so do all rows if the benchmark is empty; repeated rows stay or go together.
+    """
     for block in _blocks(benchmark, item, item_text):
-        index = Index(block)
+        index = Index([(i, t) for i, t in block if len(normal(t)) >= SHORT])
 
         def run(batches, index=index):
             for batch in batches:
