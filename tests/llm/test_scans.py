@@ -41,6 +41,18 @@ def test_random_texts_count_alike():
         assert counter.count(text) == len(counter.tokenizer.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def test_odd_characters_send_their_stretch_only(monkeypatch):
+    rng = random.Random(4)
+    counter = token_counts._Counter(PATH, token_counts.whole_tokens(PATH))
+    parts = ["the", " ", "  ", "\n", "'s", "42", "é", "thntblere", ".", "“", "”", "漢字", "\u3000", "\xa0", "🙂", " a", "\u2028", "\t", "x\u0301", "٣"]
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 12)))
+        assert counter.count(text) == len(counter.tokenizer.encode(text, add_special_tokens=False).ids), repr(text)
+    counter.clear()
+    assert list(token_counts._stretches("he said “yes” and went")) == ["he", " said “yes” and", " went"]
+    assert counter.count("he said “yes” and went") == len(counter.tokenizer.encode("he said “yes” and went", add_special_tokens=False).ids) and set(counter) == {"he", " went"}
+
+
 def test_whole_tokens_encode_alone():
     library = token_counts.open_tokenizer(PATH)
     whole = token_counts.whole_tokens(PATH)

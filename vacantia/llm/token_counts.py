@@ -12,8 +12,9 @@ from vacantia.llm.common import map_pieces, remembered
 
 # Fixed pattern of the byte-level pre-tokenizer.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-# Texts with other characters go to the library whole: there, character classes may differ between libraries.
+# Stretches with other characters go to the library: there, character classes may differ between libraries.
 _ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
+_VISIBLE = re.compile("[\x21-\x7e\xa1-ɏ]")
 # Where a white space is more than one space between two visible characters, cutting at spaces would be wrong.
 _LOOSE = re.compile(r"\s\x20|\x20\s|^\s|\s\Z")
 
@@ -66,14 +67,32 @@ class _Counter(dict):
     def count(self, text):
         if not text:
             return 0
-        if any(s in text for s in self.special) or _ODD.search(text):
+        if any(s in text for s in self.special):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if _ODD.search(text):
+            return sum(map(self._stretch, _stretches(text)))
         if _LOOSE.search(text):
             return sum(map(self.__getitem__, _PRETOKEN.findall(text)))
         first, *rest = text.split(" ")
         return self[first] + sum(map(self.__getitem__, [" " + r for r in rest]))
 
 
+    def _stretch(self, stretch):
+        if _ODD.search(stretch):
+            return len(self.tokenizer.encode(stretch, add_special_tokens=False).ids)
+        return sum(map(self.__getitem__, _PRETOKEN.findall(stretch))) if _LOOSE.search(stretch[1:]) else self[stretch]
+
+
+def _stretches(text: str):
+    """Cut a text before single spaces between two plain visible characters: a pre-token begins there, whatever else is in it."""
+    words = text.split(" ")
+    start = 0
+    for i in range(1, len(words) + 1):
+        if i == len(words) or (words[i - 1] and words[i] and _VISIBLE.match(words[i - 1][-1]) and _VISIBLE.match(words[i])):
+            yield " " * (start > 0) + " ".join(words[start:i])
+            start = i
+
+
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
     """Per document: UTF-8 bytes, tokens as the tokenizer file gives them, and whether they exceed ``limit``.
 
