@@ -1,7 +1,9 @@
 """Joins, aggregates, quotas, ranking, paging and exports."""
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queries.base import AS_OF, found, query, table, view
@@ -429,12 +431,62 @@ def p1(spark, sf):
     return result.unique.select(*SCAN_COLUMNS, F.col("skill_score").cast("long").alias("skill_score"))
 
 
-@query("p1_scan_landed")
+LANDED_DAY = "2025-09-20 00:00:00"
+# Boards of the directory by provider, and what their payloads hold that the filters let through.
+LANDED_SCAN = f"""
+WITH d AS (SELECT ordinal, lower(ats) AS provider, company, token FROM directory_fx WHERE token <> ''),
+g AS (SELECT 'greenhouse' AS provider, 'https://boards.example.com/g/' || payload_id AS url, 'Software Engineer I' AS title, company_id, TIMESTAMP '2025-09-15 10:00:00' AS posted_at FROM gh_payload_fx
+UNION ALL SELECT 'lever', 'https://boards.example.com/l/' || payload_id, 'Associate Software Engineer', company_id, make_timestamp((1700000000000 + payload_id) * 1000) FROM lever_payload_fx
+UNION ALL SELECT 'workday', 'https://tok' || company_id || '/en-US/careers/job/R' || payload_id, 'Engineer II', company_id, TIMESTAMP '2025-09-15 14:00:00' FROM workday_payload_fx
+UNION ALL SELECT 'ashby', 'https://boards.example.com/a/' || payload_id, 'New Grad Engineer', company_id, TIMESTAMP '2025-09-15 10:00:00' FROM ashby_payload_fx),
+w AS (SELECT 'workable' AS provider, 'https://apply.workable.com/' || token || '/' || token || '/j/A1/' AS url, 'Junior Developer' AS title, token, CAST(NULL AS TIMESTAMP) AS posted_at FROM workable_page_fx),
+l AS (SELECT provider, url, title, concat('tok', CAST(company_id AS VARCHAR)) AS token, posted_at FROM g UNION ALL SELECT * FROM w
+UNION ALL SELECT 'ashby', 'https://jobs.ashbyhq.com/tok' || (page_id % 50) || '/1/', 'Engineer I', 'tok' || (page_id % 50), TIMESTAMP '2025-09-15 00:00:00' FROM ashby_answer_fx
+ WHERE page_id % 50 NOT IN (SELECT company_id FROM ashby_payload_fx))
+SELECT DISTINCT l.title, d.company, l.url, l.provider, CAST(floor((epoch_us(TIMESTAMP '{LANDED_DAY}') - epoch_us(l.posted_at)) / 86400000000.0) AS BIGINT) AS posted_days_ago
+FROM l JOIN d ON d.provider = l.provider AND d.token = l.token"""
+
+
+def landed_by_provider(spark, sf):
+    found = all_landed(spark, sf)
+    workable = found.pop("workable")
+    parts = [rows.select("payload_id", F.lit(name).alias("provider"), "token", "body") for name, rows in found.items()]
+    payloads = reduce(DataFrame.unionByName, parts)
+    answers = view(spark, sf, "ashby_answer_fx").select("page_id", "token", "body")
+    shape = ["page_id", "provider", "token", "url", "html"]
+    pages = [rows.withColumn("provider", F.lit(name)).select(shape) for name, rows in (
+        ("workable", workable), ("ashby", view(spark, sf, "ashby_page_fx")))]
+    return scan.Landed(payloads, answers, reduce(DataFrame.unionByName, pages))
+
+
+def listed_directory(spark, sf):
+    """The directory; workday boards go by their host, which is the token here."""
+    listed = view(spark, sf, "board_directory_fx")
+    return listed.withColumn("host", F.when(F.col("provider") == "workday", F.col("token")))
+
+
+@query("p1_scan_landed", LANDED_SCAN)
 def p1_landed(spark, sf):
-    """The run from landed payloads and pages, with budgets, top-ups and page dates."""
-    result = scan.scan_landed(all_landed(spark, sf), view(spark, sf, "directory_fx"), view(spark, sf, "board_page_fx"),
-                              LANDED_PROFILE, "2025-09-20 00:00:00")
-    return result.unique.select("position", "title", "company", "url", "provider", "rank", "posted_days_ago")
+    """The run over the directory's boards, from landed payloads and pages, with budgets, top-ups and page dates."""
+    result = scan.scan_directory(landed_by_provider(spark, sf), listed_directory(spark, sf), view(spark, sf, "board_page_fx"),
+                                 LANDED_PROFILE, LANDED_DAY)
+    return result.unique.select("title", "company", "url", "provider", "posted_days_ago")
+
+
+@query("p1_skipped_entries", """
+SELECT ordinal, company FROM directory_fx WHERE ats IS NULL OR lower(ats) NOT IN ('greenhouse', 'lever', 'workday', 'ashby', 'workable')""")
+def p1_skipped(spark, sf):
+    result = scan.scan_directory(landed_by_provider(spark, sf), listed_directory(spark, sf), view(spark, sf, "board_page_fx"),
+                                 LANDED_PROFILE, LANDED_DAY)
+    return result.skipped.select("ordinal", "company")
+
+
+@query("a6_scan_summary", f"""
+WITH s AS ({LANDED_SCAN.strip()}) SELECT 'summary' AS stage, 'unique' AS metric, count(*) AS n FROM s""")
+def a6_summary(spark, sf):
+    result = scan.scan_directory(landed_by_provider(spark, sf), listed_directory(spark, sf), view(spark, sf, "board_page_fx"),
+                                 LANDED_PROFILE, LANDED_DAY)
+    return result.diagnostics.filter("metric = 'unique'").select("stage", "metric", "n")
 
 
 @query("p1_saved_records", f"""

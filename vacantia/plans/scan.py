@@ -11,12 +11,15 @@ from vacantia.functions import text
 from vacantia.functions.classify import is_remote_us
 from vacantia.functions.dates import naive_utc, posted_days_ago
 from vacantia.functions.exprs import filled, strip
-from vacantia.operators import filters, joins, quotas, ranking, scoring, sinks
+from vacantia.operators import aggregates, filters, joins, quotas, ranking, scoring, sinks
 from vacantia.operators.upsert import Upserted, upsert
+from vacantia.plans.upkeep import upsert_batch
 from vacantia.session import cut_lineage
 from vacantia.sources import registry
-from vacantia.sources.directory import enabled_sources
+from vacantia.sources.board_pages import ashby_listed
+from vacantia.sources.directory import enabled_sources, listed_boards, route, with_company
 from vacantia.sources.snippets import read_pages
+from vacantia.sources.tables import TableStore
 
 
 @dataclass(frozen=True)
@@ -49,9 +52,34 @@ def with_preset(profile: Profile, preset: str | None) -> Profile:
 
 
 class ScanResult(NamedTuple):
+    """All postings, those that passed the filters, the enriched unique ones, and what the run counted on its way."""
+
     fetched: DataFrame
     scored: DataFrame
     unique: DataFrame
+    diagnostics: DataFrame
+    skipped: DataFrame | None = None
+
+
+class Landed(NamedTuple):
+    """What has landed for a run. The ids of payloads, answers and pages come from one sequence.
+
+    payloads: payload_id, provider, token, body. answers: page_id, token, body, query answers of ashby boards by slug. board_pages: page_id, provider, token, url, html.
+    """
+
+    payloads: DataFrame
+    answers: DataFrame
+    board_pages: DataFrame
+
+
+def with_skill_file(profile: Profile, skills: DataFrame) -> Profile:
+    """Skills of a file (one row, see ``read_skills``) for a profile that names none of its own."""
+    if profile.skills_any != V.DEFAULT_SKILLS or profile.skills_all:
+        return profile
+    row = skills.first()
+    if row is None or not (row.any_terms or row.all_terms):
+        return profile
+    return replace(profile, skills_any=tuple(row.any_terms), skills_all=tuple(row.all_terms))
 
 
 def fetch_all(landed: dict[str, DataFrame], page_facts: DataFrame | None = None,
@@ -107,11 +135,23 @@ def scan(postings: DataFrame, directory: DataFrame, page_facts: DataFrame | None
          as_of) -> ScanResult:
     """A whole run over fetched postings.
 
-    Postings and scored rows are read by several later steps, so both are written out once.
+    Postings, scored and unique rows are read by several later steps, so each is written out once.
     """
     fetched = enrich(cut_lineage(postings), page_facts, profile, as_of)
     scored = cut_lineage(keep_and_score(fetched, profile, as_of))
-    return ScanResult(fetched, scored, export_rows(ranked_unique(scored), directory, as_of))
+    unique = cut_lineage(export_rows(ranked_unique(scored), directory, as_of))
+    return ScanResult(fetched, scored, unique, run_diagnostics(fetched, scored, unique, profile, as_of))
+
+
+def run_diagnostics(fetched: DataFrame, scored: DataFrame, unique: DataFrame, profile: Profile, as_of) -> DataFrame:
+    """The run's counts as rows (stage, source, metric, n): per source as fetched and as filtered, then in all."""
+    def total(df, metric):
+        return df.agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit("summary").alias("stage"), F.lit(None).cast("string").alias("source"), F.lit(metric).alias("metric"), "n")
+    days = profile.recent_days or V.RETENTION_DAYS
+    return (aggregates.fetch_diagnostics(fetched, days, as_of)
+            .unionByName(aggregates.filter_diagnostics(scored, profile.min_score))
+            .unionByName(total(fetched, "fetched")).unionByName(total(scored, "kept")).unionByName(total(unique, "unique")))
 
 
 def scan_landed(landed: dict[str, DataFrame], directory: DataFrame, pages: DataFrame, profile: Profile,
@@ -122,6 +162,35 @@ def scan_landed(landed: dict[str, DataFrame], directory: DataFrame, pages: DataF
     return scan(fetch_all(chosen, facts, profile.snippet_cap), directory, facts, profile, as_of)
 
 
+def scan_directory(landed: Landed, directory: DataFrame, pages: DataFrame, profile: Profile, as_of) -> ScanResult:
+    """A run over the boards that the directory names.
+
+    Entries without a known provider are skipped and reported; of the others, those of enabled providers are read, each
+    board once. Ashby boards without postings in their JSON fall back to query answers and then to their page.
+    """
+    chosen, skipped = route(directory, profile.providers)
+    listed = cut_lineage(listed_boards(chosen))
+    facts = cut_lineage(read_pages(pages, as_of, max_chars=None))
+
+    def of(provider, rows):
+        return with_company(rows.filter(F.col("provider") == provider), listed)
+    parts = []
+    for name in enabled_sources(profile.providers):
+        if name == "ashby":
+            mine = listed.filter("provider = 'ashby' AND token <> ''").select("token", "company")
+            found = ashby_listed(mine, landed.payloads.filter("provider = 'ashby'"), landed.answers,
+                                 landed.board_pages.filter("provider = 'ashby'"))
+        elif name in V.REGISTERED_SOURCES:
+            found = registry.get(name)(of(name, landed.board_pages if name == "workable" else landed.payloads))
+        else:
+            continue
+        parts.append(registry.with_snippets(name, found, facts, profile.snippet_cap))
+    if not parts:
+        raise ValueError(f"no known source among {profile.providers!r}")
+    result = scan(registry.union_sources(parts), directory, facts, profile, as_of)
+    return result._replace(skipped=skipped)
+
+
 def to_upsert_records(exported: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
     """(records, refused rows): saved rows get their id, remote flag, level and matched skills."""
     good, bad = filters.split_saveable(exported)
@@ -149,6 +218,12 @@ def save(exported: DataFrame, profile: Profile, jobs: DataFrame, companies: Data
     return upsert(jobs, companies, job_skills, records, as_of)
 
 
+def save_run(result: ScanResult, profile: Profile, store: TableStore, as_of, pages: int | None = None) -> int:
+    """Upsert a run's unique rows into the store; the run log takes the counts in the same version."""
+    records, _ = to_upsert_records(result.unique, profile)
+    return upsert_batch(store, records, as_of, pages=(lambda: pages) if pages is not None else None, notes="scan")
+
+
 def write_exports(result: ScanResult, folder: str, csv_columns=None) -> None:
     """Raw dump, enriched JSON and CSV under one folder."""
     sinks.write_json(result.fetched, f"{folder}/jobs_raw")

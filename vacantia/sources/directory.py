@@ -83,6 +83,15 @@ def route(directory: DataFrame, providers: str = "greenhouse") -> tuple[DataFram
     return chosen, directory.filter(~known)
 
 
+def listed_boards(chosen: DataFrame) -> DataFrame:
+    """One entry per provider and board (token, else host): the first that lists it."""
+    board = F.coalesce(filled(F.col("token")), filled(F.col("host")))
+    entry = F.struct("ordinal", "company", "token", "host", "path")
+    first = chosen.withColumn("board", board).filter("board IS NOT NULL").groupBy("provider", "board").agg(
+        F.min_by(entry, "ordinal").alias("e"))
+    return first.select("provider", "e.*")
+
+
 def with_company(landed: DataFrame, directory: DataFrame) -> DataFrame:
     """Landed payloads of directory companies, by provider and board token."""
     board = directory.select(

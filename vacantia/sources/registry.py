@@ -42,7 +42,10 @@ def fetch(name: str, landed: DataFrame, page_facts: DataFrame | None = None,
 
     Snippets read the postings several times, so the payloads are parsed once for them.
     """
-    postings = get(name)(landed)
+    return with_snippets(name, get(name)(landed), page_facts, cap)
+
+
+def with_snippets(name: str, postings: DataFrame, page_facts: DataFrame | None, cap: int | None = None) -> DataFrame:
     if page_facts is None:
         return postings
     postings = cut_lineage(postings)
