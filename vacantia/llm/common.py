@@ -6,9 +6,10 @@ from collections.abc import Callable, Hashable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from vacantia.operators.runs import observed
 from vacantia.session import cut_lineage
 
 # A bitmap that the driver gathers and sends to the tasks has this many bits (1 MB), whatever the input's size.
@@ -130,6 +131,11 @@ def maybe_rows(df: DataFrame, key: str, words: np.ndarray, wanted: bool = True)
     return df.mapInArrow(tidy(run), df.schema)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the driver clear what planning left behind; after hundreds of jobs its heap would have grown to the limit."""
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges between long ids: one row (node, root) per node of an edge.
 
@@ -137,28 +143,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before the shuffle, and an equi-join with it, whose hot nodes AQE splits; each round is written to the shared
     folder. ``root`` is the smallest node of the component. Self-loops and nulls are dropped.
     """
-    def tidy(df):
+    def tidy_edges(df):
         return (df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                 .where("u <> v").distinct())
 
-    def signature(df):
-        # decimals, as sums of hashes leave the range of longs
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    spark = edges.sparkSession
+
+    def written(df):
+        """The edges, written out, with their number and a sum of their hashes, observed on the way."""
+        seen = Observation()
+        out = cut_lineage(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")))
+        settle(spark)
+        got = observed(seen)
+        return out, (got.get("n", 0), got.get("h"))
 
-    now = cut_lineage(tidy(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-                           .where("u IS NOT NULL AND v IS NOT NULL")))
-    seen = signature(now)
+    now, seen = written(tidy_edges(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
+                                   .where("u IS NOT NULL AND v IS NOT NULL")))
     while seen[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # every larger neighbour of u moves to the smallest node around u
-        large = tidy(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = tidy_edges(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         # smaller neighbours of u and u itself hang on the smallest of them
         small = large.join(least, "u")
-        now = cut_lineage(tidy(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                               .union(small.select("u", F.col("m").alias("v")))))
-        before, seen = seen, signature(now)
+        before = seen
+        now, seen = written(tidy_edges(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+                                       .union(small.select("u", F.col("m").alias("v")))))
         if before == seen:
             break
     rooted = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
