@@ -8,32 +8,39 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.llm import decontaminate, jaccard, language, packing, secrets
-from vacantia.llm.common import table
+from vacantia.llm.common import settle, table
 from vacantia.session import cut_lineage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is decided; texts without a letter, null or of no clear language go."""
+    settle(spark)
     return language.keep_identified(docs, language.learn(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    settle(spark)
     return jaccard.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of ``benchmark``."""
+    """Documents that hold no item of ``benchmark``; null and empty texts stay, repeated rows stay or go together."""
+    settle(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced in their text and ``n_chars`` renewed where the text changed."""
+    """All documents, with secrets replaced in their text and ``n_chars`` renewed where the text changed.
+
+    Null and empty texts, and those without a secret, stay as they are; repeated rows change alike.
+    """
     return secrets.redact(docs, length="n_chars")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
+    settle(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
