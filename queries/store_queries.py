@@ -6,7 +6,8 @@ from queries.base import AS_OF, CURATED_AS_OF, incoming, query, table, view
 from queries.report_queries import METRICS, scratch
 from queries.scalars import SLUG
 from queries.source_queries import lists
-from vacantia.operators import aggregates, maintenance, upsert
+from vacantia.operators import aggregates, filters, joins, maintenance, upsert
+from vacantia.plans import browse
 from vacantia.plans import curated as curated_plan
 from vacantia.plans import upkeep
 from vacantia.sources import boards
@@ -186,14 +187,29 @@ def u6(spark, sf):
     return result.jobs.select("id", "provider", "external_id", "title", "url", "posted_at")
 
 
-@query("u7_integrity", """
-SELECT 'job-key-repeated' AS rule, count(*) AS violations FROM (SELECT 1 FROM k GROUP BY provider, external_id HAVING count(*) > 1)
-UNION ALL SELECT 'company-slug-repeated', 0 UNION ALL SELECT 'job-skill-repeated', 0 UNION ALL SELECT 'provider-unknown', 0 UNION ALL SELECT 'level-unknown', 0
-UNION ALL SELECT m || '-missing', 0 FROM (VALUES ('provider'), ('url'), ('company_id'), ('title'), ('is_remote'), ('level'), ('active')) v(m)""".replace(
-    "FROM k GROUP", "FROM (SELECT provider, id % 1000 AS external_id FROM jobs_fx) GROUP"))
+# Jobs, companies and skills with some rows that break each rule.
+BROKEN_JOBS = """SELECT CASE WHEN id % 101 = 0 THEN 'nobody' WHEN id % 103 = 0 THEN NULL ELSE provider END AS provider, CAST(id % 1000 AS VARCHAR(20)) AS external_id,
+ CASE WHEN id % 107 = 0 THEN NULL ELSE url END AS url, CASE WHEN id % 109 = 0 THEN NULL ELSE company_id END AS company_id,
+ CASE WHEN id % 113 = 0 THEN NULL ELSE title END AS title, CASE WHEN id % 127 = 0 THEN NULL ELSE is_remote END AS is_remote,
+ CASE WHEN id % 131 = 0 THEN 'boss' WHEN id % 137 = 0 THEN NULL ELSE level END AS level, CASE WHEN id % 139 = 0 THEN NULL ELSE active END AS active FROM jobs_fx"""
+BROKEN_COMPANIES = "SELECT id, CASE WHEN id % 7 = 0 THEN 'same-slug' WHEN id % 11 = 0 THEN 'other-slug' ELSE slug END AS slug FROM companies_fx"
+BROKEN_SKILLS = "SELECT job_id, skill FROM job_skills_fx UNION ALL SELECT job_id, skill FROM job_skills_fx WHERE job_id % 5 = 0"
+
+
+@query("u7_integrity", f"""
+WITH j AS ({BROKEN_JOBS}), c AS ({BROKEN_COMPANIES}), s AS ({BROKEN_SKILLS})
+SELECT 'job-key-repeated' AS rule, count(*) AS violations FROM (SELECT 1 FROM j WHERE provider IS NOT NULL GROUP BY provider, external_id HAVING count(*) > 1)
+UNION ALL SELECT 'company-slug-repeated', count(*) FROM (SELECT 1 FROM c GROUP BY slug HAVING count(*) > 1)
+UNION ALL SELECT 'job-skill-repeated', count(*) FROM (SELECT 1 FROM s GROUP BY job_id, skill HAVING count(*) > 1)
+UNION ALL SELECT 'provider-unknown', count(*) FROM j WHERE provider = 'nobody' UNION ALL SELECT 'level-unknown', count(*) FROM j WHERE level = 'boss'
+UNION ALL SELECT 'provider-missing', count(*) FROM j WHERE provider IS NULL UNION ALL SELECT 'url-missing', count(*) FROM j WHERE url IS NULL
+UNION ALL SELECT 'company_id-missing', count(*) FROM j WHERE company_id IS NULL UNION ALL SELECT 'title-missing', count(*) FROM j WHERE title IS NULL
+UNION ALL SELECT 'is_remote-missing', count(*) FROM j WHERE is_remote IS NULL UNION ALL SELECT 'level-missing', count(*) FROM j WHERE level IS NULL
+UNION ALL SELECT 'active-missing', count(*) FROM j WHERE active IS NULL""")
 def u7(spark, sf):
-    jobs = view(spark, sf, "jobs_fx").withColumn("external_id", F.col("id") % 1000)
-    return maintenance.integrity_report(jobs, view(spark, sf, "companies_fx"), skills(spark, sf))
+    for name in ("jobs_fx", "companies_fx", "job_skills_fx"):
+        view(spark, sf, name).createOrReplaceTempView(name)
+    return maintenance.integrity_report(*[spark.sql(text) for text in (BROKEN_JOBS, BROKEN_COMPANIES, BROKEN_SKILLS)])
 
 
 CURATED = """
@@ -213,10 +229,19 @@ def p3(spark, sf):
     return curated_plan.curated_batch(lists(spark, sf), CURATED_AS_OF, scrape=True).select(*CURATED_COLUMNS)
 
 
-@query("p3_curated_fallback", CURATED.replace("CASE kind WHEN 0 THEN TIMESTAMP '2025-09-17 00:00:00' ELSE TIMESTAMP '2025-09-04 00:00:00' END", "TIMESTAMP '2025-09-18 00:00:00'").replace("'scraped'", "'fallback'"))
+# Every other link of the lists has a date in the history.
+LIST_HISTORY = """SELECT DISTINCT substr(sha1(concat('https://boards.example.com/', CASE doc_id % 3 WHEN 0 THEN 't/' ELSE 'h/' END, CAST(doc_id % 90 AS VARCHAR(20)))), 1, 16) AS external_id,
+ CASE WHEN doc_id % 4 = 0 THEN TIMESTAMP '2025-08-01 00:00:00' END AS merged_at, TIMESTAMP '2025-08-02 00:00:00' AS added_at, CAST(NULL AS TIMESTAMP) AS touched_at
+ FROM md_doc_fx WHERE doc_id % 3 <> 1 AND doc_id % 90 % 2 = 0"""
+
+
+@query("p3_curated_fallback", f"""
+WITH c AS ({CURATED.strip()}), h AS (SELECT external_id, coalesce(min(merged_at), min(added_at)) AS at FROM ({LIST_HISTORY}) GROUP BY external_id)
+SELECT c.* REPLACE (coalesce(h.at, TIMESTAMP '2025-09-18 00:00:00') AS posted_at, CASE WHEN h.at IS NULL THEN 'fallback' ELSE 'inferred' END AS date_origin)
+FROM c LEFT JOIN h ON h.external_id = c.external_id""")
 def p3_fallback(spark, sf):
-    history = view(spark, sf, "history_fx").select("external_id", "merged_at", "added_at", "touched_at")
-    return curated_plan.curated_batch(lists(spark, sf), CURATED_AS_OF, history=history).select(*CURATED_COLUMNS)
+    view(spark, sf, "md_doc_fx").createOrReplaceTempView("md_doc_fx")
+    return curated_plan.curated_batch(lists(spark, sf), CURATED_AS_OF, history=spark.sql(LIST_HISTORY)).select(*CURATED_COLUMNS)
 
 
 @query("p3_curated_ingest", f"""
@@ -272,13 +297,50 @@ def st1(spark, sf):
 
 @query("st2_first_sightings", "SELECT DISTINCT user_id, event_type FROM events")
 def st2(spark, sf):
-    layout = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(layout).option("pathGlobFilter", "events.parquet").parquet(sf)
-    folder = scratch(spark, "st2")
+    """Events arrive in files, one a micro-batch, so sightings are known from the batches before."""
+    events, folder = table(spark, sf, "events"), scratch(spark, "st2")
+    events.repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     run = (
-        dedupe.first_sightings(stream, ["user_id", "event_type"], "ts").select("user_id", "event_type")
+        dedupe.first_sightings(stream, ["user_id", "event_type"], "ts", "36500 days").select("user_id", "event_type")
         .writeStream.format("parquet").option("path", f"{folder}/out")
         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
     run.awaitTermination()
     return spark.read.schema("user_id long, event_type string").parquet(f"{folder}/out")
+
+
+def filled_store(spark, sf, name):
+    store = TableStore(spark, scratch(spark, name))
+    store.write({"jobs": upsert.conform(view(spark, sf, "jobs_fx"), upsert.JOBS),
+                 "companies": upsert.conform(view(spark, sf, "companies_fx"), upsert.COMPANIES),
+                 "job_skills": upsert.conform(skills(spark, sf), upsert.JOB_SKILLS)}, AS_OF)
+    return store.snapshot()
+
+
+@query("f7_stored_search", """
+SELECT j.id FROM jobs_fx j JOIN companies_fx c ON c.id = j.company_id WHERE j.title ILIKE '%front_nd dev%' OR c.name ILIKE '%front_nd dev%'""")
+def f7_stored(spark, sf):
+    snapshot = filled_store(spark, sf, "f7")
+    found = joins.jobs_with_companies(snapshot.mentioning("FRONT_nd dev"), snapshot.read("companies"))
+    return found.filter(filters.keyword("FRONT_nd dev")).select("id")
+
+
+@query("f4_stored_recent", f"SELECT id FROM jobs_fx WHERE posted_at >= TIMESTAMP '{AS_OF}' - INTERVAL 900 DAY")
+def f4_stored(spark, sf):
+    snapshot, since = filled_store(spark, sf, "f4"), F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 900 DAYS")
+    first = str(spark.range(1).select(since).first()[0])
+    return snapshot.posted_since(first, undated=False).filter(F.col("posted_at") >= since).select("id")
+
+
+@query("o2_seek_page", """
+SELECT j.id, j.title, j.posted_at FROM jobs_fx j JOIN companies_fx c ON c.id = j.company_id WHERE j.provider <> 'workable'
+ORDER BY j.posted_at DESC NULLS LAST, j.id DESC LIMIT 50 OFFSET 150""")
+def o2_seek(spark, sf):
+    """The page after the last row of the pages before it."""
+    snapshot, after = filled_store(spark, sf, "o2"), None
+    search = browse.Search(limit=50, experimental=True)
+    for _ in range(3):
+        last = browse.seek(snapshot, search, AS_OF, after).orderBy(F.asc_nulls_first("posted_at"), "id").first()
+        after = (last.posted_at, last.id)
+    return browse.seek(snapshot, search, AS_OF, after).select("id", "title", "posted_at")

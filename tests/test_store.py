@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vacantia import schemas
 from vacantia.operators import aggregates, joins, maintenance, upsert
-from vacantia.plans import upkeep
+from vacantia.plans import browse, upkeep
 from vacantia.sources import boards, tables
 from vacantia.sources.tables import TableStore
 from vacantia.streaming import dedupe, ingest
@@ -460,3 +460,60 @@ def test_runs_are_logged_in_the_batch_s_version(spark, tmp_path):
     assert rows_of(store, "id", "provider", "jobs_discovered", "errors", "pages_fetched", "notes", table="crawl_runs") == [
         (1, "github", 1, 1, None, None), (2, "lever", 1, 0, None, None), (3, "other", 1, 0, None, None), (4, "github", 1, 0, 5, "again")]
     assert aggregates.last_ingest(store.read("crawl_runs")).first()[0] == datetime(2025, 10, 5)
+
+
+def test_text_search_reads_candidates_only(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "s"), buckets=4, rows_per_file=4)
+    titles = ["Front-End Engineer", "frontend dev", "Back End", "İstanbul Engineer", "QA", "x", None and "", "100% Remote_Dev"]
+    records = [{"external_id": f"e{n}", "title": titles[n % 8] or "Other", "company": f"Company {n % 5}"} for n in range(80)]
+    upkeep.upsert_batch(store, batch(spark, *records), NOW)
+    upkeep.upsert_batch(store, batch(spark, {"external_id": "e2", "title": "FRONT again"}, {"external_id": "z", "company": "Frontier Inc"}, start=90), NOW)
+    upkeep.delete_jobs(store, store.read("jobs").filter("external_id = 'e1'"), NOW)
+    snapshot = store.snapshot()
+    companies, skills = snapshot.read("companies"), snapshot.read("job_skills")
+    for q in ("front", "FRONT-end", "nt_end", "istan", "İstan", "QA", "ny 3", "mote_d", "100%mote", "nothing here", "%", "on%ier"):
+        search = browse.Search(q=q, limit=200, provider="github")
+        want = sorted(r.id for r in browse.matching_jobs(snapshot.read("jobs"), companies, skills, search, NOW).collect())
+        got = browse.matching_jobs(browse.stored_jobs(snapshot, search, NOW), companies, skills, search, NOW)
+        assert sorted(r.id for r in got.collect()) == want, q
+    whole, few = snapshot.read("jobs").inputFiles(), snapshot.mentioning("Frontier").inputFiles()
+    assert len(whole) > 12 and len([f for f in few if "/s/jobs/" in f]) == 1
+    assert browse.browse_stored(snapshot, browse.Search(q="again", provider="github"), NOW).header.first().total == 1
+
+
+@pytest.mark.parametrize("undated", [0, 40])
+def test_seek_pages_equal_offset_pages(spark, tmp_path, undated):
+    store = TableStore(spark, str(tmp_path / "s"), buckets=2, rows_per_file=10)
+    pick = random.Random(undated)
+    days = [datetime(2025, 1, 1 + pick.randrange(20)) for _ in range(130)] + [None] * undated
+    upkeep.upsert_batch(store, batch(spark, *[{"external_id": f"e{n}", "posted_at": d, "title": f"Engineer {n % 3}"} for n, d in enumerate(days)]), NOW)
+    upkeep.prune(store, "2025-02-03 00:00:00", days=30)
+    snapshot = store.snapshot()
+    tables_ = [snapshot.read(t) for t in ("jobs", "companies", "job_skills")]
+    for q in (None, "engineer 1"):
+        after, number = None, 0
+        while number < 12:
+            search = browse.Search(q=q, limit=17, provider="github")
+            want = browse.browse(*tables_, browse.Search(q=q, limit=17, offset=17 * number, provider="github"), NOW).items.collect()
+            got = browse.seek(snapshot, search, NOW, after).collect()
+            assert [tuple(r) for r in got] == [tuple(r) for r in want]
+            if not got:
+                break
+            after, number = (got[-1].posted_at, got[-1].id), number + 1
+        assert number >= 2
+
+
+def test_a_late_page_reads_as_few_files_as_the_first(spark, tmp_path, monkeypatch):
+    store = TableStore(spark, str(tmp_path / "s"), buckets=1, rows_per_file=5)
+    days = [datetime(2025, 1 + n % 9, 1 + n % 28) for n in range(300)]
+    upkeep.upsert_batch(store, batch(spark, *[{"external_id": f"e{n}", "posted_at": d} for n, d in enumerate(days)]), NOW)
+    snapshot, read = store.snapshot(), []
+    real = tables.Snapshot.read
+    monkeypatch.setattr(tables.Snapshot, "read", lambda self, t, **kw: (read.append(len(list(kw["files"]))) if kw.get("files") else None, real(self, t, **kw))[1])
+    monkeypatch.setattr(browse, "FIRST_FILES", 4)
+    search = browse.Search(limit=10, provider="github")
+    browse.seek(snapshot, search, NOW)
+    first, middle = sum(read), sorted(days)[150]
+    read.clear()
+    browse.seek(snapshot, search, NOW, (middle, 10 ** 9))
+    assert first <= 12 and sum(read) <= first + 4

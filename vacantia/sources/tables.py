@@ -25,7 +25,7 @@ from vacantia import schemas
 from vacantia.functions.exprs import as_timestamp
 from vacantia.operators.aggregates import metric_flags, metric_rows
 from vacantia.session import cut_lineage
-from vacantia.sources import skipping
+from vacantia.sources import skipping, text_index
 
 LAYOUTS = {
     "companies": schemas.COMPANIES,
@@ -38,9 +38,12 @@ LAYOUTS = {
 BUCKETED = ("jobs", "job_skills", "metrics")
 # Buckets of a new store, and rows per file; a store keeps its number of buckets.
 BUCKETS, ROWS_PER_FILE = 16, 1_000_000
+# What is kept beside the files of jobs to choose them by.
+INDEXES = {**skipping.LAYOUTS, "grams": text_index.LAYOUT}
 # Share of deleted rows from which on a bucket is rewritten by ``compact``.
 COMPACT_SHARE = 0.2
 
+_FOLDERS = (*LAYOUTS, *(f"_deleted/{t}" for t in LAYOUTS), *(f"_{kind}/jobs" for kind in INDEXES))
 _LOG = "version long, stream string, batch_id long, committed_at timestamp"
 _PLACE = [T.StructField("write", T.StringType()), T.StructField("bucket", T.IntegerType())]
 
@@ -116,11 +119,11 @@ class Snapshot:
             "basePath", root).parquet(*paths).select("file", "pos")
 
     def index(self, kind: str, buckets: Iterable[int] | None = None) -> DataFrame:
-        """File statistics (``files``) or filter bits (``keys``) of the stored jobs."""
+        """File statistics (``files``), filter bits (``keys``) or posting lists (``grams``) of the stored jobs."""
         held = self.held("jobs")
         root = f"{self.store.root}/_{kind}/jobs"
         paths = [f"{root}/write={w}/bucket={b}" for b in (held if buckets is None else set(buckets) & set(held)) for w in held[b]]
-        layout = skipping.LAYOUTS[kind]
+        layout = INDEXES[kind]
         if not paths:
             return self.store.spark.createDataFrame([], f"{layout}, write string, bucket int")
         return self.store.spark.read.schema(f"{layout}, write string, bucket int").option("basePath", root).parquet(*paths)
@@ -129,6 +132,15 @@ class Snapshot:
         """Jobs of the files that can hold a posting from ``since`` on, or an undated one; not filtered themselves."""
         return self.read("jobs", files=skipping.recent_files(self.index("files"), since, undated))
 
+    def mentioning(self, q: str) -> DataFrame:
+        """Jobs that may match a LIKE text in title or company name, from the files that hold one; all if it is too short."""
+        wanted = text_index.asked(self.store.spark, q)
+        if not wanted:
+            return self.read("jobs")
+        places = cut_lineage(text_index.candidates(self.index("grams"), wanted))
+        files = [r.file for r in places.select("file").distinct().collect()]
+        return self.read("jobs", files=files, placed=True).join(places, ["file", "pos"], "left_semi").drop("bucket", "file", "pos")
+
     def holding(self, external_ids: DataFrame) -> DataFrame:
         """The stored jobs with one of the ids (one column, external_id), from the files whose filter may hold one."""
         keys = external_ids.select("external_id").distinct().withColumn("bucket", key_bucket(F.col("external_id"), self.buckets))
@@ -225,13 +237,17 @@ class TableStore:
             self._create("_log", 0, self._row(0, base, {}, {"parts": {}, "deletes": {}, "rows": {}, "top": {}}, as_of, None, ""))
         try:
             self._refuse_conflicts(base, change)
+            # the companies that jobs will name
+            named = replace["companies"][0] if "companies" in (replace or {}) else base.read("companies")
+            if "companies" in (append or {}):
+                named = named.unionByName(append["companies"])
             gone = {t: cut_lineage(metric_flags(df) if t == "jobs" else df.select("bucket", "file", "pos"))
                     for t, df in (delete or {}).items()}
             for table, (df, buckets) in (replace or {}).items():
                 whole = range(base.buckets) if table in BUCKETED else [0]
-                self._put(change, base, own, table, df, whole if buckets is None else buckets)
+                self._put(change, base, own, table, df, whole if buckets is None else buckets, named)
             for table, df in (append or {}).items():
-                self._put(change, base, own, table, df, None)
+                self._put(change, base, own, table, df, None, named)
             for table, df in gone.items():
                 self._delete(change, own, table, df)
             self._count(change, own, gone.get("jobs"))
@@ -240,7 +256,8 @@ class TableStore:
             self._discard(own)
             raise
 
-    def _put(self, change: "_Change", base: Snapshot, own: str, table: str, df: DataFrame, buckets: Iterable[int] | None) -> None:
+    def _put(self, change: "_Change", base: Snapshot, own: str, table: str, df: DataFrame, buckets: Iterable[int] | None,
+             companies: DataFrame | None = None) -> None:
         """Write rows into a folder of the commit, laid out by bucket."""
         layout = LAYOUTS[table].fieldNames()
         if table not in BUCKETED:
@@ -257,7 +274,7 @@ class TableStore:
         if "id" in layout and change.written[table]:
             change.top[table] = self._fresh(table, own, change.written[table]).agg(F.max("id")).first()[0]
         if table == "jobs":
-            self._describe(change, own)
+            self._describe(change, own, companies if companies is not None else base.read("companies"))
 
     def _rows(self, folder: str) -> dict[int, int]:
         """Rows by bucket of a folder written; file footers answer this, and the driver gets one row a bucket."""
@@ -270,13 +287,14 @@ class TableStore:
         """What this commit has written to a table."""
         return Snapshot(self, parts={table: {str(b): [own] for b in buckets}}).read(table, placed=True)
 
-    def _describe(self, change: "_Change", own: str) -> None:
-        """File statistics and key filters of the jobs written, for choosing files before a scan."""
+    def _describe(self, change: "_Change", own: str, companies: DataFrame) -> None:
+        """File statistics, key filters and posting lists of the jobs written, for choosing files before a scan."""
         fresh = self._fresh("jobs", own, change.written["jobs"])
         if change.written["jobs"]:
             skipping.file_statistics(fresh).write.partitionBy("bucket").mode("append").parquet(f"{self.root}/_files/jobs/write={own}")
             files = self.spark.read.schema(f"{skipping.LAYOUTS['files']}, bucket int").parquet(f"{self.root}/_files/jobs/write={own}")
-            skipping.key_filters(fresh, files).write.partitionBy("bucket").mode("append").parquet(f"{self.root}/_keys/jobs/write={own}")
+            for kind, rows in (("keys", skipping.key_filters(fresh, files)), ("grams", text_index.posting_lists(fresh, companies))):
+                rows.hint("rebalance", "bucket").write.partitionBy("bucket").mode("append").parquet(f"{self.root}/_{kind}/jobs/write={own}")
 
     def _delete(self, change: "_Change", own: str, table: str, df: DataFrame) -> None:
         folder = f"_deleted/{table}/write={own}"
@@ -343,7 +361,7 @@ class TableStore:
 
     def _discard(self, own: str) -> None:
         """Remove the folders of a commit that was not published."""
-        for folder in (*LAYOUTS, *(f"_deleted/{t}" for t in LAYOUTS), "_files/jobs", "_keys/jobs"):
+        for folder in _FOLDERS:
             self._remove(f"{folder}/write={own}")
 
     def _remove(self, folder: str) -> None:
@@ -385,9 +403,9 @@ class TableStore:
             for kind in ("parts", "deletes"):
                 for table, buckets in row.get(kind, {}).items():
                     named |= {(f"_deleted/{table}" if kind == "deletes" else table, w) for writes in buckets.values() for w in writes}
-        named |= {(f, w) for t, w in list(named) if t == "jobs" for f in ("_files/jobs", "_keys/jobs")}
+        named |= {(f, w) for t, w in list(named) if t == "jobs" for f in (f"_{kind}/jobs" for kind in INDEXES)}
         removed = 0
-        for folder in (*LAYOUTS, *(f"_deleted/{t}" for t in LAYOUTS), "_files/jobs", "_keys/jobs"):
+        for folder in _FOLDERS:
             for name in self._names(folder):
                 if name.startswith("write=") and (folder, name[len("write="):]) not in named:
                     self._remove(f"{folder}/{name}")
