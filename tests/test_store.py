@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantia import schemas
-from vacantia.operators import aggregates, joins, maintenance, upsert
+from vacantia.operators import aggregates, graph, joins, maintenance, upsert
 from vacantia.plans import browse, upkeep
 from vacantia.sources import boards, tables
 from vacantia.sources.tables import TableStore
@@ -517,3 +517,38 @@ def test_a_late_page_reads_as_few_files_as_the_first(spark, tmp_path, monkeypatc
     read.clear()
     browse.seek(snapshot, search, NOW, (middle, 10 ** 9))
     assert first <= 12 and sum(read) <= first + 4
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_by_brute_force(spark, seed):
+    pick = random.Random(seed)
+    edges = [(pick.randrange(120), pick.randrange(120)) for _ in range(70)] + [(i, i + 1) for i in range(200, 500)]
+    edges += [(1000, n) for n in range(1001, 1200)] + [(7, 7), (None, 3)]
+    pick.shuffle(edges)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+    for u, v in edges:
+        if u is not None and u != v:
+            root[max(find(u), find(v))] = min(find(u), find(v))
+    want = {n: find(n) for n in list(root)}
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.root for r in got.collect()} == want
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_chain_of_renames_takes_a_bounded_number_of_jobs(spark, monkeypatch):
+    # each pair shares its slug with the pair before and its name with the next, so all wait for the first
+    refs = [(f"s{n // 2}", f"n{(n + 1) // 2}") for n in range(10_000)]
+    writes = []
+    for module in (upsert, graph):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, real=module.cut_lineage: (writes.append(1), real(df))[1])
+    frame = spark.createDataFrame([(k, s, n) for k, (s, n) in enumerate(refs)], "seq long, slug string, company string")
+    _, created = upsert.resolve_companies(frame, spark.createDataFrame([], "id long, name string, slug string"))
+    _, held = one_by_one([], refs[:400])
+    got = sorted((r.id, r.slug, r.name) for r in created.collect())
+    assert got[:len(held) - 1] == held[:len(held) - 1] and len(got) == 5000
+    assert len(writes) < 60

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from vacantia.functions.exprs import as_timestamp, filled, strip
 from vacantia.functions.text import skill_label, slugify
 from vacantia.operators import runs
+from vacantia.operators.graph import components
 from vacantia.operators.ranking import number_rows
 from vacantia.schemas import COMPANIES, INCOMING, JOB_SKILLS, JOBS
 from vacantia.session import cut_lineage
@@ -150,14 +151,21 @@ def next_ids(df: DataFrame, table: DataFrame, seq: str, taken: int | None = None
     return number_rows(df, "_n", seq=seq).withColumn("id", F.col("_n") + largest).drop("_n")
 
 
+# Rounds in which certain pairs settle others at once; what is left then are chains of references.
+CLAIM_ROUNDS = 2
+
+
 def _first_claims(pairs: DataFrame) -> DataFrame:
     """Of (slug, company, seq) those that create a company: in order, each slug and each name at most once.
 
-    A pair that comes first for both its slug and its name is certain; it settles all other pairs with either. Rounds go
-    on over what is left, which is nothing after the first where slug and name belong together.
+    A pair that comes first for both its slug and its name is certain; it settles all other pairs with either, so names and
+    slugs with many pairs are done in the first round. What a few rounds leave are chains, in which each pair waits for the
+    one before: those are cut into components, and each is gone through in order.
     """
     chosen = pairs.limit(0)
-    while not pairs.isEmpty():
+    for _ in range(CLAIM_ROUNDS):
+        if pairs.isEmpty():
+            return chosen
         slugs = pairs.groupBy("slug").agg(F.min("seq").alias("slug_seq"))
         names = pairs.groupBy("company").agg(F.min("seq").alias("name_seq"))
         first = cut_lineage(pairs.join(slugs, "slug").join(names, "company")
@@ -165,7 +173,32 @@ def _first_claims(pairs: DataFrame) -> DataFrame:
         chosen = chosen.union(first)
         pairs = cut_lineage(pairs.join(first.select("slug"), "slug", "left_anti")
                             .join(first.select("company"), "company", "left_anti").select("slug", "company", "seq"))
-    return chosen
+    return chosen if pairs.isEmpty() else chosen.union(_chained_claims(pairs))
+
+
+def _chained_claims(pairs: DataFrame) -> DataFrame:
+    """The same by components of the graph of slugs and names, a component's pairs in order.
+
+    Rows stream through a task sorted by component; it remembers what the current component has taken, and no pairs.
+    """
+    edges = pairs.withColumn("a", F.xxhash64(F.lit("slug"), "slug")).withColumn("b", F.xxhash64(F.lit("name"), "company"))
+    rooted = edges.join(components(edges).withColumnRenamed("node", "a"), "a").select("slug", "company", "seq", "root")
+
+    def run(batches):
+        now, slugs, names = None, set(), set()
+        for batch in batches:
+            keep = []
+            for i, (slug, name, root) in enumerate(zip(batch["slug"], batch["company"], batch["root"])):
+                if root != now:
+                    now, slugs, names = root, set(), set()
+                if slug not in slugs and name not in names:
+                    slugs.add(slug)
+                    names.add(name)
+                    keep.append(i)
+            yield batch.iloc[keep][["slug", "company", "seq"]]
+    kind = pairs.schema["seq"].dataType.simpleString()
+    return cut_lineage(rooted.repartition("root").sortWithinPartitions("root", "seq").mapInPandas(
+        run, f"slug string, company string, seq {kind}"))
 
 
 def resolve_companies(refs: DataFrame, companies: DataFrame, ids: Ids | None = None) -> tuple[DataFrame, DataFrame]:
