@@ -552,3 +552,32 @@ def test_a_chain_of_renames_takes_a_bounded_number_of_jobs(spark, monkeypatch):
     got = sorted((r.id, r.slug, r.name) for r in created.collect())
     assert got[:len(held) - 1] == held[:len(held) - 1] and len(got) == 5000
     assert len(writes) < 60
+
+
+def test_first_sightings_are_kept_over_batches_and_restarts(spark, tmp_path):
+    import time
+
+    layout = "source string, id string, ts timestamp, n int"
+    at = lambda hour, minute=0: datetime(2025, 1, 1, hour, minute)
+    # the last row of each batch moves the watermark for the next one
+    batches = [
+        ([("a", "1", at(1), 1), ("a", "1", at(0, 30), 2), ("b", "1", at(1), 3)], {2, 3}),
+        ([("a", "1", at(2), 4), ("c", "1", at(5), 5)], {5}),
+        ([("a", "2", at(3), 6), ("a", "3", at(4, 30), 7), ("b", "1", at(4, 30), 8)], {7, 8}),  # 6 is behind the watermark
+        ([("c", "1", at(6), 9), ("a", "1", at(9), 10), ("z", "1", at(9), 11)], {10, 11}),
+        ([("z", "1", at(8, 30), 12), ("y", "1", at(8, 30), 13)], {13}),
+    ]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", dedupe.ROCKSDB)
+    try:
+        want = set()
+        for rows_, new in batches:
+            spark.createDataFrame(rows_, layout).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            # every batch is a restart from the checkpoint
+            dedupe.first_sightings_kept(stream, ["source", "id"], "ts", "1 hour", 3).writeStream.format("parquet").option(
+                "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+            want |= new
+            assert {r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+            time.sleep(1.1)  # files are taken in the order of their times
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
