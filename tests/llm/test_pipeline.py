@@ -48,3 +48,19 @@ def test_keep_one_with_awkward_rows(spark):
     assert kept == sorted([(False, 2, same), (True, None, "only null keys here twice"), (False, 9, ""), (False, 9, ""), (False, 8, ""),
                            (False, 8, ""), (False, 7, "another text that stays here")])
     assert jaccard.keep_one(docs.limit(0)).count() == 0
+
+
+def test_stages_take_empty_tables_and_awkward_rows(spark):
+    layout = "doc_id long, text string, lang string, source string, n_chars long"
+    none = spark.createDataFrame([], layout)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, SF)
+        assert out.count() == 0 and (name == "packing" or out.columns == none.columns)
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "the text of no one", "en", None, 18), (3, "same words here and there", "en", "s", 25),
+            (3, "same words here and there", "en", "s", 25), (4, "thé " * 50_000, "fr", "s", 200_000)]
+    docs = spark.createDataFrame(rows, layout)
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = spark.createDataFrame(stage(spark, kept, SF).collect(), layout)
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 3), (False, 4), (True, None)]
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, SF).select("doc_id").distinct().count() == 3

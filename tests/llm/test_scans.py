@@ -150,3 +150,16 @@ def test_shard_shares_follow_weights(spark):
     shares = {r.s: r["count"] for r in ids.select(sharding.rendezvous(ids.id, [1.0, 3.0, 0.0, 2.0]).alias("s")).groupBy("s").count().collect()}
     assert 2 not in shares
     assert all(abs(shares[s] / 20000 - w / 6) < 0.02 for s, w in ((0, 1), (1, 3), (3, 2)))
+
+
+def test_empty_tables_and_very_long_texts(spark):
+    layout = "doc_id long, text string, spans string, n_tokens int"
+    none = spark.createDataFrame([], layout)
+    assert secrets.find_secrets(none).count() == token_counts.count_tokens(none, PATH).count() == secrets.redact(none).count() == 0
+    long = ["password=" + "Xk9$vQ2!mZ7p" * 20_000, "z" * 400_000, "key: " * 60_000, "0f" * 150_000, "pass=x " * 40_000, "é " * 100_000]
+    docs = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(long)], layout)
+    found = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    assert found[0].n_assign == 0 and found[0].spans.startswith("guess:") and found[3].n_hex == 1 and found[1].spans == ""
+    library = token_counts.open_tokenizer(PATH)
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, PATH).collect()} == {
+        i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(long)}

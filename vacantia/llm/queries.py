@@ -24,7 +24,25 @@ def query(name, sql=None):
     return add
 
 
-@query("op3_rendezvous_shards")
+# CRC-32 of the bytes of a column ``code`` of hex digits, in DuckDB; ``crc`` is its table, from CRC_TABLE.
+CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc"""
+CRC = """xor(list_reduce(list_concat([4294967295], list_transform(range(length(code) // 2),
+    lambda i: ('0x' || substr(code, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(crc[xor(c, b) % 256 + 1], c >> 8)), 4294967295)"""
+
+
+@query("op3_rendezvous_shards", f"""
+    WITH table_of AS ({CRC_TABLE}),
+    d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    c AS (SELECT row, doc_id, strlen(text) + 1 AS size, {CRC} AS text_crc32
+          FROM (SELECT *, hex(encode(text)) AS code FROM d), table_of),
+    s AS (SELECT row, shard, -1 / ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0)) || '/' || shard), 1, 12))::BIGINT::DOUBLE
+                                      + 0.5::DOUBLE) / 281474976710656::DOUBLE) AS score FROM d, range(17) AS r(shard)),
+    b AS (SELECT row, arg_max(shard, score) FILTER (WHERE shard < 16) AS shard, arg_max(shard, score) AS grown FROM s GROUP BY row)
+    SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
+           row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+           grown::INT AS grown_shard
+    FROM c JOIN b USING (row)""")
 def op3(spark, sf_dir):
     placed = sharding.assign(table(spark, sf_dir, "documents"), "doc_id", [1.0] * SHARDS, [1.0] * (SHARDS + 1), "text")
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -117,9 +135,7 @@ def op11(spark, sf_dir):
 
 
 @query("op13_target_resampling", r"""
-    WITH table_of AS (
-      SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
-               lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+    WITH table_of AS (""" + CRC_TABLE + r"""),
     words AS (
       SELECT row, unnest(terms) AS word FROM (
         SELECT row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -127,9 +143,7 @@ def op11(spark, sf_dir):
         FROM (SELECT row_number() OVER () AS row, text FROM documents
               UNION ALL SELECT -1, text FROM benchmark))),
     buckets AS (
-      SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(length(code) // 2),
-                 lambda i: ('0x' || substr(code, 2 * i + 1, 2))::BIGINT)),
-               lambda c, b: xor(crc[xor(c, b) % 256 + 1], c >> 8)), 4294967295) % 10000 AS bucket
+      SELECT word, """ + CRC + r""" % 10000 AS bucket
       FROM (SELECT DISTINCT word, hex(encode(word)) AS code FROM words), table_of),
     counts AS (
       SELECT b, count(bucket) FILTER (row >= 0) AS s, count(bucket) FILTER (row < 0) AS t
