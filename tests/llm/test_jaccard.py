@@ -134,3 +134,22 @@ def test_columns_of_any_name_come_back(spark):
     rows = [(1, same, *range(8)), (2, same, *range(10, 18)), (3, "other words that nothing else has at all", *range(20, 28))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
     assert sorted(tuple(r) for r in jaccard.keep_one(docs).collect()) == [rows[0], rows[2]]
+
+
+def test_hot_shingles_are_dealt_out_and_change_nothing(spark, monkeypatch):
+    rng = random.Random(12)
+    common = " ".join(f"c{i}" for i in range(6))
+    texts = [common + " " + " ".join(rng.choices([f"w{i}" for i in range(300)], k=rng.choice([1, 2, 9]))) for _ in range(400)]
+    texts += [common + f" x{i // 3} y z" for i in range(90)] + ["all else is other here"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = {r.doc_id: r.component_id for r in jaccard.link(docs).collect()}
+    monkeypatch.setattr(jaccard, "LONG_LIST", 20)
+    monkeypatch.setattr(jaccard, "HOT", 10)
+    seen = []
+    real = jaccard._candidates
+    monkeypatch.setattr(jaccard, "_candidates", lambda *a: (seen.append(a[-2:]), real(*a))[1])
+    assert {r.doc_id: r.component_id for r in jaccard.link(docs).collect()} == want
+    hot, salts = seen[0]
+    assert 0 < len(hot) < 10 and salts > 10
+    from tests_llm_brute import jaccard_groups
+    assert want == jaccard_groups(list(enumerate(texts)))

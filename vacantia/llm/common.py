@@ -132,8 +132,19 @@ def maybe_rows(df: DataFrame, key: str, words: np.ndarray, wanted: bool = True)
 
 
 def settle(spark: SparkSession) -> None:
-    """Let the driver clear what planning left behind; after hundreds of jobs its heap would have grown to the limit."""
+    """Let the driver clear what planning left behind; after hundreds of jobs its heap would have grown to the limit.
+
+    Shuffle files that nothing refers to any more are removed by this, too.
+    """
     spark._jvm.System.gc()
+    give_back()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` for one of many steps of a job: the driver is settled after it."""
+    out = cut_lineage(df)
+    settle(df.sparkSession)
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import bitmap, components, free_name, maybe, maybe_rows, pieces, tidy
+from vacantia.llm.common import HOT, bitmap, components, free_name, join_counted, kept, maybe, maybe_rows, pieces, tidy
 from vacantia.llm.shingles import fingerprint, shingle_sets
-from vacantia.session import cut_lineage
 
 # Bytes of text that are hashed at once.
 PIECE = 1 << 19
@@ -38,6 +37,8 @@ LEADERS = 4
 COMMON = 32
 # Index lists up to this length are paired inside their bucket; longer ones learn components first.
 SHORT_LIST = 64
+# Lists up to this length meet in their bucket, whatever share of all entries they have.
+LONG_LIST = 20_000
 # Entries of a long list that are compared in one place, and entries of a bucket of such blocks.
 BLOCK = 4096
 UNIT_BUCKET = 20_000
@@ -48,7 +49,7 @@ BUCKET = 1 << 19
 
 # Columns of a posting. A bucket fixes the upper bits of a shingle's hash; its lower half tells shingles apart in there,
 # where a rare clash only adds a candidate.
-_TOKENS = (("token", "<u4"),)
+_TOKENS = (("token", "<u4"), ("count", "<u4"))
 _POSTINGS = (("token", "<u4"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4"))
 
 
@@ -127,7 +128,7 @@ def _verified(docs: DataFrame, text: str, nodes: DataFrame, pairs: DataFrame, pe
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
                 pa.array(keep, pa.bool_()))
 
-    pairs = cut_lineage(
+    pairs = kept(
         pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a")
         .join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
         .select("a", "b", "na", "xa", "nb", "xb").mapInArrow(tidy(hopeful), "a long, b long"))
@@ -170,10 +171,17 @@ def _prefix(n, percent):
     return n - _least(n, percent) + 1
 
 
-def _packed(columns, held, hashes, buckets):
-    """Rows (bucket, bytes): entries cut by the range of their shingle's hash, each bucket's columns one after the other."""
+def _packed(columns, held, hashes, buckets, hot, salts):
+    """Rows (bucket, bytes): entries cut by the range of their shingle's hash, each bucket's columns one after the other.
+
+    Entries of a hot shingle, which has a list of its own, go to one of ``salts`` buckets above the others.
+    """
     flat = [np.concatenate([h[k] for h in held]) for k in range(len(columns))]
-    to = ((np.concatenate(hashes) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    hashes = np.concatenate(hashes)
+    to = (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    if len(hot):
+        lists = np.isin(to << 32 | (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64), hot)
+        to[lists] += buckets * (1 + flat[1][lists] % salts)
     order = np.argsort(to, kind="stable")
     flat, to = [f[order] for f in flat], to[order]
     starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
@@ -197,8 +205,10 @@ def _unpacked(columns, group: pa.Table) -> list[np.ndarray]:
     return [np.concatenate(p) for p in parts]
 
 
-def _posted(docs, text, buckets, columns, entries):
+def _posted(docs, text, buckets, columns, entries, hot=(), salts=1):
     """Send the entries of each set of a task to their buckets; ``entries`` gives their hashes and their columns."""
+    hot = np.array([bucket << 32 | token for bucket, token in hot], dtype=np.int64)
+
     def run(batches):
         held, hashes, size = [], [], 0
         for node, s in _new_sets(batches, text):
@@ -207,29 +217,54 @@ def _posted(docs, text, buckets, columns, entries):
             hashes.append(token)
             size += len(token)
             if size >= BUCKET:
-                yield _packed(columns, held, hashes, buckets)
+                yield _packed(columns, held, hashes, buckets, hot, salts)
                 held, hashes, size = [], [], 0
         if held:
-            yield _packed(columns, held, hashes, buckets)
+            yield _packed(columns, held, hashes, buckets, hot, salts)
     return docs.select(text, F.xxhash64(text).alias("th")).mapInArrow(tidy(run), "bucket long, entries binary")
 
 
-def _common(docs: DataFrame, text: str, buckets: int, percent: int) -> np.ndarray:
-    """Bitmap of the shingles that many prefixes hold, each prefix being the smallest hashes of its set."""
-    def first(node, s):
-        token = s[:_prefix(len(s), percent)]
-        return token, (token.astype("<u4"),)
+def _common(docs: DataFrame, text: str, buckets: int, percent: int) -> tuple[np.ndarray, list[int]]:
+    """Bitmap of the shingles that many prefixes hold, each prefix being the smallest hashes of its set, and the hot ones.
+
+    Tasks count before they send, so a shingle is one entry per task and batch, however many sets hold it. Hot shingles,
+    those with more than one in HOT of all entries, are fewer than HOT.
+    """
+    def run(batches):
+        held, size = [], 0
+        for _, s in _new_sets(batches, text):
+            held.append(s[:_prefix(len(s), percent)])
+            size += len(held[-1])
+            if size >= BUCKET:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
+
+    def counted(held):
+        token, times = np.unique(np.concatenate(held), return_counts=True)
+        return _packed(_TOKENS, [(token.astype("<u4"), times.astype("<u4"))], [token], buckets, (), 1)
 
     def count(group: pa.Table) -> pa.Table:
-        token, times = np.unique(_unpacked(_TOKENS, group)[0], return_counts=True)
-        return pa.table({"token": token[times > COMMON].astype(np.int64)})
+        token, times = _unpacked(_TOKENS, group)
+        found, at = np.unique(token, return_inverse=True)
+        total = np.bincount(at, weights=times, minlength=len(found)).astype(np.int64)
+        many = total > COMMON
+        bucket = np.full(int(many.sum()), group.column("bucket")[0].as_py(), dtype=np.int64)
+        return pa.table({"token": found[many].astype(np.int64), "bucket": bucket, "n": total[many]})
 
-    posted = _posted(docs, text, buckets, _TOKENS, first)
-    return bitmap(posted.groupBy("bucket").applyInArrow(count, "token long"), "token")
+    posted = docs.select(text, F.xxhash64(text).alias("th")).mapInArrow(tidy(run), "bucket long, entries binary")
+    found = kept(posted.groupBy("bucket").applyInArrow(count, "token long, bucket long, n long"))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    hot = found.where(F.col("n") > max(total // HOT, LONG_LIST)).select("token", "bucket").collect()
+    return bitmap(found, "token"), [(r.bucket, r.token) for r in hot]
 
 
-def _candidates(docs: DataFrame, text: str, buckets: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Rows (a, b) of candidate pairs from short lists, and rows (a, token, n, pos) of long ones, with null b."""
+def _candidates(docs: DataFrame, text: str, buckets: int, percent: int, common: np.ndarray, hot: list, salts: int) -> DataFrame:
+    """Rows (a, b) of candidate pairs from short lists, and rows (a, token, n, pos) of long ones, with null b.
+
+    The entries of hot shingles are dealt over ``salts`` buckets, from which they only go on to the long lists.
+    """
     def entries(node, s):
         n, late = len(s), maybe(common, s.view(np.int64))
         token = np.concatenate([s[~late], s[late]])[:_prefix(n, percent)]
@@ -244,10 +279,12 @@ def _candidates(docs: DataFrame, text: str, buckets: int, percent: int, common:
         # the same set may come from several tasks
         new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
         token, node, n, pos = token[new], node[new], n[new], pos[new]
+        bucket = group.column("bucket")[0].as_py()
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         length = np.diff(np.r_[starts, len(token)])
         lists = np.repeat(np.arange(len(starts)), length)
-        short = (length > 1) & (length <= SHORT_LIST)
+        long = (length > SHORT_LIST) | (bucket >= buckets)
+        short = (length > 1) & ~long
         last = np.repeat(starts + length, length)
         at = np.flatnonzero(short[lists])
         a, b = [], []
@@ -264,9 +301,9 @@ def _candidates(docs: DataFrame, text: str, buckets: int, percent: int, common:
             b.append(node[other[fits]])
         a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        rest, none = np.flatnonzero((length > SHORT_LIST)[lists]), len(pairs)
-        # tokens of different buckets must not meet
-        name = token[rest] + (np.int64(group.column("bucket")[0].as_py()) << 32)
+        rest, none = np.flatnonzero(long[lists]), len(pairs)
+        # tokens of different buckets must not meet, and those of a salted one must
+        name = token[rest] + (np.int64(bucket % buckets) << 32)
         return pa.table({
             "a": np.r_[pairs[:, 0], node[rest]],
             "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(rest), pa.int64())]),
@@ -274,7 +311,7 @@ def _candidates(docs: DataFrame, text: str, buckets: int, percent: int, common:
             "n": np.r_[np.zeros(none, dtype=np.int64), n[rest]],
             "pos": np.r_[np.zeros(none, dtype=np.int64), pos[rest]]})
 
-    return _posted(docs, text, buckets, _POSTINGS, entries).groupBy("bucket").applyInArrow(
+    return _posted(docs, text, buckets, _POSTINGS, entries, hot, salts).groupBy("bucket").applyInArrow(
         pair, "a long, b long, token long, n long, pos long")
 
 
@@ -326,7 +363,7 @@ def _across(entries: DataFrame, nodes: DataFrame, percent: int, nearest: int | N
     list meets in one task and only pairs that pass leave it.
     """
     cut = entries.groupBy("token").count().select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    units = cut_lineage(
+    units = kept(
         entries.join(cut, "token").withColumn("block", F.pmod(F.xxhash64("a", F.lit(5)), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("a", "token", "n", "pos", F.col("ra").alias("root"), "block", F.least("block", "other").alias("u"),
@@ -368,44 +405,45 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     An empty table gives no rows.
     """
     docs = docs.select(key, text)
-    rows = cut_lineage(profile(docs, key, text))
-    nodes = cut_lineage(rows.where("n > 0").dropDuplicates(["node"]).select("node", "n", "th", "mins", "bits"))
+    rows = kept(profile(docs, key, text))
+    nodes = kept(rows.where("n > 0").dropDuplicates(["node"]).select("node", "n", "th", "mins", "bits"))
     total = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * (100 - percent) / 100 / BUCKET) + 1)
 
     # each node against the leaders of its smallest shingles
     met = nodes.select("node", "n", F.explode("mins").alias("token"))
     leaders = (met.groupBy("token").agg(F.min(F.struct("node", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
-               .select("token", F.col("l.node").alias("a"), F.col("l.n").alias("na")))
-    stars = cut_lineage(
-        met.join(leaders, "token").where("node <> a")
+               .select("token", F.col("l.node").alias("a"), F.col("l.n").alias("na"), "c"))
+    stars = kept(
+        join_counted(met, kept(leaders), ["token"], "c").where("node <> a")
         .where(f"100 * least(n, na) >= {percent} * greatest(n, na)")
         .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-    near = cut_lineage(components(_verified(docs, text, nodes, stars, percent)))
+    near = kept(components(_verified(docs, text, nodes, stars, percent)))
 
     # the index finds what is left
-    common = _common(docs, text, buckets, percent)
-    found = cut_lineage(_candidates(docs, text, buckets, percent, common))
+    common, hot = _common(docs, text, buckets, percent)
+    salts = nodes.count() // LONG_LIST + 1
+    found = kept(_candidates(docs, text, buckets, percent, common, hot, salts))
 
     def rooted(df, end, root):
         named = near.select(F.col("node").alias(end), F.col("root").alias("_r"))
         return df.join(named, end, "left").withColumn(root, F.coalesce("_r", end)).drop("_r")
 
     def linked(pairs):
-        more = cut_lineage(_verified(docs, text, nodes, pairs, percent))
+        more = kept(_verified(docs, text, nodes, pairs, percent))
         if more.isEmpty():
             return near
-        return cut_lineage(components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
+        return kept(components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
 
     def mixed(entries):
         several = entries.groupBy("token").agg(F.min("ra").alias("low"), F.max("ra").alias("high")).where("low <> high")
-        return cut_lineage(entries.join(several.select("token"), "token", "left_semi"))
+        return kept(entries.join(several.select("token"), "token", "left_semi"))
     long_lists = found.where("b IS NULL").select("a", "token", "n", "pos")
     # families first: what the nearest of each node link makes most other pairs of a family needless
-    near = linked(cut_lineage(_across(mixed(rooted(long_lists, "a", "ra")), nodes, percent, NEAREST).distinct()))
+    near = linked(kept(_across(mixed(rooted(long_lists, "a", "ra")), nodes, percent, NEAREST).distinct()))
     across = _across(mixed(rooted(long_lists, "a", "ra")), nodes, percent)
     pairs = rooted(rooted(found.where("b IS NOT NULL").select("a", "b").distinct(), "a", "ra"), "b", "rb")
-    near = linked(cut_lineage(pairs.where("ra <> rb").select("a", "b").union(across).distinct()))
+    near = linked(kept(pairs.where("ra <> rb").select("a", "b").union(across).distinct()))
 
     known = rows.join(near, "node", "left").select(
         key, "th", "n", F.coalesce("root", "node").alias("root"))
@@ -420,12 +458,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     Of rows that repeat that key and text one stays. Documents without words all stay. Texts whose hash is surely not
     concerned pass by a bitmap; only the others are joined.
     """
-    rows = cut_lineage(link(docs, key, text, percent).where("root IS NOT NULL").select(F.col(key).alias("k"), "th", "root"))
+    rows = kept(link(docs, key, text, percent).where("root IS NOT NULL").select(F.col(key).alias("k"), "th", "root"))
     order = F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), F.col("th").alias("th"))
     first = (rows.groupBy("root").agg(F.min(order).alias("f"), F.count("*").alias("c")).where("c > 1")
              .select("root", F.col("f.k").alias("fk"), F.col("f.th").alias("fth")))
     # every key and text of a component with more than one row: one of them stays, once
-    concerned = cut_lineage(rows.join(first, "root").groupBy("k", "th").agg(
+    concerned = kept(rows.join(first, "root").groupBy("k", "th").agg(
         F.max((F.col("k").eqNullSafe(F.col("fk")) & (F.col("th") == F.col("fth"))).cast("int")).alias("stays")))
     marks = bitmap(concerned, "th")
     own, other, stays, same = (free_name(docs, n) for n in ("__th", "__k", "__stays", "__h"))
