@@ -22,8 +22,8 @@ from vacantia.llm.common import pieces, remembered, tidy
 from vacantia.session import cut_lineage
 
 WINDOW = 2048
-# Tokens of a shard on average: some 250 windows, 4 MB.
-SHARD = 1 << 19
+# Tokens of a shard: some 250 windows. A task packs its shards one after the other, some 64 MB of ids in all.
+SHARD, PARTITION = 1 << 19, 1 << 25
 # Query terms of a seed: those with the highest weight in it.
 TERMS = 16
 K1, B = 1.2, 0.75
@@ -304,27 +304,42 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", en
     held, count, mean = _frequencies(units, vocabulary, kept)
     idf = np.log1p((count - held + 0.5) / (held + 0.5))
     tokens = units.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, round(tokens / SHARD))
+    partitions = max(1, round(tokens / PARTITION))
+
+    def shards(batches):
+        """Runs of rows with about SHARD tokens, in order."""
+        held, size = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                ends = np.cumsum(batch.column(batch.schema.get_field_index("length")).to_numpy())
+                cut = int(np.searchsorted(ends, SHARD - size)) + 1
+                part, batch = batch.slice(0, cut), batch.slice(cut)
+                held.append(part)
+                size += int(ends[part.num_rows - 1])
+                if size >= SHARD:
+                    yield pa.Table.from_batches(held)
+                    held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
 
     def run(batches):
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
-            return
-        ids = [np.frombuffer(v.as_buffer(), dtype=kept) for v in table.column("ids")]
-        lengths = np.array([len(i) for i in ids], dtype=np.int64)
-        rows = fill(lengths, Shard(ids, idf, mean))
-        unit, start, length, number, offset = (np.array(c, dtype=np.int64) for c in zip(*rows))
-        crc = [zlib.crc32(ids[u][s:s + n].astype("<u4")) for u, s, n, _, _ in rows]
         base = TaskContext.get().partitionId() << 33
-        yield pa.RecordBatch.from_arrays(
-            [table.column(key).combine_chunks().take(pa.array(unit)),
-             pa.array(start + table.column("start").to_numpy()[unit]), pa.array(length), pa.array(crc, pa.int64()),
-             table.column("doc_tokens").combine_chunks().take(pa.array(unit)), pa.array(2 * (base + number)), pa.array(offset)],
-            names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        for table in shards(batches):
+            ids = [np.frombuffer(v.as_buffer(), dtype=kept) for v in table.column("ids")]
+            lengths = np.array([len(i) for i in ids], dtype=np.int64)
+            rows = fill(lengths, Shard(ids, idf, mean))
+            unit, start, length, number, offset = (np.array(c, dtype=np.int64) for c in zip(*rows))
+            crc = [zlib.crc32(ids[u][s:s + n].astype("<u4")) for u, s, n, _, _ in rows]
+            yield pa.RecordBatch.from_arrays(
+                [table.column(key).combine_chunks().take(pa.array(unit)),
+                 pa.array(start + table.column("start").to_numpy()[unit]), pa.array(length), pa.array(crc, pa.int64()),
+                 table.column("doc_tokens").combine_chunks().take(pa.array(unit)), pa.array(2 * (base + number)), pa.array(offset)],
+                names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            base += int(number[-1]) + 1
 
     order = ["rare", key, "start"]
     packed = (units.withColumn("_row", F.monotonically_increasing_id())
-              .repartitionByRange(shards, *order, "_row").sortWithinPartitions(*order, "_row").drop("_row")
+              .repartitionByRange(partitions, *order, "_row").sortWithinPartitions(*order, "_row").drop("_row")
               .mapInArrow(tidy(run), f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long,"
                                " sequence_id long, offset long"))
     whole = cut.where("sequence_id IS NOT NULL").select(
