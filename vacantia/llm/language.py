@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vacantia.llm.common import pieces as text_pieces, remembered, tidy
 from vacantia.llm.shingles import powers, mix
+from vacantia.session import cut_lineage
 
 # Labelled texts that are learned from, per language.
 SAMPLE = 200
@@ -255,7 +256,15 @@ def learn(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", l
     """
     rows = (docs.where(~held_out(F.col(key)) & F.col(label).isNotNull() & F.col(text).isNotNull())
             .select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(text).alias("h")))
-    chosen = {(r.label, r.h) for r in rows.select("label", "h").distinct()
+    distinct = cut_lineage(rows.select("label", "h").distinct())
+    counts = {r.label: r["count"] for r in distinct.groupBy("label").count().collect()}
+    # hashes are even, so a share of their range holds enough; what it holds is some times the sample for every label
+    least = F.lit(-(1 << 63))
+    for name, n in counts.items():
+        share = min(1.0, (4 * sample + 100) / n)
+        most = min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))
+        least = F.when(F.col("label") == name, F.lit(most)).otherwise(least)
+    chosen = {(r.label, r.h) for r in distinct.where(F.col("h") <= least)
               .withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h")))
               .where(F.col("rank") <= sample).collect()}
     found = rows.where(F.col("h").isin(sorted({h for _, h in chosen}))).groupBy("label", "h").agg(F.min("text").alias("text"))
