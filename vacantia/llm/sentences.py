@@ -115,7 +115,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     name = ["hash", "size"]
     repeated = cut_lineage(
         _runs(docs, key, text).groupBy(*name).agg(F.count("*").alias("c"), F.min("k").alias("low")).where("c > 1"))
-    found = cut_lineage(join_counted(_runs(docs, key, text, bitmap(repeated, "hash")).distinct(), repeated, name, "c"))
+    again = cut_lineage(_runs(docs, key, text, bitmap(repeated, "hash")).distinct())
+    found = cut_lineage(join_counted(again, repeated, name, "c"))
     first = cut_lineage(found.where("k <=> low").groupBy(*name).agg(F.min(F.struct("th", "start")).alias("f"), F.first("c").alias("c"))
                         .select(*name, F.col("f.th").alias("first_th"), F.col("f.start").alias("first_start"), "c"))
     covered = join_counted(found.drop("c"), first, name, "c").where("NOT (k <=> low AND th = first_th AND start = first_start)")
