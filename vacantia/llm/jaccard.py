@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import HOT, bitmap, components, free_name, join_counted, kept, maybe, maybe_rows, pieces, tidy
+from vacantia.llm.common import HOT, bitmap, components, free_name, join_counted, kept, lean, maybe, maybe_rows, pieces, tidy
 from vacantia.llm.shingles import fingerprint, shingle_sets
 
 # Bytes of text that are hashed at once.
@@ -44,8 +44,8 @@ BLOCK = 4096
 UNIT_BUCKET = 20_000
 # Partners of each node in a block that are tried before all others.
 NEAREST = 2
-# Prefix entries of an index bucket, on average (10 MB).
-BUCKET = 1 << 19
+# Prefix entries of an index bucket, on average (5 MB).
+BUCKET = 1 << 18
 
 # Columns of a posting. A bucket fixes the upper bits of a shingle's hash; its lower half tells shingles apart in there,
 # where a rare clash only adds a candidate.
@@ -254,7 +254,7 @@ def _common(docs: DataFrame, text: str, buckets: int, percent: int) -> tuple[np.
         return pa.table({"token": found[many].astype(np.int64), "bucket": bucket, "n": total[many]})
 
     posted = docs.select(text, F.xxhash64(text).alias("th")).mapInArrow(tidy(run), "bucket long, entries binary")
-    found = kept(posted.groupBy("bucket").applyInArrow(count, "token long, bucket long, n long"))
+    found = kept(posted.groupBy("bucket").applyInArrow(lean(count), "token long, bucket long, n long"))
     total = found.agg(F.sum("n")).first()[0] or 0
     hot = found.where(F.col("n") > max(total // HOT, LONG_LIST)).select("token", "bucket").collect()
     return bitmap(found, "token"), [(r.bucket, r.token) for r in hot]
@@ -312,7 +312,7 @@ def _candidates(docs: DataFrame, text: str, buckets: int, percent: int, common:
             "pos": np.r_[np.zeros(none, dtype=np.int64), pos[rest]]})
 
     return _posted(docs, text, buckets, _POSTINGS, entries, hot, salts).groupBy("bucket").applyInArrow(
-        pair, "a long, b long, token long, n long, pos long")
+        lean(pair), "a long, b long, token long, n long, pos long")
 
 
 def _folded(bits: np.ndarray, size: int) -> np.ndarray:
@@ -391,7 +391,7 @@ def _across(entries: DataFrame, nodes: DataFrame, percent: int, nearest: int | N
 
     return (units.join(nodes.select(F.col("node").alias("a"), "bits"), "a")
             .withColumn("bucket", F.pmod(F.xxhash64("token", "u", "v"), F.lit(buckets)))
-            .groupBy("bucket").applyInArrow(compare, "a long, b long"))
+            .groupBy("bucket").applyInArrow(lean(compare), "a long, b long"))
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import components, tidy
+from vacantia.llm.common import components, lean, tidy
 from vacantia.session import cut_lineage
 
 COSINE = 0.98
@@ -203,7 +203,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
     found = cut_lineage(entries.join(classes.select("node", "w", "v"), "node")
                         .withColumn("bucket", F.pmod(F.xxhash64("label", "d", "code", "a", "b"), F.lit(buckets)))
-                        .groupBy("bucket").applyInArrow(link, "node long, links long, root long"))
+                        .groupBy("bucket").applyInArrow(lean(link), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     rooted = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = (rows.select("key", "node").join(classes.select("node", "w"), "node", "left").join(links, "node", "left")
