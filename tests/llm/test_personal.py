@@ -82,6 +82,13 @@ def test_labels_spread_to_like_tokens_of_the_document_only(model, text, spans):
     assert personal.joined(*personal.scan([text], model)[0]) == spans
 
 
+def test_texts_without_a_fixed_shape_are_inferred_on(model):
+    text = "call me 1 (200) 555-1000 or write, call me 1 (200) 555-1000 or write"
+    base, inferred = personal.scan(["", text, "no digits"], model)[1]
+    assert base == [] and [text[s:e] for s, _, e in inferred] == ["1 (200) 555-1000"] * 2
+    assert {personal.KINDS[k] for _, k, _ in inferred} == {"phone"}
+
+
 def test_like_tokens_make_edges_in_proportion(model):
     text = "call +1 743 555 3824 " + "x (743) 555-3824 " * 5000
     graph = personal.Graph()

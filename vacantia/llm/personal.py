@@ -279,10 +279,10 @@ def scan(texts: Sequence[str | None], model: Model, sure: float = SURE) -> list[
     """For each text its fixed shapes and the inferred spans, both as sorted (start, kind number, end) in code points."""
     graph, found = Graph(), []
     for i, text in enumerate(texts):
-        base = base_spans(text) if text and _TOKEN.search(text) else []
-        found.append((base, []))
-        if base:
-            graph.add(i, text, base)
+        held = bool(text and _TOKEN.search(text))
+        found.append((base_spans(text) if held else [], []))
+        if held:
+            graph.add(i, text, found[i][0])
     if graph.span:
         label = _consistent(graph, model.marginals(graph), sure)
         for (start, end), number, kind in zip(graph.span, graph.text, label):
@@ -317,8 +317,8 @@ def joined(base: Sequence, inferred: Sequence = ()) -> str:
 def find_personal(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: counts of the fixed shapes, digest of their spans, and all spans, inferred ones named ``like_<kind>``.
 
-    Every row gives one row, repeated and null keys included; null texts count as empty and have none. Only documents with a
-    fixed shape can have inferred spans. Other columns are not read.
+    Every row gives one row, repeated and null keys included; null texts count as empty and have none. Every
+    document with a token is inferred on, whether it holds a fixed shape or not. Other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
 
