@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vacantia import schemas
 from vacantia.operators import aggregates, graph, joins, maintenance, upsert
 from vacantia.plans import browse, upkeep
-from vacantia.sources import boards, tables
+from vacantia.sources import boards, tables, text_index
 from vacantia.sources.tables import TableStore
 from vacantia.streaming import dedupe, ingest
 
@@ -169,6 +169,44 @@ def test_stream_equals_one_shot(spark, rows, tmp_path):
     assert store.version() == 6 and sorted(map(str, store.read("jobs").collect())) == before
 
 
+def test_stream_parses_a_payload_once_and_on_all_cores(spark, rows, tmp_path):
+    body = '{"jobs":[{"absolute_url":"https://b.example.com/%d","title":"Engineer I"}]}'
+    rows(ingest.LANDED, *[(n, "t", "Acme", None, None, body % n) for n in range(40)]).repartition(1).write.parquet(str(tmp_path / "landed"))
+    seen_file, plans = str(tmp_path / "seen"), []
+
+    def parser(landed):
+        def seen(batches):
+            for part in batches:
+                with open(seen_file, "a") as out:
+                    out.write("x" * len(part))
+                yield part
+        plans.append(landed._jdf.queryExecution().optimizedPlan().toString())
+        return boards.greenhouse(landed.mapInPandas(seen, landed.schema))
+    store = TableStore(spark, str(tmp_path / "store"))
+    ingest.ingest_stream(ingest.landed_stream(spark, str(tmp_path / "landed")), parser, ingest.board_records, store,
+                         str(tmp_path / "cp"), NOW).awaitTermination()
+    assert store.read("jobs").count() == 40 and store.read("crawl_runs").first().pages_fetched == 40
+    with open(seen_file) as file:
+        assert len(file.read()) == 40
+    assert [f"Repartition {spark.sparkContext.defaultParallelism}, true" in p for p in plans] == [True]
+
+
+def test_posting_lists_by_brute_force_and_no_row_per_trigram(spark, rows):
+    names = ["Acme Labs", "İstanbul 𝒳yz", "ab", "", None]
+    titles = ["Engineer", "engineering", "aaaa", "ÉÉÉ dev", "x", None]
+    jobs = rows("bucket int, file string, pos long, title string, company_id long", *[
+        (n % 2, f"f{n % 3}", n, titles[n % 6], n % 6 if n % 11 else None) for n in range(60)]).repartition(4)
+    companies = rows("id long, name string", *enumerate(names))
+    made = text_index.posting_lists(jobs, companies)
+    low = {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in {*names, *titles} if t], "t string").select("t", F.lower("t")).collect()}
+    want = {(r.bucket, r.file, field, low[t][i:i + 3], r.pos) for r in jobs.collect()
+            for field, t in (("title", r.title), ("company", names[r.company_id] if (r.company_id or 0) < 5 and r.company_id is not None else None))
+            if t for i in range(len(low[t]) - 2)}
+    got = [(r.bucket, r.file, r.field, r.gram, p) for r in made.collect() for p in r.rows]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_stream_dedupe(spark, rows, tmp_path):
     events = rows("source string, id string, ts timestamp", ("a", "1", datetime(2025, 1, 1)), ("a", "1", datetime(2025, 1, 1, 0, 5)),
                   ("b", "1", datetime(2025, 1, 1)))

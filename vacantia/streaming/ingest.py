@@ -10,6 +10,7 @@ from vacantia.functions.text import external_id
 from vacantia.operators.ranking import number_rows
 from vacantia.operators.runs import observed
 from vacantia.plans.upkeep import upsert_batch
+from vacantia.session import cut_lineage
 from vacantia.sources.tables import TableStore
 
 LANDED = "payload_id long, token string, company string, host string, path string, body string"
@@ -34,7 +35,9 @@ def ingest_stream(payloads: DataFrame, parser: Callable[[DataFrame], DataFrame],
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         seen = Observation()
-        records = to_records(parser(batch.observe(seen, F.count(F.lit(1)).alias("pages"))))
+        counted = batch.observe(seen, F.count(F.lit(1)).alias("pages"))
+        # a landed file can be one row group, which one task reads; the parser runs on all cores and once
+        records = to_records(cut_lineage(parser(counted.repartition(batch.sparkSession.sparkContext.defaultParallelism))))
         upsert_batch(store, records, as_of, batch_id, stream_id(batch.sparkSession), lambda: observed(seen).get("pages"))
 
     return (
