@@ -2,6 +2,7 @@
 
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,10 @@ def number_rows(df: DataFrame, name: str, seq: str = "seq", leading: Column | No
         .withColumn("_part", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id()))
     parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("first")).orderBy("_part").collect()
     before = [0, *accumulate(r.n for r in parts)]
-    offsets = df.sparkSession.createDataFrame(
-        [(r._part, start - r.first + 1) for r, start in zip(parts, before)], "_part int, _offset long")
+    # a local table: rows given one by one would start a Python worker on every core
+    offsets = df.sparkSession.createDataFrame(pa.table(
+        {"_part": pa.array([r._part for r in parts], pa.int32()),
+         "_offset": pa.array([start - r.first + 1 for r, start in zip(parts, before)], pa.int64())}))
     return (
         placed.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + F.col("_pos")).drop("_part", "_pos", "_offset")

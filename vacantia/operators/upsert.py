@@ -63,10 +63,12 @@ def prepared(incoming: DataFrame) -> DataFrame:
             "company_slug", F.coalesce(*[filled(strip(F.col(c))) for c in ("company_slug", "company_token")
                                          if c in incoming.columns]))
     batch = conform(incoming, INCOMING)
-    slug = F.coalesce(filled(strip(F.col("company_slug"))), filled(slugify(F.col("company"))))
-    name = F.coalesce(filled(F.col("company")), slug)
+    # columns of their own, so that each expression is evaluated once a row and not once a mention
+    given, made = strip(F.col("company_slug")), slugify(F.col("company"))
     return cut_lineage(
-        batch.withColumn("slug", slug).withColumn("company", name)
+        batch.withColumns({"_given": given, "_made": made})
+        .withColumn("slug", F.coalesce(filled(F.col("_given")), filled(F.col("_made")))).drop("_given", "_made")
+        .withColumn("company", F.coalesce(filled(F.col("company")), F.col("slug")))
         .withColumn("legacy_external_id", filled(F.col("legacy_external_id")))
         .withColumn("complete", F.col("title").isNotNull() & F.col("url").isNotNull() & F.col("slug").isNotNull())
     )
