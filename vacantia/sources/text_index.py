@@ -6,7 +6,6 @@ row.
 """
 
 import re
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,28 +26,27 @@ def grams(text: Column) -> Column:
 def posting_lists(jobs: DataFrame, companies: DataFrame) -> DataFrame:
     """The lists of placed jobs, by bucket, file, field and trigram; a long list lies in several rows, each with other places.
 
-    Titles are listed where their file is read, company names after their join, file by file. Trigrams are gathered before
-    anything is sent, so what is shuffled is lists and not one row for each trigram of each job.
+    Jobs meet their company's name, come together by file, and are gathered into lists in their task; no row is made for each
+    trigram of each job.
     """
     names = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"))
-    titles = jobs.select("bucket", "file", "pos", F.lower("title").alias("text"))
-    firms = (jobs.select("bucket", "file", "pos", "company_id").join(names, "company_id")
-             .select("bucket", "file", "pos", F.lower("company").alias("text")).repartition("file"))
-    return reduce(DataFrame.unionByName, [
-        rows.filter("length(text) >= 3").mapInArrow(_gathered, "bucket int, file string, gram string, rows array<long>")
-        .select("bucket", "file", F.lit(field).alias("field"), "gram", "rows") for field, rows in (("title", titles), ("company", firms))])
+    fields = jobs.select("bucket", "file", "pos", "title", "company_id").join(names, "company_id", "left").repartition("file")
+    return fields.select("bucket", "file", "pos", F.lower("title").alias("title"), F.lower("company").alias("company")).mapInArrow(
+        _gathered, f"bucket int, {LAYOUT}")
 
 
 def _gathered(batches):
-    """Lists (bucket, file, gram, rows) of the rows (bucket, file, pos, text in lower case) of a task."""
+    """Lists (bucket, file, field, gram, rows) of the rows (bucket, file, pos, title, company) of a task, texts in lower case."""
     held, size = {}, 0
     for batch in batches:
-        for bucket, file, pos, text in zip(*(c.to_pylist() for c in batch.columns)):
-            lists = held.setdefault((bucket, file), {})
-            found = {text[i:i + 3] for i in range(len(text) - 2)}
-            for gram in found:
-                lists.setdefault(gram, []).append(pos)
-            size += len(found)
+        for bucket, file, pos, *texts in zip(*(c.to_pylist() for c in batch.columns)):
+            for field, text in zip(("title", "company"), texts):
+                found = {text[i:i + 3] for i in range(len(text) - 2)} if text else ()
+                if found:
+                    lists = held.setdefault((bucket, file, field), {})
+                    for gram in found:
+                        lists.setdefault(gram, []).append(pos)
+                    size += len(found)
             if size >= ENTRIES:
                 yield from _rows(held)
                 held, size = {}, 0
@@ -56,11 +54,12 @@ def _gathered(batches):
 
 
 def _rows(held):
-    for (bucket, file), lists in held.items():
+    for (bucket, file, field), lists in held.items():
         chosen = sorted(lists)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([bucket] * len(chosen), pa.int32()), pa.array([file] * len(chosen), pa.string()), pa.array(chosen, pa.string()),
-             pa.array([sorted(lists[g]) for g in chosen], pa.list_(pa.int64()))], names=["bucket", "file", "gram", "rows"])
+            [pa.array([bucket] * len(chosen), pa.int32()), pa.array([file] * len(chosen), pa.string()),
+             pa.array([field] * len(chosen), pa.string()), pa.array(chosen, pa.string()),
+             pa.array([sorted(lists[g]) for g in chosen], pa.list_(pa.int64()))], names=["bucket", "file", "field", "gram", "rows"])
 
 
 def asked(spark: SparkSession, q: str) -> list[str]:
