@@ -93,9 +93,11 @@ def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upsert batch; its arrival order comes from a range-partitioned sort, not from one global window."""
     head, tail = VIEWS["incoming_fx"].split(" AS seq,")
     order = re.search(r"ORDER BY ([^)]*)\)", head).group(1).split(", ")
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    rows = _utc(configure(spark).sql(f"SELECT {', '.join(order)}, {tail}"))
-    return number_rows(rows, "seq", seq=order[0], tie_break=[F.col(c) for c in order[1:]]).drop(*order)
+    # the columns of the table are numbered, as they are short; what is made of them is made after that, in all tasks
+    lines = table(spark, sf_dir, "lineitem").select(*order)
+    numbered = number_rows(lines, "seq", seq=order[0], tie_break=[F.col(c) for c in order[1:]])
+    texts = tail[:tail.rindex("FROM lineitem")]
+    return _utc(spark.sql(f"SELECT seq, {texts} FROM {{numbered}}", numbered=numbered))
 
 
 def literal(text):

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from queries.base import incoming
 from vacantia.operators import aggregates, joins, maintenance, quotas, ranking, scoring, upsert
 from vacantia.plans.browse import Search, browse
 from vacantia.sources import board_pages, curated, snippets
@@ -109,3 +110,33 @@ def test_documents_and_bodies_stay_out_of_shuffles(spark, rows):
     for plan in plans:
         moved = re.findall(r"\) Exchange[^\n]*\nInput[^\n]*", plan)
         assert moved and not any(re.search("(md|body|html)#", part) for part in moved), plan
+
+
+def copied(monkeypatch, *modules):
+    """The schemas of the copies that the modules write from now on."""
+    seen = []
+    for module in modules:
+        monkeypatch.setattr(module, "cut_lineage", lambda df: seen.append(df.schema) or cut_lineage(df))
+    return seen
+
+
+def test_batch_is_numbered_before_its_texts_are_made(spark, tmp_path, monkeypatch):
+    spark.sql("""SELECT id div 3 AS l_orderkey, CAST(id % 3 + 1 AS INT) AS l_linenumber, id AS l_partkey, id % 7 AS l_suppkey,
+                 TIMESTAMP_NTZ '2001-01-01 00:00:00' AS l_shipdate, 'x' AS l_comment FROM range(30)""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen = copied(monkeypatch, ranking)
+    rows = incoming(spark, str(tmp_path)).orderBy("seq").collect()
+    assert seen and not [f.name for schema in seen for f in schema if f.dataType.simpleString() == "string"]
+    assert [r.seq for r in rows] == list(range(1, 31))
+    assert (rows[4].external_id, rows[4].title, rows[4].url) == ("x1", None, "https://boards.example.com/u/1")
+
+
+def test_insert_only_writes_no_second_copy_of_the_batch(spark, monkeypatch):
+    batch = spark.sql("""SELECT id AS seq, 'lever' AS provider, CAST(id div 2 AS STRING) AS external_id, 'T' AS title, 'u' AS url,
+                         concat('Co ', id % 3) AS company FROM range(12)""")
+    jobs = spark.sql("SELECT 5L AS id, 'lever' AS provider, '1' AS external_id")
+    companies = spark.sql("SELECT 9L AS id, 'Co 0' AS name, 'co-0' AS slug")
+    seen = copied(monkeypatch, upsert)
+    result = upsert.insert_only(jobs, companies, batch, "2001-08-01 00:00:00")
+    assert not [schema for schema in seen if "reason" in schema.names]
+    assert sorted((r.id, r.external_id) for r in result.jobs.collect()) == [(6, "0"), (7, "2"), (8, "3"), (9, "4"), (10, "5")]
+    assert sorted(r.seq for r in result.rejects.collect()) == [1, 2, 3, 5, 7, 9, 11]

@@ -303,7 +303,11 @@ def upsert(jobs: DataFrame, companies: DataFrame, job_skills: DataFrame, incomin
 
 
 def insert_only(jobs: DataFrame, companies: DataFrame, incoming: DataFrame, as_of, ids: Ids | None = None) -> Upserted:
-    """What to add to the three tables (the first complete row of each key not stored yet), and the refused rows."""
+    """What to add to the three tables (the first complete row of each key not stored yet), and the refused rows.
+
+    Only the prepared batch is written out. Which rows are accepted is found from its keys and flags, once for the companies
+    and once for the rows themselves, which costs less than another copy of all rows.
+    """
     now = as_timestamp(as_of)
     batch = prepared(incoming)
     stored = jobs.select(*KEY, F.lit(True).alias("stored"))
@@ -314,7 +318,6 @@ def insert_only(jobs: DataFrame, companies: DataFrame, incoming: DataFrame, as_o
         "reason", F.when(F.col("seq").isNull(), "missing-seq")
         .when(~F.col("complete") | F.coalesce(F.col("provider") == "", F.lit(True)), "incomplete")
         .when(F.col("stored") | (F.col("seq") > F.col("first_seq")), "duplicate-key"))
-    marked = cut_lineage(marked)
     accepted = marked.filter("reason IS NULL")
     mapping, created = resolve_companies(accepted.select("slug", "company", "seq"), conform(companies, COMPANIES), ids)
     fresh = next_ids(_with_company(accepted, mapping, "seq"), jobs, "seq", ids and ids("jobs", accepted))
