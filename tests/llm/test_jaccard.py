@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from vacantia.llm import jaccard
+from vacantia.llm import common, jaccard
 from vacantia.llm.common import components
 from vacantia.llm.shingles import shingle_sets
 
@@ -153,3 +153,18 @@ def test_hot_shingles_are_dealt_out_and_change_nothing(spark, monkeypatch):
     assert 0 < len(hot) < 10 and salts > 10
     from tests_llm_brute import jaccard_groups
     assert want == jaccard_groups(list(enumerate(texts)))
+
+
+def test_few_edges_are_one_partition(spark):
+    """Components of few edges come without an exchange, however many shuffle partitions there are."""
+    edges = spark.range(60).selectExpr("id as a", "id + 1 as b")
+    found = components(edges)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+    assert {r.root for r in found.collect()} == {0}
+
+
+@pytest.mark.parametrize("small", [3, 1 << 16])
+def test_components_in_any_number_of_partitions(spark, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL", small)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9] + [(7, 7), (None, 3)], "a long, b long")
+    assert sorted((r.node, r.root) for r in components(edges).collect()) == [(i, i // 10 * 10) for i in range(40)]

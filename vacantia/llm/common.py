@@ -16,6 +16,8 @@ from vacantia.session import cut_lineage
 BITMAP_BITS = 1 << 23
 # Rows of text are handed to Python code in pieces of about this many bytes.
 PIECE_BYTES = 1 << 20
+# Rows of a derived table that make a partition of their own; a table of fewer is one partition.
+SMALL = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -157,12 +159,29 @@ def kept(df: DataFrame) -> DataFrame:
     return out
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """A table of about ``rows`` short rows in no more partitions than it fills.
+
+    Aggregates and joins of tables that are one partition need no exchange; with hundreds of shuffle partitions, each exchange
+    of a small table would make as many tasks and files as it has rows. Larger tables keep a partition per SMALL rows.
+    """
+    return df.coalesce(max(1, -(-rows // SMALL)))
+
+
+def kept_few(df: DataFrame) -> DataFrame:
+    """``kept`` for a table of short rows, which is read in no more partitions than it fills."""
+    seen = Observation()
+    out = kept(df.observe(seen, F.count("*").alias("n")))
+    return few(out, observed(seen).get("n", 0))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges between long ids: one row (node, root) per node of an edge.
 
     Large-star and small-star steps alternate until nothing changes. Both are a minimum per node, which is combined
     before the shuffle, and an equi-join with it, whose hot nodes AQE splits; each round is written to the shared
-    folder. ``root`` is the smallest node of the component. Self-loops and nulls are dropped.
+    folder. Few edges are one partition, in which a round needs no exchange. ``root`` is the smallest node of the component.
+    Self-loops and nulls are dropped.
     """
     def tidy_edges(df):
         return (df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -176,12 +195,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         out = cut_lineage(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")))
         settle(spark)
         got = observed(seen)
-        return out, (got.get("n", 0), got.get("h"))
+        return few(out, got.get("n", 0)), (got.get("n", 0), got.get("h"))
 
     now, seen = written(tidy_edges(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
                                    .where("u IS NOT NULL AND v IS NOT NULL")))
     while seen[0]:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = few(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), seen[0])
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # every larger neighbour of u moves to the smallest node around u
         large = tidy_edges(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
@@ -189,9 +208,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # smaller neighbours of u and u itself hang on the smallest of them
         small = large.join(least, "u")
         before = seen
-        now, seen = written(tidy_edges(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                                       .union(small.select("u", F.col("m").alias("v")))))
+        now, seen = written(tidy_edges(few(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+                                           .union(small.select("u", F.col("m").alias("v"))), seen[0])))
         if before == seen:
             break
     rooted = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return rooted.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return few(rooted.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), seen[0])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import HOT, bitmap, components, free_name, join_counted, kept, lean, maybe, maybe_rows, pieces, tidy
+from vacantia.llm.common import HOT, bitmap, components, free_name, join_counted, kept, kept_few, lean, maybe, maybe_rows, pieces, tidy
 from vacantia.llm.shingles import fingerprint, shingle_sets
 
 # Bytes of text that are hashed at once.
@@ -128,7 +128,7 @@ def _verified(docs: DataFrame, text: str, nodes: DataFrame, pairs: DataFrame, pe
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
                 pa.array(keep, pa.bool_()))
 
-    pairs = kept(
+    pairs = kept_few(
         pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a")
         .join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
         .select("a", "b", "na", "xa", "nb", "xb").mapInArrow(tidy(hopeful), "a long, b long"))
@@ -363,7 +363,7 @@ def _across(entries: DataFrame, nodes: DataFrame, percent: int, nearest: int | N
     list meets in one task and only pairs that pass leave it.
     """
     cut = entries.groupBy("token").count().select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    units = kept(
+    units = kept_few(
         entries.join(cut, "token").withColumn("block", F.pmod(F.xxhash64("a", F.lit(5)), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("a", "token", "n", "pos", F.col("ra").alias("root"), "block", F.least("block", "other").alias("u"),
@@ -406,7 +406,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     """
     docs = docs.select(key, text)
     rows = kept(profile(docs, key, text))
-    nodes = kept(rows.where("n > 0").dropDuplicates(["node"]).select("node", "n", "th", "mins", "bits"))
+    nodes = kept_few(rows.where("n > 0").dropDuplicates(["node"]).select("node", "n", "th", "mins", "bits"))
     total = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * (100 - percent) / 100 / BUCKET) + 1)
 
@@ -414,36 +414,36 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     met = nodes.select("node", "n", F.explode("mins").alias("token"))
     leaders = (met.groupBy("token").agg(F.min(F.struct("node", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
                .select("token", F.col("l.node").alias("a"), F.col("l.n").alias("na"), "c"))
-    stars = kept(
-        join_counted(met, kept(leaders), ["token"], "c").where("node <> a")
+    stars = kept_few(
+        join_counted(met, kept_few(leaders), ["token"], "c").where("node <> a")
         .where(f"100 * least(n, na) >= {percent} * greatest(n, na)")
         .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-    near = kept(components(_verified(docs, text, nodes, stars, percent)))
+    near = kept_few(components(_verified(docs, text, nodes, stars, percent)))
 
     # the index finds what is left
     common, hot = _common(docs, text, buckets, percent)
     salts = nodes.count() // LONG_LIST + 1
-    found = kept(_candidates(docs, text, buckets, percent, common, hot, salts))
+    found = kept_few(_candidates(docs, text, buckets, percent, common, hot, salts))
 
     def rooted(df, end, root):
         named = near.select(F.col("node").alias(end), F.col("root").alias("_r"))
         return df.join(named, end, "left").withColumn(root, F.coalesce("_r", end)).drop("_r")
 
     def linked(pairs):
-        more = kept(_verified(docs, text, nodes, pairs, percent))
+        more = kept_few(_verified(docs, text, nodes, pairs, percent))
         if more.isEmpty():
             return near
-        return kept(components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
+        return kept_few(components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
 
     def mixed(entries):
         several = entries.groupBy("token").agg(F.min("ra").alias("low"), F.max("ra").alias("high")).where("low <> high")
-        return kept(entries.join(several.select("token"), "token", "left_semi"))
+        return kept_few(entries.join(several.select("token"), "token", "left_semi"))
     long_lists = found.where("b IS NULL").select("a", "token", "n", "pos")
     # families first: what the nearest of each node link makes most other pairs of a family needless
-    near = linked(kept(_across(mixed(rooted(long_lists, "a", "ra")), nodes, percent, NEAREST).distinct()))
+    near = linked(kept_few(_across(mixed(rooted(long_lists, "a", "ra")), nodes, percent, NEAREST).distinct()))
     across = _across(mixed(rooted(long_lists, "a", "ra")), nodes, percent)
     pairs = rooted(rooted(found.where("b IS NOT NULL").select("a", "b").distinct(), "a", "ra"), "b", "rb")
-    near = linked(kept(pairs.where("ra <> rb").select("a", "b").union(across).distinct()))
+    near = linked(kept_few(pairs.where("ra <> rb").select("a", "b").union(across).distinct()))
 
     known = rows.join(near, "node", "left").select(
         key, "th", "n", F.coalesce("root", "node").alias("root"))
