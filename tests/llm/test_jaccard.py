@@ -6,10 +6,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from vacantia.llm import common, jaccard
 from vacantia.llm.common import components
-from vacantia.llm.shingles import shingle_sets
+from vacantia.llm.shingles import powers, shingle_sets
 
 
 def words(text):
@@ -168,3 +169,12 @@ def test_components_in_any_number_of_partitions(spark, monkeypatch, small):
     monkeypatch.setattr(common, "SMALL", small)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9] + [(7, 7), (None, 3)], "a long, b long")
     assert sorted((r.node, r.root) for r in components(edges).collect()) == [(i, i // 10 * 10) for i in range(40)]
+
+
+def test_tables_of_the_driver_are_not_sent_to_tasks():
+    """What the driver has computed for itself, 16 MB of powers, is no part of the functions that tasks receive."""
+    powers(10)
+    sent = cloudpickle.dumps(lambda column: list(shingle_sets(column)))
+    assert len(sent) < 1 << 17
+    column = pa.array(["a b c d e f", None, "a"])
+    assert [s.tolist() for s in cloudpickle.loads(sent)(column)] == [s.tolist() for s in shingle_sets(column)]

@@ -22,7 +22,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x5851F42D4C957F2D
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+class _Unsent(dict):
+    """A dictionary that goes to tasks empty: they fill their own, and no function carries what the driver has made."""
+
+    def __reduce__(self):
+        return dict, ()
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = _Unsent()
 _STEP = mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
