@@ -500,6 +500,49 @@ def test_runs_are_logged_in_the_batch_s_version(spark, tmp_path):
     assert aggregates.last_ingest(store.read("crawl_runs")).first()[0] == datetime(2025, 10, 5)
 
 
+def test_legacy_ids_are_looked_up_only_in_buckets_the_batch_leaves_out(spark, tmp_path, monkeypatch):
+    store = filled(spark, tmp_path, buckets=4)
+    asked = []
+    found = tables.skipping.files_holding
+    monkeypatch.setattr(tables.skipping, "files_holding", lambda keys, *rest: asked.append(
+        {r.bucket for r in keys.collect()}) or found(keys, *rest))
+    few = batch(spark, {"external_id": "n1", "legacy_external_id": "e7"}, {"external_id": "n2", "legacy_external_id": "e8"}, start=1000)
+    own = {r[0] for r in few.select(tables.key_bucket(F.col("external_id"), 4)).collect()}
+    old = {r[0] for r in few.select(tables.key_bucket(F.col("legacy_external_id"), 4)).collect()}
+    before = {r.external_id: r.id for r in store.read("jobs").filter("external_id IN ('e7', 'e8')").collect()}
+    upkeep.upsert_batch(store, few, NOW)
+    assert asked == ([old - own] if own != {0, 1, 2, 3} else [])
+    assert {r.external_id: r.id for r in store.read("jobs").filter("external_id IN ('n1', 'n2')").collect()} == {
+        "n1": before["e7"], "n2": before["e8"]}
+    asked.clear()
+    many = batch(spark, *[{"external_id": f"m{n}", "legacy_external_id": f"e{n}"} for n in range(9, 60)], start=2000)
+    upkeep.upsert_batch(store, many, NOW)
+    assert not asked
+    assert store.read("jobs").count() == 90 and store.read("jobs").filter("external_id LIKE 'm%'").count() == 51
+
+
+def test_rows_without_a_key_enter_no_join(spark):
+    some = batch(spark, {"external_id": "1"}, {"external_id": None}, {"external_id": ""}, {"external_id": "2", "provider": None},
+                 {"external_id": "3", "provider": ""})
+    resolved = upsert.resolve(upsert.prepared(some), upsert.conform(empty(spark)[0], schemas.JOBS))
+    assert sorted((r.seq, r.reason) for r in resolved.filter("seq > 0").collect()) == [
+        (1, "missing-external-id"), (2, "missing-external-id"), (3, "missing-provider"), (4, "missing-provider")]
+    assert [(r.reason, r.state_id) for r in resolved.filter("seq = 0").collect()] == [(None, None)]
+    plan = resolved._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].startswith("Union") or "Union" in "".join(plan.splitlines()[:4])
+
+
+def test_skills_lie_beside_the_jobs_a_commit_has_written(spark, tmp_path, rows):
+    store = filled(spark, tmp_path, buckets=4)
+    base = store.snapshot()
+    skills = rows("job_id long, skill string, score int", *[(r.id, "go", 1) for r in store.read("jobs").collect()], (10**6, "go", 1))
+    store.commit(base, NOW, replace={"jobs": (base.read("jobs"), range(4)), "job_skills": (skills, range(4))})
+    now = store.snapshot()
+    jobs = {r.id: r.bucket for r in now.read("jobs", placed=True).collect()}
+    placed = {r.job_id: r.bucket for r in now.read("job_skills", placed=True).collect()}
+    assert len(placed) == 91 and {k: b for k, b in placed.items() if k in jobs} == jobs
+
+
 def test_text_search_reads_candidates_only(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "s"), buckets=4, rows_per_file=4)
     titles = ["Front-End Engineer", "frontend dev", "Back End", "İstanbul Engineer", "QA", "x", None and "", "100% Remote_Dev"]

@@ -11,16 +11,20 @@ from vacantia.functions.exprs import as_timestamp
 OTHER = "other"
 
 
-def _named() -> Column:
+def named() -> Column:
+    """The provider as it is counted."""
     known = F.lower(F.trim("provider"))
     return F.when(known.isin(*V.PROVIDERS), known).otherwise(OTHER)
 
 
-def counts() -> list[Column]:
-    """Rows and refused rows of each provider, as metrics to observe on resolved rows."""
+def counts(counted: str) -> list[Column]:
+    """Rows and refused rows of each provider, as metrics to observe on resolved rows; ``counted`` is a column made by ``named``.
+
+    Metrics share no work with each other, so the name is made once a row and only compared here.
+    """
     out = []
     for name in (*V.PROVIDERS, OTHER):
-        mine = _named() == name
+        mine = F.col(counted) == name
         out += [F.count_if(mine).alias(f"found_{name}"), F.count_if(mine & F.col("reason").isNotNull()).alias(f"errors_{name}")]
     return out
 

@@ -112,9 +112,11 @@ def resolve(batch: DataFrame, jobs: DataFrame) -> DataFrame:
         .drop("legacy")
     )
     moved = F.coalesce(F.col("seq") > F.col("claimed_at"), F.lit(False))
+    # Rows without a key find nothing; in the join those of a provider would all meet in one task.
+    has_key = F.coalesce(F.expr("external_id <> '' AND provider <> ''"), F.lit(False))
+    found = batch.filter(has_key).join(resolved, KEY, "left").unionByName(batch.filter(~has_key), allowMissingColumns=True)
     return (
-        batch.join(resolved, KEY, "left")
-        .withColumn("state_id", F.when(~moved, F.col("exact_id")))
+        found.withColumn("state_id", F.when(~moved, F.col("exact_id")))
         .withColumn("state_id", F.coalesce("state_id", F.when(F.col("seq") >= F.col("first_seq"), F.col("claimed_id"))))
         .withColumn("reason", F.when(F.col("seq").isNull(), "missing-seq")
                     .when(F.coalesce(F.col("external_id"), F.lit("")) == "", "missing-external-id")
@@ -276,7 +278,8 @@ def upsert(jobs: DataFrame, companies: DataFrame, job_skills: DataFrame, incomin
     job_skills = conform(job_skills, JOB_SKILLS)
     batch = incoming if PREPARED <= set(incoming.columns) else prepared(incoming)
     resolved = resolve(batch, jobs)
-    rows = cut_lineage(resolved.observe(seen, *runs.counts()) if seen else resolved)
+    rows = cut_lineage(resolved.withColumn("_named", runs.named()).observe(seen, *runs.counts("_named")).drop("_named")
+                       if seen else resolved)
     accepted = rows.filter("reason IS NULL")
     mapping, created = resolve_companies(
         accepted.filter("slug IS NOT NULL").select("slug", "company", "seq"), companies, ids)

@@ -9,7 +9,7 @@ from vacantia.functions import fixed_values as V
 from vacantia.operators import joins, maintenance, runs
 from vacantia.operators.upsert import insert_only, prepared, upsert
 from vacantia.schemas import CRAWL_RUNS
-from vacantia.sources.tables import ConcurrentWrite, Snapshot, TableStore, beside_jobs, job_bucket, key_bucket
+from vacantia.sources.tables import ConcurrentWrite, Snapshot, TableStore, job_bucket, key_bucket
 
 # How often a change is made anew when another writer was faster.
 ATTEMPTS = 3
@@ -54,11 +54,11 @@ def upsert_batch(store: TableStore, incoming: DataFrame, as_of, batch_id: int |
         own = {r.b for r in batch.filter("external_id <> ''").select(
             key_bucket(F.col("external_id"), base.buckets).alias("b")).distinct().collect()}
         legacy = batch.filter("legacy_external_id IS NOT NULL").select(F.col("legacy_external_id").alias("external_id"))
-        touched = sorted(own | base.buckets_holding(legacy))
+        touched = sorted(own | base.buckets_holding(legacy, but=own))
         result = upsert(base.read("jobs", touched), base.read("companies"), base.read("job_skills", touched), batch, as_of,
                         ids=_reserving(store, base), seen=seen)
         placed = result.jobs.withColumn("bucket", job_bucket(base.buckets))
-        replace = {"jobs": (placed, touched), "job_skills": (beside_jobs(result.job_skills, placed, base.buckets), touched)}
+        replace = {"jobs": (placed, touched), "job_skills": (result.job_skills, touched)}
         append = {"crawl_runs": _run_log(store, base, seen, as_of, pages() if pages else None, notes)}
         if not result.created.isEmpty():
             append["companies"] = result.created
@@ -72,7 +72,7 @@ def insert_batch(store: TableStore, incoming: DataFrame, as_of) -> int:
         base = store.snapshot()
         result = insert_only(base.read("jobs"), base.read("companies"), incoming, as_of, ids=_reserving(store, base))
         placed = result.jobs.withColumn("bucket", job_bucket(base.buckets))
-        append = {"jobs": placed, "job_skills": beside_jobs(result.job_skills, placed, base.buckets)}
+        append = {"jobs": placed, "job_skills": result.job_skills}
         if not result.companies.isEmpty():
             append["companies"] = result.companies
         return store.commit(base, as_of, append=append)

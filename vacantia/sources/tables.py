@@ -147,10 +147,18 @@ class Snapshot:
         found = skipping.files_holding(keys, self.index("files"), self.index("keys"))
         return self.read("jobs", files=found).join(keys.select("external_id"), "external_id", "left_semi")
 
-    def buckets_holding(self, external_ids: DataFrame) -> set[int]:
-        """Buckets in which one of the ids may be stored."""
-        keys = external_ids.select("external_id").distinct().withColumn("bucket", key_bucket(F.col("external_id"), self.buckets))
-        found = skipping.files_holding(keys, self.index("files"), self.index("keys"))
+    def buckets_holding(self, external_ids: DataFrame, but: Iterable[int] = ()) -> set[int]:
+        """Buckets in which one of the ids may be stored; those in ``but`` are known already and not looked through.
+
+        An id is tried against every file of its bucket, so ids and files together must not grow with a batch that has rows in
+        every bucket anyway.
+        """
+        left = sorted(set(self.held("jobs")) - set(but))
+        if not left:
+            return set()
+        keys = external_ids.select("external_id").withColumn("bucket", key_bucket(F.col("external_id"), self.buckets)).filter(
+            F.col("bucket").isin(left)).distinct()
+        found = skipping.files_holding(keys, self.index("files", left), self.index("keys", left))
         return {int(f.split("/bucket=")[1].split("/")[0]) for f in found}
 
 
@@ -229,7 +237,8 @@ class TableStore:
         """Publish changes of a snapshot together, and the metrics they change.
 
         ``replace`` gives tables as (rows, buckets that they make up; None for the whole table), ``append`` rows to add and
-        ``delete`` rows to leave out, read with their place. Rows of bucketed tables may bring their ``bucket``.
+        ``delete`` rows to leave out, read with their place. Rows of bucketed tables may bring their ``bucket``; skills without
+        one are laid beside the jobs that the commit has written before them.
         """
         own = f"v{base.version + 1}-{uuid.uuid4().hex[:12]}"
         change = _Change(own)
@@ -262,6 +271,8 @@ class TableStore:
         layout = LAYOUTS[table].fieldNames()
         if table not in BUCKETED:
             df = df.withColumn("bucket", F.lit(0))
+        elif "bucket" not in df.columns and table == "job_skills" and "jobs" in change.written:
+            df = beside_jobs(df, self._fresh("jobs", own, change.written["jobs"]), base.buckets)
         elif "bucket" not in df.columns:
             df = df.withColumn("bucket", job_bucket(base.buckets) if table == "jobs" else key_bucket(F.col("job_id"), base.buckets))
         keys = ["bucket", "provider"] if table == "jobs" else ["bucket"]

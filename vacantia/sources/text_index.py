@@ -7,11 +7,12 @@ row.
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Places that a task gathers before it writes lists.
+# Characters that a task gathers before it writes lists.
 ENTRIES = 1 << 20
 LAYOUT = "file string, field string, gram string, rows array<long>"
 
@@ -41,12 +42,9 @@ def _gathered(batches):
     for batch in batches:
         for bucket, file, pos, *texts in zip(*(c.to_pylist() for c in batch.columns)):
             for field, text in zip(("title", "company"), texts):
-                found = {text[i:i + 3] for i in range(len(text) - 2)} if text else ()
-                if found:
-                    lists = held.setdefault((bucket, file, field), {})
-                    for gram in found:
-                        lists.setdefault(gram, []).append(pos)
-                    size += len(found)
+                if text and len(text) >= 3:
+                    held.setdefault((bucket, file, field), []).append((pos, text))
+                    size += len(text)
             if size >= ENTRIES:
                 yield from _rows(held)
                 held, size = {}, 0
@@ -54,12 +52,37 @@ def _gathered(batches):
 
 
 def _rows(held):
-    for (bucket, file, field), lists in held.items():
-        chosen = sorted(lists)
+    for (bucket, file, field), places in held.items():
+        found, starts, rows = _lists(*zip(*sorted(places)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([bucket] * len(chosen), pa.int32()), pa.array([file] * len(chosen), pa.string()),
-             pa.array([field] * len(chosen), pa.string()), pa.array(chosen, pa.string()),
-             pa.array([sorted(lists[g]) for g in chosen], pa.list_(pa.int64()))], names=["bucket", "file", "field", "gram", "rows"])
+            [pa.array([bucket] * len(found), pa.int32()), pa.array([file] * len(found), pa.string()),
+             pa.array([field] * len(found), pa.string()), pa.array(found, pa.string()),
+             pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(rows, pa.int64()))],
+            names=["bucket", "file", "field", "gram", "rows"])
+
+
+def _lists(places, texts):
+    """Sorted distinct trigrams of texts, where the list of each starts, and the places of all lists in ascending order.
+
+    A trigram is one number of its three code points, so places are sorted by it as a whole and not gathered one by one.
+    """
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    last = np.zeros(len(points), bool)
+    ends = np.cumsum(lengths)
+    last[ends - 1] = last[ends - 2] = True
+    begins = np.flatnonzero(~last)
+    codes = points[begins] << 42 | points[begins + 1] << 21 | points[begins + 2]
+    owners = np.repeat(np.arange(len(texts)), lengths - 2)
+    order = np.argsort(codes, kind="stable")
+    codes, owners = codes[order], owners[order]
+    fresh = np.append(True, codes[1:] != codes[:-1])
+    kept = fresh | np.append(True, owners[1:] != owners[:-1])
+    codes, owners, fresh = codes[kept], owners[kept], fresh[kept]
+    grams = codes[fresh]
+    letters = np.stack([grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+    starts = np.append(np.flatnonzero(fresh), len(codes))
+    return [letters[i:i + 3] for i in range(0, len(letters), 3)], starts, np.array(places, np.int64)[owners]
 
 
 def asked(spark: SparkSession, q: str) -> list[str]:
