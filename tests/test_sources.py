@@ -3,8 +3,10 @@
 import json
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from vacantia.functions import html
 from vacantia.functions.text import list_column
 from vacantia.operators.filters import entry_filter_at_ingest
 from vacantia.plans.curated import curated_batch
@@ -187,3 +189,16 @@ def test_text_reader_equals_the_tree():
     for _ in range(3000):
         page = "".join(rng.choices(parts, k=rng.randint(0, 14)))
         assert visible_text(page) == parse(page).text(), page
+
+
+def test_pages_of_a_batch_become_python_objects_a_slice_at_a_time(spark):
+    batch = pa.record_batch({"page_id": pa.array([*range(599), None], pa.int64()), "html": [None, *(f"<p>é{n}</p>" for n in range(599))]})
+    slices = list(html.records([batch, batch.slice(0, 0)]))
+    assert [len(s) for s in slices] == [256, 256, 88]
+    assert [tuple(r) for s in slices for r in s] == list(zip(*(c.to_pylist() for c in batch.columns)))
+    pages = spark.range(600).coalesce(1).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("<p>a<b>"), "id", F.lit("</b></p>"))).alias("html"))
+    assert [r.t for r in pages.orderBy("id").select(html.page_text(F.col("html")).alias("t")).collect()] == [
+        f"a {n}" if n % 7 else None for n in range(600)]
+    large = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("html"))
+    sizes = large.mapInArrow(lambda batches: (pa.record_batch({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert len(sizes) > 1 and max(r.n for r in sizes) < 20 << 20

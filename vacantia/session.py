@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every plan relies on: naive timestamps mean UTC, AQE splits skewed join
 # partitions and coalesces small ones, and a page far down a sorted result is sorted on the
-# executors and not gathered on the driver.
+# executors and not gathered on the driver. Python workers get pages in batches of few bytes,
+# as each holds a batch and what it makes of it.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 
